@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -59,22 +59,25 @@ def nearest_in_time(
     )
 
 
-def substring_matches(names: DataFrame, name: str, filters: DataFrame, needle: str) -> DataFrame:
-    """Pair each row of ``names`` with the filter rows whose text its name contains; an empty filter matches all.
+def text_matches(
+    names: DataFrame, name: str, filters: DataFrame, needle: str, test: Callable[[Column, Column], Column],
+) -> DataFrame:
+    """Pair each row of ``names`` with the filter rows whose text passes ``test(name, needle)``; an empty text fits all.
 
     A short filter list is put into the plan as literals; a longer one is joined on the condition itself.
     """
+    def fits(text: Column) -> Column:
+        return (F.coalesce(text, F.lit("")) == "") | test(F.col(name), F.coalesce(text, F.lit("")))
+
     few = filters.limit(LITERAL_FILTERS + 1).collect()
     if len(few) > LITERAL_FILTERS:
-        text = F.coalesce(F.col(needle), F.lit(""))
-        return names.join(filters, (text == "") | F.col(name).contains(text))
+        return names.join(filters, fits(F.col(needle)))
     if not few:
         return names.join(filters, F.lit(False))
     fields = filters.schema.fields
     rows = F.array(*[F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in few])
+    return names.withColumn("__f", F.explode(F.filter(rows, lambda row: fits(row[needle])))).select(*names.columns, "__f.*")
 
-    def fits(row: Column) -> Column:
-        text = F.coalesce(row[needle], F.lit(""))
-        return (text == "") | F.contains(F.col(name), text)
 
-    return names.withColumn("__f", F.explode(F.filter(rows, fits))).select(*names.columns, "__f.*")
+def substring_matches(names: DataFrame, name: str, filters: DataFrame, needle: str) -> DataFrame:
+    return text_matches(names, name, filters, needle, lambda text, part: F.contains(text, part))

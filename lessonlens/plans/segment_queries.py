@@ -41,7 +41,7 @@ def w2(spark, d):
 
 
 GRID = """SELECT video_path, track_id, t_start, t_end, k, least(greatest(t_start + (k + CAST(0.5 AS DOUBLE))*CAST(50 AS DOUBLE), t_start), t_end) AS sample_t
-  FROM sgm, range(0, 18) AS r(k)"""
+  FROM sgm, range(0, 18) AS r(k) WHERE k < greatest(1, floor((t_end - t_start) * CAST(0.02 AS DOUBLE)))"""
 
 
 @query("W3_sample_grid", "SELECT video_path, track_id, round(t_start,6) AS t_start, k, round(sample_t,6) AS sample_t FROM grid", **SEG_STEPS, grid=GRID)

@@ -14,7 +14,7 @@ VIEWS: dict[str, str] = {
         {SIT} AS situation FROM events""",
     "predlog": """SELECT video_path, frame_idx, t, track_id, score,
         CAST(least(7, greatest(1, round_even(score, 0))) AS INT) AS score_clamped, situation,
-        CAST(0.5 AS DOUBLE) + (frame_idx % 50) / CAST(100 AS DOUBLE) AS situation_confidence,
+        CAST(0.5 AS DOUBLE) + sqrt(CAST(frame_idx % 50 AS DOUBLE)) / CAST(15 AS DOUBLE) AS situation_confidence,
         CASE WHEN t >= 1800 AND t < 2100 THEN 'AB' END AS situation_override FROM pred""",
     "detections": """SELECT e.event_id AS id, p.video_path, p.frame_idx, p.t, p.track_id, e.value AS x1, e.value AS y1,
         e.value + 50 AS x2, e.value + 100 AS y2, e.value / CAST(500 AS DOUBLE) AS conf

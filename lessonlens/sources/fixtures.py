@@ -40,7 +40,7 @@ def predlog(spark: SparkSession, d: str) -> DataFrame:
         "video_path", "frame_idx", "t", "track_id", score.alias("score"),
         F.least(F.lit(7), F.greatest(F.lit(1), F.rint(score).cast("int"))).alias("score_clamped"),
         "situation",
-        (F.lit(0.5) + F.pmod(F.col("frame_idx"), F.lit(50)) / F.lit(100.0)).alias("situation_confidence"),
+        (F.lit(0.5) + F.sqrt(F.pmod(F.col("frame_idx"), F.lit(50)).cast("double")) / F.lit(15.0)).alias("situation_confidence"),
         F.when(ab, "AB").alias("situation_override"))
 
 
