@@ -29,7 +29,7 @@ def _runs(windows: DataFrame, keys: list[str]) -> DataFrame:
     changed = ~F.col("__context").eqNullSafe(F.col("prev_row.__context"))
     chunk = scans.time_chunk("t_start", CHUNK)
     stretches = scans.run_ids(w, keys, order, changed, ["__context", "__centre"], chunk, "__stretch")
-    stretches = stretches.withColumn("__before", F.col("prev_row.__centre")).drop("prev_row", "next_row")
+    stretches = stretches.withColumn("__prior_centre", F.col("prev_row.__centre")).drop("prev_row", "next_row")
     reach = scans.running_max(stretches, [*keys, "__stretch"], order, F.col("t_end"), "__reach", chunk)
     split = F.when(F.col("__reach").isNull() | (F.col("t_start") > F.col("__reach") + F.lit(TOUCH)), 1).otherwise(0)
     numbered = scans.running_total(reach, keys, order, split, "__run", chunk)
@@ -37,7 +37,7 @@ def _runs(windows: DataFrame, keys: list[str]) -> DataFrame:
     return numbered.groupBy(*keys, "__run").agg(
         F.min("t_start").alias("start"), F.max("t_end").alias("end"),
         F.min_by("t_end", first).alias("first_end"), F.min_by("__centre", first).alias("first_centre"),
-        F.min_by("__before", first).alias("centre_before"), F.first("__context").alias("context"))
+        F.min_by("__prior_centre", first).alias("centre_before"), F.first("__context").alias("context"))
 
 
 def _bounded_runs(runs: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from lessonlens.operators import ranks, resample, scans
 from lessonlens.operators.joins import interval_join, substring_matches, text_matches
 from lessonlens.operators.rollups import LOW_SCORE
 from lessonlens.schemas import SITUATIONS
+from lessonlens.session import cut_lineage
 from lessonlens.sources.predictions import AB, like_text
 
 # Fixed value: the note stored with a stamped intervention interval.
@@ -338,9 +339,9 @@ def report_tables(
     log: DataFrame, events: DataFrame, design: Design, iterations: int = 10000, seed: int = 42,
 ) -> dict[str, DataFrame]:
     """The sheets of the intervention report as named tables (``design.cooldowns`` holds every length to try)."""
-    course = event_course(log, events, design)
+    course = cut_lineage(event_course(log, events, design))
     summary = situation_summary(course)
-    effects = effect_table(course, summary)
+    effects = cut_lineage(effect_table(course, summary))
     cooldowns = sensitivity(effects, iterations, seed)
     return {
         "events": event_bounds(events, design), "time_course": course, "situation_summary": summary, "effects": effects,

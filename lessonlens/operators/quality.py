@@ -25,8 +25,8 @@ def schema_gaps(tables: Mapping[str, DataFrame], required: Sequence[str]) -> dic
 
 def rule_counts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """One row per rule with the number of rows that break it; a rule that is NULL counts as broken."""
-    counts = df.agg(*[F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()])
-    return counts.unpivot([], list(rules), "rule", "violations")
+    rows = [F.struct(F.lit(name).alias("rule"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("violations")) for name, ok in rules.items()]
+    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
 def label_rules() -> dict[str, Column]:

@@ -13,18 +13,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 SCORE_STEP = 1.0 / 256.0
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, step: float = SCORE_STEP) -> DataFrame:
+def value_ranks(
+    df: DataFrame, keys: Sequence[str], value: str, step: float = SCORE_STEP, **extra: Column,
+) -> DataFrame:
     """One row per key and distinct value: ``value``, ``cnt``, ``below`` (rows with smaller values) and ``n``.
 
-    NULL values are left out. ``step`` is the bucket width in units of the value and affects speed only.
+    NULL values are left out. ``extra`` are aggregates over the rows of each distinct value. ``step`` is the bucket
+    width in units of the value and affects speed only.
     """
     bucket = F.floor(F.col(value) / F.lit(float(step)))
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, bucket.alias("__bucket"), F.col(value).cast("double").alias("value"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
+        .agg(F.count(F.lit(1)).alias("cnt"), *[c.alias(name) for name, c in extra.items()])
     )
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys, bucket.alias("__bucket")).agg(F.count(F.lit(1)).alias("__size"))
+    sizes = counts.groupBy(*keys, "__bucket").agg(F.sum("cnt").alias("__size"))
     group = Window.partitionBy(*keys)
     lower = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -35,7 +38,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, step: float = SC
     return (
         counts.withColumn("__less", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
         .join(offsets, [*keys, "__bucket"])
-        .select(*keys, "value", "cnt", (F.col("__offset") + F.col("__less")).alias("below"), "n")
+        .select(*keys, "value", "cnt", *extra, (F.col("__offset") + F.col("__less")).alias("below"), "n")
     )
 
 
@@ -70,6 +73,24 @@ def trimmed_mean(proportion: float) -> Column:
     return F.try_divide(F.sum(F.col("value") * kept), F.sum(kept))
 
 
+def mean() -> Column:
+    """Aggregate over ``value_ranks``."""
+    return F.try_divide(F.sum(F.col("value") * F.col("cnt")), F.sum("cnt"))
+
+
+def share_at_most(limit: float) -> Column:
+    """Aggregate over ``value_ranks``: fraction of rows with a value of at most ``limit``."""
+    return F.try_divide(F.sum(F.when(F.col("value") <= limit, F.col("cnt")).otherwise(0)).cast("double"), F.sum("cnt"))
+
+
+def deviation(origin: float = 4.0) -> Column:
+    """Aggregate over ``value_ranks``: sample standard deviation; NULL for one row. ``origin`` is a value near the mean."""
+    off = F.col("value") - F.lit(origin)
+    n, total = F.sum("cnt"), F.sum(off * F.col("cnt"))
+    squares = F.sum(off * off * F.col("cnt"))
+    return F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (squares - total * total / n) / F.when(n > 1, n - 1))))
+
+
 def average_rank() -> Column:
     """Over ``value_ranks``: 1-based rank, ties sharing their mean."""
     return F.col("below") + (F.col("cnt") + 1) / F.lit(2.0)

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lessonlens.session import cut_lineage
+
 CHUNK_UNITS = 100_000
 REPLICATE_BLOCKS = 4
 
@@ -23,6 +25,8 @@ def resample_totals(
     keys, values = list(keys) or ["__all"], list(values)
     d = units if keys != ["__all"] else units.withColumn("__all", F.lit(0))
     d = d.select(*keys, F.xxhash64(F.lit(seed), *unit).alias("__h"), *[F.col(v).cast("double").alias(v) for v in values])
+    # The units are totals of classes, schools or events; they are read by every step below.
+    d = cut_lineage(d)
     counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     chunks = F.ceil(F.col("__n") / F.lit(chunk_units))
     d = d.join(counts, keys).withColumn("__c", F.pmod("__h", chunks).cast("int"))
@@ -82,7 +86,7 @@ def mean_interval(
 ) -> DataFrame:
     """Mean, count and bootstrap interval per key; the interval is NULL below two values or without iterations."""
     keys = list(keys)
-    clean = df.where(F.col(value).isNotNull() & ~F.isnan(value))
+    clean = cut_lineage(df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*{*keys, *unit, value}))
     base = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
     if iterations <= 0:
         return base.withColumns({c: F.lit(None).cast("double") for c in ("ci95_low", "ci95_high")})

@@ -27,12 +27,12 @@ def running_total(
     d = df.withColumn(_CHUNK, chunk).withColumn("__v", value)
     sums = d.groupBy(*keys, _CHUNK).agg(F.sum("__v").alias("__s"))
     before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(*keys, _CHUNK, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
+    carried = sums.select(*keys, _CHUNK, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__carry"))
     local = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         d.withColumn("__local", F.coalesce(F.sum("__v").over(local), F.lit(0)))
         .join(carried, [*keys, _CHUNK])
-        .withColumn(out, F.col("__before") + F.col("__local"))
+        .withColumn(out, F.col("__carry") + F.col("__local"))
         .select(*df.columns, out)
     )
 
@@ -49,12 +49,12 @@ def running_max(
     d = df.withColumn(_CHUNK, chunk).withColumn("__v", value)
     tops = d.groupBy(*keys, _CHUNK).agg(F.max("__v").alias("__m"))
     before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = tops.select(*keys, _CHUNK, F.max("__m").over(before).alias("__before"))
+    carried = tops.select(*keys, _CHUNK, F.max("__m").over(before).alias("__carry"))
     local = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         d.withColumn("__local", F.max("__v").over(local))
         .join(carried, [*keys, _CHUNK])
-        .withColumn(out, F.greatest("__before", "__local"))
+        .withColumn(out, F.greatest("__carry", "__local"))
         .select(*df.columns, out)
     )
 

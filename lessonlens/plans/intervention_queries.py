@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lessonlens.operators import intervention as iv
 from lessonlens.plans.catalogue import query
 from lessonlens.plans.tools import rounded
+from lessonlens.session import cut_lineage
 from lessonlens.sources import fixtures as fx, predictions as pr
 
 DESIGN = iv.Design(pre_sec=600.0, post_sec=600.0, bin_sec=300.0, min_tracks=3, cooldowns=(90.0,))
@@ -177,7 +178,8 @@ def a8(spark, d):
 
 
 def _sweep(spark, d):
-    course = iv.event_course(_log(spark, d), _events(spark, d), SWEEP)
+    # One row per event, cooldown, bin and situation; read several times below.
+    course = cut_lineage(iv.event_course(_log(spark, d), _events(spark, d), SWEEP))
     summary = iv.situation_summary(course)
     return course, summary, iv.effect_table(course, summary)
 
