@@ -27,11 +27,12 @@ def half_even(c: Column) -> Column:
 
 def score_class(c: Column) -> Column:
     """The 1..7 class of a continuous score."""
-    return F.least(F.lit(7), F.greatest(F.lit(1), half_even(finite(c))))
+    return clamp(half_even(finite(c)), 1, 7)
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), c))
+    """Held between two bounds; NULL stays NULL (``least`` and ``greatest`` alone would skip it)."""
+    return F.when(c.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), c)))
 
 
 def share(condition: Column) -> Column:

@@ -523,8 +523,8 @@ def w12(spark, d):
     return rounded(out.select("frame_idx", F.element_at("smoothed_probs", 1).alias("p0")))
 
 
-@query("W13_box_average", """SELECT a.id, round(sum(CASE WHEN b.i = 1 THEN pow(0.65::DOUBLE, a.i-1) ELSE 0.35*pow(0.65::DOUBLE, a.i-b.i) END * b.x1),6) AS x1 FROM ord a JOIN ord b ON a.track_id=b.track_id AND a.video_path=b.video_path AND b.i<=a.i GROUP BY 1""",
+@query("W13_box_average", """SELECT a.id, round(sum(CASE WHEN b.i = 1 THEN pow(2::DOUBLE/3, a.i-1) ELSE pow(2::DOUBLE/3, a.i-b.i)/3 END * b.x1),6) AS x1 FROM ord a JOIN ord b ON a.track_id=b.track_id AND a.video_path=b.video_path AND b.i<=a.i GROUP BY 1""",
        ord="SELECT *, row_number() OVER (PARTITION BY video_path, track_id ORDER BY t, id) AS i FROM detections")
 def w13(spark, d):
     from lessonlens.operators.smoothing import smooth_boxes
-    return rounded(smooth_boxes(fx.detections(spark, d), ["video_path", "track_id"], ["t", "id"], 0.35).select("id", F.col("smooth_x1").alias("x1")))
+    return rounded(smooth_boxes(fx.detections(spark, d), ["video_path", "track_id"], ["t", "id"], 1.0 / 3.0).select("id", F.col("smooth_x1").alias("x1")))
