@@ -194,6 +194,8 @@ def event_course(log: DataFrame, events: DataFrame, design: Design) -> DataFrame
         .groupBy(*cell, "base_situation", "track_id").agg(
             F.try_divide(F.sum("s"), F.sum("n")).alias("score"), F.try_divide(F.sum("sc"), F.sum("nc")).alias("clamped"),
             F.try_divide(F.sum("sf"), F.sum("nf")).alias("situation_confidence")))
+    # One row per track, bin and situation, read by the plain figures and by the rank table.
+    tracks = cut_lineage(tracks)
     both = tracks.withColumn("base_situation", F.explode(F.array(F.lit(ALL), F.col("base_situation"))))
     keys = [*cell, "base_situation"]
     plain = both.groupBy(*keys).agg(

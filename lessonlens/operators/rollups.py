@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from lessonlens.operators import ranks, scans
+from lessonlens.session import cut_lineage
 
 LOW_SCORE = 3.0
 
@@ -43,7 +44,7 @@ def per_track_means(log: DataFrame, keys: Sequence[str], **means: str) -> DataFr
 def timeseries_per_sec(log: DataFrame) -> DataFrame:
     keys = ["situation", "sec"]
     log = log.where(F.col("situation").isNotNull()).withColumn("sec", F.floor("t").cast("int"))
-    tracks = per_track_means(log, keys, score="score", clamped="score_clamped")
+    tracks = cut_lineage(per_track_means(log, keys, score="score", clamped="score_clamped"))
     values = ranks.value_ranks(tracks, keys, "score", clamped=F.sum("clamped"), n_clamped=F.count("clamped"))
     return values.groupBy(*keys).agg(
         F.sum("cnt").alias("n_tracks"), ranks.mean().alias("score_mean"), ranks.median().alias("score_p50"),
@@ -51,12 +52,15 @@ def timeseries_per_sec(log: DataFrame) -> DataFrame:
 
 
 def timeseries_binned(log: DataFrame, bin_sec: float = 5.0, trim: float = 0.1) -> DataFrame:
-    """Class figures per situation and bin. The track means pass once through the rank table, which also carries the
-    sums for the other figures, so the log is read and shuffled once."""
+    """Class figures per situation and bin.
+
+    The track means, far fewer than the log's rows, are checkpointed: the rank table reads them twice, the log is read
+    once. The rank table also carries the sums for the figures that are not ranks.
+    """
     keys = ["situation", "bin"]
     log = log.where(F.col("situation").isNotNull()).withColumn("bin", F.floor(F.col("t") / F.lit(float(bin_sec))).cast("int"))
-    tracks = per_track_means(
-        log, keys, score="score", clamped="score_clamped", situation_confidence="situation_confidence")
+    tracks = cut_lineage(per_track_means(
+        log, keys, score="score", clamped="score_clamped", situation_confidence="situation_confidence"))
     values = ranks.value_ranks(
         tracks, keys, "score", clamped=F.sum("clamped"), n_clamped=F.count("clamped"),
         conf=F.sum("situation_confidence"), n_conf=F.count("situation_confidence"))

@@ -173,7 +173,7 @@ EFFECTS = """SELECT cooldown_sec, event_id, video_path, n_pre_bins, n_post_bins,
 
 @query("A8_effect_table", EFFECTS, **ONE)
 def a8(spark, d):
-    course = iv.event_course(_log(spark, d), _events(spark, d), DESIGN)
+    course = cut_lineage(iv.event_course(_log(spark, d), _events(spark, d), DESIGN))
     return rounded(iv.effect_table(course, iv.situation_summary(course)))
 
 

@@ -11,7 +11,7 @@ import sys
 from collections.abc import Callable, Sequence
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from lessonlens.session import STREAM_CONF
@@ -31,30 +31,33 @@ class StepFold(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         import json
-        import pandas as pd
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="mergesort")
-        held = json.loads(self.state.get()[0]) if self.state.exists() else None
+        from pyspark.sql import Row
+        records = [r.asDict() for r in rows]
+        if len(records) > 1:
+            records.sort(key=lambda r: tuple(r[c] for c in self.order))
+        stored = self.state.get()
+        held = json.loads(stored[0]) if stored is not None else None
         out = []
-        for row in frame.to_dict("records"):
+        for row in records:
             t = row["t"]
-            # A key silent for longer than its time to live starts anew.
+            # A key silent for longer than its time to live starts anew, whether or not its timer has fired.
             if held is not None and self.ttl is not None and t - held["seen"] > self.ttl:
                 held = None
             inner, result = self.step(None if held is None else held["inner"], row)
             held = {"inner": inner, "seen": t}
             if result is not None:
-                out.append({**dict(zip(self.keys, key)), **result})
+                out.append(Row(**{c: result[c] if c in result else key[self.keys.index(c)] for c in self.columns}))
         self.state.update((json.dumps(held),))
         if self.ttl is not None:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
+            if stored is not None:
+                for old in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(old)
             self.handle.registerTimer(int((held["seen"] + self.ttl) * 1000) + 1)
-        yield pd.DataFrame(out, columns=self.columns)
+        return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        import pandas as pd
         self.state.clear()
-        yield pd.DataFrame([], columns=self.columns)
+        return iter([])
 
     def close(self) -> None:
         pass
@@ -65,7 +68,6 @@ def fold_stream(
     ttl: float | None = None, delay: str = LATE_DELAY,
 ) -> DataFrame:
     """Fold ``step`` over each key of a stream that has an elapsed-seconds column ``t``."""
-    from pyspark.sql import types as T
     for name, value in STREAM_CONF.items():
         stream.sparkSession.conf.set(name, value)
     out = T.StructType.fromDDL(schema)
@@ -75,7 +77,7 @@ def fold_stream(
         d = d.withColumn("event_time", F.timestamp_seconds("t")).withWatermark("event_time", delay)
         mode = "EventTime"
     processor = StepFold(step, [f.name for f in out.fields], keys, order, ttl)
-    return d.groupBy(*keys).transformWithStateInPandas(
+    return d.groupBy(*keys).transformWithState(
         statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode=mode)
 
 
