@@ -116,7 +116,7 @@ def unit_vector(v: Column) -> Column:
     return let(norm(v), lambda n: F.when(n > 1e-6, F.transform(v, lambda x: x / n)).otherwise(v))
 
 
-def _relative(pose: Column) -> Column:
+def relative_points(pose: Column) -> Column:
     """Shoulder-centred coordinates in shoulder widths, with a validity flag per joint."""
     left, right = joint(pose, LEFT_SHOULDER), joint(pose, RIGHT_SHOULDER)
     frame = F.struct(
@@ -149,6 +149,12 @@ def _flat_xy(points: Column) -> Column:
     return F.flatten(F.transform(points, lambda p: F.array(p.x, p.y)))
 
 
+def frame_features(clean: Column, relative: Column, change: Column) -> Column:
+    """The 103 numbers of one frame from its cleaned points, their relative places and the flat list of changes."""
+    return F.concat(
+        _flat_xy(relative), change, F.transform(clean, lambda p: p.conf), *[_bone(clean, a, b) for a, b in BONES])
+
+
 def clean_pose(pose: Column) -> Column:
     zero = F.lit(0.0)
     return F.transform(pose, lambda p: point(
@@ -163,11 +169,8 @@ def motion_features(sequence: Column) -> Column:
         change = F.when(i > 0, F.flatten(F.zip_with(now, before, lambda p, q: F.array(
             F.when(p.ok & q.ok, p.x - q.x).otherwise(0.0), F.when(p.ok & q.ok, p.y - q.y).otherwise(0.0)))))
         still = F.array_repeat(F.lit(0.0), 34)
-        pose = F.element_at(clean, i + 1)
-        return F.concat(
-            _flat_xy(now), F.coalesce(change, still), F.transform(pose, lambda p: p.conf),
-            *[_bone(pose, a, b) for a, b in BONES])
+        return frame_features(F.element_at(clean, i + 1), now, F.coalesce(change, still))
 
     return let(F.transform(sequence, clean_pose), lambda clean: let(
-        F.transform(clean, _relative), lambda relative: F.transform(
+        F.transform(clean, relative_points), lambda relative: F.transform(
             F.sequence(F.lit(0), F.size(clean) - 1), lambda i: per_frame(clean, relative, i))))

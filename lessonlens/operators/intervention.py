@@ -170,8 +170,9 @@ def event_course(log: DataFrame, events: DataFrame, design: Design) -> DataFrame
     last = end + F.lit(borders[-1])
     near = log.join(events.select(*EVENT), "video_path").where((t >= pre_start) & (t < last))
     zone = F.when((t >= pre_start) & (t < pre_end), "pre").when((t >= start) & (t < end), AB).when(t >= end, "after")
-    border_list = F.array(*[F.lit(b) for b in borders])
-    piece = F.when(t >= end, F.size(F.filter(border_list, lambda b: t >= end + b))).otherwise(0)
+    # Number of borders passed, as plain comparisons.
+    passed = sum((F.when(t >= end + F.lit(b), 1).otherwise(0) for b in borders), F.lit(0))
+    piece = F.when(t >= end, passed).otherwise(0)
     cells = near.withColumn("zone", zone).where(F.col("zone").isNotNull()).groupBy(
         *EVENT, "zone", piece.alias("piece"),
         F.floor((t - end) / F.lit(design.bin_sec)).cast("int").alias("relative_bin"),

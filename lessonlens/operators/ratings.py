@@ -230,7 +230,9 @@ def blind_assignments(
     rows = segments.join(ready, [*ds, "window_id"])
     order = ["video_id", "t_start", "t_end", "track_id", "segment_id"]
     # The order is the same for every rater, so it is computed once per store.
-    chunk = F.struct("video_id", scans.time_chunk("t_start", 60.0).alias("c"))
+    chunk = [
+        F.struct("video_id", scans.time_chunk("t_start", 60.0).alias("c")),
+        F.struct("t_start", "t_end", F.floor(F.col("track_id") / 64).alias("c"))]
     ordered = scans.row_index(rows, ds, order, "display_order", chunk).select(*ds, "segment_id", "display_order")
     link = list(ds) or ["__one"]
     mark = (lambda df: df) if ds else (lambda df: df.withColumn("__one", F.lit(1)))

@@ -32,31 +32,34 @@ def resample_totals(
     d = d.join(counts, keys).withColumn("__c", F.pmod("__h", chunks).cast("int"))
     sizes = d.groupBy(*keys, "__c").agg(F.count(F.lit(1)).alias("__size"))
     plan = sizes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__c", "__size"))).alias("__plan"))
-    plan = plan.select(*keys, F.col("__plan.__c").alias("__ids"), F.col("__plan.__size").alias("__sizes"))
     blocks = F.explode(F.sequence(F.lit(0), F.lit(REPLICATE_BLOCKS - 1)))
-    spread = d.join(plan, keys).withColumn("__block", blocks)
+    cell = [*keys, "__c", "__block"]
+    # The plan reaches every cell once, as its own row, and not with each unit.
+    plans = plan.select(
+        *keys, F.explode("__plan.__c").alias("__c"), F.col("__plan.__c").alias("__ids"), F.col("__plan.__size").alias("__sizes"))
+    plans = plans.withColumn("__block", blocks).withColumnsRenamed({c: f"__p_{c}" for c in cell})
+    spread = d.withColumn("__block", blocks)
 
-    out = T.StructType([spread.schema[k] for k in keys])
+    out = T.StructType([d.schema[k] for k in keys])
     out = out.add("replicate", T.IntegerType()).add("draws", T.LongType())
     for v in values:
         out = out.add(v, T.DoubleType())
     n_blocks = REPLICATE_BLOCKS
 
-    def draw(key, pdf):
+    def draw(key, units_, plan_):
         import numpy as np
         import pandas as pd
         chunk, block = int(key[-2]), int(key[-1])
-        pdf = pdf.sort_values(["__h", *values], kind="mergesort")
-        ids, sizes_ = np.asarray(pdf["__ids"].iloc[0]), np.asarray(pdf["__sizes"].iloc[0], dtype=float)
+        units_ = units_.sort_values(["__h", *values], kind="mergesort")
+        ids, sizes_ = np.asarray(plan_["__ids"].iloc[0]), np.asarray(plan_["__sizes"].iloc[0], dtype=float)
         total, place = int(sizes_.sum()), int(np.flatnonzero(ids == chunk)[0])
-        data = pdf[values].to_numpy(dtype=float)
+        data = units_[values].to_numpy(dtype=float)
         reps = range(block, iterations, n_blocks)
         rows = np.zeros((len(reps), len(values)))
         drawn = np.zeros(len(reps), dtype=np.int64)
         for i, rep in enumerate(reps):
-            if len(ids) == 1:
-                m = total
-            else:
+            m = total
+            if len(ids) > 1:
                 m = int(np.random.default_rng([seed, rep]).multinomial(total, sizes_ / total)[place])
             picks = np.random.default_rng([seed, rep, chunk + 1]).integers(0, len(data), m)
             rows[i], drawn[i] = data[picks].sum(axis=0), m
@@ -67,7 +70,7 @@ def resample_totals(
             frame.insert(0, k, v)
         return frame
 
-    partial = spread.groupBy(*keys, "__c", "__block").applyInPandas(draw, out)
+    partial = spread.groupBy(*cell).cogroup(plans.groupBy(*[f"__p_{c}" for c in cell])).applyInPandas(draw, out)
     totals = partial.groupBy(*keys, "replicate").agg(
         F.sum("draws").alias("draws"), *[F.sum(v).alias(v) for v in values])
     return totals.drop("__all")

@@ -20,24 +20,51 @@ def time_chunk(t: str | Column, width: float) -> Column:
     return F.floor(c / F.lit(float(width)))
 
 
+def _levels(chunk: Column | Sequence[Column]) -> dict[str, Column]:
+    chunks = list(chunk) if isinstance(chunk, (list, tuple)) else [chunk]
+    return {f"{_CHUNK}{i}": c for i, c in enumerate(chunks)}
+
+
+def _sum_before(sums: DataFrame, keys: Sequence[str], levels: list[str]) -> DataFrame:
+    """Add ``__carry`` to a table of chunk sums ``__s``: the sum over all earlier chunks of the key.
+
+    With several levels, from coarse to fine, the earlier chunks inside the same coarse one are summed by a window over
+    that coarse chunk only, and the coarse ones before it by the same rule one level up.
+    """
+    *outer, last = levels
+    inside = Window.partitionBy(*keys, *outer).orderBy(last).rowsBetween(Window.unboundedPreceding, -1)
+    own = sums.withColumn("__carry", F.coalesce(F.sum("__s").over(inside), F.lit(0)))
+    if not outer:
+        return own.drop("__s")
+    above = _sum_before(sums.groupBy(*keys, *outer).agg(F.sum("__s").alias("__s")), keys, outer)
+    joined = own.join(above.withColumnRenamed("__carry", "__above"), [*keys, *outer])
+    return joined.withColumn("__carry", F.col("__carry") + F.col("__above")).drop("__above", "__s")
+
+
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, out: str, chunk: Column,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, out: str,
+    chunk: Column | Sequence[Column],
 ) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over the key's rows up to and including this one."""
-    d = df.withColumn(_CHUNK, chunk).withColumn("__v", value)
-    sums = d.groupBy(*keys, _CHUNK).agg(F.sum("__v").alias("__s"))
-    before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(*keys, _CHUNK, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__carry"))
-    local = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Add ``out``: the sum of ``value`` over the key's rows up to and including this one.
+
+    Where a key has too many chunks for one window, ``chunk`` is a list from coarse to fine.
+    """
+    levels = _levels(chunk)
+    d = df.withColumns({**levels, "__v": value})
+    sums = d.groupBy(*keys, *levels).agg(F.sum("__v").alias("__s"))
+    carried = _sum_before(sums, keys, list(levels))
+    local = Window.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         d.withColumn("__local", F.coalesce(F.sum("__v").over(local), F.lit(0)))
-        .join(carried, [*keys, _CHUNK])
+        .join(carried, [*keys, *levels])
         .withColumn(out, F.col("__carry") + F.col("__local"))
         .select(*df.columns, out)
     )
 
 
-def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str, chunk: Column) -> DataFrame:
+def row_index(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str, chunk: Column | Sequence[Column],
+) -> DataFrame:
     """Add ``out``: the 1-based position of the row among its key's rows."""
     return running_total(df, keys, order, F.lit(1).cast("bigint"), out, chunk)
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lessonlens.functions import boxes
+from lessonlens.functions import boxes, pose
 from lessonlens.operators import ranks, scans
 from lessonlens.operators.joins import nearest_in_time
 
@@ -164,19 +164,28 @@ def overlay_boxes(
         *keys, "track_id", "label_frame", "b.*", start.alias("label_start"), (start + F.lit(1.0 / fps)).alias("label_end"))
 
 
-def pose_changes(frames: DataFrame, pose: str = "kpts", chunk_width: float = 60.0) -> DataFrame:
+def pose_changes(frames: DataFrame, column: str = "kpts", chunk_width: float = 60.0) -> DataFrame:
     """Joint displacement since the previous frame of the segment, 0 unless both joints are valid.
 
-    ``pose`` holds structs ``x, y, ok``.
+    ``column`` holds structs ``x, y, ok``.
     """
-    near = scans.neighbours(frames, ["segment_id"], ["t"], ["t", pose], scans.time_chunk("t", chunk_width))
-    before = F.col("prev_row")[pose]
-    moved = F.zip_with(pose, before, lambda p, q: F.struct(
+    near = scans.neighbours(frames, ["segment_id"], ["t"], ["t", column], scans.time_chunk("t", chunk_width))
+    before = F.col("prev_row")[column]
+    moved = F.zip_with(column, before, lambda p, q: F.struct(
         F.when(p.ok & q.ok, p.x - q.x).otherwise(0.0).alias("dx"), F.when(p.ok & q.ok, p.y - q.y).otherwise(0.0).alias("dy")))
-    still = F.transform(F.col(pose), lambda _p: F.struct(F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy")))
+    still = F.transform(F.col(column), lambda _p: F.struct(F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy")))
     return near.withColumn("change", F.when(before.isNull(), still).otherwise(moved)).drop("prev_row", "next_row")
 
 
+def motion_feature_rows(frames: DataFrame, chunk_width: float = 60.0) -> DataFrame:
+    """Motion features frame by frame, for sequences too long to be assembled; ``kpts`` is replaced by ``features``."""
+    clean = frames.withColumn("kpts", pose.clean_pose(F.col("kpts")))
+    moved = pose_changes(clean.withColumn("__rel", pose.relative_points(F.col("kpts"))), "__rel", chunk_width)
+    change = F.flatten(F.transform("change", lambda c: F.array(c.dx, c.dy)))
+    features = pose.frame_features(F.col("kpts"), F.col("__rel"), change)
+    return moved.withColumn("features", features).drop("kpts", "__rel", "change")
+
+
 def nearest_frames(frames: DataFrame, centres: DataFrame, k: int = 8) -> DataFrame:
     """The ``k`` frames of each segment nearest to its centre; Spark cuts each partition to ``k`` before the shuffle."""
     order = Window.partitionBy("segment_id").orderBy("distance", "t", "frame_idx")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lessonlens.functions import numeric, pose, probs, text
 from lessonlens.operators import agreement as ag, identity as idn, linking as ln, training as tr
-from lessonlens.operators.segments import pose_changes
+from lessonlens.operators.segments import motion_feature_rows, pose_changes
 from lessonlens.plans.catalogue import query
 from lessonlens.plans.tools import rounded
 from lessonlens.sources import files, fixtures as fx
@@ -341,7 +341,7 @@ BONE = {"bn": """SELECT a.vec_id, a.segment_id, (a.x+b.x)/2 AS cx, (a.y+b.y)/2 A
   CASE WHEN both_ AND conf >= 0.2 AND w > 1e-4 THEN greatest(-5, least(5, (y-cy)/greatest(w,1e-4))) ELSE 0 END AS y FROM points p JOIN bn ON bn.vec_id=p.vec_id"""}
 
 
-@query("F11_motion_features", """SELECT vec_id, CAST(CASE WHEN c < 34 THEN c ELSE c END AS INT) AS i, round(v,6) + 0 AS v FROM (
+@query("F11_motion_features", """SELECT vec_id, CAST(c AS INT) AS i, round(v,6) + 0 AS v FROM (
   SELECT vec_id, 2*k AS c, x AS v FROM rl UNION ALL SELECT vec_id, 2*k+1, y FROM rl
   UNION ALL SELECT vec_id, 34+2*k, dx FROM dl UNION ALL SELECT vec_id, 35+2*k, dy FROM dl
   UNION ALL SELECT vec_id, 68+k, least(1, conf) FROM points
@@ -350,12 +350,8 @@ BONE = {"bn": """SELECT a.vec_id, a.segment_id, (a.x+b.x)/2 AS cx, (a.y+b.y)/2 A
   dl="""SELECT vec_id, k, CASE WHEN ok AND pok THEN x-px ELSE 0 END AS dx, CASE WHEN ok AND pok THEN y-py ELSE 0 END AS dy FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, coalesce(lag(ok) OVER w, false) AS pok FROM rl WINDOW w AS (PARTITION BY segment_id, k ORDER BY vec_id))""",
   eg="SELECT unnest(range(0,9)) AS e, unnest([5,5,6,5,7,6,8,5,6]) AS p0, unnest([6,11,12,7,9,8,10,0,0]) AS p1")
 def f11(spark, d):
-    # All frames of a segment in order; the sequence length is the segment's own.
-    frames = fx.poses(spark, d)
-    seq = frames.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("vec_id", "kpts"))).alias("s"))
-    feats = seq.select("s", pose.motion_features(F.transform("s", lambda r: r.kpts)).alias("f"))
-    rows = feats.select(F.explode(F.arrays_zip(F.col("s.vec_id").alias("vec_id"), "f")).alias("z")).select("z.vec_id", F.posexplode("z.f").alias("i", "v"))
-    return rounded(rows)
+    rows = motion_feature_rows(_pose_frames(spark, d), chunk_width=100.0)
+    return rounded(rows.select(F.col("frame_idx").alias("vec_id"), F.posexplode("features").alias("i", "v")))
 
 
 @query("W20_pose_changes", """SELECT vec_id, CAST(k AS INT) AS k, round(CASE WHEN ok AND pok THEN x-px ELSE 0 END,6) + 0 AS dx, round(CASE WHEN ok AND pok THEN y-py ELSE 0 END,6) + 0 AS dy FROM (SELECT vec_id, k, x, y, conf >= 0.2 AS ok, lag(x) OVER w AS px, lag(y) OVER w AS py,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from lessonlens.operators import ranks, rollups, scans
 from lessonlens.plans.catalogue import query
 from lessonlens.plans.tools import rounded
 from lessonlens.sources import fixtures as fx, predictions as pr
+from lessonlens.sources.files import chart_rows
 
 BIN = 300.0
 
@@ -125,7 +126,6 @@ def t1(spark, d):
   ORDER BY conf DESC, track_id) AS k FROM (SELECT video_path, track_id, max(conf) AS conf FROM detections GROUP BY 1,2)) WHERE k <= 5""")
 def t4(spark, d):
     best = fx.detections(spark, d).groupBy("video_path", "track_id").agg(F.max("conf").alias("conf"))
-    from pyspark.sql import Window
     order = Window.partitionBy("video_path").orderBy(F.desc("conf"), "track_id")
     return rounded(best.withColumn("k", F.row_number().over(order)).where("k <= 5").drop("k"))
 
@@ -140,7 +140,7 @@ def t5(spark, d):
   FROM (SELECT situation, track_id, avg(score) AS score_mean FROM pred GROUP BY 1,2)""")
 def t6(spark, d):
     means = fx.pred(spark, d).groupBy("situation", "track_id").agg(F.avg("score").alias("score_mean"))
-    chunk = F.struct("situation", (-F.floor("score_mean") ).alias("c"))
+    chunk = [F.struct("situation", (-F.floor(F.col("score_mean") * 64)).alias("c")), -F.floor(F.col("score_mean") * 65536)]
     return rounded(scans.row_index(means, [], ["situation", F.desc("score_mean"), "track_id"], "position", chunk))
 
 
@@ -160,7 +160,6 @@ def w8(spark, d):
 
 @query("S5_chart_rows", "SELECT situation, t AS x, round(score,6) AS score FROM (SELECT situation, round(t,6) AS t, CASE WHEN frame_idx % 3 > 0 THEN score END AS score FROM pred) WHERE score IS NOT NULL")
 def s5(spark, d):
-    from lessonlens.sources.files import chart_rows
     raw = fx.pred(spark, d).select("situation", F.round("t", 6).alias("sec"), F.when(F.col("frame_idx") % 3 > 0, F.col("score")).alias("mean"))
     return rounded(chart_rows(raw, "situation", "sec", "mean"))
 

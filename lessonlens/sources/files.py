@@ -29,12 +29,12 @@ def read_corpus(spark: SparkSession, stores: Mapping[str, str], tables: Sequence
     ``stores`` maps a dataset id to a folder. All folders go into one scan; the id is looked up from the file's path.
     """
     folders = check_distinct_stores(stores.values())
-    ids = F.create_map(*[F.lit(x) for name, path in zip(stores, folders) for x in (path, name)])
+    ids = spark.createDataFrame(list(zip(folders, stores)), "__folder string, dataset_id string")
     out = {}
     for name in tables:
         scan = spark.read.option("mergeSchema", "true").parquet(*[f"{p}/{name}.parquet" for p in folders])
         folder = F.regexp_extract(F.col("_metadata.file_path"), rf"^(?:file:/*(?=/))?(.*?)/{name}\.parquet", 1)
-        out[name] = scan.withColumn("dataset_id", ids[folder])
+        out[name] = scan.withColumn("__folder", folder).join(ids, "__folder").drop("__folder")
     return out
 
 

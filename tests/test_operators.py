@@ -621,3 +621,24 @@ def test_quality_reports(rows):
         "no blank ids": 1, "phase known": 0, "role known": 0, "minutes given after intervention": 1}
     with pytest.raises(ValueError):
         ql.require_empty(meta, "rows left")
+
+
+def test_row_and_sequence_motion_features_agree(spark):
+    from lessonlens.functions import pose
+    from lessonlens.plans.agreement_queries import _pose_frames
+    frames = _pose_frames(spark, "/root/testdata/sf0.001").where("segment_id < 3")
+    rows_ = {r.frame_idx: r.features for r in sg.motion_feature_rows(frames, 7.0).collect()}
+    seq = frames.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("t", "frame_idx", "kpts"))).alias("s"))
+    for r in seq.select("s.frame_idx", pose.motion_features(F.transform("s", lambda q: q.kpts)).alias("f")).collect():
+        for k, f in zip(r.frame_idx, r.f):
+            assert rows_[k] == pytest.approx(f)
+
+
+def test_running_total_over_two_levels(rows):
+    data = [(i % 3, float(i % 17), i) for i in range(300)]
+    df = rows(data, "k int, t double, i int")
+    chunks = [scans.time_chunk("t", 5.0), scans.time_chunk("t", 1.0)]
+    out = {r.i: r.n for r in scans.row_index(df, ["k"], ["t", "i"], "n", chunks).collect()}
+    for k in range(3):
+        mine = sorted((t, i) for kk, t, i in data if kk == k)
+        assert [out[i] for _t, i in mine] == list(range(1, len(mine) + 1))
