@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lessonlens.functions.numeric import share
 from lessonlens.operators import ranks, resample, scans
 from lessonlens.operators.joins import interval_join, substring_matches, text_matches
 from lessonlens.operators.rollups import LOW_SCORE
@@ -164,17 +163,18 @@ def event_course(log: DataFrame, events: DataFrame, design: Design) -> DataFrame
     all phase borders, and only these sums are assigned to a phase for each cooldown.
     """
     borders = sorted({b for c in design.cooldowns for b in (float(c), float(c) + design.post_sec)})
+    events = cut_lineage(events.select(*EVENT))
     t, start, end = F.col("t"), F.col("ab_start_sec"), F.col("ab_end_sec")
     pre_start = start - F.lit(design.pre_gap_sec) - F.lit(design.pre_sec)
     pre_end = start - F.lit(design.pre_gap_sec)
     last = end + F.lit(borders[-1])
-    near = log.join(events.select(*EVENT), "video_path").where((t >= pre_start) & (t < last))
+    near = log.join(events, "video_path").where((t >= pre_start) & (t < last))
     zone = F.when((t >= pre_start) & (t < pre_end), "pre").when((t >= start) & (t < end), AB).when(t >= end, "after")
     # Number of borders passed, as plain comparisons.
     passed = sum((F.when(t >= end + F.lit(b), 1).otherwise(0) for b in borders), F.lit(0))
     piece = F.when(t >= end, passed).otherwise(0)
     cells = near.withColumn("zone", zone).where(F.col("zone").isNotNull()).groupBy(
-        *EVENT, "zone", piece.alias("piece"),
+        "event_id", "zone", piece.alias("piece"),
         F.floor((t - end) / F.lit(design.bin_sec)).cast("int").alias("relative_bin"),
         F.coalesce("base_situation", F.lit("None")).alias("base_situation"), "track_id",
     ).agg(
@@ -189,25 +189,32 @@ def event_course(log: DataFrame, events: DataFrame, design: Design) -> DataFrame
         return F.struct(F.lit(float(c)).alias("cooldown_sec"), phase.alias("phase"))
 
     options = F.filter(F.array(*[option(c) for c in design.cooldowns]), lambda o: o.phase.isNotNull())
-    cell = ["cooldown_sec", *EVENT, "phase", "relative_bin"]
+    cell = ["cooldown_sec", "event_id", "phase", "relative_bin"]
+    once = Window.partitionBy(*cell, "track_id").orderBy("base_situation")
     tracks = (
-        cells.withColumn("o", F.explode(options)).select("*", "o.*")
+        # One shuffle serves the track means and the mark on one row per track, which counts tracks over all situations.
+        cells.withColumn("o", F.explode(options)).select("*", "o.*").repartition(*cell, "track_id")
         .groupBy(*cell, "base_situation", "track_id").agg(
             F.try_divide(F.sum("s"), F.sum("n")).alias("score"), F.try_divide(F.sum("sc"), F.sum("nc")).alias("clamped"),
-            F.try_divide(F.sum("sf"), F.sum("nf")).alias("situation_confidence")))
-    # One row per track, bin and situation, read by the plain figures and by the rank table.
+            F.try_divide(F.sum("sf"), F.sum("nf")).alias("situation_confidence"))
+        .withColumn("first", F.when(F.row_number().over(once) == 1, 1).otherwise(0)))
+    # One row per track, bin and situation; the rank table reads it twice.
     tracks = cut_lineage(tracks)
     both = tracks.withColumn("base_situation", F.explode(F.array(F.lit(ALL), F.col("base_situation"))))
     keys = [*cell, "base_situation"]
-    plain = both.groupBy(*keys).agg(
-        F.countDistinct("track_id").alias("n_tracks"), F.avg("score").alias("score_mean"),
-        F.stddev_pop("score").alias("score_std"), share(F.col("score") <= LOW_SCORE).alias("low_score_ratio"),
-        F.avg("situation_confidence").alias("situation_confidence"), F.avg("clamped").alias("clamped_mean"))
-    out = ranks.with_stats(
-        plain, both, keys, "score", score_trimmed_mean=ranks.trimmed_mean(design.trim), score_p50=ranks.median())
+    values = ranks.value_ranks(
+        both, keys, "score", firsts=F.sum("first"), clamped=F.sum("clamped"), n_clamped=F.count("clamped"),
+        conf=F.sum("situation_confidence"), n_conf=F.count("situation_confidence"))
+    out = values.groupBy(*keys).agg(
+        F.when(F.col("base_situation") == ALL, F.sum("firsts")).otherwise(F.sum("cnt")).alias("n_tracks"),
+        ranks.mean().alias("score_mean"), ranks.trimmed_mean(design.trim).alias("score_trimmed_mean"),
+        ranks.median().alias("score_p50"), ranks.deviation(population=True).alias("score_std"),
+        ranks.share_at_most(LOW_SCORE).alias("low_score_ratio"),
+        F.try_divide(F.sum("conf"), F.sum("n_conf")).alias("situation_confidence"),
+        F.try_divide(F.sum("clamped"), F.sum("n_clamped")).alias("clamped_mean"))
     width = F.lit(float(design.bin_sec))
     bin_start = F.col("relative_bin") * width
-    return out.withColumns({
+    return out.join(events, "event_id").withColumns({
         "bin_start_relative_sec": bin_start, "bin_center_relative_sec": bin_start + width / 2.0,
         "quality_ok": F.col("n_tracks") >= design.min_tracks})
 

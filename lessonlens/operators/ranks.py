@@ -83,12 +83,15 @@ def share_at_most(limit: float) -> Column:
     return F.try_divide(F.sum(F.when(F.col("value") <= limit, F.col("cnt")).otherwise(0)).cast("double"), F.sum("cnt"))
 
 
-def deviation(origin: float = 4.0) -> Column:
-    """Aggregate over ``value_ranks``: sample standard deviation; NULL for one row. ``origin`` is a value near the mean."""
+def deviation(origin: float = 4.0, population: bool = False) -> Column:
+    """Aggregate over ``value_ranks``: sample (or population) standard deviation; the sample one is NULL for one row.
+
+    ``origin`` is a value near the mean.
+    """
     off = F.col("value") - F.lit(origin)
     n, total = F.sum("cnt"), F.sum(off * F.col("cnt"))
-    squares = F.sum(off * off * F.col("cnt"))
-    return F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (squares - total * total / n) / F.when(n > 1, n - 1))))
+    spread = F.greatest(F.lit(0.0), F.sum(off * off * F.col("cnt")) - total * total / n)
+    return F.sqrt(F.try_divide(spread, n if population else n - 1))
 
 
 def average_rank() -> Column:

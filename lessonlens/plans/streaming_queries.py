@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from lessonlens.plans.catalogue import query
 from lessonlens.plans.tools import rounded
@@ -17,6 +17,15 @@ def _events(spark, d):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
+def _instant():
+    """The wall-clock time of an event as an instant in UTC, whatever the session's time zone."""
+    return F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))"))
+
+
+def _wall(column):
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros({column}), timestamp_ntz'1970-01-01 00:00:00')").alias(column)
+
+
 def _log(spark, d):
     """The fixture log over the streamed events, with time running on over the whole month."""
     ts = F.col("ts").cast("timestamp_ntz")
@@ -44,7 +53,6 @@ def r4(spark, d):
 def r3(spark, d):
     # Rows up to the second of each unbroken stretch, which the check text can write without recursion.
     out = live.drain(live.track_scores(_log(spark, d), every=0.0, ttl=600.0), "track-eviction")
-    from pyspark.sql import Window
     w = Window.partitionBy("video_path", "track_id").orderBy("t", "frame_idx")
     fresh = F.coalesce(F.col("t") - F.lag("t").over(w) > 600, F.lit(True))
     marked = out.withColumn("fresh", fresh)
@@ -103,11 +111,11 @@ def r9(spark, d):
 def r11(spark, d):
     kind = F.col("event_type")
     rows = _events(spark, d).select(
-        F.col("ts").cast("timestamp").alias("at"), F.col("user_id").alias("track_id"),
+        _instant().alias("at"), F.col("user_id").alias("track_id"),
         F.least(F.lit(7.0), F.lit(1.0) + F.sqrt("value") / F.lit(3.7)).alias("score"),
         F.when(kind == "click", fx.WRITE).when(kind == "purchase", fx.TALK).otherwise(fx.LISTEN).alias("situation"))
     out = live.drain(live.binned_scores(rows, "at", "1 day", delay="2 days"), "binned")
-    return rounded(out.select("situation", F.col("bin_start").cast("timestamp_ntz").alias("bin_start"), "n_tracks", "score_mean", "score_p50"))
+    return rounded(out.select("situation", _wall("bin_start"), "n_tracks", "score_mean", "score_p50"))
 
 
 @query("R12_flagged_session_stream", """SELECT track_id, session_start, n FROM (SELECT track_id, run, min(ts) AS session_start, max(ts) AS last_, count(*) AS n FROM (
@@ -115,8 +123,8 @@ def r11(spark, d):
     SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events WHERE event_type = 'click')) GROUP BY 1,2) WHERE last_ + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events WHERE event_type = 'click') - INTERVAL 2 DAY""")
 def r12(spark, d):
     rows = _events(spark, d).select(
-        F.col("ts").cast("timestamp").alias("at"), F.col("user_id").alias("track_id"), (F.col("event_type") == "click").alias("is_ab"))
+        _instant().alias("at"), F.col("user_id").alias("track_id"), (F.col("event_type") == "click").alias("is_ab"))
     out = live.drain(live.flagged_sessions(rows, "at", "12 hours", ["track_id"], delay="2 days"), "sessions")
-    return out.select("track_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
+    return out.select("track_id", _wall("session_start"), "n")
 
 
