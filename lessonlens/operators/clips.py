@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lessonlens.operators import scans
 from lessonlens.operators.joins import interval_join
+from lessonlens.session import cut_lineage
 
 TOUCH = 1e-4
 SLACK = 1e-6
@@ -70,7 +71,8 @@ def rating_clips(windows: DataFrame, keys: Sequence[str], max_seconds: float) ->
     marker = keys or ["__one"]
     source = windows if keys else windows.withColumn("__one", F.lit(1))
     length = F.lit(float(max_seconds))
-    runs = _bounded_runs(_runs(source, marker), marker).where(F.col("run_end") - F.col("run_start") > F.lit(SLACK))
+    # Few rows from here on, read by several steps.
+    runs = _bounded_runs(cut_lineage(_runs(source, marker)), marker).where(F.col("run_end") - F.col("run_start") > F.lit(SLACK))
     pieces = F.greatest(F.lit(1).cast("bigint"), F.ceil((F.col("run_end") - F.lit(SLACK) - F.col("run_start")) / length))
     cut = runs.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)))
     begin = F.col("run_start") + F.col("__k") * length

@@ -72,7 +72,12 @@ def a30(spark, d):
     return rounded(ag.spearman(fx.pairs(spark, d), ["phase"], "human_score", "model_score"))
 
 
-@query("A25_A29_evaluation_report")
+@query("A25_A29_evaluation_report", f"""SELECT m.*, round(s.sp,6) AS spearman, round(w.wp,6) AS weighted_precision, round(w.wr,6) AS weighted_recall, round(w.wf,6) AS weighted_f1 FROM (
+  SELECT phase, count(*) AS n, round(avg(abs(p-y)),6) AS mae, round(sqrt(avg((p-y)*(p-y))),6) AS rmse, round(avg(p-y),6) AS bias, round(1 - sum((p-y)*(p-y))/(var_pop(y)*count(*)),6) AS r2, round({CORR.format('y','p')},6) AS pearson,
+  round(avg(CASE WHEN tc=pc THEN 1.0::DOUBLE ELSE 0 END),6) AS exact_accuracy, round(avg(CASE WHEN abs(tc-pc)<=1 THEN 1.0::DOUBLE ELSE 0 END),6) AS within_1_accuracy, round(avg(CASE WHEN abs(tc-pc)<=2 THEN 1.0::DOUBLE ELSE 0 END),6) AS within_2_accuracy,
+  round(avg(abs(tc-pc)),6) AS mean_absolute_class_error, round(1 - avg((tc-pc)*(tc-pc))/(var_pop(tc)+var_pop(pc)+pow(avg(tc)-avg(pc),2)),6) AS quadratic_weighted_kappa FROM eva GROUP BY 1) m
+  JOIN (SELECT phase, corr(ry, rp) AS sp FROM rnk GROUP BY 1) s ON s.phase=m.phase JOIN (SELECT phase, sum(pr*sup)/sum(sup) AS wp, sum(re*sup)/sum(sup) AS wr, sum(f1*sup)/sum(sup) AS wf FROM prf GROUP BY 1) w ON w.phase=m.phase""",
+  **PERCLASS, rnk=RNK)
 def evaluation(spark, d):
     return rounded(ag.evaluation_metrics(fx.pairs(spark, d), ["phase"], "human_score", "model_score"))
 

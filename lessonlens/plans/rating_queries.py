@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lessonlens.operators import clips as cl, merging as mg, mutations as mu, quality as ql, ratings as rt
 from lessonlens.plans.catalogue import query
 from lessonlens.plans.tools import rounded
+from lessonlens.session import cut_lineage
 from lessonlens.sources import fixtures as fx
 
 CLIP = ["clip_start", "clip_end"]
@@ -190,7 +191,7 @@ INCLIP = """SELECT w.*, (w.t_start+w.t_end)/2 AS centre, c.clip_start, c.clip_en
 
 
 def _in_clips(spark, d):
-    return rt.windows_in_clips(fx.locked_win(spark, d), _clips(spark, d), [], 12.0)
+    return cut_lineage(rt.windows_in_clips(fx.locked_win(spark, d), cut_lineage(_clips(spark, d)), [], 12.0))
 
 
 @query("J8_windows_in_clips", "SELECT window_id, centre, clip_start, clip_end FROM inc", **RLE, inc=INCLIP)

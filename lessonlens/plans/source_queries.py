@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lessonlens.plans.catalogue import query
+from lessonlens.plans.intervention_queries import _until, course_steps
 from lessonlens.plans.tools import rounded
 from lessonlens.session import scratch_path
 from lessonlens.sources import files, fixtures as fx
@@ -44,7 +45,7 @@ def s7(spark, d):
     return rounded(spark.read.parquet(base).groupBy("video_path").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("score")))
 
 
-@query("S9_report_tables")
+@query("S9_report_tables", "SELECT cooldown_sec, event_id, n_pre_bins, n_post_bins FROM un", **_until(course_steps([90, 120]), "un"))
 def s9(spark, d):
     from lessonlens.operators import intervention as iv
     from lessonlens.sources.predictions import read_predictions_ab

@@ -74,6 +74,16 @@ def r2(spark, d):
     return out.select("video_path", "track_id", "frame_idx", "ready", F.transform("items", lambda v: F.round(v, 6)).alias("items"))
 
 
+@query("R5_class_average_stream", """SELECT t, round(class_score,6) AS class_score, round(sum_,6) AS smooth_score FROM (SELECT a.t, any_value(a.v) AS class_score, sum(CASE WHEN b.i = 1 THEN pow(0.8::DOUBLE, a.i-1) ELSE 0.2*pow(0.8::DOUBLE, a.i-b.i) END * b.v) AS sum_
+  FROM num a JOIN num b ON b.i <= a.i GROUP BY 1)""",
+       spn="SELECT floor(t/6)*CAST(6 AS DOUBLE) AS t, avg(score) AS v FROM pred GROUP BY 1",
+       num="SELECT *, row_number() OVER (ORDER BY t) AS i FROM spn WHERE t + 6 <= (SELECT max(t) FROM pred) - 10")
+def r5(spark, d):
+    # All lessons laid over one another as one class.
+    rows = live.class_scores(_log(spark, d).withColumn("video_path", F.lit("all")), frame_sec=6.0)
+    return rounded(live.drain(rows, "class-average").select("t", "class_score", "smooth_score"))
+
+
 @query("R6_situation_stream", """SELECT a.frame_idx, round(sum(CASE WHEN b.i = 1 THEN pow(0.85::DOUBLE, a.i-1) ELSE 0.15*pow(0.85::DOUBLE, a.i-b.i) END * b.p0),6) AS p0 FROM ord a JOIN ord b ON a.video_path=b.video_path AND b.i<=a.i GROUP BY 1""",
        ord="SELECT *, score/(score+2+t/1000) AS p0, row_number() OVER (PARTITION BY video_path ORDER BY t, frame_idx) AS i FROM pred")
 def r6(spark, d):
@@ -81,7 +91,9 @@ def r6(spark, d):
     return rounded(live.drain(live.situations(rows), "situations").select("frame_idx", F.element_at("probs", 1).alias("p0")))
 
 
-@query("R8_exclusion_stream")
+@query("R8_exclusion_stream", """SELECT video_path, track_id, frame_idx, c >= 2 AND c >= 0.5*n AS excluded, CASE WHEN c >= 2 AND c >= 0.5*n THEN CASE WHEN c0 > c1 THEN 'p0' WHEN c1 > c0 THEN 'p1' ELSE f END END AS name FROM (SELECT *, greatest(c0,c1) AS c FROM (
+  SELECT video_path, track_id, frame_idx, count(*) OVER w AS n, count(*) FILTER (name='p0') OVER w AS c0, count(*) FILTER (name='p1') OVER w AS c1, list_filter(list(name) OVER w, lambda x: x IS NOT NULL)[1] AS f FROM (
+    SELECT *, CASE WHEN frame_idx % 3 > 0 THEN concat('p', CAST(frame_idx % 2 AS VARCHAR)) END AS name FROM pred) WINDOW w AS (PARTITION BY video_path, track_id ORDER BY t, frame_idx ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)))""")
 def r8(spark, d):
     i = F.col("frame_idx")
     rows = _log(spark, d).withColumn("matched_name", F.when(i % 3 > 0, F.concat(F.lit("p"), (i % 2).cast("string"))))
