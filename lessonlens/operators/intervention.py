@@ -310,7 +310,7 @@ def class_effect_summary(effects: DataFrame, iterations: int = 10000, seed: int
     """Mean and median class effect with the bootstrap interval over classes; NULL interval below two classes."""
     value = "effect_post_minus_pre"
     mean = resample.mean_interval(effects, [], ["school_id", "class_id"], value, iterations, seed)
-    middle = ranks.group_stats(effects, [], value, median_class_effect=ranks.median())
+    middle = ranks.overall_quantiles(effects, value, median_class_effect=0.5)
     return mean.join(middle, how="left").select(
         F.col("n").alias("n_classes"), F.col("mean").alias("mean_effect"), "median_class_effect", "ci95_low", "ci95_high",
         F.lit(iterations).alias("bootstrap_iterations"))

@@ -2,6 +2,7 @@
 
 Equal values are merged into counts first (combined on the map side), the distinct values are cut into value buckets,
 and a value's rank is its rank inside its bucket plus the size of the buckets below. No task holds more than one bucket.
+Keys must not be NULL.
 """
 
 from __future__ import annotations
@@ -105,6 +106,29 @@ def group_stats(df: DataFrame, keys: Sequence[str], value: str, step: float = SC
     return ranks.groupBy(*keys).agg(*[c.alias(name) for name, c in aggs.items()])
 
 
+def overall_quantiles(df: DataFrame, value: str, step: float = SCORE_STEP, **ps: float) -> DataFrame:
+    """One row with quantiles over all rows, NULL on none.
+
+    A first pass counts the buckets; only the rows of the few buckets that hold a wanted position are ranked, so hardly
+    anything is shuffled however many rows there are.
+    """
+    d = df.where(F.col(value).isNotNull()).select(
+        F.floor(F.col(value) / F.lit(float(step))).alias("__bucket"), F.col(value).cast("double").alias("value"))
+    sizes = d.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size"))
+    whole = Window.partitionBy()
+    lower = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        "__bucket", "__size", F.coalesce(F.sum("__size").over(lower), F.lit(0)).alias("__offset"), F.sum("__size").over(whole).alias("n"))
+    at = [f(F.lit(float(p)) * (F.col("n") - 1)) for p in ps.values() for f in (F.floor, F.ceil)]
+    hit = F.exists(F.array(*at), lambda i: (i >= F.col("__offset")) & (i < F.col("__offset") + F.col("__size")))
+    # At most two buckets per quantile, so this side is always small enough to send around.
+    wanted = F.broadcast(offsets.where(hit).select("__bucket", "__offset", "n"))
+    counts = d.join(wanted, "__bucket").groupBy("__bucket", "__offset", "n", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    inside = Window.partitionBy("__bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    near = counts.withColumn("below", F.col("__offset") + F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
+    return near.agg(*[quantile(p).alias(name) for name, p in ps.items()])
+
+
 def with_stats(
     plain: DataFrame, df: DataFrame, keys: Sequence[str], value: str, step: float = SCORE_STEP, **aggs: Column,
 ) -> DataFrame:

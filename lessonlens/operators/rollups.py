@@ -19,9 +19,8 @@ def overall_stats(log: DataFrame) -> DataFrame:
         F.min("t").alias("t_min"), F.max("t").alias("t_max"),
         F.avg("score").alias("score_mean"), F.stddev_pop("score").alias("score_std"),
         F.avg("score_clamped").alias("clamped_mean"))
-    return ranks.with_stats(
-        plain, log, [], "score",
-        score_p10=ranks.quantile(0.1), score_p50=ranks.median(), score_p90=ranks.quantile(0.9))
+    quantiles = ranks.overall_quantiles(log, "score", score_p10=0.1, score_p50=0.5, score_p90=0.9)
+    return plain.join(quantiles, how="left")
 
 
 def by_track(log: DataFrame, min_samples: int = 30) -> DataFrame:

@@ -217,12 +217,13 @@ def a24(spark, d):
 
 BLIND = """SELECT r.rater, s.segment_id, upper(substr(sha256(r.rater||':'||CAST(s.segment_id AS VARCHAR)||':classroom_engagement_v2'),1,12)) AS blind_code,
   row_number() OVER (PARTITION BY r.rater ORDER BY w.video_id, w.t_start, w.t_end, s.track_id, s.segment_id) AS display_order
-  FROM seg s JOIN lwin w ON w.window_id=s.window_id CROSS JOIN (SELECT DISTINCT rater FROM ratings WHERE rater IN ('r1','r2','r3') AND rater <> 'r2') r WHERE w.situation IS NOT NULL AND w.situation_locked"""
+  FROM seg s JOIN lwin w ON w.window_id=s.window_id CROSS JOIN (SELECT DISTINCT rater FROM ratings WHERE rater <> 'r2') r WHERE w.situation IS NOT NULL AND w.situation_locked"""
 
 
 def _blind(spark, d):
-    raters = fx.rate(spark, d).where("rater IN ('r1','r2','r3')").select("rater")
-    have = fx.rate(spark, d).where("rater = 'r2'").select("rater")
+    raters = fx.rate(spark, d).select("rater")
+    # One rater has an order already and keeps it.
+    have = raters.where("rater = 'r2'")
     return rt.blind_assignments(fx.locked_win(spark, d), fx.seg(spark, d), raters, have)
 
 
@@ -441,16 +442,16 @@ def u14_undo(spark, d):
     return mu.undo(mu.delete_labels(labels, doomed), before).select("segment_id", "rater", "score")
 
 
-@query("U15_append_runs", """SELECT variant, seed, fold, epoch FROM runs WHERE epoch < 10""")
+@query("U15_append_runs", "SELECT variant, seed, fold, epoch FROM runs")
 def u15(spark, d):
-    r = fx.runs(spark, d).select("variant", "seed", "fold", "epoch").where("epoch < 10")
-    return mu.append_runs(r.where("epoch < 6"), r.where("epoch >= 4"), ("variant", "seed", "fold", "epoch"))[0]
+    r = fx.runs(spark, d).select("variant", "seed", "fold", "epoch")
+    return mu.append_runs(r.where("epoch < 15"), r.where("epoch >= 12"), ("variant", "seed", "fold", "epoch"))[0]
 
 
-@query("U15_refused_runs", "SELECT variant, seed, fold, epoch FROM runs WHERE epoch IN (4, 5)")
+@query("U15_refused_runs", "SELECT variant, seed, fold, epoch FROM runs WHERE epoch BETWEEN 12 AND 14")
 def u15_refused(spark, d):
     r = fx.runs(spark, d).select("variant", "seed", "fold", "epoch")
-    return mu.append_runs(r.where("epoch < 6"), r.where("epoch >= 4"), ("variant", "seed", "fold", "epoch"))[1]
+    return mu.append_runs(r.where("epoch < 15"), r.where("epoch >= 12"), ("variant", "seed", "fold", "epoch"))[1]
 
 
 @query("J17_orphans", "SELECT segment_id, rater, score FROM rate WHERE segment_id NOT IN (SELECT segment_id FROM excluded)")

@@ -338,34 +338,40 @@ def test_blind_assignments_are_kept(rows):
 
 
 def plain_clips(windows, longest):
-    """Restatement of the clip rules over one video's windows in order."""
-    runs, before = [], None
-    for start, end, context in windows:
-        mid = (start + end) / 2
-        touching = bool(runs) and start <= runs[-1]["end"] + 1e-4
-        if touching and runs[-1]["context"] == context:
-            runs[-1]["end"] = max(runs[-1]["end"], end)
-        else:
-            begin = start
-            if touching:
-                last = runs[-1]
-                begin = max(last["start"], min((before + mid) / 2, max(last["end"], end)))
-                last["end"] = begin
-            runs.append({"start": begin, "end": end, "context": context})
-        before = mid
-    pieces = []
-    for r in runs:
-        a = r["start"]
-        while a < r["end"] - 1e-6:
-            pieces.append((a, min(a + longest, r["end"])))
-            a = pieces[-1][1]
-    mids, out = [(s + e) / 2 for s, e, _ in windows], []
-    for a, b in pieces:
-        if any(a <= m < b for m in mids):
-            out.append((a, b))
-        elif out and abs(out[-1][1] - a) < 1e-4:
-            out[-1] = (out[-1][0], b)
-    return out
+    """The clip rules over one video's windows in order, in passes over whole lists."""
+    from itertools import accumulate, groupby
+
+    middles = [(s + e) / 2 for s, e, _ in windows]
+    # Pass 1: number the runs; a window joins the run before it when it touches that run and shares its context.
+    number, reach = [0], windows[0][1]
+    links = [False]
+    for (s, e, context), (_, _, context_before) in zip(windows[1:], windows):
+        touches = s <= reach + 1e-4
+        new = not (touches and context == context_before)
+        number.append(number[-1] + new)
+        reach = e if new else max(reach, e)
+        if new:
+            links.append(touches)
+    members = [[i for i, _ in g] for _, g in groupby(enumerate(number), key=lambda p: p[1])]
+    ends = [max(windows[i][1] for i in m) for m in members]
+    # Pass 2: starts, moved to the middle of two centres where runs touch, never before the start of the run they close.
+    def move(start, k):
+        first = members[k][0]
+        if not links[k]:
+            return windows[first][0]
+        return max(start, min((middles[first - 1] + middles[first]) / 2, max(ends[k - 1], windows[first][1])))
+
+    starts = list(accumulate(range(1, len(members)), move, initial=windows[0][0]))
+    stops = [starts[k + 1] if k + 1 < len(members) and links[k + 1] else ends[k] for k in range(len(members))]
+    # Pass 3: pieces of the allowed length, then empty ones glued to the left or dropped.
+    pieces = [
+        (a + longest * j, min(a + longest * (j + 1), b))
+        for a, b in zip(starts, stops) for j in range(max(0, math.ceil((b - 1e-6 - a) / longest)))]
+    full = [any(a <= m < b for m in middles) for a, b in pieces]
+    glued = [not f and k > 0 and abs(pieces[k - 1][1] - pieces[k][0]) < 1e-4 for k, f in enumerate(full)]
+    heads = list(accumulate(not g for g in glued))
+    groups = [[i for i, _ in g] for _, g in groupby(enumerate(heads), key=lambda p: p[1])]
+    return [(pieces[g[0]][0], pieces[g[-1]][1]) for g in groups if full[g[0]]]
 
 
 def test_clips_micro(rows):
@@ -642,3 +648,24 @@ def test_running_total_over_two_levels(rows):
     for k in range(3):
         mine = sorted((t, i) for kk, t, i in data if kk == k)
         assert [out[i] for _t, i in mine] == list(range(1, len(mine) + 1))
+
+
+@pytest.mark.parametrize("step", [0.01, 3.0])
+def test_overall_quantiles(rows, step):
+    rng = random.Random(12)
+    v = sorted([round(rng.gauss(0, 5), 1) for _ in range(331)] + [2.0] * 200)
+    r = ranks.overall_quantiles(rows([(x,) for x in v], "v double"), "v", step, a=0.1, b=0.5, c=1.0).first()
+    pos = 0.1 * (len(v) - 1)
+    assert r.a == pytest.approx(v[math.floor(pos)] + (v[math.ceil(pos)] - v[math.floor(pos)]) * (pos % 1))
+    assert r.b == statistics.median(v) and r.c == v[-1]
+    assert ranks.overall_quantiles(rows([], "v double"), "v", a=0.5).first().a is None
+
+
+def test_one_key_with_a_third_of_all_rows(spark):
+    """The hot track's rows are spread: no partition of the rank windows holds them all."""
+    df = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5000 + 1).alias("k"), (1 + F.rand(1) * 6).alias("v"))
+    local = ranks.value_ranks(df, ["k"], "v").where("k = 0")
+    assert local.count() == 10000
+    r = ranks.group_stats(df, ["k"], "v", m=ranks.median()).where("k = 0").first()
+    assert r.m == pytest.approx(sorted(x.v for x in df.where("k = 0").collect())[4999], abs=0.01)
