@@ -126,7 +126,7 @@ def r11(spark, d):
         _instant().alias("at"), F.col("user_id").alias("track_id"),
         F.least(F.lit(7.0), F.lit(1.0) + F.sqrt("value") / F.lit(3.7)).alias("score"),
         F.when(kind == "click", fx.WRITE).when(kind == "purchase", fx.TALK).otherwise(fx.LISTEN).alias("situation"))
-    out = live.drain(live.binned_scores(rows, "at", "1 day", delay="2 days"), "binned")
+    out = live.drain(live.binned_scores(rows, "at", "1 day", delay="2 days"), "binned", keyed=False)
     return rounded(out.select("situation", _wall("bin_start"), "n_tracks", "score_mean", "score_p50"))
 
 
@@ -136,7 +136,7 @@ def r11(spark, d):
 def r12(spark, d):
     rows = _events(spark, d).select(
         _instant().alias("at"), F.col("user_id").alias("track_id"), (F.col("event_type") == "click").alias("is_ab"))
-    out = live.drain(live.flagged_sessions(rows, "at", "12 hours", ["track_id"], delay="2 days"), "sessions")
+    out = live.drain(live.flagged_sessions(rows, "at", "12 hours", ["track_id"], delay="2 days"), "sessions", keyed=False)
     return out.select("track_id", _wall("session_start"), "n")
 
 

@@ -14,8 +14,6 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from lessonlens.session import STREAM_CONF
-
 LATE_DELAY = "10 seconds"
 
 
@@ -67,9 +65,7 @@ def fold_stream(
     stream: DataFrame, keys: Sequence[str], step: Callable, schema: str, order: Sequence[str] = ("t",),
     ttl: float | None = None, delay: str = LATE_DELAY,
 ) -> DataFrame:
-    """Fold ``step`` over each key of a stream that has an elapsed-seconds column ``t``."""
-    for name, value in STREAM_CONF.items():
-        stream.sparkSession.conf.set(name, value)
+    """Fold ``step`` over each key of a stream that has an elapsed-seconds column ``t``; start it in ``keyed_state``."""
     out = T.StructType.fromDDL(schema)
     d = stream
     mode = "None"

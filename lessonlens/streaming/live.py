@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lessonlens.session import scratch_path
+from lessonlens.session import keyed_state, scratch_path
 from lessonlens.streaming import steps
 from lessonlens.streaming.folds import LATE_DELAY, fold_stream
 
@@ -98,19 +99,26 @@ def flagged_sessions(stream: DataFrame, time: str, gap: str, keys: Sequence[str]
         .select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n"))
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all that is there now, into a table in the shared folder, and read the table back."""
+def drain(stream: DataFrame, name: str, keyed: bool = True) -> DataFrame:
+    """Run a stream over all that is there now, into a table in the shared folder, and read the table back.
+
+    ``keyed`` is for streams with a step fold; built-in windows run on the session's own state store.
+    """
     spark: SparkSession = stream.sparkSession
     base = scratch_path(spark, name)
-    running = (
+    writer = (
         stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/rows")
-        .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start())
+        .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True))
+    with keyed_state(spark) if keyed else nullcontext():
+        running = writer.start()
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
 def append_log(stream: DataFrame, path: str, checkpoint: str):
     """Append scored rows to a table as they come, one folder per video; exactly once across restarts."""
-    return (
+    writer = (
         stream.writeStream.format("parquet").outputMode("append").partitionBy("video_path").option("path", path)
-        .option("checkpointLocation", checkpoint).start())
+        .option("checkpointLocation", checkpoint))
+    with keyed_state(stream.sparkSession):
+        return writer.start()

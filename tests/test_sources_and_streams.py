@@ -158,7 +158,7 @@ def test_exclusion_resets_a_track():
 
 
 def test_sliding_mean_and_log_sink(spark, replay, tmp_path):
-    out = live.drain(live.rolling_mean(_stream(spark, replay), "1200 seconds", "600 seconds"), "r")
+    out = live.drain(live.rolling_mean(_stream(spark, replay), "1200 seconds", "600 seconds"), "r", keyed=False)
     assert out.count() > 0
     scores = live.track_scores(_stream(spark, replay), every=0.0, ttl=None)
     running = live.append_log(scores, str(tmp_path / "log"), str(tmp_path / "ckpt"))
