@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lessonlens.schemas import PHASES, ROLES, SITUATIONS, require_columns, schema
+from lessonlens.schemas import PHASES, ROLES, SITUATIONS, schema
 
 
 def schema_gaps(tables: Mapping[str, DataFrame], required: Sequence[str]) -> dict[str, list[str]]:
@@ -97,8 +97,3 @@ def require_empty(df: DataFrame, message: str) -> None:
     if first:
         raise ValueError(f"{message}: {[r.asDict() for r in first]}")
 
-
-__all__ = [
-    "duplicate_keys", "first_existing", "label_rules", "metadata_rules", "missing_assets", "orphans", "release_gate",
-    "require_columns", "require_empty", "rule_counts", "schema_gaps", "sequence_completeness", "window_rules",
-]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from lessonlens.operators import ranks, rollups, scans
+from lessonlens.operators import rollups, scans
 from lessonlens.plans.catalogue import query
 from lessonlens.plans.tools import rounded
 from lessonlens.sources import fixtures as fx, predictions as pr
