@@ -35,7 +35,7 @@ def in_interval(t: Column, start: Column | float, end: Column | float) -> Column
 
 
 def read_predictions(log: DataFrame, video_filter: str | None = None) -> DataFrame:
-    """Offline log with overrides laid over situations; ``video_filter`` is a regular expression."""
+    """Offline log with overrides laid over situations; ``video_filter`` is a regular expression. NaN becomes NULL."""
     require_columns(log, {"video_path", "t", "track_id", "situation", "score", "score_clamped"}, "predictions")
     situation = F.col("situation")
     if "situation_override" in log.columns:
@@ -43,8 +43,8 @@ def read_predictions(log: DataFrame, video_filter: str | None = None) -> DataFra
     boxes = [c for c in ("det_conf", "x1", "y1", "x2", "y2", "frame_idx") if c in log.columns]
     return log.where(matches_regex(F.col("video_path"), video_filter)).select(
         "video_path", F.col("t").cast("double").alias("t"), F.col("track_id").cast("bigint").alias("track_id"),
-        situation.alias("situation"), _or_null(log, "situation_confidence", "double").alias("situation_confidence"),
-        F.col("score").cast("double").alias("score"), F.col("score_clamped").cast("int").alias("score_clamped"), *boxes)
+        situation.alias("situation"), finite(_or_null(log, "situation_confidence", "double")).alias("situation_confidence"),
+        finite(F.col("score")).alias("score"), F.col("score_clamped").cast("int").alias("score_clamped"), *boxes)
 
 
 def read_predictions_ab(log: DataFrame, video_filter: str | None = None) -> DataFrame:
