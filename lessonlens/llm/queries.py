@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lessonlens.llm.mixing import mix_report
 from lessonlens.llm.quality_rules import quality_report
 
 QUERIES, CHECKS = {}, {}
@@ -26,3 +27,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op7_quality_rules")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_mixing", """
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+                      ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS ord FROM documents),
+src AS (SELECT source, sum(size)::DOUBLE AS s, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)] AS w
+        FROM sized GROUP BY source),
+lev AS (SELECT *, 2 * s AS lim, ((SELECT sum(s) FROM src) * 1.5 - coalesce(sum(2 * s) OVER below, 0)) / sum(w) OVER rest AS level FROM src
+        WINDOW below AS (ORDER BY 2 * s / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+               rest AS (ORDER BY 2 * s / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+cutoff AS (SELECT (SELECT level FROM lev WHERE level * w <= lim ORDER BY lim / w LIMIT 1) AS level),
+tgt AS (SELECT source, s, CASE WHEN cutoff.level IS NULL OR cutoff.level * w > lim THEN lim ELSE cutoff.level * w END AS target FROM lev, cutoff),
+line AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+         FROM sized)
+SELECT doc_id, size::BIGINT AS size, s::BIGINT AS source_size, target,
+       (least(greatest(floor(target + 0.5) - b, 0), size) + least(greatest(floor(target + 0.5) - s - b, 0), size))::BIGINT AS taken
+FROM line JOIN tgt ON line.source IS NOT DISTINCT FROM tgt.source""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
