@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lessonlens.llm.mixing import mix_report
+from lessonlens.llm.packing import pack_documents
 from lessonlens.llm.quality_rules import quality_report
 
 QUERIES, CHECKS = {}, {}
@@ -46,3 +47,8 @@ SELECT doc_id, size::BIGINT AS size, s::BIGINT AS source_size, target,
 FROM line JOIN tgt ON line.source IS NOT DISTINCT FROM tgt.source""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
+
+
+@query("op9_best_fit_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
