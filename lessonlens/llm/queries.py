@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from lessonlens.llm.mixing import mix_report
 from lessonlens.llm.packing import pack_documents
 from lessonlens.llm.pivot_search import top_k
+from lessonlens.llm.prefix_counts import count_report
 from lessonlens.llm.quality_rules import quality_report
+from lessonlens.llm.toxic_spans import toxicity_report
 from lessonlens.llm.warc import archive_report
 
 QUERIES, CHECKS = {}, {}
@@ -79,3 +81,13 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 QUALIFY rank <= 5""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_prefix_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_toxic_spans")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
