@@ -9,6 +9,7 @@ from lessonlens.llm.packing import pack_documents
 from lessonlens.llm.pivot_search import top_k
 from lessonlens.llm.prefix_counts import count_report
 from lessonlens.llm.quality_rules import quality_report
+from lessonlens.llm.rule_ensemble import quality_score_report
 from lessonlens.llm.toxic_spans import toxicity_report
 from lessonlens.llm.warc import archive_report
 
@@ -91,3 +92,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_toxic_spans")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_rule_ensemble")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_score_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

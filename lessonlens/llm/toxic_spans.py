@@ -123,7 +123,7 @@ def token_labels(rows: list[tuple[int, list[str]]], config: Toxicity) -> list[np
         seen[y].update({f for w in set(words) for f in beginnings(w)[:-1]})
     sizes = [max(1, sum(1 for r in rows if r[0] == y)) for y in (0, 1)]
     marks = {f for f, n in seen[1].items()
-             if n >= 2 and n / sizes[1] >= config.min_share and n / sizes[1] >= config.ratio * (seen[0][f] + 0.5) / sizes[0]}
+             if n >= 3 and n / sizes[1] >= config.min_share and n / sizes[1] >= config.ratio * (seen[0][f] + 0.5) / sizes[0]}
     return [np.array([y and any(f in marks for f in beginnings(w)[:-1]) for w in words], float) for y, words in rows]
 
 
