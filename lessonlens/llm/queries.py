@@ -11,6 +11,7 @@ from lessonlens.llm.pivot_search import top_k
 from lessonlens.llm.prefix_counts import count_report
 from lessonlens.llm.quality_rules import quality_report
 from lessonlens.llm.rule_ensemble import quality_score_report
+from lessonlens.llm.substring_dedup import dedup_report
 from lessonlens.llm.toxic_spans import toxicity_report
 from lessonlens.llm.warc import archive_report
 
@@ -113,3 +114,25 @@ SELECT r.a AS doc_id, min(r.b) AS class_id, coalesce(any_value(n.n), 0)::BIGINT
 FROM reach r LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = r.a GROUP BY r.a""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
+
+
+@query("op6_substring_dedup", """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+hit AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS low FROM win) WHERE low < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM hit, range(0, 50) r(j)),
+lists AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN n IS NULL THEN w ELSE
+              list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(ps, x[2])), lambda x: x[1]) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN lists l ON l.doc_id = w.doc_id""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
