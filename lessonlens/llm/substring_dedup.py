@@ -99,14 +99,14 @@ def repeated_starts(docs: DataFrame, found: DataFrame, r: Repeats) -> DataFrame:
     """(d_, r_, starts): of every document, word places where repeats start, as packed 32-bit numbers."""
     total = found.agg(F.sum(F.size("places"))).first()[0] or 0
     groups = int(total * (r.window - r.gram + 1) // (2 * r.group_windows)) + 1
-    rows = docs.join(found, (F.col("doc_id") == F.col("d_")) & (F.col("row_") == F.col("r_")), "left")
-    rows = rows.where("places is not null").select("doc_id", "row_", "text", "places", "hots")
+    # the same shuffle of the texts as that of the last step: Spark runs it once
+    rows = docs.join(found, (F.col("doc_id") == F.col("d_")) & (F.col("row_") == F.col("r_"))).select("doc_id", "row_", "text", "places", "hots")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of (group, window hashes, document ids, rows, starts), packed; a row without hashes is settled here."""
         for batch in batches:
             ids, marks = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            hashes, texts, starts, keys = [], [], [], []
+            hashes, texts, starts, keys, held = [], [], [], [], 0
             for b in blocks(batch.column(2)):
                 begin, place, grams = anchor_places(b, r)
                 owner = np.searchsorted(b.cuts, begin, "right") - 1
@@ -121,18 +121,23 @@ def repeated_starts(docs: DataFrame, found: DataFrame, r: Repeats) -> DataFrame:
                 texts.append(owner + b.first)
                 starts.append(begin - b.cuts[owner])
                 keys.append(np.where(state[place] == 2, whole, grams[place]))
-            if not hashes:
-                continue
-            h, t, s, k = (np.concatenate(x) for x in (hashes, texts, starts, keys))
-            order = np.lexsort((ids[t], h))
-            h, t, s, k = h[order], t[order], s[order], k[order]
-            first = np.ones(len(h), bool)
-            first[1:] = h[1:] != h[:-1]
-            least = ids[t][np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
-            settled = ids[t] > least
-            yield from _packed(settled, h, t, s, k, ids, marks)
-
-    def _packed(settled, h, t, s, k, ids, marks) -> Iterator[pa.RecordBatch]:
+                held += len(use)
+                if held > r.group_windows:
+                    yield from settle(hashes, texts, starts, keys, ids, marks)
+                    hashes, texts, starts, keys, held = [], [], [], [], 0
+            if hashes:
+                yield from settle(hashes, texts, starts, keys, ids, marks)
+
+    def settle(hashes, texts, starts, keys, ids, marks) -> Iterator[pa.RecordBatch]:
+        h, t, s, k = (np.concatenate(x) for x in (hashes, texts, starts, keys))
+        order = np.lexsort((ids[t], h))
+        h, t, s, k = h[order], t[order], s[order], k[order]
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        least = ids[t][np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))] if len(h) else ids[t]
+        yield from packed_rows(ids[t] > least, h, t, s, k, ids, marks)
+
+    def packed_rows(settled, h, t, s, k, ids, marks) -> Iterator[pa.RecordBatch]:
         names = ["group", "windows", "ids", "rows", "starts"]
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         for done in (False, True):
@@ -173,7 +178,7 @@ def repeated_starts(docs: DataFrame, found: DataFrame, r: Repeats) -> DataFrame:
 
 def _starts(docs: DataFrame, r: Repeats) -> tuple[DataFrame, DataFrame]:
     """The keyed documents, and (d_, r_, starts): the packed starts of repeats of every document that has some."""
-    source = keyed(docs)
+    source = keyed(docs.where("doc_id is not null"))
     found = shared_anchors(anchors(docs, r), r)
     return source, repeated_starts(source, found, r).groupBy("d_", "r_").agg(F.collect_list("starts").alias("starts"))
 
@@ -197,6 +202,7 @@ def dedup_report(docs: DataFrame, r: Repeats = Repeats()) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
     source, starts = _starts(docs, r)
     judged = source.join(starts, (F.col("doc_id") == F.col("d_")) & (F.col("row_") == F.col("r_")), "left").select("doc_id", "text", "starts")
+    judged = judged.unionByName(keyed(docs.where("doc_id is null")).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("starts")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
