@@ -42,7 +42,7 @@ class Join:
     recall: float = 0.9999
     rows: int = 5
     block_texts: int = 512
-    block_words: int = 1 << 20
+    block_words: int = 1 << 18
     seed: int = 11
 
     @property
