@@ -218,14 +218,15 @@ def budget_answers(counted: DataFrame, budget: int, chars: int) -> DataFrame:
     """From stored steps: ``fitting_chars``, the longest prefix within the budget, and ``prefix_tokens`` of the first ``chars``."""
     added = schema_of("fitting_chars long, prefix_tokens long")
     source = counted.select(*[named(c) for c in without(counted, added.names)])
-    at = source.columns.index("prefix_steps")
+    names = source.columns
+    at = names.index("prefix_steps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             steps = [np.frombuffer(s.as_py(), "<i2") for s in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([fitting(s, budget) for s in steps], pa.int64()),
-                 pa.array([int(s[:chars].sum(dtype=np.int64)) for s in steps], pa.int64())], names=source.columns + added.names)
+                 pa.array([int(s[:chars].sum(dtype=np.int64)) for s in steps], pa.int64())], names=names + added.names)
 
     return source.mapInArrow(run, StructType(source.schema.fields + added.fields))
 

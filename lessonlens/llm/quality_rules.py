@@ -36,9 +36,9 @@ class Bands:
     """
 
     limits: tuple[tuple[float, float, float], ...] = (
-        (100, 0.30, 3.0), (400, 0.42, 1.15), (1600, 0.36, 0.90), (6400, 0.30, 0.80), (float("inf"), 0.24, 0.75))
+        (100, 0.30, 3.0), (400, 0.42, 1.15), (1600, 0.36, 0.85), (6400, 0.30, 0.72), (float("inf"), 0.24, 0.70))
     chunk_bytes: int = 2048
-    chunk_limits: tuple[float, float] = (0.28, 0.85)
+    chunk_limits: tuple[float, float] = (0.28, 0.72)
     max_bad_chunks: float = 0.5
     level: int = 3
     min_words: int = 20
