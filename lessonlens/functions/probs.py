@@ -55,7 +55,7 @@ def softplus(x: Column) -> Column:
 
 def monotone_logits(raw: Column) -> Column:
     """First logit kept, each later one lowered by a positive step, so that thresholds never cross."""
-    steps = F.slice(raw, 2, 64)
+    steps = F.slice(raw, F.lit(2), F.greatest(F.size(raw) - 1, F.lit(0)))
     lowered = F.transform(steps, lambda _x, i: F.element_at(raw, 1) - array_sum(F.slice(steps, 1, i + 1), softplus))
     return F.concat(F.slice(raw, 1, 1), lowered)
 

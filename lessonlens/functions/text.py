@@ -77,7 +77,7 @@ def asset_candidates(path: Column, dataset_root: Column, store_dir: Column) -> C
         under(store_dir, p),
         under(store_parent, p),
         F.when(p.contains(DATA_ASSETS), under(dataset_root, F.replace(p, F.lit(DATA_ASSETS), F.lit(ASSETS)))).otherwise(none),
-        F.when(p.startswith(DATA_PREFIX), under(dataset_root, F.substring(p, len(DATA_PREFIX) + 1, 1 << 20))).otherwise(none),
+        F.when(p.startswith(DATA_PREFIX), under(dataset_root, F.substr(p, F.lit(len(DATA_PREFIX) + 1)))).otherwise(none),
         F.when(name != "", under(dataset_root, F.concat(F.lit(CROPS), name))).otherwise(none),
         F.when(name != "", under(dataset_root, F.concat(F.lit(POSES), name))).otherwise(none),
     )

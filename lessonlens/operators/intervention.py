@@ -115,8 +115,7 @@ def number_events(events: DataFrame) -> DataFrame:
     """Ids ``AB001``.. in order of video, start and end."""
     order = ["video_path", "ab_start_sec", "ab_end_sec"]
     numbered = scans.row_index(events, [], order, "__n", F.col("video_path"))
-    event_id = F.when(F.col("__n") < 1000, F.format_string("AB%03d", F.col("__n"))).otherwise(F.format_string("AB%d", F.col("__n")))
-    return numbered.select(event_id.alias("event_id"), *order, "event_source")
+    return numbered.select(F.format_string("AB%03d", F.col("__n")).alias("event_id"), *order, "event_source")
 
 
 def resolve_events(

@@ -25,13 +25,11 @@ def overall_stats(log: DataFrame) -> DataFrame:
 
 def by_track(log: DataFrame, min_samples: int = 30) -> DataFrame:
     keys = ["situation", "track_id"]
-    values = ranks.value_ranks(
-        log.where(F.col("situation").isNotNull()), keys, "score",
-        lo=F.min("t"), hi=F.max("t"), clamped=F.sum("score_clamped"), n_clamped=F.count("score_clamped"))
-    out = values.groupBy(*keys).agg(
-        F.sum("cnt").alias("n"), F.min("lo").alias("t_min"), F.max("hi").alias("t_max"),
-        ranks.mean().alias("score_mean"), ranks.deviation().alias("score_std"), ranks.median().alias("score_p50"),
-        F.try_divide(F.sum("clamped"), F.sum("n_clamped")).alias("clamped_mean"))
+    log = log.where(F.col("situation").isNotNull())
+    plain = log.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("t").alias("t_min"), F.max("t").alias("t_max"), F.avg("score_clamped").alias("clamped_mean"))
+    out = ranks.with_stats(
+        plain, log, keys, "score", score_mean=ranks.mean(), score_std=ranks.deviation(), score_p50=ranks.median())
     return out.where(F.col("n") >= min_samples).withColumn("duration_sec", F.col("t_max") - F.col("t_min"))
 
 
@@ -44,31 +42,26 @@ def timeseries_per_sec(log: DataFrame) -> DataFrame:
     keys = ["situation", "sec"]
     log = log.where(F.col("situation").isNotNull()).withColumn("sec", F.floor("t").cast("int"))
     tracks = cut_lineage(per_track_means(log, keys, score="score", clamped="score_clamped"))
-    values = ranks.value_ranks(tracks, keys, "score", clamped=F.sum("clamped"), n_clamped=F.count("clamped"))
-    return values.groupBy(*keys).agg(
-        F.sum("cnt").alias("n_tracks"), ranks.mean().alias("score_mean"), ranks.median().alias("score_p50"),
-        F.try_divide(F.sum("clamped"), F.sum("n_clamped")).alias("clamped_mean"))
+    plain = tracks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tracks"), F.avg("clamped").alias("clamped_mean"))
+    return ranks.with_stats(plain, tracks, keys, "score", score_mean=ranks.mean(), score_p50=ranks.median())
 
 
 def timeseries_binned(log: DataFrame, bin_sec: float = 5.0, trim: float = 0.1) -> DataFrame:
     """Class figures per situation and bin.
 
-    The track means, far fewer than the log's rows, are checkpointed: the rank table reads them twice, the log is read
-    once. The rank table also carries the sums for the figures that are not ranks.
+    The track means, far fewer than the log's rows, are a written table: the rank table reads them twice, the log is read
+    once. Tracks without a score count, only the figures of scores leave them out.
     """
     keys = ["situation", "bin"]
     log = log.where(F.col("situation").isNotNull()).withColumn("bin", F.floor(F.col("t") / F.lit(float(bin_sec))).cast("int"))
     tracks = cut_lineage(per_track_means(
         log, keys, score="score", clamped="score_clamped", situation_confidence="situation_confidence"))
-    values = ranks.value_ranks(
-        tracks, keys, "score", clamped=F.sum("clamped"), n_clamped=F.count("clamped"),
-        conf=F.sum("situation_confidence"), n_conf=F.count("situation_confidence"))
-    out = values.groupBy(*keys).agg(
-        F.sum("cnt").alias("n_tracks"), ranks.mean().alias("score_mean"),
-        ranks.trimmed_mean(trim).alias("score_trimmed_mean"), ranks.median().alias("score_p50"),
-        ranks.deviation().alias("score_std"), ranks.share_at_most(LOW_SCORE).alias("low_score_ratio"),
-        F.try_divide(F.sum("conf"), F.sum("n_conf")).alias("situation_confidence"),
-        F.try_divide(F.sum("clamped"), F.sum("n_clamped")).alias("clamped_mean"))
+    plain = tracks.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_tracks"), F.avg(F.when(F.col("score") <= LOW_SCORE, 1.0).otherwise(0.0)).alias("low_score_ratio"),
+        F.avg("situation_confidence").alias("situation_confidence"), F.avg("clamped").alias("clamped_mean"))
+    out = ranks.with_stats(
+        plain, tracks, keys, "score", score_mean=ranks.mean(), score_trimmed_mean=ranks.trimmed_mean(trim),
+        score_p50=ranks.median(), score_std=ranks.deviation())
     width = F.lit(float(bin_sec))
     return out.select(
         "situation", (F.col("bin") * width).alias("bin_start"), ((F.col("bin") + 1) * width).alias("bin_end"),

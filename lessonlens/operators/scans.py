@@ -173,24 +173,28 @@ def exponential_average(
 ) -> DataFrame:
     """Add smoothed columns ``out: in``; the first row keeps its value, then ``(1 - alpha) * old + alpha * new``.
 
+    A row with a NULL among its values is passed over: it keeps the average so far, NULL before the first complete row.
+
     The recurrence is linear, so inside a block it is a weighted running sum; a block needs only the end value of the
     block before it, because anything older carries a weight below 1e-200.
     """
     if not 0.0 < alpha <= 1.0:
         raise ValueError("alpha must be in (0, 1]")
     outs = list(values)
-    indexed = row_index(df, keys, order, "__i", chunk)
-    if alpha == 1.0:
-        return indexed.select(*df.columns, *[F.col(c).cast("double").alias(o) for o, c in values.items()])
-    size = ema_block(alpha)
+    known = F.lit(True)
+    for source in values.values():
+        known = known & F.col(source).isNotNull()
+    # only complete rows advance the index; the others share that of the row before them, whose average they keep
+    indexed = running_total(df, keys, order, F.when(known, 1).otherwise(0).cast("bigint"), "__i", chunk)
+    size = 1 if alpha == 1.0 else ema_block(alpha)
     keep = 1.0 - alpha
     pos = F.col("__i") - 1
     d = indexed.withColumn("__b", F.floor(pos / size)).withColumn("__p", pos % size)
     weight = F.pow(F.lit(keep), -F.col("__p")) * F.when(pos == 0, 1.0).otherwise(alpha)
     decay = F.pow(F.lit(keep), F.col("__p"))
-    local = Window.partitionBy(*keys, "__b").orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy(*keys, "__b").orderBy("__p").rangeBetween(Window.unboundedPreceding, 0)
     for out, source in values.items():
-        d = d.withColumn(out, decay * F.sum(F.col(source).cast("double") * weight).over(local))
+        d = d.withColumn(out, decay * F.sum(F.when(known, F.col(source).cast("double") * weight)).over(local))
     ends = d.groupBy(*keys, "__b").agg(F.max_by(F.struct(*outs), "__p").alias("__end"))
     carried = ends.select(*keys, (F.col("__b") + 1).alias("__b"), "__end")
     joined = d.join(carried, [*keys, "__b"], "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lessonlens.functions.numeric import finite
@@ -25,9 +27,13 @@ def contains_text(column: Column, text: str | None) -> Column:
 
 
 def like_text(column: Column, text: Column) -> Column:
-    """Case-insensitive LIKE ``%text%`` in which ``%`` and ``_`` stay wildcards; a NULL or empty filter matches all."""
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(True)).otherwise(
-        F.like(F.lower(column), F.concat(F.lit("%"), F.lower(text), F.lit("%"))))
+    """LIKE ``%text%`` without regard to ASCII case; ``%`` and ``_`` stay wildcards, a backslash is a character like others.
+
+    A NULL or empty filter matches all. The escape character that Spark asks for is doubled, so it stands for itself.
+    """
+    plain = lambda c: F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
+    pattern = F.concat(F.lit("%"), F.replace(plain(text), F.lit("!"), F.lit("!!")), F.lit("%"))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(True)).otherwise(F.like(plain(column), pattern, F.lit("!")))
 
 
 def in_interval(t: Column, start: Column | float, end: Column | float) -> Column:

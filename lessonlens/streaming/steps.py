@@ -84,15 +84,13 @@ def situation_average(alpha: float = 0.15):
 
 def rolling_history(window: float = 60.0, spacing: float = 0.5):
     """The values of the last minute at most every half second, clamped to the scale; missing values are kept as gaps."""
-    limit = int(window / spacing) + 2
-
-    def step(points, row):
-        points, t, value = points or [], row["t"], _number(row["score"])
-        if points and t < points[-1][0]:
-            points = []
-        points = [p for p in points if p[0] >= t - window]
-        if not points or t - points[-1][0] >= spacing - 1e-6:
-            points = [*points, [t, None if value is None else min(7.0, max(1.0, value))]][-limit:]
+    def step(state, row):
+        t, value = row["t"], _number(row["score"])
+        # a clock that went back starts over; else only age removes a point
+        restarted = bool(state) and state[-1][0] > t
+        points = [p for p in state or [] if not restarted and p[0] >= t - window]
+        if not points or t >= points[-1][0] + spacing - 1e-6:
+            points.append([t, None if value is None else min(7.0, max(1.0, value))])
         known = [p[1] for p in points if p[1] is not None]
         return points, {"t": t, "n_points": len(points), "n_known": len(known), "mean": sum(known) / len(known) if known else None}
 

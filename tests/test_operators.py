@@ -669,3 +669,40 @@ def test_one_key_with_a_third_of_all_rows(spark):
     assert local.count() == 10000
     r = ranks.group_stats(df, ["k"], "v", m=ranks.median()).where("k = 0").first()
     assert r.m == pytest.approx(sorted(x.v for x in df.where("k = 0").collect())[4999], abs=0.01)
+
+
+@pytest.mark.parametrize("alpha", [0.5, 1.0])
+def test_averages_pass_over_nulls(rows, alpha):
+    data = [("a", float(i), v) for i, v in enumerate([None, 4.0, None, 8.0, None, None, 2.0])]
+    df = rows(data, "k string, t double, v double")
+    got = scans.exponential_average(df, ["k"], ["t"], {"s": "v"}, alpha, scans.time_chunk("t", 2.0)).orderBy("t").collect()
+    want, last = [], None
+    for _, _, v in data:
+        last = last if v is None else v if last is None else (1 - alpha) * last + alpha * v
+        want.append(last)
+    assert [r["s"] for r in got] == want
+
+
+def test_tracks_without_score_count(rows):
+    log = rows([("x", 1, float(t), None if t % 2 else 3.0, 3, 0.5) for t in range(12)] + [("x", 2, 1.0, None, None, 0.1)],
+               "situation string, track_id long, t double, score double, score_clamped int, situation_confidence double")
+    from lessonlens.operators import rollups
+
+    track = rollups.by_track(log, 10).collect()
+    assert [(r["n"], r["t_min"], r["t_max"], r["score_mean"]) for r in track] == [(12, 0.0, 11.0, 3.0)]
+    one = rollups.timeseries_binned(log, 100.0).collect()[0]
+    assert (one["n_tracks"], one["score_mean"], one["low_score_ratio"]) == (2, 3.0, 0.5)
+
+
+def test_like_filter_is_literal_but_for_wildcards(rows):
+    from lessonlens.sources.predictions import like_text
+
+    df = rows([(r"C:\Lesson!1.MP4", r"c:\lesson!1"), ("abc", "A_C"), ("abc", "x"), ("É", "é"), ("abc", None)], "p string, f string")
+    assert [r[0] for r in df.select(like_text(df.p, df.f)).collect()] == [True, True, False, False, True]
+
+
+def test_logits_of_any_length(rows):
+    from lessonlens.functions.probs import monotone_logits
+
+    df = rows([([0.0] * 70,), ([1.0],), ([],)], "v array<double>")
+    assert [len(r[0]) for r in df.select(monotone_logits(df.v)).collect()] == [70, 1, 0]
