@@ -57,9 +57,10 @@ def anchor_places(b: Block, r: Repeats) -> tuple[np.ndarray, np.ndarray, np.ndar
     return starts, at[starts] if n else np.zeros(0, np.int64), grams
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_, text): ``row_`` tells rows apart that repeat an id with another text."""
-    return docs.select("doc_id", F.xxhash64("text").alias("row_"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+def keyed(docs: DataFrame, others: list[str] = []) -> DataFrame:
+    """(doc_id, row_, text, x0, x1..): ``row_`` tells rows apart that repeat an id with another text; x are the ``others``."""
+    return docs.select("doc_id", F.xxhash64("text").alias("row_"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
+                       *[named(c).alias(f"x{i}") for i, c in enumerate(others)])
 
 
 def anchors(docs: DataFrame, r: Repeats) -> DataFrame:
@@ -99,8 +100,9 @@ def repeated_starts(docs: DataFrame, found: DataFrame, r: Repeats) -> DataFrame:
     """(d_, r_, starts): of every document, word places where repeats start, as packed 32-bit numbers."""
     total = found.agg(F.sum(F.size("places"))).first()[0] or 0
     groups = int(total * (r.window - r.gram + 1) // (2 * r.group_windows)) + 1
-    # the same shuffle of the texts as that of the last step: Spark runs it once
-    rows = docs.join(found, (F.col("doc_id") == F.col("d_")) & (F.col("row_") == F.col("r_"))).select("doc_id", "row_", "text", "places", "hots")
+    # all columns go along, so that this is the same shuffle of the texts as that of the last step: Spark runs it once
+    rows = docs.join(found, (F.col("doc_id") == F.col("d_")) & (F.col("row_") == F.col("r_"))).select(
+        "doc_id", "row_", "text", "places", "hots", *docs.columns[3:])
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of (group, window hashes, document ids, rows, starts), packed; a row without hashes is settled here."""
@@ -176,9 +178,9 @@ def repeated_starts(docs: DataFrame, found: DataFrame, r: Repeats) -> DataFrame:
     return packed.groupBy("group").applyInArrow(tree, "d_ long, r_ long, starts binary")
 
 
-def _starts(docs: DataFrame, r: Repeats) -> tuple[DataFrame, DataFrame]:
+def _starts(docs: DataFrame, r: Repeats, others: list[str] = []) -> tuple[DataFrame, DataFrame]:
     """The keyed documents, and (d_, r_, starts): the packed starts of repeats of every document that has some."""
-    source = keyed(docs.where("doc_id is not null"))
+    source = keyed(docs.where("doc_id is not null"), others)
     found = shared_anchors(anchors(docs, r), r)
     return source, repeated_starts(source, found, r).groupBy("d_", "r_").agg(F.collect_list("starts").alias("starts"))
 
@@ -225,12 +227,12 @@ def without_repeats(docs: DataFrame, r: Repeats = Repeats()) -> DataFrame:
     Documents without a word left go.
     """
     names = docs.columns
-    _, starts = _starts(docs, r)
-    own = docs.select(*[F.coalesce(named(c), F.lit("")).cast("binary").alias(c) if c == "text" else named(c) for c in names],
-                      F.xxhash64("text").alias("__row"))
-    starts = starts.select(F.col("d_").alias("__d"), F.col("r_").alias("__r"), F.col("starts").alias("__starts"))
-    judged = own.join(starts, (F.col("doc_id") == F.col("__d")) & (F.col("__row") == F.col("__r")), "left").select(
-        *[named(c) for c in names], "__starts")
+    others = [c for c in names if c not in ("doc_id", "text")]
+    source, starts = _starts(docs, r, others)
+    judged = source.join(starts, (F.col("doc_id") == F.col("d_")) & (F.col("row_") == F.col("r_")), "left")
+    alone = keyed(docs.where("doc_id is null"), others).withColumn("starts", F.lit(None).cast("array<binary>"))
+    order = ["doc_id" if c == "doc_id" else "text" if c == "text" else f"x{others.index(c)}" for c in names]
+    judged = judged.select(*order, "starts").unionByName(alone.select(*order, "starts")).toDF(*names, "__starts")
     at, last = names.index("text"), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
