@@ -36,7 +36,7 @@ from lessonlens.llm.tokenizing import load, vocabulary
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LATE = {"'re", "'ve", "'ll"}
 WHITE = {c for c in map(chr, range(0x3001)) if regex.match(r"\s", c)}
-KEPT, LONGEST, SLICE = 700_000, 64, 256
+KEPT, LONGEST, SLICE = 690_000, 64, 256
 
 
 @dataclass(frozen=True)
