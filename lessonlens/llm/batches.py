@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+SLICE_BYTES = 1 << 22
+
 
 def named(name: str) -> Column:
     """A column by its exact name, dots and blanks included."""
@@ -24,6 +28,19 @@ def schema_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
 
+def slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most SLICE_BYTES of column ``at``, or of one longer value: what a worker holds of its results
+    does not depend on the size of batches."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False)
+        ends, begin = np.cumsum(sizes, dtype=np.int64), 0
+        while begin < batch.num_rows:
+            done = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def with_text_columns(df: DataFrame, text: str, ddl: str, compute: Callable[[pa.Array], dict[str, object]],
                       keep: list[str] | None = None) -> DataFrame:
     """``df`` with the columns of ``ddl`` that ``compute`` makes from the text column's UTF-8 bytes, batch by batch.
@@ -38,7 +55,7 @@ def with_text_columns(df: DataFrame, text: str, ddl: str, compute: Callable[[pa.
     at = source.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             made = compute(batch.column(at))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(len(carried))] + [pa.array(made[f.name]) for f in added.fields],

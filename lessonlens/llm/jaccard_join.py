@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from lessonlens.llm.batches import slices
 from lessonlens.llm.components import components
 from lessonlens.llm.words import blocks, rolling
 from lessonlens.session import cut_lineage
@@ -86,7 +87,7 @@ def signatures(docs: DataFrame, join: Join) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(join)
-        for batch in batches:
+        for batch in slices(batches, 1):
             digests, sizes, bands = [], [], []
             for b in blocks(batch.column(1)):
                 for i in range(b.size):
@@ -198,7 +199,7 @@ def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, join: J
     texts = texts.select("digest", "copies", "label", "parts", "block", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 5):
             expected, grams, keep = batch.column(0).to_pylist(), [], []
             for b in blocks(batch.column(5)):
                 for i in range(b.size):

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from lessonlens.llm.batches import named, with_text_columns
+from lessonlens.llm.batches import named, slices, with_text_columns
 from lessonlens.llm.words import blocks
 from lessonlens.session import cut_lineage
 
@@ -195,7 +195,7 @@ def _cut(rows: DataFrame, names: list[str]) -> DataFrame:
     def run(batches):
         import pyarrow.compute as pc
 
-        for batch in batches:
+        for batch in slices(batches, at):
             columns = [batch.column(i) for i in range(cut)]
             short = batch.column(cut)
             if short.null_count < len(short):

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lessonlens.llm.batches import named
+from lessonlens.llm.batches import named, slices
 from lessonlens.llm.words import Block, blocks, covered, rolling, window_mask
 from lessonlens.session import cut_lineage
 
@@ -66,7 +66,7 @@ def keyed(docs: DataFrame, others: list[str] = []) -> DataFrame:
 def anchors(docs: DataFrame, r: Repeats) -> DataFrame:
     """(doc_id, row_, anchor, place): the distinct anchors of every document, ``place`` counted in words of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             keep, grams_out, places_out = [], [], []
             for b in blocks(batch.column(2)):
                 _, places, grams = anchor_places(b, r)
@@ -207,7 +207,7 @@ def dedup_report(docs: DataFrame, r: Repeats = Repeats()) -> DataFrame:
     judged = judged.unionByName(keyed(docs.where("doc_id is null")).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("starts")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             sizes, removed, digests = [], [], []
             for b in blocks(batch.column(1)):
                 for i in range(b.size):
@@ -236,7 +236,7 @@ def without_repeats(docs: DataFrame, r: Repeats = Repeats()) -> DataFrame:
     at, last = names.index("text"), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             texts, full = [], []
             for b in blocks(batch.column(at)):
                 for i in range(b.size):
