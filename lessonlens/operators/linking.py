@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import chain
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -24,65 +26,73 @@ class LinkRules:
 
 
 @dataclass
-class Linker:
-    """Open tracks of one video; ``tracks`` maps a stable id to its last (box, pose vector, colour vector, time)."""
-
-    rules: LinkRules = field(default_factory=LinkRules)
+class OpenTracks:
+    """Tracks that may still be linked, one entry per track by rising id: last box, pose and colour vector, last time."""
+
+    ids: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    boxes: np.ndarray = field(default_factory=lambda: np.empty((0, 4)))
+    poses: list = field(default_factory=list)
+    colours: list = field(default_factory=list)
+    seen: np.ndarray = field(default_factory=lambda: np.empty(0))
     next_id: int = 1
-    tracks: dict = field(default_factory=dict)
-
-    def assign(self, now: float, dets: list) -> list[int]:
-        """Stable ids for one frame's detections, given as (box, pose vector, colour vector)."""
-        r = self.rules
-        self.tracks = {k: v for k, v in self.tracks.items() if now - v[3] <= r.max_age}
-        proposals = []
-        for j, det in enumerate(dets):
-            costs = [(self._cost(tr, det), sid) for sid, tr in self.tracks.items()]
-            costs = [c for c in costs if c[0] is not None]
-            if costs:
-                cost, sid = min(costs, key=lambda c: c[0])
-                proposals.append((cost, j, sid))
-        ids: list = [None] * len(dets)
-        taken = set()
-        for _cost, j, sid in sorted(proposals, key=lambda c: c[0]):
-            if sid not in taken:
-                taken.add(sid)
-                ids[j] = sid
-        for j, det in enumerate(dets):
-            if ids[j] is None:
-                ids[j], self.next_id = self.next_id, self.next_id + 1
-            self.tracks[ids[j]] = (*det, now)
-        return ids
-
-    def _cost(self, track, det):
-        import math
-        r = self.rules
-        (a, pose_a, hist_a, _t), (b, pose_b, hist_b) = track, det
-        w = max(0.0, min(a[2], b[2]) - max(a[0], b[0]))
-        h = max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-
-        def area(q):
-            return max(0.0, q[2] - q[0]) * max(0.0, q[3] - q[1])
-
-        iou = w * h / max(1e-6, area(a) + area(b) - w * h)
-        if iou < r.iou_min:
-            return None
-        apart = math.hypot((a[0] + a[2] - b[0] - b[2]) / 2, (a[1] + a[3] - b[1] - b[3]) / 2) / r.centre_norm
-        return r.w_iou * (1 - iou) + r.w_centre * apart + r.w_pose * _cosine_gap(pose_a, pose_b) + r.w_colour * _mean_gap(hist_a, hist_b)
-
-
-def _cosine_gap(a, b) -> float:
-    import numpy as np
-    a, b = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
-    if a.size == 0 or a.shape != b.shape:
-        return 1.0
-    return float(1.0 - a @ b / ((np.linalg.norm(a) + 1e-6) * (np.linalg.norm(b) + 1e-6)))
-
-
-def _mean_gap(a, b) -> float:
-    import numpy as np
-    a, b = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
-    return 1.0 if a.size == 0 or a.shape != b.shape else float(np.abs(a - b).mean())
+
+
+def link_frame(tracks: OpenTracks, now: float, boxes: np.ndarray, poses: list, colours: list, rules: LinkRules) -> tuple[np.ndarray, OpenTracks]:
+    """Ids of one frame's boxes and the tracks after it.
+
+    Every box asks for its cheapest track, and a track goes to the cheapest box that asks for it (ties to the smaller id and
+    to the earlier box); boxes left over begin new tracks.
+    """
+    live = np.flatnonzero(now - tracks.seen <= rules.max_age)
+    ids = np.zeros(len(boxes), np.int64)
+    if len(live) and len(boxes):
+        cost = link_costs(tracks.boxes[live], boxes, [tracks.poses[i] for i in live], poses, [tracks.colours[i] for i in live], colours, rules)
+        wanted, price = cost.argmin(axis=0), cost.min(axis=0)
+        asking = np.argsort(price, kind="stable")[:int(np.isfinite(price).sum())]
+        track, first = np.unique(wanted[asking], return_index=True)
+        ids[asking[first]] = tracks.ids[live[track]]
+    new = np.flatnonzero(ids == 0)
+    ids[new] = tracks.next_id + np.arange(len(new))
+    unseen = live[~np.isin(tracks.ids[live], ids)]
+    known = np.concatenate([tracks.ids[unseen], ids])
+    order = np.argsort(known)
+    last_poses, last_colours = [tracks.poses[i] for i in unseen] + poses, [tracks.colours[i] for i in unseen] + colours
+    return ids, OpenTracks(
+        known[order], np.concatenate([tracks.boxes[unseen], boxes])[order], [last_poses[i] for i in order], [last_colours[i] for i in order],
+        np.concatenate([tracks.seen[unseen], np.full(len(boxes), float(now))])[order], tracks.next_id + len(new))
+
+
+def link_costs(a: np.ndarray, b: np.ndarray, poses_a: list, poses_b: list, colours_a: list, colours_b: list, rules: LinkRules) -> np.ndarray:
+    """Cost of every track (row) for every box (column), infinite where they overlap too little or a corner is missing."""
+    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
+    shared = np.maximum(high - low, 0.0).prod(axis=2)
+    area_a, area_b = (np.maximum(x[:, 2:] - x[:, :2], 0.0).prod(axis=1) for x in (a, b))
+    iou = shared / np.maximum(area_a[:, None] + area_b[None, :] - shared, 1e-6)
+    centre_a, centre_b = ((x[:, :2] + x[:, 2:]) / 2 for x in (a, b))
+    apart = np.hypot(*np.moveaxis(centre_a[:, None] - centre_b[None], 2, 0)) / rules.centre_norm
+    cost = (rules.w_iou * (1 - iou) + rules.w_centre * apart + rules.w_pose * vector_gaps(poses_a, poses_b, _cosine_gaps)
+            + rules.w_colour * vector_gaps(colours_a, colours_b, _mean_gaps))
+    return np.where((iou >= rules.iou_min) & np.isfinite(cost), cost, np.inf)
+
+
+def vector_gaps(a: list, b: list, gaps) -> np.ndarray:
+    """``gaps`` of all vectors of equal size; 1 for vectors that are missing, empty or of different size."""
+    out = np.ones((len(a), len(b)))
+    sizes_a, sizes_b = (np.array([0 if v is None else len(v) for v in x]) for x in (a, b))
+    for size in np.intersect1d(sizes_a, sizes_b):
+        if size:
+            rows, columns = np.flatnonzero(sizes_a == size), np.flatnonzero(sizes_b == size)
+            out[np.ix_(rows, columns)] = gaps(*(np.array([x[i] for i in use], dtype=float) for x, use in ((a, rows), (b, columns))))
+    return out
+
+
+def _cosine_gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    lengths_a, lengths_b = (np.linalg.norm(x, axis=1) + 1e-6 for x in (a, b))
+    return 1.0 - a @ b.T / np.outer(lengths_a, lengths_b)
+
+
+def _mean_gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.abs(a[:, None] - b[None]).mean(axis=2)
 
 
 def link_detections(dets: DataFrame, rules: LinkRules | None = None, chunk_frames: float = 5000.0) -> DataFrame:
@@ -104,31 +114,27 @@ def link_detections(dets: DataFrame, rules: LinkRules | None = None, chunk_frame
 
     def fold(pages):
         import pandas as pd
-        here, linker, held = None, None, []
-
-        def flush():
-            rows = [((r.x1, r.y1, r.x2, r.y2), r.pose_vec, r.colour_vec) for r in held]
-            return linker.assign(held[0].frame_idx, rows)
-
-        columns = None
-        for pdf in pages:
-            columns = list(pdf.columns)
-            done, ids = [], []
-            for r in pdf.itertuples(index=False):
-                spot = (r.video_path, r.piece, r.frame_idx)
-                if held and spot != here:
-                    ids += flush()
-                    done += held
-                    held = []
-                if here is None or spot[:2] != here[:2]:
-                    linker = Linker(rules)
-                here = spot
-                held.append(r)
-            if done:
-                yield pd.DataFrame(done, columns=columns).assign(__local=ids)
-        if held:
-            ids = flush()
-            yield pd.DataFrame(held, columns=columns).assign(__local=ids)
+        tracks, piece_before, rest = OpenTracks(), None, None
+        for page in chain(pages, [None]):
+            whole = rest if page is None else page if rest is None else pd.concat([rest, page], ignore_index=True)
+            if whole is None or whole.empty:
+                continue
+            spot = whole[["video_path", "piece", "frame_idx"]]
+            edges = np.append(np.flatnonzero((spot != spot.shift()).any(axis=1)), len(whole))
+            if page is not None:
+                edges = edges[:-1]  # the last frame may go on in the next page
+            boxes = whole[["x1", "y1", "x2", "y2"]].to_numpy(float)
+            videos, pieces_, frames_ = (spot[c].to_numpy() for c in spot)
+            poses, colours = whole["pose_vec"].tolist(), whole["colour_vec"].tolist()
+            local = np.zeros(int(edges[-1]), np.int64)
+            for begin, end in zip(edges[:-1], edges[1:]):
+                video, piece, frame = videos[begin], pieces_[begin], frames_[begin]
+                if (video, piece) != piece_before:
+                    tracks, piece_before = OpenTracks(), (video, piece)
+                local[begin:end], tracks = link_frame(tracks, frame, boxes[begin:end], poses[begin:end], colours[begin:end], rules)
+            if len(local):
+                yield whole.iloc[:len(local)].assign(__local=local)
+            rest = whole.iloc[len(local):]
 
     # Read twice below, and the fold is the costly part.
     linked = cut_lineage(ordered.mapInPandas(fold, out))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 import sys
 
+import numpy as np
 from pyspark import cloudpickle
 
-from lessonlens.operators.linking import Linker, LinkRules
+from lessonlens.operators.linking import LinkRules, OpenTracks, link_frame
 
 
 def _number(v) -> float | None:
@@ -112,20 +113,23 @@ def face_vote(keep: int = 8, min_matches: int = 2, min_ratio: float = 0.5):
 
 
 def stable_ids(rules: LinkRules | None = None):
-    """Stable ids on a stream with one row per video frame holding its detections ``dets`` (box corners and id)."""
+    """Stable ids on a stream with one row per video frame holding its detections ``dets``: box corners, id and, where there
+    are any, ``pose_vec`` and ``colour_vec``."""
     rules = rules or LinkRules(max_age=3.0)
 
     def step(state, row):
-        linker = Linker(rules)
+        tracks = OpenTracks()
         if state is not None:
-            linker.next_id = state["next"]
-            linker.tracks = {int(k): tuple(v) for k, v in state["tracks"].items()}
+            tracks = OpenTracks(np.array(state["ids"], np.int64), np.array(state["boxes"], float).reshape(-1, 4), state["poses"],
+                                state["colours"], np.array(state["seen"], float), state["next"])
         dets = sorted(row["dets"], key=lambda q: q["det_id"])
-        boxes = [((q["x1"], q["y1"], q["x2"], q["y2"]), [], []) for q in dets]
-        ids = linker.assign(row["t"], boxes)
-        kept = {str(k): [list(map(float, v[0])), [], [], float(v[3])] for k, v in linker.tracks.items()}
+        boxes = np.array([[q[c] for c in ("x1", "y1", "x2", "y2")] for q in dets], float).reshape(-1, 4)
+        poses, colours = ([list(q[c] or []) if c in q else [] for q in dets] for c in ("pose_vec", "colour_vec"))
+        ids, tracks = link_frame(tracks, row["t"], boxes, poses, colours, rules)
+        kept = {"ids": tracks.ids.tolist(), "boxes": tracks.boxes.tolist(), "poses": tracks.poses, "colours": tracks.colours,
+                "seen": tracks.seen.tolist(), "next": tracks.next_id}
         found = [{"det_id": int(q["det_id"]), "stable_id": int(i)} for q, i in zip(dets, ids)]
-        return {"next": linker.next_id, "tracks": kept}, {"t": row["t"], "links": found}
+        return kept, {"t": row["t"], "links": found}
 
     return step
 

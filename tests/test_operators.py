@@ -4,6 +4,7 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -601,7 +602,8 @@ def _plain_links(dets, rules):
     return out
 
 
-def test_linking_is_cut_only_at_pauses(rows):
+@pytest.mark.parametrize("page", [2, 10000])
+def test_linking_is_cut_only_at_pauses(spark, rows, page):
     rng = random.Random(9)
     dets, frame, n = [], 0, 0
     for _ in range(60):
@@ -612,7 +614,50 @@ def test_linking_is_cut_only_at_pauses(rows):
             n += 1
     df = rows([("v", *d) for d in dets], "video_path string, frame_idx bigint, det_id bigint, x1 double, y1 double, x2 double, y2 double")
     rules = ln.LinkRules(max_age=10)
-    got = {r.det_id: r.stable_id for r in ln.link_detections(df, rules, 25.0).collect()}
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, page)
+    try:
+        got = {r.det_id: r.stable_id for r in ln.link_detections(df, rules, 25.0).collect()}
+    finally:
+        spark.conf.set(setting, before)
+    assert got == _plain_links(dets, rules)
+
+
+def test_a_frame_goes_to_the_cheapest_asks():
+    rules = ln.LinkRules(max_age=5)
+    boxes = np.array([[0.0, 0, 50, 100], [2.0, 0, 52, 100]])
+    ids, tracks = ln.link_frame(ln.OpenTracks(), 0, boxes, [[1.0, 0.0], [0.0, 1.0]], [[], None], rules)
+    assert ids.tolist() == [1, 2]
+    # poses outweigh the boxes; a third box and one with a missing corner begin tracks
+    more = np.array([[2.0, 0, 52, 100], [0.0, 0, 50, 100], [1.0, 0, 51, 100], [np.nan, 0, 1, 1]])
+    ids, tracks = ln.link_frame(tracks, 1, more, [[1.0, 0.0], [0.0, 1.0], [], None], [[]] * 4, rules)
+    assert ids.tolist() == [1, 2, 3, 4] and tracks.ids.tolist() == [1, 2, 3, 4] and tracks.next_id == 5
+    ids, tracks = ln.link_frame(tracks, 20, boxes[:1], [[1.0, 0.0]], [[]], rules)
+    assert ids.tolist() == [5] and tracks.ids.tolist() == [5]
+    ids, tracks = ln.link_frame(tracks, 21, boxes[:0], [], [], rules)
+    assert len(ids) == 0 and tracks.ids.tolist() == [5]
+
+
+def test_vector_gaps():
+    a, b = [[3.0, 4.0], [], [1.0], None], [[4.0, 3.0], None, [2.0]]
+    assert ln.vector_gaps(a, b, ln._cosine_gaps).round(3).tolist() == [[0.04, 1, 1], [1, 1, 1], [1, 1, 0], [1, 1, 1]]
+    assert ln.vector_gaps(a, b, ln._mean_gaps).tolist() == [[1, 1, 1], [1, 1, 1], [1, 1, 1], [1, 1, 1]]
+
+
+def test_stepwise_links_equal_those_of_the_batch():
+    import json
+    from lessonlens.streaming import steps
+    rng = random.Random(4)
+    dets = [(frame, 4 * frame + k, 60.0 * k + rng.uniform(-20, 20), 0.0) for frame in range(40) for k in range(3)]
+    dets = [(f, i, x, y, x + 50, y + 100) for f, i, x, y in dets]
+    rules = ln.LinkRules(max_age=3.0)
+    step, state, got = steps.stable_ids(rules), None, {}
+    for frame in range(40):
+        here = [dict(zip(("det_id", "x1", "y1", "x2", "y2"), d[1:])) for d in dets if d[0] == frame]
+        state, out = step(state, {"t": float(frame), "dets": here})
+        state = json.loads(json.dumps(state))
+        got |= {q["det_id"]: q["stable_id"] for q in out["links"]}
     assert got == _plain_links(dets, rules)
 
 
