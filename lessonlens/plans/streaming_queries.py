@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from lessonlens.plans.catalogue import query
 from lessonlens.plans.tools import rounded
@@ -14,7 +14,7 @@ from lessonlens.streaming import live
 def _events(spark, d):
     """The events table as a stream."""
     schema = fx.table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 64).parquet(d)
 
 
 def _instant():
@@ -26,38 +26,44 @@ def _wall(column):
     return F.expr(f"timestampadd(MICROSECOND, unix_micros({column}), timestamp_ntz'1970-01-01 00:00:00')").alias(column)
 
 
-def _log(spark, d):
-    """The fixture log over the streamed events, with time running on over the whole month."""
+def _log(spark, d, *more):
+    """The fixture log over the streamed events; lesson n begins on day n of a month."""
     ts = F.col("ts").cast("timestamp_ntz")
     seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
     kind = F.col("event_type")
-    return _events(spark, d).select(
+    log = _events(spark, d).select(
         F.concat(F.lit("lesson_"), F.lpad(F.dayofmonth(ts).cast("string"), 2, "0")).alias("video_path"),
         F.col("event_id").alias("frame_idx"), (seconds.cast("double") / F.lit(24.0)).alias("t"), F.col("user_id").alias("track_id"),
         F.least(F.lit(7.0), F.lit(1.0) + F.sqrt("value") / F.lit(3.7)).alias("score"),
-        F.when(kind == "click", fx.WRITE).when(kind == "purchase", fx.TALK).otherwise(fx.LISTEN).alias("situation"))
+        F.when(kind == "click", fx.WRITE).when(kind == "purchase", fx.TALK).otherwise(fx.LISTEN).alias("situation"),
+        F.dayofmonth(ts).alias("day"), *more)
+    return live.lesson_clock(log, F.timestamp_seconds(F.col("day") * 86400)).drop("day")
 
 
-EMA_STEPS = {"ord": "SELECT *, row_number() OVER (PARTITION BY video_path, track_id ORDER BY t, frame_idx) AS i FROM pred"}
+EMA_STEPS = {"ord": "SELECT *, frame_idx % 7 = 0 AS gone, row_number() OVER (PARTITION BY video_path, track_id ORDER BY t, frame_idx) AS i FROM pred"}
+# The state of a track after its i-th row, with a prediction at most every two minutes, from the second row of its buffer on.
+TRACK_STEPS = {**EMA_STEPS, "st": """SELECT DISTINCT video_path, track_id, 0::BIGINT AS i, 0::BIGINT AS n, NULL::DOUBLE AS smooth, NULL::DOUBLE AS last_, false AS due, NULL::BIGINT AS frame_idx, NULL::DOUBLE AS score, NULL::DOUBLE AS t FROM pred
+  UNION ALL SELECT video_path, track_id, i, n, CASE WHEN gone THEN NULL WHEN due THEN 0.7::DOUBLE*coalesce(smooth, score) + 0.3::DOUBLE*score ELSE smooth END, CASE WHEN gone THEN NULL WHEN due THEN t ELSE last_ END, due, frame_idx, score, t FROM (
+    SELECT o.video_path, o.track_id, o.i, o.frame_idx, o.score, o.t, o.gone, s.smooth, s.last_, CASE WHEN o.gone THEN 0 ELSE least(2, s.n+1) END AS n, NOT o.gone AND s.n+1 >= 2 AND coalesce(o.t - s.last_ >= 120 - 1e-9, true) AS due
+    FROM st s JOIN ord o ON o.video_path=s.video_path AND o.track_id=s.track_id AND o.i=s.i+1)"""}
 
 
-@query("R4_R10_track_scores_stream", """SELECT a.video_path, a.track_id, a.frame_idx, round(any_value(a.score),6) AS raw_score, round(sum(CASE WHEN b.i = 1 THEN pow(0.7::DOUBLE, a.i-1) ELSE 0.3*pow(0.7::DOUBLE, a.i-b.i) END * b.score),6) AS smooth_score
-  FROM ord a JOIN ord b ON a.track_id=b.track_id AND a.video_path=b.video_path AND b.i<=a.i GROUP BY 1,2,3""", **EMA_STEPS)
+def _track_scores(stream):
+    return live.track_scores(stream.withColumn("excluded", F.col("frame_idx") % 7 == 0), every=120.0, buffer=2, ttl=live.LESSON_TTL)
+
+
+@query("R4_R10_track_scores_stream", "SELECT video_path, track_id, frame_idx, round(score,6) AS raw_score, round(smooth,6) AS smooth_score FROM st WHERE due", **TRACK_STEPS)
 def r4(spark, d):
-    out = live.drain(live.track_scores(_log(spark, d), every=0.0, ttl=None), "track-scores")
+    out = live.drain(_track_scores(_log(spark, d)), "track-scores")
     return rounded(out.select("video_path", "track_id", "frame_idx", "raw_score", "smooth_score"))
 
 
-@query("R3_track_eviction_stream", """SELECT video_path, track_id, frame_idx, round(CASE WHEN fresh THEN score ELSE smooth END,6) AS smooth_score FROM (SELECT o.*, coalesce(o.t - p.t > 600, true) AS fresh, CASE WHEN coalesce(p.t - q.t > 600, true) THEN 0.7*p.score + 0.3*o.score END AS smooth
-  FROM ord o LEFT JOIN ord p ON p.video_path=o.video_path AND p.track_id=o.track_id AND p.i=o.i-1 LEFT JOIN ord q ON q.video_path=o.video_path AND q.track_id=o.track_id AND q.i=o.i-2) WHERE fresh OR smooth IS NOT NULL""", **EMA_STEPS)
+@query("R3_track_eviction_stream", "SELECT video_path, track_id, frame_idx, round(smooth,6) AS smooth_score FROM ev", **EMA_STEPS,
+       ev="""SELECT video_path, track_id, i, frame_idx, t, score AS smooth FROM ord WHERE i = 1 UNION ALL SELECT o.video_path, o.track_id, o.i, o.frame_idx, o.t, CASE WHEN o.t - e.t > 600 THEN o.score ELSE 0.7::DOUBLE*e.smooth + 0.3::DOUBLE*o.score END
+         FROM ev e JOIN ord o ON o.video_path=e.video_path AND o.track_id=e.track_id AND o.i=e.i+1""")
 def r3(spark, d):
-    # Rows up to the second of each unbroken stretch, which the check text can write without recursion.
     out = live.drain(live.track_scores(_log(spark, d), every=0.0, ttl=600.0), "track-eviction")
-    w = Window.partitionBy("video_path", "track_id").orderBy("t", "frame_idx")
-    fresh = F.coalesce(F.col("t") - F.lag("t").over(w) > 600, F.lit(True))
-    marked = out.withColumn("fresh", fresh)
-    second = F.coalesce(F.lag("fresh").over(w), F.lit(False))
-    return rounded(marked.withColumn("second", second).where("fresh OR second").select("video_path", "track_id", "frame_idx", "smooth_score"))
+    return rounded(out.select("video_path", "track_id", "frame_idx", "smooth_score"))
 
 
 @query("R1_throttled_stream", "SELECT video_path, track_id, round(t,6) AS t FROM em",
@@ -69,26 +75,27 @@ def r1(spark, d):
 
 @query("R2_buffered_stream", """SELECT video_path, track_id, frame_idx, i >= 3 AS ready, list_transform(list(score) OVER (PARTITION BY video_path, track_id ORDER BY t, frame_idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), lambda v: round(v,6)) AS items FROM ord""", **EMA_STEPS)
 def r2(spark, d):
-    rows = live.buffered(_log(spark, d).withColumn("item", F.col("score")), 3, ttl=None)
+    rows = live.buffered(_log(spark, d).withColumn("item", F.col("score")), 3, ttl=live.LESSON_TTL)
     out = live.drain(rows, "buffered")
     return out.select("video_path", "track_id", "frame_idx", "ready", F.transform("items", lambda v: F.round(v, 6)).alias("items"))
 
 
-@query("R5_class_average_stream", """SELECT t, round(class_score,6) AS class_score, round(sum_,6) AS smooth_score FROM (SELECT a.t, any_value(a.v) AS class_score, sum(CASE WHEN b.i = 1 THEN pow(0.8::DOUBLE, a.i-1) ELSE 0.2*pow(0.8::DOUBLE, a.i-b.i) END * b.v) AS sum_
-  FROM num a JOIN num b ON b.i <= a.i GROUP BY 1)""",
-       spn="SELECT floor(t/6)*CAST(6 AS DOUBLE) AS t, avg(score) AS v FROM pred GROUP BY 1",
-       num="SELECT *, row_number() OVER (ORDER BY t) AS i FROM spn WHERE t + 6 <= (SELECT max(t) FROM pred) - 10")
+@query("R5_class_average_stream", """SELECT a.video_path, a.t, round(any_value(a.v),6) AS class_score, round(sum(CASE WHEN b.i = 1 THEN pow(0.8::DOUBLE, a.i-1) ELSE 0.2*pow(0.8::DOUBLE, a.i-b.i) END * b.v),6) AS smooth_score
+  FROM num a JOIN num b ON a.video_path=b.video_path AND b.i <= a.i GROUP BY 1,2""", **TRACK_STEPS,
+       spn="SELECT video_path, floor(t/6) AS span, round(min(t),6) AS t, avg(smooth) AS v FROM st WHERE due GROUP BY 1,2",
+       num="SELECT *, row_number() OVER (PARTITION BY video_path ORDER BY span) AS i FROM spn")
 def r5(spark, d):
-    # All lessons laid over one another as one class.
-    rows = live.class_scores(_log(spark, d).withColumn("video_path", F.lit("all")), frame_sec=6.0)
-    return rounded(live.drain(rows, "class-average").select("t", "class_score", "smooth_score"))
+    out = live.drain_closed(_log(spark, d), lambda log: live.class_scores(_track_scores(log), frame_sec=6.0), "class-average")
+    return rounded(out.select("video_path", "t", "class_score", "smooth_score"))
 
 
-@query("R6_situation_stream", """SELECT a.frame_idx, round(sum(CASE WHEN b.i = 1 THEN pow(0.85::DOUBLE, a.i-1) ELSE 0.15*pow(0.85::DOUBLE, a.i-b.i) END * b.p0),6) AS p0 FROM ord a JOIN ord b ON a.video_path=b.video_path AND b.i<=a.i GROUP BY 1""",
-       ord="SELECT *, score/(score+2+t/1000) AS p0, row_number() OVER (PARTITION BY video_path ORDER BY t, frame_idx) AS i FROM pred")
+@query("R6_situation_stream", """SELECT frame_idx, round(p0,6) AS p0, round(p1,6) AS p1, round(1-p0-p1,6) AS p2 FROM (SELECT a.frame_idx, """ + ", ".join(
+    f"sum(CASE WHEN b.i = 1 THEN pow(0.85::DOUBLE, a.i-1) ELSE 0.15*pow(0.85::DOUBLE, a.i-b.i) END * b.{p}) AS {p}" for p in ("p0", "p1")) + """ FROM ord a JOIN ord b ON a.video_path=b.video_path AND b.i<=a.i GROUP BY 1)""",
+       ord="SELECT *, score/(score+2+t/1000) AS p0, 2/(score+2+t/1000) AS p1, row_number() OVER (PARTITION BY video_path ORDER BY t, frame_idx) AS i FROM pred")
 def r6(spark, d):
     rows = _log(spark, d).withColumn("probs", F.array(F.col("score"), F.lit(2.0), F.col("t") / 1000))
-    return rounded(live.drain(live.situations(rows), "situations").select("frame_idx", F.element_at("probs", 1).alias("p0")))
+    out = live.drain(live.situations(rows), "situations")
+    return rounded(out.select("frame_idx", *[F.element_at("probs", i + 1).alias(f"p{i}") for i in range(3)]))
 
 
 @query("R8_exclusion_stream", """SELECT video_path, track_id, frame_idx, c >= 2 AND c >= 0.5*n AS excluded, CASE WHEN c >= 2 AND c >= 0.5*n THEN CASE WHEN c0 > c1 THEN 'p0' WHEN c1 > c0 THEN 'p1' ELSE f END END AS name FROM (SELECT *, greatest(c0,c1) AS c FROM (
@@ -97,7 +104,7 @@ def r6(spark, d):
 def r8(spark, d):
     i = F.col("frame_idx")
     rows = _log(spark, d).withColumn("matched_name", F.when(i % 3 > 0, F.concat(F.lit("p"), (i % 2).cast("string"))))
-    return live.drain(live.exclusions(rows, ttl=None), "exclusions").select("video_path", "track_id", "frame_idx", "excluded", "name")
+    return live.drain(live.exclusions(rows, ttl=live.LESSON_TTL), "exclusions").select("video_path", "track_id", "frame_idx", "excluded", "name")
 
 
 @query("R7_rolling_history_stream")
@@ -109,34 +116,27 @@ def r7(spark, d):
 def r9(spark, d):
     v = F.col("value")
     box = F.struct(F.col("frame_idx").alias("det_id"), v.alias("x1"), v.alias("y1"), (v + 50).alias("x2"), (v + 100).alias("y2"))
-    events = _events(spark, d).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    seconds = (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).cast("double") / F.lit(24.0)
-    rows = events.select(
-        F.concat(F.lit("lesson_"), F.lpad(F.dayofmonth("ts").cast("string"), 2, "0")).alias("video_path"),
-        F.col("event_id").alias("frame_idx"), seconds.alias("t"), "value").select("video_path", "t", F.array(box).alias("dets"))
+    rows = _log(spark, d, "value").select("video_path", "t", "at", F.array(box).alias("dets"))
     return live.drain(live.stable_ids(rows, 60.0), "stable-ids").select("video_path", "det_id", "stable_id")
 
 
-@query("R11_binned_stream", """SELECT situation, bin AS bin_start, count(*) AS n_tracks, round(avg(score),6) AS score_mean, round(median(score),6) AS score_p50 FROM (
-  SELECT situation, date_trunc('day', ts) AS bin, user_id, avg(least(7::DOUBLE, 1::DOUBLE + sqrt(value)/3.7::DOUBLE)) AS score FROM (SELECT *, CASE event_type WHEN 'click' THEN '書く' WHEN 'purchase' THEN '話し合う' ELSE '聞く' END AS situation FROM events) GROUP BY 1,2,3)
-  WHERE bin + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY 1,2""")
+@query("R11_binned_stream", """SELECT situation, bin AS bin_start, count(*) AS n_tracks, round(avg(score),6) AS score_mean, round(median(score),6) AS score_p50, round(stddev_samp(score),6) AS score_std,
+    round(avg(CASE WHEN score <= 3 THEN 1.0 ELSE 0.0 END),6) AS low_score_ratio, round(avg(confidence),6) AS situation_confidence, round(avg(clamped),6) AS clamped_mean FROM (
+  SELECT p.situation, date_trunc('day', e.ts) AS bin, p.video_path, p.track_id, avg(p.score) AS score, avg(p.score_clamped) AS clamped, avg(p.situation_confidence) AS confidence FROM predlog p JOIN events e ON e.event_id = p.frame_idx GROUP BY 1,2,3,4) GROUP BY 1,2""")
 def r11(spark, d):
-    kind = F.col("event_type")
-    rows = _events(spark, d).select(
-        _instant().alias("at"), F.col("user_id").alias("track_id"),
-        F.least(F.lit(7.0), F.lit(1.0) + F.sqrt("value") / F.lit(3.7)).alias("score"),
-        F.when(kind == "click", fx.WRITE).when(kind == "purchase", fx.TALK).otherwise(fx.LISTEN).alias("situation"))
-    out = live.drain(live.binned_scores(rows, "at", "1 day", delay="2 days"), "binned", keyed=False)
-    return rounded(out.select("situation", _wall("bin_start"), "n_tracks", "score_mean", "score_p50"))
+    rows = _log(spark, d, _instant().alias("ts")).withColumn("at", F.col("ts"))
+    rows = rows.withColumn("score_clamped", F.least(F.lit(7), F.greatest(F.lit(1), F.rint("score").cast("int")))).withColumn(
+        "situation_confidence", F.lit(0.5) + F.sqrt((F.col("frame_idx") % 50).cast("double")) / F.lit(15.0))
+    out = live.drain_closed(rows, lambda log: live.binned_scores(log, "1 day", delay="2 days"), "binned", keyed=False)
+    return rounded(out.select("situation", _wall("bin_start"), *[c for c in out.columns if c not in ("situation", "bin_start", "bin_end")]))
 
 
-@query("R12_flagged_session_stream", """SELECT track_id, session_start, n FROM (SELECT track_id, run, min(ts) AS session_start, max(ts) AS last_, count(*) AS n FROM (
+@query("R12_flagged_session_stream", """SELECT track_id, min(ts) AS session_start, count(*) AS n FROM (
   SELECT user_id AS track_id, ts, sum(CASE WHEN ts - p < INTERVAL 12 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (
-    SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events WHERE event_type = 'click')) GROUP BY 1,2) WHERE last_ + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events WHERE event_type = 'click') - INTERVAL 2 DAY""")
+    SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events WHERE event_type = 'click')) GROUP BY track_id, run""")
 def r12(spark, d):
     rows = _events(spark, d).select(
         _instant().alias("at"), F.col("user_id").alias("track_id"), (F.col("event_type") == "click").alias("is_ab"))
-    out = live.drain(live.flagged_sessions(rows, "at", "12 hours", ["track_id"], delay="2 days"), "sessions", keyed=False)
+    out = live.drain_closed(
+        rows, lambda log: live.flagged_sessions(log, "12 hours", ["track_id"], delay="2 days"), "sessions", keyed=False, is_ab=F.lit(True))
     return out.select("track_id", _wall("session_start"), "n")
-
-

@@ -1,5 +1,9 @@
 """Per-key state on a stream: a small step function folded over a key's rows in time order.
 
+A stream carries two times: ``t``, the seconds since its lesson began, which the steps work with, and ``at``, the instant
+on a clock that all lessons share, which the watermark and the timers follow. Lessons may begin at any time; a row is late
+only when its instant is, and Spark counts the late rows (``live.late_rows``).
+
 The state of a key is one JSON text in the state store, cleared by an event-time timer once the key has been silent for
 longer than its time to live. Rows of a micro-batch are ordered by time within their key; the amount per batch is bounded
 by the source's admission limits.
@@ -15,12 +19,14 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 LATE_DELAY = "10 seconds"
+# Silence after which a key that has no shorter time to live is forgotten: no lesson pauses for a day.
+LESSON_TTL = 86_400.0
 
 
 class StepFold(StatefulProcessor):
     """``step(state, row) -> (state, output dict or None)``; ``state`` is None on a new or expired key."""
 
-    def __init__(self, step: Callable, columns: Sequence[str], keys: Sequence[str], order: Sequence[str], ttl: float | None):
+    def __init__(self, step: Callable, columns: Sequence[str], keys: Sequence[str], order: Sequence[str], ttl: float):
         self.step, self.columns, self.keys, self.order, self.ttl = step, list(columns), list(keys), list(order), ttl
 
     def init(self, handle) -> None:
@@ -37,20 +43,20 @@ class StepFold(StatefulProcessor):
         held = json.loads(stored[0]) if stored is not None else None
         out = []
         for row in records:
-            t = row["t"]
+            seen = row["__ms"]
             # A key silent for longer than its time to live starts anew, whether or not its timer has fired.
-            if held is not None and self.ttl is not None and t - held["seen"] > self.ttl:
+            if held is not None and seen - held["seen"] > self.ttl * 1000:
                 held = None
             inner, result = self.step(None if held is None else held["inner"], row)
-            held = {"inner": inner, "seen": t}
+            held = {"inner": inner, "seen": seen}
             if result is not None:
-                out.append(Row(**{c: result[c] if c in result else key[self.keys.index(c)] for c in self.columns}))
+                found = {**dict(zip(self.keys, key)), "at": row["at"], **result}
+                out.append(Row(**{c: found[c] for c in self.columns}))
         self.state.update((json.dumps(held),))
-        if self.ttl is not None:
-            if stored is not None:
-                for old in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(old)
-            self.handle.registerTimer(int((held["seen"] + self.ttl) * 1000) + 1)
+        if stored is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+        self.handle.registerTimer(int(held["seen"] + self.ttl * 1000) + 1)
         return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -63,18 +69,20 @@ class StepFold(StatefulProcessor):
 
 def fold_stream(
     stream: DataFrame, keys: Sequence[str], step: Callable, schema: str, order: Sequence[str] = ("t",),
-    ttl: float | None = None, delay: str = LATE_DELAY,
+    ttl: float = LESSON_TTL, delay: str | None = LATE_DELAY,
 ) -> DataFrame:
-    """Fold ``step`` over each key of a stream that has an elapsed-seconds column ``t``; start it in ``keyed_state``."""
+    """Fold ``step`` over each key of a stream with the times ``t`` and ``at``; start it in ``keyed_state``.
+
+    ``delay`` is None where ``at`` already has a watermark. With ``at`` in ``schema`` the result has one as well, for a
+    stateful step behind it.
+    """
     out = T.StructType.fromDDL(schema)
-    d = stream
-    mode = "None"
-    if ttl is not None:
-        d = d.withColumn("event_time", F.timestamp_seconds("t")).withWatermark("event_time", delay)
-        mode = "EventTime"
-    processor = StepFold(step, [f.name for f in out.fields], keys, order, ttl)
-    return d.groupBy(*keys).transformWithState(
-        statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode=mode)
+    names = [f.name for f in out.fields]
+    d = stream if delay is None else stream.withWatermark("at", delay)
+    processor = StepFold(step, names, keys, order, ttl)
+    return d.withColumn("__ms", F.unix_millis("at")).groupBy(*keys).transformWithState(
+        statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime",
+        eventTimeColumnName="at" if "at" in names else "")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,54 +1,61 @@
-"""The live path as streaming queries: throttling, track scores, class figures, votes, linking and time bins."""
+"""The live path as streaming queries: throttling, track scores, class figures, votes, linking and time bins.
+
+Streams have ``t`` (seconds since the lesson began) and ``at`` (the instant; see ``lesson_clock``).
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import logging
+from collections.abc import Callable, Sequence
 from contextlib import nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lessonlens.operators.rollups import LOW_SCORE
 from lessonlens.session import keyed_state, scratch_path
 from lessonlens.streaming import steps
-from lessonlens.streaming.folds import LATE_DELAY, fold_stream
+from lessonlens.streaming.folds import LATE_DELAY, LESSON_TTL, fold_stream
 
 TRACK = ("video_path", "track_id")
 TRACK_TTL = 3.0
 _TRACK_DDL = "video_path string, track_id bigint"
 
 
-def event_time(t: Column) -> Column:
-    return F.timestamp_seconds(t)
+def lesson_clock(stream: DataFrame, start: Column) -> DataFrame:
+    """Add ``at``: the instant the lesson began, ``start``, plus the seconds ``t``."""
+    return stream.withColumn("at", F.timestamp_micros(F.unix_micros(start) + F.round(F.col("t") * 1e6).cast("bigint")))
 
 
-def throttled(stream: DataFrame, fps: float, keys: Sequence[str] = TRACK, ttl: float | None = None) -> DataFrame:
+def throttled(stream: DataFrame, fps: float, keys: Sequence[str] = TRACK, ttl: float = LESSON_TTL) -> DataFrame:
     return fold_stream(stream, keys, steps.throttle(fps), f"{_TRACK_DDL}, frame_idx bigint, t double", ("t", "frame_idx"), ttl)
 
 
-def buffered(stream: DataFrame, size: int, ttl: float | None = TRACK_TTL) -> DataFrame:
+def buffered(stream: DataFrame, size: int, ttl: float = TRACK_TTL) -> DataFrame:
     """Ring buffer of column ``item`` per track; tracks unseen for ``ttl`` seconds begin with an empty one."""
     ddl = f"{_TRACK_DDL}, frame_idx bigint, t double, ready boolean, items array<double>"
     return fold_stream(stream, TRACK, steps.ring_buffer(size), ddl, ("t", "frame_idx"), ttl)
 
 
 def track_scores(
-    stream: DataFrame, alpha: float = 0.3, every: float = 0.5, buffer: int = 1, ttl: float | None = TRACK_TTL,
+    stream: DataFrame, alpha: float = 0.3, every: float = 0.5, buffer: int = 1, ttl: float = TRACK_TTL, delay: str = LATE_DELAY,
 ) -> DataFrame:
     """Log rows of the live path; append them to a table with the checkpointed file sink."""
-    ddl = f"{_TRACK_DDL}, frame_idx bigint, t double, raw_score double, smooth_score double"
-    return fold_stream(stream, TRACK, steps.track_score(alpha, every, buffer), ddl, ("t", "frame_idx"), ttl)
+    ddl = f"{_TRACK_DDL}, frame_idx bigint, t double, at timestamp, raw_score double, smooth_score double"
+    return fold_stream(stream, TRACK, steps.track_score(alpha, every, buffer), ddl, ("t", "frame_idx"), ttl, delay)
 
 
-def class_scores(stream: DataFrame, frame_sec: float = 0.5, alpha: float = 0.2, delay: str = LATE_DELAY) -> DataFrame:
-    """Mean over the tracks of each frame span, then smoothed per video.
+def class_scores(scores: DataFrame, frame_sec: float = 0.5, alpha: float = 0.2, ttl: float = LESSON_TTL) -> DataFrame:
+    """Mean of the smoothed scores that ``track_scores`` found within a frame span, then smoothed per lesson.
 
-    Two chained stateful steps; the first combines before the shuffle, so the second sees one row per frame span.
+    The mean is combined before the shuffle, so the last step sees one row per lesson and frame span. ``t`` is that of the
+    span's first row.
     """
     spans = (
-        stream.withColumn("event_time", event_time(F.col("t"))).withWatermark("event_time", delay)
-        .groupBy("video_path", F.window("event_time", f"{int(frame_sec * 1000)} milliseconds").alias("w"))
-        .agg(F.avg("score").alias("score")))
-    spans = spans.select("video_path", F.col("w.start").cast("double").alias("t"), "score")
-    return fold_stream(spans, ["video_path"], steps.class_average(alpha), "video_path string, t double, class_score double, smooth_score double")
+        scores.groupBy("video_path", F.window("at", f"{round(frame_sec * 1000)} milliseconds").alias("w"))
+        .agg(F.avg("smooth_score").alias("score"), F.min("t").alias("t")))
+    spans = spans.select("video_path", F.window_time("w").alias("at"), "t", "score")
+    ddl = "video_path string, t double, class_score double, smooth_score double"
+    return fold_stream(spans, ["video_path"], steps.class_average(alpha), ddl, ttl=ttl, delay=None)
 
 
 def situations(stream: DataFrame, alpha: float = 0.15) -> DataFrame:
@@ -64,12 +71,12 @@ def history(stream: DataFrame, window: float = 60.0, spacing: float = 0.5) -> Da
 def rolling_mean(stream: DataFrame, window: str = "60 seconds", slide: str = "0.5 seconds", delay: str = LATE_DELAY) -> DataFrame:
     """The last minute's mean with built-in sliding windows."""
     return (
-        stream.withColumn("event_time", event_time(F.col("t"))).withWatermark("event_time", delay)
-        .groupBy("video_path", F.window("event_time", window, slide).alias("w")).agg(F.avg("score").alias("score"))
+        stream.withWatermark("at", delay)
+        .groupBy("video_path", F.window("at", window, slide).alias("w")).agg(F.avg("score").alias("score"))
         .select("video_path", F.col("w.end").alias("window_end"), "score"))
 
 
-def exclusions(stream: DataFrame, keep: int = 8, min_matches: int = 2, min_ratio: float = 0.5, ttl: float | None = TRACK_TTL) -> DataFrame:
+def exclusions(stream: DataFrame, keep: int = 8, min_matches: int = 2, min_ratio: float = 0.5, ttl: float = TRACK_TTL) -> DataFrame:
     ddl = f"{_TRACK_DDL}, frame_idx bigint, t double, excluded boolean, name string"
     return fold_stream(stream, TRACK, steps.face_vote(keep, min_matches, min_ratio), ddl, ("t", "frame_idx"), ttl)
 
@@ -81,37 +88,76 @@ def stable_ids(stream: DataFrame, max_age: float = 3.0) -> DataFrame:
     return linked.select("video_path", "t", F.inline("links"))
 
 
-def binned_scores(stream: DataFrame, time: str, span: str, keys: Sequence[str] = ("situation",), delay: str = LATE_DELAY) -> DataFrame:
-    """Streaming counterpart of the binned class figures: mean per track, then over tracks, in tumbling windows."""
+def binned_scores(
+    stream: DataFrame, span: str, keys: Sequence[str] = ("situation",), delay: str = LATE_DELAY,
+) -> DataFrame:
+    """Streaming counterpart of the binned class figures: mean per track, then over tracks, in tumbling windows.
+
+    Tracks without a known score count as tracks but not in the figures.
+    """
     tracks = (
-        stream.withWatermark(time, delay).groupBy(F.window(time, span).alias("w"), *keys, "track_id")
-        .agg(F.avg("score").alias("score")))
+        stream.withWatermark("at", delay).groupBy(F.window("at", span).alias("w"), *keys, "video_path", "track_id")
+        .agg(F.avg("score").alias("score"), F.avg("score_clamped").alias("clamped"), F.avg("situation_confidence").alias("confidence")))
     classes = tracks.groupBy("w", *keys).agg(
-        F.count(F.lit(1)).alias("n_tracks"), F.avg("score").alias("score_mean"), F.median("score").alias("score_p50"))
-    return classes.select(*keys, F.col("w.start").alias("bin_start"), F.col("w.end").alias("bin_end"), "n_tracks", "score_mean", "score_p50")
+        F.count(F.lit(1)).alias("n_tracks"), F.avg("score").alias("score_mean"), F.median("score").alias("score_p50"),
+        F.stddev_samp("score").alias("score_std"), F.avg(F.when(F.col("score") <= LOW_SCORE, 1.0).otherwise(0.0)).alias("low_score_ratio"),
+        F.avg("confidence").alias("situation_confidence"), F.avg("clamped").alias("clamped_mean"))
+    figures = [c for c in classes.columns if c not in ("w", *keys)]
+    return classes.select(*keys, F.col("w.start").alias("bin_start"), F.col("w.end").alias("bin_end"), *figures)
 
 
-def flagged_sessions(stream: DataFrame, time: str, gap: str, keys: Sequence[str] = ("video_path",), delay: str = LATE_DELAY) -> DataFrame:
+def flagged_sessions(stream: DataFrame, gap: str, keys: Sequence[str] = ("video_path",), delay: str = LATE_DELAY) -> DataFrame:
     """Intervals of flagged rows that pause for less than ``gap``."""
     return (
-        stream.where("is_ab").withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("w"), *keys)
+        stream.where("is_ab").withWatermark("at", delay).groupBy(F.session_window("at", gap).alias("w"), *keys)
         .agg(F.count(F.lit(1)).alias("n"))
         .select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n"))
 
 
-def drain(stream: DataFrame, name: str, keyed: bool = True) -> DataFrame:
-    """Run a stream over all that is there now, into a table in the shared folder, and read the table back.
+def late_rows(running) -> int:
+    """Rows a streaming query has left out because their instant was behind the watermark."""
+    return sum(op.numRowsDroppedByWatermark for p in running.recentProgress for op in p.stateOperators)
 
-    ``keyed`` is for streams with a step fold; built-in windows run on the session's own state store.
-    """
-    spark: SparkSession = stream.sparkSession
-    base = scratch_path(spark, name)
+
+def _run_to_end(stream: DataFrame, base: str, keyed: bool) -> None:
     writer = (
         stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/rows")
         .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True))
-    with keyed_state(spark) if keyed else nullcontext():
+    with keyed_state(stream.sparkSession) if keyed else nullcontext():
         running = writer.start()
     running.awaitTermination()
+    late = late_rows(running)
+    if late:
+        logging.getLogger(__name__).warning("%d late rows were left out", late)
+
+
+def drain(stream: DataFrame, name: str, keyed: bool = True) -> DataFrame:
+    """Run a stream over all that is there now, into a table in the shared folder, and read the table back.
+
+    ``keyed`` is for streams with a step fold; built-in windows run on the session's own state store. Windows that the
+    watermark has not passed are not in the table; ``drain_closed`` has them too.
+    """
+    base = scratch_path(stream.sparkSession, name)
+    _run_to_end(stream, base, keyed)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
+def drain_closed(source: DataFrame, build: Callable[[DataFrame], DataFrame], name: str, keyed: bool = True, **mark: Column) -> DataFrame:
+    """``drain`` of ``build(source)`` with its last windows: once the source is read, a closing mark moves the watermark.
+
+    The mark is a row of NULLs at the end of all time, in a window of its own that never closes. ``mark`` names values it
+    needs to get past the filters of ``build``. Rows that come after it are late.
+    """
+    spark: SparkSession = source.sparkSession
+    base = scratch_path(spark, name)
+    marks = f"{base}/marks"
+    end = {"at": F.lit("9999-01-01 00:00:00").cast("timestamp"), **mark}
+    row = spark.range(1).select(*[end.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in source.schema.fields])
+    row.limit(0).write.parquet(marks)
+    stream = build(source.unionByName(spark.readStream.schema(source.schema).parquet(marks)))
+    _run_to_end(stream, base, keyed)
+    row.write.mode("append").parquet(marks)
+    _run_to_end(stream, base, keyed)
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lessonlens.operators import scans
 from lessonlens.schemas import conform
+from lessonlens.session import keyed_state
 from lessonlens.sources import files, fixtures as fx, predictions as pr
 from lessonlens.sources.sqlite import read_stores
 from lessonlens.streaming import live
@@ -83,13 +84,13 @@ def test_missing_assets_report(spark, tmp_path):
 
 @pytest.fixture(scope="module")
 def replay(spark, tmp_path_factory):
-    """The fixture log cut into files that follow one another in time, for several micro-batches."""
+    """The fixture log, each lesson beginning 1,000 seconds after the one before, in files that follow one another in time."""
     path = str(tmp_path_factory.mktemp("replay"))
     log = fx.pred(spark, SF)
-    log = log.withColumn("t", F.round(F.col("t") + F.dense_rank().over(__import__("pyspark").sql.Window.orderBy("video_path")) * 4000, 6))
-    edges = log.approxQuantile("t", [0.25, 0.5, 0.75], 0.0)
+    log = live.lesson_clock(log, F.timestamp_seconds(F.substring("video_path", 8, 2).cast("int") * 1000))
+    edges = log.select(F.col("at").cast("double").alias("s")).approxQuantile("s", [0.25, 0.5, 0.75], 0.0)
     for low, high in zip([-1.0, *edges], [*edges, 1e12]):
-        log.where((F.col("t") > low) & (F.col("t") <= high)).coalesce(1).write.mode("append").parquet(path)
+        log.where((F.col("at").cast("double") > low) & (F.col("at").cast("double") <= high)).coalesce(1).write.mode("append").parquet(path)
     return path, log
 
 
@@ -100,38 +101,83 @@ def _stream(spark, replay):
 
 def test_track_scores_across_batches(spark, replay):
     _, log = replay
-    out = live.drain(live.track_scores(_stream(spark, replay).withColumn("video_path", F.lit("v")), every=0.0, ttl=None), "t")
+    out = live.drain(live.track_scores(_stream(spark, replay), every=0.0, ttl=live.LESSON_TTL), "t")
     batch = scans.exponential_average(
-        log.withColumn("video_path", F.lit("v")), ["track_id"], ["t", "frame_idx"], {"s": "score"}, 0.3, scans.time_chunk("t", 5000.0))
+        log, ["video_path", "track_id"], ["t", "frame_idx"], {"s": "score"}, 0.3, scans.time_chunk("t", 500.0))
     a = {r.frame_idx: r.smooth_score for r in out.collect()}
     b = {r.frame_idx: r.s for r in batch.collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
 
 
+def test_first_row_of_a_lesson_and_late_rows(spark, tmp_path):
+    """Rows at t = 0 count whenever their lesson begins; a row is late by its instant alone."""
+    path = str(tmp_path / "log")
+    ddl = "video_path string, track_id bigint, frame_idx bigint, t double, score double, start bigint"
+    for rows_ in ([("a", 1, 1, 0.0, 4.0, 5000), ("a", 1, 2, 60.0, 4.0, 5000)], [("b", 1, 3, 0.0, 4.0, 5100)], [("a", 1, 4, 1.0, 4.0, 5000)]):
+        spark.createDataFrame(rows_, ddl).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(path)
+    scores = live.track_scores(live.lesson_clock(stream, F.timestamp_seconds("start")), every=0.0)
+    with keyed_state(spark):
+        running = scores.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+    running.awaitTermination()
+    assert {r.frame_idx for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1, 2, 3}
+    assert live.late_rows(running) == 1
+
+
 def test_silent_tracks_begin_anew(spark, replay):
     _, log = replay
-    out = live.drain(live.buffered(_stream(spark, replay).withColumn("video_path", F.lit("v")).withColumn("item", F.col("t")), 5, ttl=2000.0), "b")
+    out = live.drain(live.buffered(_stream(spark, replay).withColumn("item", F.col("t")), 5, ttl=600.0), "b")
     rows_ = {}
     for r in sorted(log.collect(), key=lambda r: (r.t, r.frame_idx)):
-        rows_.setdefault(r.track_id, []).append(r)
+        rows_.setdefault((r.video_path, r.track_id), []).append(r)
     want = {}
     for mine in rows_.values():
         held = []
         for r in mine:
-            held = ([] if held and r.t - held[-1] > 2000.0 else held) + [r.t]
+            held = ([] if held and r.t - held[-1] > 600.0 else held) + [r.t]
             want[r.frame_idx] = held[-5:]
     got = {r.frame_idx: r["items"] for r in out.collect()}
     assert got == want
 
 
-def test_class_scores_chain(spark, replay):
-    out = live.drain(live.class_scores(_stream(spark, replay).withColumn("video_path", F.lit("v")), frame_sec=600.0), "c")
-    got = sorted((r.t, r.class_score, r.smooth_score) for r in out.collect())
-    assert len(got) > 10
-    smooth = None
-    for _t, value, s in got:
-        smooth = value if smooth is None else 0.8 * smooth + 0.2 * value
-        assert s == pytest.approx(smooth)
+def test_class_scores_behind_track_scores(spark, replay):
+    """Every lesson's spans are there to the last one, in one batch or in several."""
+    _, log = replay
+    chain = lambda stream: live.class_scores(live.track_scores(stream, every=0.0, ttl=600.0), frame_sec=50.0)
+    got = {}
+    for r in live.drain_closed(_stream(spark, replay), chain, "c").collect():
+        got.setdefault(r.video_path, []).append((r.t, r.class_score, r.smooth_score))
+    tracks, spans = {}, {}
+    for r in sorted(log.collect(), key=lambda r: (r.t, r.frame_idx)):
+        last, smooth = tracks.get((r.video_path, r.track_id), (None, None))
+        smooth = r.score if last is None or r.t - last > 600.0 else 0.7 * smooth + 0.3 * r.score
+        tracks[r.video_path, r.track_id] = (r.t, smooth)
+        spans.setdefault(r.video_path, {}).setdefault(r.t // 50, []).append((r.t, smooth))
+    assert got.keys() == spans.keys()
+    for video, found in got.items():
+        held = None
+        assert len(found) == len(spans[video])
+        for (t, value, s), (_, members) in zip(sorted(found), sorted(spans[video].items())):
+            mean = sum(v for _, v in members) / len(members)
+            held = mean if held is None else 0.8 * held + 0.2 * mean
+            assert (t, value, s) == (members[0][0], pytest.approx(mean), pytest.approx(held))
+
+
+def test_bins_and_sessions_are_complete(spark, replay):
+    """Built-in windows over several batches hold what a batch query over all rows finds."""
+    _, log = replay
+    more = {"score_clamped": F.lit(4), "situation_confidence": F.lit(0.5), "is_ab": F.col("frame_idx") % 3 == 0}
+    stream = _stream(spark, replay).withColumns(more)
+    bins = live.drain_closed(stream, lambda s: live.binned_scores(s, "1000 seconds"), "bins", keyed=False)
+    by_track = log.groupBy(F.window("at", "1000 seconds").alias("w"), "situation", "video_path", "track_id").agg(F.avg("score").alias("s"))
+    want = by_track.groupBy("w", "situation").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("m"))
+    assert {(r.situation, r.bin_start): (r.n_tracks, pytest.approx(r.score_mean)) for r in bins.collect()} == {
+        (r.situation, r.w.start): (r.n, r.m) for r in want.collect()}
+    runs = live.drain_closed(stream, lambda s: live.flagged_sessions(s, "30 seconds"), "runs", keyed=False, is_ab=F.lit(True))
+    want = log.withColumns(more).where("is_ab").groupBy(F.session_window("at", "30 seconds").alias("w"), "video_path").count()
+    assert sorted((r.video_path, r.session_start, r.n) for r in runs.collect()) == sorted(
+        (r.video_path, r.w.start, r["count"]) for r in want.collect())
 
 
 def test_rolling_history_and_votes(spark, rows):
@@ -160,7 +206,7 @@ def test_exclusion_resets_a_track():
 def test_sliding_mean_and_log_sink(spark, replay, tmp_path):
     out = live.drain(live.rolling_mean(_stream(spark, replay), "1200 seconds", "600 seconds"), "r", keyed=False)
     assert out.count() > 0
-    scores = live.track_scores(_stream(spark, replay), every=0.0, ttl=None)
+    scores = live.track_scores(_stream(spark, replay), every=0.0)
     running = live.append_log(scores, str(tmp_path / "log"), str(tmp_path / "ckpt"))
     running.processAllAvailable()
     running.stop()
