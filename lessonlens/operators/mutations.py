@@ -32,34 +32,38 @@ def rating_verdict(skipped: Column, excluded: Column, situation: Column, locked:
         .when(~F.coalesce(locked, F.lit(False)), "situation unlocked"))
 
 
-def fan_out_scores(clip_scores: DataFrame, clip_segments: DataFrame, clip: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def fan_out_scores(
+    clip_scores: DataFrame, clip_segments: DataFrame, clip: Sequence[str], ds: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame]:
     """One score for a track in a clip becomes a label and an observation for each of its segments.
 
-    ``clip_scores``: clip key, ``track_id, rater, score, updated_at``; ``clip_segments``: clip key, ``track_id, segment_id``.
+    ``clip_scores``: clip key, ``track_id, rater, score, updated_at``; ``clip_segments``: clip key, ``track_id, segment_id``; both with the
+    store's key where there are several.
     """
-    rows = clip_segments.join(clip_scores, [*clip, "track_id"])
-    labels = rows.select("segment_id", "rater", "score", "updated_at")
+    rows = clip_segments.join(clip_scores, list(dict.fromkeys([*ds, *clip, "track_id"])))
+    labels = rows.select(*ds, "segment_id", "rater", "score", "updated_at")
     observations = rows.select(
-        "segment_id", "rater", F.col("clip_start").alias("source_clip_start"), F.col("clip_end").alias("source_clip_end"),
+        *ds, "segment_id", "rater", F.col("clip_start").alias("source_clip_start"), F.col("clip_end").alias("source_clip_end"),
         (F.col("clip_end") - F.col("clip_start")).alias("source_clip_sec"), "updated_at")
     return labels, observations
 
 
-def toggle_exclusion(current: DataFrame, chosen: DataFrame, clip: Sequence[str], rater: str) -> DataFrame:
+def toggle_exclusion(current: DataFrame, chosen: DataFrame, clip: Sequence[str], rater: str, ds: Sequence[str] = ()) -> DataFrame:
     """Include the segments of a clip again when all of them are excluded, else exclude all of them.
 
     ``chosen``: clip key and ``segment_id``; the result is the new exclusion table.
     """
-    marked = chosen.join(current.select("segment_id", F.lit(1).alias("__x")), "segment_id", "left")
+    key, clip = [*ds, "segment_id"], list(dict.fromkeys([*ds, *clip]))
+    marked = chosen.join(current.select(*key, F.lit(1).alias("__x")), key, "left")
     state = marked.groupBy(*clip).agg((F.count("__x") == F.count(F.lit(1))).alias("__all"))
-    decided = chosen.join(state, list(clip))
-    added = decided.where(~F.col("__all")).select("segment_id", F.lit("adult").alias("reason"), F.lit(rater).alias("excluded_by"))
-    return current.join(decided.select("segment_id"), "segment_id", "left_anti").unionByName(added.distinct(), allowMissingColumns=True)
+    decided = chosen.join(state, clip)
+    added = decided.where(~F.col("__all")).select(*key, F.lit("adult").alias("reason"), F.lit(rater).alias("excluded_by"))
+    return current.join(decided.select(*key), key, "left_anti").unionByName(added.distinct(), allowMissingColumns=True)
 
 
-def merge_automatic_exclusions(current: DataFrame, verdicts: DataFrame) -> DataFrame:
+def merge_automatic_exclusions(current: DataFrame, verdicts: DataFrame, ds: Sequence[str] = ()) -> DataFrame:
     """Apply automatic verdicts (``segment_id, excluded, name``) without touching exclusions made by hand."""
-    joined = current.withColumn("__have", F.lit(True)).join(verdicts, "segment_id", "full_outer")
+    joined = current.withColumn("__have", F.lit(True)).join(verdicts, [*ds, "segment_id"], "full_outer")
     have = F.coalesce("__have", F.lit(False))
     automatic = ~have | F.coalesce(F.col("excluded_by") == AUTOMATIC, F.lit(False))
     judged = F.col("excluded").isNotNull()
@@ -69,13 +73,13 @@ def merge_automatic_exclusions(current: DataFrame, verdicts: DataFrame) -> DataF
     kept = joined.where(stays | set_now)
     reason = F.concat(F.lit(AUTOMATIC_PREFIX), F.coalesce("name", F.lit("unknown")))
     return kept.select(
-        "segment_id", F.when(set_now, reason).otherwise(F.col("reason")).alias("reason"),
+        *ds, "segment_id", F.when(set_now, reason).otherwise(F.col("reason")).alias("reason"),
         F.when(set_now, F.lit(AUTOMATIC)).otherwise(F.col("excluded_by")).alias("excluded_by"))
 
 
-def set_situation(windows: DataFrame, wanted: DataFrame) -> DataFrame:
+def set_situation(windows: DataFrame, wanted: DataFrame, ds: Sequence[str] = ()) -> DataFrame:
     """Set situations (``window_id, new_situation, setter, at``) where a window is not locked; ``changed`` and ``refused`` tell which."""
-    joined = windows.join(wanted, "window_id", "left")
+    joined = windows.join(wanted, [*ds, "window_id"], "left")
     asked, open_ = F.col("new_situation").isNotNull(), ~F.coalesce("situation_locked", F.lit(False))
     hit = asked & open_
     out = joined.withColumns({
@@ -85,14 +89,14 @@ def set_situation(windows: DataFrame, wanted: DataFrame) -> DataFrame:
     return out.drop("new_situation", "setter", "at")
 
 
-def set_locks(windows: DataFrame, locked: bool) -> DataFrame:
-    """Lock or unlock all windows; locking changes nothing in a store that still has unset or unconfirmed windows."""
+def set_locks(windows: DataFrame, locked: bool, ds: Sequence[str] = ()) -> DataFrame:
+    """Lock or unlock the windows of every store; locking changes nothing in a store that still has unset or unconfirmed windows."""
     if not locked:
         return windows.withColumn("situation_locked", F.lit(False))
-    pending = windows.agg(
+    pending = windows.groupBy(*ds).agg(
         F.count_if(F.col("situation").isNull() | F.col("situation_set_by").isNull()).alias("__pending"))
     ready = F.col("__pending") == 0
-    return windows.join(pending, how="left").withColumn(
+    return windows.join(pending, list(ds) or None, "left").withColumn(
         "situation_locked", F.when(ready, True).otherwise(F.col("situation_locked"))).drop("__pending")
 
 

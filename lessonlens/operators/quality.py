@@ -62,16 +62,16 @@ def orphans(child: DataFrame, parent: DataFrame, on: Sequence[str]) -> DataFrame
     return child.join(parent.select(*on), list(on), "left_anti")
 
 
-def release_gate(windows: DataFrame) -> DataFrame:
-    """Number of windows that are unset, unconfirmed or unlocked; none may be left before raters start."""
+def release_gate(windows: DataFrame, ds: Sequence[str] = ()) -> DataFrame:
+    """Number of windows (per store) that are unset, unconfirmed or unlocked; none may be left before raters start."""
     pending = F.col("situation").isNull() | F.col("situation_set_by").isNull() | ~F.coalesce("situation_locked", F.lit(False))
-    return windows.agg(F.count(F.lit(1)).alias("windows"), F.count_if(pending).alias("pending"))
+    return windows.groupBy(*ds).agg(F.count(F.lit(1)).alias("windows"), F.count_if(pending).alias("pending"))
 
 
-def sequence_completeness(audit: DataFrame, expected: int = 10) -> DataFrame:
+def sequence_completeness(audit: DataFrame, expected: int = 10, ds: Sequence[str] = ()) -> DataFrame:
     short, doubled = F.col("frames") < expected, F.col("frames") != F.col("distinct_t")
     outside = F.col("outside") > 0
-    return audit.agg(
+    return audit.groupBy(*ds).agg(
         F.count_if(short).alias("short_segments"), F.count_if(doubled).alias("duplicated_segments"),
         F.count_if(outside).alias("outside_segments"), (F.count_if(short | doubled | outside) > 0).alias("failed"))
 

@@ -61,13 +61,13 @@ def sampled_detections(samples: DataFrame, detections: DataFrame, keys: Sequence
     return nearest_in_time(samples, detections, keys, "sample_t", "t", payload)
 
 
-def sequence_audit(segments: DataFrame, frames: DataFrame) -> DataFrame:
-    """Per segment: frames, distinct times, frames outside the half-open window and the span covered."""
+def sequence_audit(segments: DataFrame, frames: DataFrame, ds: Sequence[str] = ()) -> DataFrame:
+    """Per segment (of a store, where ``ds`` names its key): frames, distinct times, frames outside the half-open window and the span covered."""
     # Per distinct time first, so that repeated times combine before the shuffle on the segment.
-    times = frames.groupBy("segment_id", "t").agg(F.count(F.lit(1)).alias("__c"))
+    times = frames.groupBy(*ds, "segment_id", "t").agg(F.count(F.lit(1)).alias("__c"))
     outside = (F.col("t") < F.col("t_start")) | (F.col("t") >= F.col("t_end"))
-    joined = segments.join(times, "segment_id", "left")
-    return joined.groupBy("segment_id", "t_start", "t_end").agg(
+    joined = segments.join(times, [*ds, "segment_id"], "left")
+    return joined.groupBy(*ds, "segment_id", "t_start", "t_end").agg(
         F.coalesce(F.sum("__c"), F.lit(0)).alias("frames"), F.count("t").alias("distinct_t"),
         F.coalesce(F.sum(F.when(outside, F.col("__c"))), F.lit(0)).alias("outside"),
         (F.max("t") - F.min("t")).alias("span"))
@@ -90,11 +90,14 @@ def sequence_summary(audit: DataFrame, keys: Sequence[str] = (), expected: int =
     return ranks.with_stats(plain, audit, keys, "span", span_median_sec=ranks.median())
 
 
-def frame_positions(frames: DataFrame, order: Sequence[str] = ("t", "frame_idx"), chunk_width: float = 1.0) -> DataFrame:
+def frame_positions(
+    frames: DataFrame, order: Sequence[str] = ("t", "frame_idx"), chunk_width: float = 1.0, ds: Sequence[str] = (),
+) -> DataFrame:
     """Frames with their 0-based position ``i`` in the segment and the segment's frame count ``n``."""
-    counts = frames.groupBy("segment_id").agg(F.count(F.lit(1)).alias("n"))
-    placed = scans.row_index(frames, ["segment_id"], list(order), "__i", scans.time_chunk("t", chunk_width))
-    return placed.join(counts, "segment_id").withColumn("i", F.col("__i") - 1).drop("__i")
+    key = [*ds, "segment_id"]
+    counts = frames.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    placed = scans.row_index(frames, key, list(order), "__i", scans.time_chunk("t", chunk_width))
+    return placed.join(counts, key).withColumn("i", F.col("__i") - 1).drop("__i")
 
 
 def uniform_positions(n: Column, wanted: int) -> Column:
@@ -112,30 +115,32 @@ def contiguous_positions(n: Column, wanted: int, seed: int, key: Column) -> Colu
     return F.transform(F.sequence(F.lit(0), F.lit(wanted - 1)), lambda k: F.least(start + k, n.cast("int") - 1))
 
 
-def assemble(frames: DataFrame, wanted: int, payload: Sequence[str], seed: int | None = None) -> DataFrame:
+def assemble(
+    frames: DataFrame, wanted: int, payload: Sequence[str], seed: int | None = None, ds: Sequence[str] = (),
+) -> DataFrame:
     """One row per segment with exactly ``wanted`` frames in order.
 
     Frames are picked by position before any list is built, so a segment with a vast number of frames costs no more.
     """
-    placed = frame_positions(frames)
+    placed = frame_positions(frames, ds=ds)
     positions = uniform_positions(F.col("n"), wanted) if seed is None else \
         contiguous_positions(F.col("n"), wanted, seed, F.col("segment_id"))
     slots = F.filter(
         F.transform(positions, lambda p, k: F.when(p == F.col("i"), k)), lambda k: k.isNotNull())
     chosen = placed.withColumn("k", F.explode(slots))
     items = F.array_sort(F.collect_list(F.struct("k", *payload)))
-    return chosen.groupBy("segment_id").agg(F.max("n").alias("n_frames"), items.alias("sequence"))
+    return chosen.groupBy(*ds, "segment_id").agg(F.max("n").alias("n_frames"), items.alias("sequence"))
 
 
-def animation_frames(frames: DataFrame, clips: DataFrame, fps: float = 2.0, max_frames: int = 60) -> DataFrame:
+def animation_frames(frames: DataFrame, clips: DataFrame, fps: float = 2.0, max_frames: int = 60, ds: Sequence[str] = ()) -> DataFrame:
     """Evenly spread crops of a clip: each path once at its earliest time, at most ``max_frames`` of them.
 
     ``clips`` has ``segment_id, clip_start, clip_end`` with a few rows per segment.
     """
-    key = ["segment_id", "clip_start", "clip_end"]
+    key = [*ds, "segment_id", "clip_start", "clip_end"]
     inside = (F.col("t") >= F.col("clip_start")) & (F.col("t") < F.col("clip_end"))
     unique = (
-        frames.where(F.coalesce(F.col("crop_path"), F.lit("")) != "").join(clips, "segment_id").where(inside)
+        frames.where(F.coalesce(F.col("crop_path"), F.lit("")) != "").join(clips, [*ds, "segment_id"]).where(inside)
         .groupBy(*key, "crop_path").agg(F.min("t").alias("t")))
     counts = unique.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     placed = scans.row_index(unique, key, ["t", "crop_path"], "__i", scans.time_chunk("t", 1.0))
@@ -164,12 +169,12 @@ def overlay_boxes(
         *keys, "track_id", "label_frame", "b.*", start.alias("label_start"), (start + F.lit(1.0 / fps)).alias("label_end"))
 
 
-def pose_changes(frames: DataFrame, column: str = "kpts", chunk_width: float = 60.0) -> DataFrame:
+def pose_changes(frames: DataFrame, column: str = "kpts", chunk_width: float = 60.0, ds: Sequence[str] = ()) -> DataFrame:
     """Joint displacement since the previous frame of the segment, 0 unless both joints are valid.
 
     ``column`` holds structs ``x, y, ok``.
     """
-    near = scans.neighbours(frames, ["segment_id"], ["t"], ["t", column], scans.time_chunk("t", chunk_width))
+    near = scans.neighbours(frames, [*ds, "segment_id"], ["t"], ["t", column], scans.time_chunk("t", chunk_width))
     before = F.col("prev_row")[column]
     moved = F.zip_with(column, before, lambda p, q: F.struct(
         F.when(p.ok & q.ok, p.x - q.x).otherwise(0.0).alias("dx"), F.when(p.ok & q.ok, p.y - q.y).otherwise(0.0).alias("dy")))
@@ -177,19 +182,19 @@ def pose_changes(frames: DataFrame, column: str = "kpts", chunk_width: float = 6
     return near.withColumn("change", F.when(before.isNull(), still).otherwise(moved)).drop("prev_row", "next_row")
 
 
-def motion_feature_rows(frames: DataFrame, chunk_width: float = 60.0) -> DataFrame:
+def motion_feature_rows(frames: DataFrame, chunk_width: float = 60.0, ds: Sequence[str] = ()) -> DataFrame:
     """Motion features frame by frame, for sequences too long to be assembled; ``kpts`` is replaced by ``features``."""
     clean = frames.withColumn("kpts", pose.clean_pose(F.col("kpts")))
-    moved = pose_changes(clean.withColumn("__rel", pose.relative_points(F.col("kpts"))), "__rel", chunk_width)
+    moved = pose_changes(clean.withColumn("__rel", pose.relative_points(F.col("kpts"))), "__rel", chunk_width, ds)
     change = F.flatten(F.transform("change", lambda c: F.array(c.dx, c.dy)))
     features = pose.frame_features(F.col("kpts"), F.col("__rel"), change)
     return moved.withColumn("features", features).drop("kpts", "__rel", "change")
 
 
-def nearest_frames(frames: DataFrame, centres: DataFrame, k: int = 8) -> DataFrame:
+def nearest_frames(frames: DataFrame, centres: DataFrame, k: int = 8, ds: Sequence[str] = ()) -> DataFrame:
     """The ``k`` frames of each segment nearest to its centre; Spark cuts each partition to ``k`` before the shuffle."""
-    order = Window.partitionBy("segment_id").orderBy("distance", "t", "frame_idx")
-    near = frames.join(centres, "segment_id").withColumn("distance", F.abs(F.col("t") - F.col("centre")))
+    order = Window.partitionBy(*ds, "segment_id").orderBy("distance", "t", "frame_idx")
+    near = frames.join(centres, [*ds, "segment_id"]).withColumn("distance", F.abs(F.col("t") - F.col("centre")))
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("centre")
 
 

@@ -96,14 +96,16 @@ def label_lookup(
     return items.join(found.where(F.col("label").isNotNull()), key)
 
 
-def training_examples(frames: DataFrame, items: DataFrame, length: int = 10, flip_seed: int | None = None) -> DataFrame:
+def training_examples(
+    frames: DataFrame, items: DataFrame, length: int = 10, flip_seed: int | None = None, ds: Sequence[str] = (),
+) -> DataFrame:
     """One row per item: normalised pose sequence, motion features, one-hot situation and label.
 
     ``frames``: ``segment_id, t, frame_idx, kpts``; ``items``: ``segment_id, situation, label``.
     """
-    built = assemble(frames, length, ["t", "kpts"])
+    built = assemble(frames, length, ["t", "kpts"], ds=ds)
     sequence = F.transform("sequence", lambda f: pose.normalise_pose(f.kpts))
-    rows = built.join(items, "segment_id").withColumn("poses", sequence).drop("sequence")
+    rows = built.join(items, [*ds, "segment_id"]).withColumn("poses", sequence).drop("sequence")
     if flip_seed is not None:
         mirrored = F.transform("poses", lambda p: pose.mirror_pose(p))
         rows = rows.withColumn("poses", F.when(flips(F.col("segment_id"), flip_seed), mirrored).otherwise(F.col("poses")))

@@ -8,7 +8,7 @@ from lessonlens.functions import numeric, pose, probs, text
 from lessonlens.operators import agreement as ag, identity as idn, linking as ln, training as tr
 from lessonlens.operators.segments import motion_feature_rows, pose_changes
 from lessonlens.plans.catalogue import query
-from lessonlens.plans.tools import rounded
+from lessonlens.plans.tools import DS, TWO_STORES, rounded
 from lessonlens.sources import files, fixtures as fx
 
 CLS = "CAST(least(7, greatest(1, round_even({0}, 0))) AS INT)"
@@ -290,10 +290,10 @@ def _items(spark, d):
     return fx.poses(spark, d).select("segment_id").distinct().select("segment_id", kind.alias("situation"), (1 + s % 7).cast("double").alias("label"))
 
 
-@query("M5_training_examples", """SELECT segment_id, count(*) AS n_frames, 10 AS frames, 103 AS width, CAST(1 + segment_id % 7 AS DOUBLE) AS label, CAST(CASE WHEN segment_id % 3 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS listen FROM (SELECT label AS segment_id FROM embeddings) GROUP BY 1""")
+@query("M5_training_examples", f"""SELECT dataset_id, segment_id, count(*) AS n_frames, 10 AS frames, 103 AS width, CAST(1 + segment_id % 7 AS DOUBLE) AS label, CAST(CASE WHEN segment_id % 3 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS listen FROM (SELECT label AS segment_id FROM embeddings), {TWO_STORES} GROUP BY 1, 2""")
 def m5(spark, d):
-    x = tr.training_examples(_pose_frames(spark, d), _items(spark, d), 10)
-    return x.select("segment_id", "n_frames", F.size("features").alias("frames"), F.size(F.element_at("features", 1)).alias("width"), "label",
+    x = tr.training_examples(fx.stores(_pose_frames(spark, d)), fx.stores(_items(spark, d)), 10, ds=DS)
+    return x.select(*DS, "segment_id", "n_frames", F.size("features").alias("frames"), F.size(F.element_at("features", 1)).alias("width"), "label",
                     F.element_at("situation_one_hot", 1).alias("listen"))
 
 

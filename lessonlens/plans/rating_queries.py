@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lessonlens.operators import clips as cl, merging as mg, mutations as mu, quality as ql, ratings as rt
 from lessonlens.plans.catalogue import query
-from lessonlens.plans.tools import rounded
+from lessonlens.plans.tools import DS, TWO_STORES, rounded
 from lessonlens.session import cut_lineage
 from lessonlens.sources import fixtures as fx
 
@@ -244,14 +244,14 @@ def w18(spark, d):
     return rounded(rt.representatives(_in_clips(spark, d), fx.seg(spark, d), CLIP))
 
 
-@query("U4_clip_score_fan_out", """SELECT s.segment_id, 'r9' AS rater, CAST(1 + s.track_id % 7 AS BIGINT) AS score, i.clip_start AS source_clip_start, i.clip_end AS source_clip_end, i.clip_end-i.clip_start AS source_clip_sec FROM inc i JOIN seg s ON s.window_id=i.window_id""", **RLE, inc=INCLIP)
+@query("U4_clip_score_fan_out", f"""SELECT dataset_id, s.segment_id, 'r9' AS rater, CAST(1 + s.track_id % 7 AS BIGINT) AS score, i.clip_start AS source_clip_start, i.clip_end AS source_clip_end, i.clip_end-i.clip_start AS source_clip_sec FROM inc i JOIN seg s ON s.window_id=i.window_id, {TWO_STORES}""", **RLE, inc=INCLIP)
 def u4(spark, d):
     placed = _in_clips(spark, d).join(fx.seg(spark, d), "window_id").select(*CLIP, "track_id", "segment_id")
     scores = placed.select(*CLIP, "track_id").distinct().select(
         *CLIP, "track_id", F.lit("r9").alias("rater"), (F.lit(1) + F.col("track_id") % 7).alias("score"),
         F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("updated_at"))
-    labels, observations = mu.fan_out_scores(scores, placed, CLIP)
-    return labels.join(observations.drop("updated_at"), ["segment_id", "rater"]).drop("updated_at")
+    labels, observations = mu.fan_out_scores(fx.stores(scores), fx.stores(placed), CLIP, DS)
+    return labels.join(observations.drop("updated_at"), [*DS, "segment_id", "rater"]).drop("updated_at")
 
 
 @query("U5_rating_preconditions", """SELECT s.segment_id, CASE WHEN k.window_id IS NOT NULL THEN 'skipped' WHEN e.segment_id IS NOT NULL THEN 'excluded' WHEN w.situation IS NULL THEN 'situation unset' WHEN NOT w.situation_locked THEN 'situation unlocked' END AS verdict
@@ -401,8 +401,8 @@ def u3(spark, d):
     return mu.upsert(old.select(*columns), new.select(*columns), ["segment_id", "rater"], ["updated_at"])
 
 
-@query("U10_automatic_exclusions", """SELECT segment_id, CASE WHEN hand THEN 'adult' ELSE 'face_db:p1' END AS reason, CASE WHEN hand THEN 'teacher' ELSE 'face_recognition' END AS excluded_by FROM (
-  SELECT o_orderkey AS segment_id, o_orderstatus='P' AND o_orderkey%2=0 AS hand, o_orderstatus='P' AND o_orderkey%2=1 AS auto, o_custkey % 3 AS v FROM orders) WHERE hand OR v = 0 OR (auto AND v = 2)""")
+@query("U10_automatic_exclusions", f"""SELECT dataset_id, segment_id, CASE WHEN hand THEN 'adult' ELSE 'face_db:p1' END AS reason, CASE WHEN hand THEN 'teacher' ELSE 'face_recognition' END AS excluded_by FROM (
+  SELECT o_orderkey AS segment_id, o_orderstatus='P' AND o_orderkey%2=0 AS hand, o_orderstatus='P' AND o_orderkey%2=1 AS auto, o_custkey % 3 AS v FROM orders), {TWO_STORES} WHERE hand OR v = 0 OR (auto AND v = 2)""")
 def u10(spark, d):
     o = fx.table(spark, d, "orders")
     key = F.col("o_orderkey")
@@ -410,14 +410,28 @@ def u10(spark, d):
         key.alias("segment_id"), F.when(key % 2 == 0, "adult").otherwise("face_db:p1").alias("reason"),
         F.when(key % 2 == 0, "teacher").otherwise(mu.AUTOMATIC).alias("excluded_by"))
     verdicts = o.where("o_custkey % 3 < 2").select(key.alias("segment_id"), (F.col("o_custkey") % 3 == 0).alias("excluded"), F.lit("p1").alias("name"))
-    return mu.merge_automatic_exclusions(current, verdicts)
+    return mu.merge_automatic_exclusions(fx.stores(current), fx.stores(verdicts), DS)
 
 
-@query("U12_set_situations", """SELECT window_id, CASE WHEN NOT situation_locked AND window_id%2=0 THEN '書く' ELSE situation END AS situation, NOT situation_locked AND window_id%2=0 AS changed, situation_locked AND window_id%2=0 AS refused FROM lwin""")
+@query("U12_set_situations", f"""SELECT dataset_id, window_id, CASE WHEN NOT situation_locked AND window_id%2=0 THEN '書く' ELSE situation END AS situation, NOT situation_locked AND window_id%2=0 AS changed, situation_locked AND window_id%2=0 AS refused FROM lwin, {TWO_STORES}""")
 def u12(spark, d):
     w = fx.locked_win(spark, d)
     wanted = w.where("window_id % 2 = 0").select("window_id", F.lit("書く").alias("new_situation"), F.lit("t").alias("setter"))
-    return mu.set_situation(w, wanted).select("window_id", "situation", "changed", "refused")
+    return mu.set_situation(fx.stores(w), fx.stores(wanted), DS).select(*DS, "window_id", "situation", "changed", "refused")
+
+
+@query("U12_lock_stores", """SELECT 'a' AS dataset_id, window_id, situation_locked FROM lwin UNION ALL SELECT 'b', window_id, true FROM lwin WHERE window_id % 13 <> 0""")
+def u12_locks(spark, d):
+    # Store a has windows without a situation and stays as it is; store b has none.
+    w = fx.stores(fx.locked_win(spark, d)).where("dataset_id = 'a' OR window_id % 13 <> 0")
+    return mu.set_locks(w, True, DS).select(*DS, "window_id", "situation_locked")
+
+
+@query("U14_delete_rater", "SELECT segment_id, rater, score FROM ratings WHERE rater <> 'r1' UNION ALL SELECT window_id, rater, NULL FROM skips WHERE rater <> 'r1'")
+def u14_rater(spark, d):
+    left = mu.delete_rater({"labels": fx.labels(spark, d), "skips": fx.skips(spark, d)}, "r1")
+    skips = left["skips"].select(F.col("window_id").alias("segment_id"), "rater")
+    return left["labels"].select("segment_id", "rater", "score").unionByName(skips, allowMissingColumns=True)
 
 
 @query("U13_metadata_upsert", """SELECT dataset_id, school_id, phase FROM (SELECT c_mktsegment AS dataset_id, c_nationkey AS school_id, CASE WHEN c_custkey%2=0 THEN 'pre' ELSE 'post' END AS phase, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey DESC) AS k FROM customer) WHERE k=1""")
@@ -481,9 +495,9 @@ def q4(spark, d):
     return ql.rule_counts(rows, ql.metadata_rules())
 
 
-@query("Q5_release_gate", "SELECT count(*) AS windows, count_if(situation IS NULL OR situation_set_by IS NULL OR NOT situation_locked) AS pending FROM lwin")
+@query("Q5_release_gate", f"SELECT dataset_id, count(*) AS windows, count_if(situation IS NULL OR situation_set_by IS NULL OR NOT situation_locked) AS pending FROM lwin, {TWO_STORES} GROUP BY 1")
 def q5(spark, d):
-    return ql.release_gate(fx.locked_win(spark, d))
+    return ql.release_gate(fx.stores(fx.locked_win(spark, d)), DS)
 
 
 ASSETS = """SELECT *, CASE WHEN sk = 1 THEN NULL WHEN l_partkey % 4 = 0 THEN '/data/x/assets/crops/'||nm WHEN l_partkey % 4 = 1 THEN '/data/x/data/assets/crops/'||nm END AS resolved FROM (
@@ -511,7 +525,7 @@ def q7(spark, d):
     return ql.missing_assets(_assets(spark, d), "crop_path")
 
 
-@query("S11_labelling_extract", """SELECT source, packaged, n FROM (SELECT crop_path AS source, CASE WHEN crop_path = first_value(crop_path) OVER (PARTITION BY nm ORDER BY fid, crop_path) THEN nm0 ELSE concat('sf', CAST(fid AS VARCHAR), '_', nm0) END AS packaged, n FROM (
+@query("S11_labelling_extract", f"""SELECT dataset_id, source, packaged, n FROM {TWO_STORES}, (SELECT crop_path AS source, CASE WHEN crop_path = first_value(crop_path) OVER (PARTITION BY nm ORDER BY fid, crop_path) THEN nm0 ELSE concat('sf', CAST(fid AS VARCHAR), '_', nm0) END AS packaged, n FROM (
   SELECT crop_path, lower(regexp_extract(crop_path, '[^/]*$')) AS nm, regexp_extract(crop_path, '[^/]*$') AS nm0, min(fid) AS fid, count(*) AS n FROM (
     SELECT concat(CASE WHEN l_suppkey % 2 = 0 THEN 'a/P' ELSE 'b/p' END, CAST(l_partkey AS VARCHAR), '.jpg') AS crop_path, l_orderkey*10+l_linenumber AS fid FROM lineitem) GROUP BY 1,2,3))""")
 def s11(spark, d):
@@ -519,5 +533,6 @@ def s11(spark, d):
     rows = fx.table(spark, d, "lineitem").select(
         F.concat(F.when(F.col("l_suppkey") % 2 == 0, "a/P").otherwise("b/p"), F.col("l_partkey").cast("string"), F.lit(".jpg")).alias("crop_path"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
-    names = packaging.packaged_names(rows, "crop_path", "id")
-    return rows.join(names, "crop_path").groupBy(F.col("crop_path").alias("source"), "packaged").agg(F.count(F.lit(1)).alias("n"))
+    rows = fx.stores(rows)
+    names = packaging.packaged_names(rows, "crop_path", "id", DS)
+    return rows.join(names, [*DS, "crop_path"]).groupBy(*DS, F.col("crop_path").alias("source"), "packaged").agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lessonlens.functions import boxes
 from lessonlens.operators import segments as sg
 from lessonlens.plans.catalogue import query
-from lessonlens.plans.tools import rounded
+from lessonlens.plans.tools import DS, TWO_STORES, rounded
 from lessonlens.sources import fixtures as fx
 
 TRACK = ["video_path", "track_id"]
@@ -66,10 +66,10 @@ AUDIT = {
 
 def _audit(spark, d):
     segments = fx.seg(spark, d).join(fx.win(spark, d), "window_id").select("segment_id", "t_start", "t_end")
-    return sg.sequence_audit(segments, fx.frames(spark, d))
+    return sg.sequence_audit(fx.stores(segments), fx.stores(fx.frames(spark, d)), DS)
 
 
-@query("A35_sequence_audit", "SELECT segment_id, t_start, t_end, frames, distinct_t, outside, span FROM sa", **AUDIT)
+@query("A35_sequence_audit", f"SELECT dataset_id, segment_id, t_start, t_end, frames, distinct_t, outside, span FROM sa, {TWO_STORES}", **AUDIT)
 def a35(spark, d):
     return _audit(spark, d)
 
@@ -79,19 +79,19 @@ SUMMARY = """count(*) AS segments, count_if(abs(t_end-t_start-5) > 1e-5) AS off_
   CAST(sum(outside) AS BIGINT) AS frames_outside_window, min(span) AS span_min_sec, max(span) AS span_max_sec, round(median(span),6) AS span_median_sec"""
 
 
-@query("A35_sequence_summary", f"SELECT labelled, {SUMMARY} FROM (SELECT 'all' AS labelled, * FROM sa UNION ALL SELECT 'labelled', * FROM sa WHERE segment_id IN (SELECT segment_id FROM ratings)) GROUP BY 1", **AUDIT)
+@query("A35_sequence_summary", f"SELECT dataset_id, labelled, {SUMMARY} FROM {TWO_STORES}, (SELECT 'all' AS labelled, * FROM sa UNION ALL SELECT 'labelled', * FROM sa WHERE segment_id IN (SELECT segment_id FROM ratings)) GROUP BY 1, 2", **AUDIT)
 def a35_summary(spark, d):
     audit = _audit(spark, d)
     labelled = audit.join(fx.rate(spark, d), "segment_id", "left_semi").withColumn("labelled", F.lit("labelled"))
     both = audit.withColumn("labelled", F.lit("all")).unionByName(labelled)
-    return rounded(sg.sequence_summary(both, ["labelled"], expected=5))
+    return rounded(sg.sequence_summary(both, [*DS, "labelled"], expected=5))
 
 
-@query("Q6_sequence_completeness", """SELECT count_if(frames < 5) AS short_segments, count_if(frames <> distinct_t) AS duplicated_segments,
-  count_if(outside > 0) AS outside_segments, count_if(frames < 5 OR frames <> distinct_t OR outside > 0) > 0 AS failed FROM sa""", **AUDIT)
+@query("Q6_sequence_completeness", f"""SELECT dataset_id, count_if(frames < 5) AS short_segments, count_if(frames <> distinct_t) AS duplicated_segments,
+  count_if(outside > 0) AS outside_segments, count_if(frames < 5 OR frames <> distinct_t OR outside > 0) > 0 AS failed FROM sa, {TWO_STORES} GROUP BY 1""", **AUDIT)
 def q6(spark, d):
     from lessonlens.operators import quality
-    return quality.sequence_completeness(_audit(spark, d), 5)
+    return quality.sequence_completeness(_audit(spark, d), 5, DS)
 
 
 POS = {"pos": """SELECT segment_id, t, frame_idx, crop_path, row_number() OVER (PARTITION BY segment_id ORDER BY t, frame_idx, crop_path) - 1 AS i,
@@ -106,12 +106,12 @@ def w14(spark, d):
     return slots.withColumn("k", F.col("k").cast("bigint"))
 
 
-@query("W15_sequence_assembly", """SELECT s.segment_id, s.n AS n_frames, s.k, p.t FROM (SELECT segment_id, n, k, CASE WHEN n >= 4 THEN round_even(k*((n-1)/CAST(3 AS DOUBLE)), 0)
+@query("W15_sequence_assembly", f"""SELECT dataset_id, s.segment_id, s.n AS n_frames, s.k, p.t FROM {TWO_STORES}, (SELECT segment_id, n, k, CASE WHEN n >= 4 THEN round_even(k*((n-1)/CAST(3 AS DOUBLE)), 0)
   ELSE least(k, n-1) END AS i FROM (SELECT segment_id, count(*) AS n FROM frames GROUP BY 1), range(0,4) AS r(k)) s JOIN pos p ON p.segment_id=s.segment_id AND p.i=s.i""", **POS)
 def w15(spark, d):
-    built = sg.assemble(fx.frames(spark, d), 4, ["t"])
-    return built.select("segment_id", "n_frames", F.explode("sequence").alias("f")).select(
-        "segment_id", "n_frames", F.col("f.k").cast("bigint").alias("k"), "f.t")
+    built = sg.assemble(fx.stores(fx.frames(spark, d)), 4, ["t"], ds=DS)
+    return built.select(*DS, "segment_id", "n_frames", F.explode("sequence").alias("f")).select(
+        *DS, "segment_id", "n_frames", F.col("f.k").cast("bigint").alias("k"), "f.t")
 
 
 @query("W14_contiguous_sampling")
@@ -120,7 +120,7 @@ def w14_random(spark, d):
     return built.select("segment_id", "n_frames", F.size("sequence").alias("picked"))
 
 
-@query("W19_animation_frames", """SELECT segment_id, clip_start, clip_end, CAST(k AS INT) AS position, t, crop_path FROM (
+@query("W19_animation_frames", f"""SELECT dataset_id, segment_id, clip_start, clip_end, CAST(k AS INT) AS position, t, crop_path FROM {TWO_STORES}, (
   SELECT u.*, r.k FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY t, crop_path) - 1 AS i, count(*) OVER (PARTITION BY segment_id) AS n FROM uniq) u, range(0, 3) AS r(k)
   WHERE r.k < least(3, n) AND u.i = CASE WHEN least(3, n) = 1 THEN n // 2 ELSE round_even(r.k*(n-1)/CAST(least(3, n)-1 AS DOUBLE), 0) END)""",
   uniq="""SELECT f.segment_id, w.t_start AS clip_start, w.t_end AS clip_end, f.crop_path, min(f.t) AS t FROM frames f JOIN seg s ON f.segment_id=s.segment_id
@@ -128,7 +128,7 @@ def w14_random(spark, d):
 def w19(spark, d):
     clips = fx.seg(spark, d).join(fx.win(spark, d), "window_id").select(
         "segment_id", F.col("t_start").alias("clip_start"), F.col("t_end").alias("clip_end"))
-    return sg.animation_frames(fx.frames(spark, d), clips, fps=2.0, max_frames=3)
+    return sg.animation_frames(fx.stores(fx.frames(spark, d)), fx.stores(clips), fps=2.0, max_frames=3, ds=DS)
 
 
 @query("W21_overlay_boxes", """SELECT video_path, track_id, label_frame, x1, y1, x2, y2, label_frame/CAST(1 AS DOUBLE) AS label_start, label_frame/CAST(1 AS DOUBLE)+1 AS label_end FROM (
@@ -152,14 +152,14 @@ def w23(spark, d):
     return rounded(sg.rate_limited(fx.pred(spark, d), TRACK, 900.0).select(*TRACK, "t"))
 
 
-@query("T3_nearest_frames", """SELECT segment_id, t, frame_idx, CAST(k AS INT) AS rank, round(distance,6) AS distance FROM (SELECT f.segment_id, f.t, f.frame_idx, abs(f.t - (w.t_start+w.t_end)/2) AS distance,
+@query("T3_nearest_frames", f"""SELECT dataset_id, segment_id, t, frame_idx, CAST(k AS INT) AS rank, round(distance,6) AS distance FROM {TWO_STORES}, (SELECT f.segment_id, f.t, f.frame_idx, abs(f.t - (w.t_start+w.t_end)/2) AS distance,
   row_number() OVER (PARTITION BY f.segment_id ORDER BY abs(f.t - (w.t_start+w.t_end)/2), f.t, f.frame_idx) AS k
   FROM frames f JOIN seg s ON s.segment_id=f.segment_id JOIN win w ON w.window_id=s.window_id) WHERE k <= 3""")
 def t3(spark, d):
     centres = fx.seg(spark, d).join(fx.win(spark, d), "window_id").select(
         "segment_id", ((F.col("t_start") + F.col("t_end")) / 2).alias("centre"))
-    near = sg.nearest_frames(fx.frames(spark, d), centres, 3)
-    return rounded(near.select("segment_id", "t", "frame_idx", "rank", "distance"))
+    near = sg.nearest_frames(fx.stores(fx.frames(spark, d)), fx.stores(centres), 3, DS)
+    return rounded(near.select(*DS, "segment_id", "t", "frame_idx", "rank", "distance"))
 
 
 @query("P10_clamp_boxes", """SELECT id, a AS x1, b AS y1, c AS x2, e AS y2 FROM (SELECT id, greatest(0, least(399, CAST(trunc(x1-20) AS INT))) AS a, greatest(0, least(299, CAST(trunc(y1-20) AS INT))) AS b,

@@ -11,13 +11,13 @@ from lessonlens.session import scratch_path
 from lessonlens.sources import files, fixtures as fx
 
 
-@query("S1_read_corpus", "SELECT dataset_id, count(*) AS n FROM (SELECT 'first' AS dataset_id FROM orders UNION ALL SELECT 'second' FROM orders) GROUP BY 1")
+@query("S1_read_corpus", "SELECT 'first' AS dataset_id, segment_id, window_id, track_id FROM seg UNION ALL SELECT 'second', segment_id, window_id, NULL FROM seg")
 def s1(spark, d):
     base = scratch_path(spark, "corpus")
-    fx.seg(spark, d).write.parquet(f"{base}/one/segments.parquet")
-    fx.seg(spark, d).drop("track_id").write.parquet(f"{base}/two/segments.parquet")
-    corpus = files.read_corpus(spark, {"first": f"{base}/one", "second": f"{base}/two"}, ["segments"])
-    return corpus["segments"].groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
+    fx.seg(spark, d).write.parquet(f"{base}/lesson one/segments.parquet")
+    fx.seg(spark, d).drop("track_id").write.parquet(f"{base}/50%+/segments.parquet")
+    corpus = files.read_corpus(spark, {"first": f"{base}/lesson one", "second": f"{base}/50%+"}, ["segments"])
+    return corpus["segments"].select("dataset_id", "segment_id", "window_id", "track_id")
 
 
 @query("S4_S8_csv_contract", "SELECT CAST(school_id AS VARCHAR) AS school_id, class_id, phase, count(*) AS n, round(avg(classroom_score),6) AS score FROM trial GROUP BY 1,2,3")

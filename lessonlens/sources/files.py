@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lessonlens.functions import pose, text
 from lessonlens.schemas import POSE_JSON, conform, require_columns
@@ -23,18 +24,35 @@ def check_distinct_stores(paths: Iterable[str]) -> list[str]:
     return list(seen)
 
 
+def plain_path(path: Column) -> Column:
+    """A file's address as Spark reports it, decoded; local ones without their scheme, as they are written in settings."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:/*(?=/)", "")
+
+
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme and authority that its files will show; local ones without."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/*(?=/)", "", whole)
+
+
 def read_corpus(spark: SparkSession, stores: Mapping[str, str], tables: Sequence[str]) -> dict[str, DataFrame]:
     """The named parquet tables of many lesson stores, each row tagged with its ``dataset_id``.
 
-    ``stores`` maps a dataset id to a folder. All folders go into one scan; the id is looked up from the file's path.
+    ``stores`` maps a dataset id to a folder. All folders go into one scan; the id is looked up from the file's path, and
+    a file that belongs to no folder is an error.
     """
     folders = check_distinct_stores(stores.values())
-    ids = spark.createDataFrame(list(zip(folders, stores)), "__folder string, dataset_id string")
+    ids = spark.createDataFrame(
+        [(_qualified(spark, f), name) for f, name in zip(folders, stores)], "__folder string, dataset_id string")
     out = {}
     for name in tables:
         scan = spark.read.option("mergeSchema", "true").parquet(*[f"{p}/{name}.parquet" for p in folders])
-        folder = F.regexp_extract(F.col("_metadata.file_path"), rf"^(?:file:/*(?=/))?(.*?)/{name}\.parquet", 1)
-        out[name] = scan.withColumn("__folder", folder).join(ids, "__folder").drop("__folder")
+        folder = F.regexp_extract(plain_path(F.col("_metadata.file_path")), rf"^(.*?)/{name}\.parquet", 1)
+        found = scan.withColumn("__folder", folder).join(ids, "__folder", "left")
+        unknown = F.raise_error(F.concat(F.lit("file outside the stores, below "), F.col("__folder"))).cast("string")
+        out[name] = found.withColumn("dataset_id", F.coalesce("dataset_id", unknown)).drop("__folder")
     return out
 
 
@@ -76,7 +94,7 @@ def parse_pose_json(df: DataFrame, column: str, out: str = "kpts") -> DataFrame:
 
 def read_pose_files(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("wholetext", "true").text(path).select(
-        F.col("_metadata.file_path").alias("pose_path"), F.col("value"))
+        plain_path(F.col("_metadata.file_path")).alias("pose_path"), F.col("value"))
     return parse_pose_json(raw, "value").drop("value")
 
 

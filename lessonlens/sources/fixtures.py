@@ -89,6 +89,11 @@ def locked_win(spark: SparkSession, d: str) -> DataFrame:
         (w % 7 != 0).alias("situation_locked"))
 
 
+def stores(df: DataFrame) -> DataFrame:
+    """The rows in two stores with equal ids."""
+    return df.withColumn("dataset_id", F.explode(F.array(F.lit("a"), F.lit("b"))))
+
+
 def seg(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(
         F.col("o_orderkey").alias("segment_id"), (F.col("o_orderkey") % 500).alias("window_id"),

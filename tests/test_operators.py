@@ -751,3 +751,18 @@ def test_logits_of_any_length(rows):
 
     df = rows([([0.0] * 70,), ([1.0],), ([],)], "v array<double>")
     assert [len(r[0]) for r in df.select(monotone_logits(df.v)).collect()] == [70, 1, 0]
+
+
+def test_stores_are_not_mixed(rows):
+    """Two stores with the same ids keep their own sequences, locks and exclusions."""
+    from lessonlens.operators import segments as sg
+    ds = ["dataset_id"]
+    frames = rows([("a", 1, 0.0, 1), ("a", 1, 1.0, 2), ("b", 1, 0.5, 1)], "dataset_id string, segment_id int, t double, frame_idx int")
+    built = {r.dataset_id: (r.n_frames, [f.t for f in r.sequence]) for r in sg.assemble(frames, 2, ["t"], ds=ds).collect()}
+    assert built == {"a": (2, [0.0, 1.0]), "b": (1, [0.5, 0.5])}
+    windows = rows([("a", 1, "A", "t", False), ("b", 1, None, None, False)],
+                   "dataset_id string, window_id int, situation string, situation_set_by string, situation_locked boolean")
+    assert {r.dataset_id: r.situation_locked for r in mu.set_locks(windows, True, ds).collect()} == {"a": True, "b": False}
+    chosen = rows([("a", 0.0, 1), ("b", 0.0, 1)], "dataset_id string, clip_start double, segment_id int")
+    current = rows([("a", 1, "x", "t")], "dataset_id string, segment_id int, reason string, excluded_by string")
+    assert values(mu.toggle_exclusion(current, chosen, ["clip_start"], "me", ds), "dataset_id", "segment_id") == [("b", 1)]
