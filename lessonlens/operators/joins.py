@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lessonlens.operators import scans
 
-LITERAL_FILTERS = 500
+FILTER_BLOCKS = 32
 
 
 def interval_join(
@@ -64,19 +64,17 @@ def text_matches(
 ) -> DataFrame:
     """Pair each row of ``names`` with the filter rows whose text passes ``test(name, needle)``; an empty text fits all.
 
-    A short filter list is put into the plan as literals; a longer one is joined on the condition itself.
+    The filters lie in ``FILTER_BLOCKS`` lists by their hash, and every name meets every list by its number: an equality
+    join at any size, in which Spark sends the lists around while they are small. No pair is formed that does not match.
     """
     def fits(text: Column) -> Column:
         return (F.coalesce(text, F.lit("")) == "") | test(F.col(name), F.coalesce(text, F.lit("")))
 
-    few = filters.limit(LITERAL_FILTERS + 1).collect()
-    if len(few) > LITERAL_FILTERS:
-        return names.join(filters, fits(F.col(needle)))
-    if not few:
-        return names.join(filters, F.lit(False))
-    fields = filters.schema.fields
-    rows = F.array(*[F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in few])
-    return names.withColumn("__f", F.explode(F.filter(rows, lambda row: fits(row[needle])))).select(*names.columns, "__f.*")
+    block = F.pmod(F.xxhash64(*filters.columns), F.lit(FILTER_BLOCKS)).cast("int")
+    lists = filters.groupBy(block.alias("__block")).agg(F.collect_list(F.struct(*filters.columns)).alias("__filters"))
+    met = names.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(FILTER_BLOCKS - 1)))).join(lists, "__block")
+    hits = F.filter("__filters", lambda row: fits(row[needle]))
+    return met.select(*names.columns, F.explode(hits).alias("__f")).select(*names.columns, "__f.*")
 
 
 def substring_matches(names: DataFrame, name: str, filters: DataFrame, needle: str) -> DataFrame:

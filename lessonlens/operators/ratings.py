@@ -98,16 +98,20 @@ def chosen_scores(labels: DataFrame, raters: Sequence[str], how: str = "mean", d
     return labels.where(F.col("rater").isin(*raters)).groupBy(*ds, "segment_id").agg(figure.alias("label"))
 
 
+def for_each_rater(rows: DataFrame, raters: DataFrame, ds: Keys = ()) -> DataFrame:
+    """Every row once for each rater of its store. The raters of a store, a handful of people, are one list."""
+    lists = raters.where(F.col("rater").isNotNull()).groupBy(*ds).agg(F.collect_set("rater").alias("__raters"))
+    wide = rows.join(lists, list(ds)) if ds else rows.withColumn("__raters", lists.scalar())
+    return wide.withColumn("rater", F.explode("__raters")).drop("__raters")
+
+
 def rater_series(
     windows: DataFrame, segments: DataFrame, labels: DataFrame, skips: DataFrame, excluded: DataFrame,
     raters: Sequence[str] | None = None, track_id: int | None = None, ds: Keys = (),
 ) -> DataFrame:
     """Every window for every rater, with the mean of that rater's labels; skips and exclusions are left out."""
-    link = list(ds) or ["__one"]
-    mark = (lambda df: df) if ds else (lambda df: df.withColumn("__one", F.lit(1)))
     chosen = labels if raters is None else labels.where(F.col("rater").isin(*raters))
-    names = mark(chosen).select(*link, "rater").distinct()
-    dense = mark(windows).join(names, link)
+    dense = for_each_rater(windows, chosen, ds)
     placed = chosen.where(F.col("score").isNotNull()).join(segments, [*ds, "segment_id"])
     if track_id is not None:
         placed = placed.where(F.col("track_id") == track_id)
@@ -234,12 +238,10 @@ def blind_assignments(
         F.struct("video_id", scans.time_chunk("t_start", 60.0).alias("c")),
         F.struct("t_start", "t_end", F.floor(F.col("track_id") / 64).alias("c"))]
     ordered = scans.row_index(rows, ds, order, "display_order", chunk).select(*ds, "segment_id", "display_order")
-    link = list(ds) or ["__one"]
-    mark = (lambda df: df) if ds else (lambda df: df.withColumn("__one", F.lit(1)))
-    wanted = mark(raters).select(*link, F.trim("rater").alias("rater")).where(F.col("rater") != "").distinct()
+    wanted = raters.select(*ds, F.trim("rater").alias("rater")).where(F.col("rater") != "")
     if existing is not None:
-        wanted = wanted.join(mark(existing).select(*link, "rater").distinct(), [*link, "rater"], "left_anti")
-    return mark(ordered).join(wanted, link).select(
+        wanted = wanted.join(existing, [*ds, "rater"], "left_anti")
+    return for_each_rater(ordered, wanted, ds).select(
         *ds, "rater", "segment_id", blind_code(F.col("rater"), F.col("segment_id")).alias("blind_code"), "display_order")
 
 

@@ -180,8 +180,8 @@ def test_interval_join_with_long_intervals(rows):
 
 
 @pytest.mark.parametrize("limit", [500, 1])
-def test_substring_matches_both_ways(rows, monkeypatch, limit):
-    monkeypatch.setattr(joins, "LITERAL_FILTERS", limit)
+def test_substring_matches_at_any_block_count(rows, monkeypatch, limit):
+    monkeypatch.setattr(joins, "FILTER_BLOCKS", limit)
     names = rows([("x/lesson_1.mp4",), ("x/other.mp4",)], "v string")
     filters = rows([("lesson", 1), (None, 2), ("zzz", 3), ("", 4)], "f string, id int")
     out = joins.substring_matches(names, "v", filters, "f")
