@@ -43,6 +43,9 @@ def split_by_group(
     if no_validation:
         return d.withColumn("split", F.lit("train"))
     groups = d.select("split_group").distinct()
+    total = groups.count()
+    if total < 2:
+        raise ValueError(f"{total} split group(s); at least 2 are required")
     if holdouts:
         known = {r.split_group for r in groups.where(F.col("split_group").isin(*holdouts)).collect()}
         unknown = sorted(set(holdouts) - known)
@@ -50,9 +53,6 @@ def split_by_group(
             raise ValueError(f"unknown hold-out groups: {unknown}")
         return d.withColumn("split", F.when(F.col("split_group").isin(*holdouts), "validation").otherwise("train"))
     hashed = groups.withColumn("h", F.xxhash64(F.lit(seed), "split_group"))
-    total = hashed.count()
-    if total < 2:
-        raise ValueError(f"{total} split group(s); at least 2 are required")
     wanted = min(max(1, round(total * val_ratio)), total - 1)
     placed = scans.row_index(hashed, [], ["h", "split_group"], "n", F.shiftright("h", 50))
     last = placed.where(F.col("n") == wanted).first()

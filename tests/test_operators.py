@@ -508,8 +508,10 @@ def test_split_errors(rows):
     items = rows([(1, "g")], "segment_id int, g string")
     with pytest.raises(ValueError, match="at least 2"):
         tr.split_by_group(items, F.col("g"))
+    with pytest.raises(ValueError, match="at least 2"):
+        tr.split_by_group(items, F.col("g"), holdouts=["g"])
     with pytest.raises(ValueError, match="unknown"):
-        tr.split_by_group(items, F.col("g"), holdouts=["h"])
+        tr.split_by_group(rows([(1, "g"), (2, "i")], "segment_id int, g string"), F.col("g"), holdouts=["h"])
 
 
 def test_class_weights(rows):
