@@ -7,7 +7,9 @@ suffixes of the texts down to that depth, and a repeat is an inner node of their
    Anchors are few, about one in twenty words. An anchor that occurs in one document only has no repeat.
 2. Suffixes below anchors of several documents are dealt into groups by a prefix of variable length: the anchor's words,
    or, where an anchor has more than ``hot`` occurrences, the whole window. A batch sends each window once, for its least
-   document, and settles its other documents by itself, so a frequent window sends a row per batch and not per occurrence.
+   document, and settles its other documents by itself: to a frequent window's group goes an entry per batch. The settled
+   starts, an entry per occurrence, are dealt by document and place, so that copies of one text spread over all groups.
+   Rows that repeat an id and a text are worked on once per task.
 3. A group is put in order; its deep inner nodes are the runs of equal windows, and all leaves but those of the least
    document are repeats. Runs of repeated windows are the maximal repeats.
 4. The starts of repeats go back to their documents, which drop the covered words.
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lessonlens.llm.batches import named, slices
-from lessonlens.llm.words import Block, blocks, covered, rolling, window_mask
+from lessonlens.llm.words import Block, blocks, covered, mix, rolling, window_mask
 from lessonlens.session import cut_lineage
 
 
@@ -89,11 +91,22 @@ def anchors(docs: DataFrame, r: Repeats) -> DataFrame:
 
 
 def shared_anchors(places: DataFrame, r: Repeats) -> DataFrame:
-    """(doc_id, row_, places, hot): of every document the anchors that other documents have too, and which are hot."""
+    """(d_, r_, places, hots, again): of every document the anchors that other documents have too, and which are hot.
+
+    Rows that repeat an id and a text give their places once; ``again`` marks them.
+    """
     several = cut_lineage(places.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
                           .where("low < high").select(F.col("anchor").alias("a_"), (F.col("n") > r.hot).alias("hot")))
     met = places.join(several, F.col("anchor") == F.col("a_")).groupBy(F.col("doc_id").alias("d_"), F.col("row_").alias("r_"))
-    return cut_lineage(met.agg(F.collect_list("place").alias("places"), F.collect_list("hot").alias("hots")))
+    met = met.agg(F.collect_set(F.col("place").cast("long") * 2 + F.col("hot").cast("long")).alias("x"), F.count("*").alias("n"))
+    return cut_lineage(met.select("d_", "r_", F.transform("x", lambda x: F.shiftright(x, 1).cast("int")).alias("places"),
+                                  F.transform("x", lambda x: x % 2 == 1).alias("hots"), (F.col("n") > F.size("x")).alias("again")))
+
+
+def spread(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of document and stretch of the text, unlike for copies of a text under other ids."""
+    with np.errstate(over="ignore"):
+        return mix(mix(ids.view(np.uint64) ^ mix(rows.view(np.uint64))) + (starts >> 16).astype(np.uint64))
 
 
 def repeated_starts(docs: DataFrame, found: DataFrame, r: Repeats) -> DataFrame:
@@ -102,11 +115,19 @@ def repeated_starts(docs: DataFrame, found: DataFrame, r: Repeats) -> DataFrame:
     groups = int(total * (r.window - r.gram + 1) // (2 * r.group_windows)) + 1
     # all columns go along, so that this is the same shuffle of the texts as that of the last step: Spark runs it once
     rows = docs.join(found, (F.col("doc_id") == F.col("d_")) & (F.col("row_") == F.col("r_"))).select(
-        "doc_id", "row_", "text", "places", "hots", *docs.columns[3:])
+        "doc_id", "row_", "text", "places", "hots", "again", *docs.columns[3:])
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of (group, window hashes, document ids, rows, starts), packed; a row without hashes is settled here."""
+        seen = set()
         for batch in batches:
+            once = np.ones(batch.num_rows, bool)
+            for i in np.flatnonzero(batch.column(5).to_numpy(zero_copy_only=False)):
+                key = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                once[i] = key not in seen
+                seen.add(key)
+            if not once.all():
+                batch = batch.filter(pa.array(once))
             ids, marks = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             hashes, texts, starts, keys, held = [], [], [], [], 0
             for b in blocks(batch.column(2)):
@@ -144,7 +165,7 @@ def repeated_starts(docs: DataFrame, found: DataFrame, r: Repeats) -> DataFrame:
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         for done in (False, True):
             use = np.flatnonzero(settled == done)
-            group = ((k[use] >> np.uint64(20)) if not done else marks[t[use]].view(np.uint64)) % np.uint64(groups)
+            group = ((k[use] >> np.uint64(20)) if not done else spread(ids[t[use]], marks[t[use]], s[use])) % np.uint64(groups)
             order = np.argsort(group, kind="stable")
             use, group = use[order], group[order]
             edges = np.flatnonzero(np.diff(group, prepend=group[:1] + np.uint64(1))) if len(group) else []
@@ -169,6 +190,9 @@ def repeated_starts(docs: DataFrame, found: DataFrame, r: Repeats) -> DataFrame:
         ids, rows, starts = (np.concatenate([x[gone], join(c, x.dtype, settled)]) for x, c in ((ids, "ids"), (rows, "rows"), (starts, "starts")))
         order = np.lexsort((starts, rows, ids))
         ids, rows, starts = ids[order], rows[order], starts[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1]) | (starts[1:] != starts[:-1])
+        ids, rows, starts = ids[new], rows[new], starts[new]
         edges = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])])) if len(ids) else np.zeros(0, int)
         ends = [*edges[1:], len(ids)]
         return pa.table({"d_": pa.array(ids[edges], pa.int64()), "r_": pa.array(rows[edges], pa.int64()),

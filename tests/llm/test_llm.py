@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lessonlens.llm import jaccard_join, mixing, packing, pivot_search, prefix_counts, quality_rules, rule_ensemble
@@ -403,6 +404,32 @@ def test_repeats(docs, none, repeats):
     assert substring_dedup.dedup_report(none, repeats).collect() == []
 
 
+def test_settled_starts_of_copies_spread(spark):
+    text = " ".join(f"w{i}" for i in range(120))
+    rows = [(i, text, "en", "s", len(text)) for i in range(400)]
+    df, repeats = spark.createDataFrame(rows, DOCS).repartition(3), substring_dedup.Repeats(group_windows=200)
+    keyed = substring_dedup.keyed(df)
+    found = substring_dedup.shared_anchors(substring_dedup.anchors(df, repeats), repeats)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        starts = substring_dedup.repeated_starts(keyed, found, repeats).select(F.spark_partition_id().alias("p"), F.length("starts").alias("n"))
+        shares = [r["n"] for r in starts.groupBy("p").agg(F.sum("n").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(shares) >= 4 * 399 * 71
+    assert max(shares) < sum(shares) / 2
+
+
+def test_rows_that_repeat_id_and_text_give_places_once(spark):
+    text = " ".join(f"w{i}" for i in range(120))
+    rows = [(i, text, "en", "s", len(text)) for i in [1] + [2] * 60]
+    df, repeats = spark.createDataFrame(rows, DOCS).repartition(4), substring_dedup.Repeats()
+    found = substring_dedup.shared_anchors(substring_dedup.anchors(df, repeats), repeats).collect()
+    assert len(found) == 2 and all(len(r["places"]) == len(set(r["places"])) for r in found)
+    got = substring_dedup.dedup_report(df, repeats).collect()
+    assert Counter((r["doc_id"], r["n_removed"]) for r in got) == {(1, 0): 1, (2, 120): 60}
+
+
 def test_documents_without_repeats(docs):
     got = substring_dedup.without_repeats(docs)
     assert got.columns == docs.columns
