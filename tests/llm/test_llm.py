@@ -131,6 +131,39 @@ def test_quality_rejects_repetition_and_noise(spark):
     assert not any(r["kept"] for r in quality_rules.quality_report(df).collect())
 
 
+BASE_64 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+
+
+def noise_words(rng, size):
+    out = ""
+    while len(out) < size:
+        out += "".join(rng.choice(BASE_64) for _ in range(rng.randrange(4, 9))) + " "
+    return out[:size]
+
+
+def prose_words(rng, size):
+    syllables = ["ta", "ren", "mo", "sil", "ver", "en", "the", "ing", "ko", "lu"]
+    known, out = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(900)], ""
+    while len(out) < size:
+        out += rng.choice(known) + " "
+    return out[:size]
+
+
+def test_quality_rejects_noise_of_every_length(spark):
+    rng = random.Random(11)
+    sizes, made = [150, 300, 800, 1500], {}
+    for k in range(10):
+        made |= {("noise", n, k): noise_words(rng, n) for n in sizes} | {("prose", n, k): prose_words(rng, n) for n in [*sizes, 8192]}
+        made |= {("half", 8192, k): prose_words(rng, 4096) + noise_words(rng, 4096), ("tail", 4000, k): prose_words(rng, 2048) + noise_words(rng, 1952)}
+    keys = list(made)
+    df = spark.createDataFrame([(i, made[key]) for i, key in enumerate(keys)], "doc_id long, text string")
+    rows = {keys[r["doc_id"]]: r for r in quality_rules.quality_report(df).collect()}
+    # the twenty-words rule is not what is tested: 150 bytes of noise hold about as many words
+    fits = [key for key in keys if not rows[key]["base_failed"]]
+    assert {key[:2] for key in fits} == {key[:2] for key in keys}
+    assert {key for key in fits if rows[key]["kept"]} == {key for key in fits if key[0] == "prose"}
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b " * 30, 5, True)], "doc_id long, text string, n_words int, Kept boolean")
     assert quality_rules.quality_verdicts(df).columns.count("n_words") == 1
