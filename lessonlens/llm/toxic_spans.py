@@ -1,13 +1,13 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Labels mark documents; tokens get labels from them: a token of a toxic training document is toxic if its word, or the
-beginning of its word, occurs in far more toxic than clean training documents. The field has features of the word (form,
-beginnings, ending) and transitions between clean and toxic; it is fitted by gradient steps on the exact likelihood of
-the labelled windows. Scoring runs forward-backward over whole documents; the marginals give the offending spans, and a
+beginning of its word, occurs in far more toxic than clean training documents, and in too many toxic ones for chance. The
+field has features of the word (form, beginnings, ending) and transitions between clean and toxic; it is fitted by
+gradient steps on the exact likelihood of the labelled texts. Scoring runs forward-backward over whole documents; the marginals give the offending spans, and a
 logistic curve fitted on the training documents turns their sum and maximum into the document's score.
 
-Fitting reads at most ``per_class`` documents of each label, one window of at most ``window`` words of each, chosen by a
-hash (documented bounds); scoring reads everything. Labels, language, source and id are never inputs.
+Fitting reads at most ``per_class`` documents of each label, chosen by a hash (a documented bound), and their whole texts,
+which the driver holds as lists of shared words; scoring reads everything. Labels, language, source and id are never inputs.
 
 Defined cases: a null or empty text has no tokens and gets the score of that; without training rows of both labels every
 score is the share of toxic training rows (0 without any); repeated rows are scored each; an empty table gives an empty
@@ -16,6 +16,7 @@ result; further columns are not carried.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lessonlens.llm.batches import slices
 from lessonlens.llm.labelled import fold, training_rows
 from lessonlens.llm.words import flat
 
@@ -38,8 +40,7 @@ SCORES = ("doc_id long, held_out boolean, score double, predicted int, n_toxic l
 @dataclass(frozen=True)
 class Toxicity:
     per_class: int = 2500
-    window: int = 256
-    min_share: float = 0.02
+    chance: float = 1e-3
     ratio: float = 20.0
     epochs: int = 60
     rate: float = 0.3
@@ -116,15 +117,36 @@ def marginals(e: np.ndarray, cuts: np.ndarray, step: np.ndarray, start: float) -
     return joint / (1 + joint), ahead, back
 
 
+def by_chance(n: int, m: int, share: float) -> float:
+    """The probability that ``n`` or more of ``n + m`` documents are toxic when the share of toxic ones is ``share``."""
+    total, log = n + m, math.lgamma
+    return sum(math.exp(log(total + 1) - log(k + 1) - log(total - k + 1) + k * math.log(share) + (total - k) * math.log1p(-share))
+               for k in range(n, total + 1))
+
+
 def token_labels(rows: list[tuple[int, list[str]]], config: Toxicity) -> list[np.ndarray]:
-    """Labels of the tokens of (document label, words): 1 for words, or beginnings, that mark toxic documents."""
-    seen = (Counter(), Counter())
-    for y, words in rows:
-        seen[y].update({f for w in set(words) for f in beginnings(w)[:-1]})
+    """Labels of the tokens of (document label, words): 1 for words, or beginnings, that mark toxic documents.
+
+    A mark is ``config.ratio`` times as frequent in toxic as in clean documents, and ``by_chance`` at most
+    ``config.chance``; how many other toxic documents there are does not matter.
+    """
+    known: dict[str, int] = {}
+    texts = [np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)) for _, words in rows]
+    found: dict[str, int] = {}
+    heads = np.empty((len(known), 4), np.int32)
+    for i, w in enumerate(known):
+        own = [found.setdefault(f, len(found)) for f in beginnings(w)[:-1]]
+        heads[i] = own + own[:1] * (4 - len(own))
+    seen = np.zeros((2, len(found)), np.int64)
+    for (y, _), text in zip(rows, texts):
+        seen[y, np.unique(heads[np.unique(text)])] += 1
     sizes = [max(1, sum(1 for r in rows if r[0] == y)) for y in (0, 1)]
-    marks = {f for f, n in seen[1].items()
-             if n >= 3 and n / sizes[1] >= config.min_share and n / sizes[1] >= config.ratio * (seen[0][f] + 0.5) / sizes[0]}
-    return [np.array([y and any(f in marks for f in beginnings(w)[:-1]) for w in words], float) for y, words in rows]
+    share = sizes[1] / sum(sizes)
+    marks = (seen[1] >= 3) & (seen[1] / sizes[1] >= config.ratio * (seen[0] + 0.5) / sizes[0])
+    for f in np.flatnonzero(marks):
+        marks[f] = by_chance(int(seen[1, f]), int(seen[0, f]), share) <= config.chance
+    marked = marks[heads].any(axis=1)
+    return [(marked[text] & bool(y)).astype(np.int8) for (y, _), text in zip(rows, texts)]
 
 
 def fit_field(rows: list[tuple[int, list[str]]], config: Toxicity) -> Field:
@@ -135,32 +157,35 @@ def fit_field(rows: list[tuple[int, list[str]]], config: Toxicity) -> Field:
         flat_score = np.log((share + 1e-9) / (1 - share + 1e-9))
         return Field(weights, np.zeros((2, 2)), 0.0, np.array([flat_score, 0.0, 0.0]))
     y = np.concatenate(token_labels(rows, config))
-    known = {w: feature_ids(w) for _, words in rows for w in words}
-    ids = [known[w] for _, words in rows for w in words]
-    token = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-    used, feature = np.unique(np.array([f for i in ids for f in i]), return_inverse=True)
+    known: dict[str, int] = {}
+    words_at = np.fromiter((known.setdefault(w, len(known)) for _, words in rows for w in words), np.int32, len(y))
+    word = np.repeat(np.arange(len(known), dtype=np.int32), np.fromiter((len(beginnings(w)) for w in known), np.int32, len(known)))
+    used, feature = np.unique(np.fromiter((f for w in known for f in feature_ids(w)), np.int32, len(word)), return_inverse=True)
+    emissions = lambda w: np.bincount(word, w[feature], len(known))[words_at]
     cuts = np.concatenate([[0], np.cumsum([len(words) for _, words in rows])])
     inner = np.ones(len(y), bool)
     inner[cuts[1:] - 1] = False
-    pairs = np.flatnonzero(inner)
+    pairs = np.flatnonzero(inner).astype(np.int32)
     first = cuts[:-1]
+    counted = np.bincount(2 * y[pairs] + y[pairs + 1], minlength=4).reshape(2, 2)
     w, bias, step, start = np.zeros(len(used)), -3.0, np.log(np.array([[0.97, 0.03], [0.7, 0.3]])), 0.0
     speed, speed_bias, speed_step = np.zeros(len(used)), 0.0, np.zeros((2, 2))
     for _ in range(config.epochs):
-        e = np.clip(bias + np.bincount(token, w[feature], len(y)), -30, 30)
+        e = np.clip(bias + emissions(w), -30, 30)
         p, ahead, back = marginals(e, cuts, step, start)
         gap = y - p
         # expected transitions: forward odds, transition, emission and backward odds of neighbours
-        a, b = ahead[pairs], np.exp(e[pairs + 1]) * back[pairs + 1]
-        t = np.exp(step)
-        mass = np.stack([t[0, 0] + 0 * a, t[0, 1] * b, a * t[1, 0], a * t[1, 1] * b])
-        expected = (mass / mass.sum(0)).sum(1).reshape(2, 2)
-        y0, y1 = y[pairs].astype(int), y[pairs + 1].astype(int)
-        counted = np.bincount(2 * y0 + y1, minlength=4).reshape(2, 2)
+        t, expected = np.exp(step), np.zeros((2, 2))
+        for at in range(0, len(pairs), 1 << 16):
+            own = pairs[at:at + (1 << 16)]
+            a, b = ahead[own], np.exp(e[own + 1]) * back[own + 1]
+            mass = np.stack([t[0, 0] + 0 * a, t[0, 1] * b, a * t[1, 0], a * t[1, 1] * b])
+            expected += (mass / mass.sum(0)).sum(1).reshape(2, 2)
         # per-document scale; adaptive steps
-        g = np.bincount(feature, gap[token], len(used)) / len(rows) - config.shrink * w
+        g = np.bincount(feature, np.bincount(words_at, gap, len(known))[word], len(used)) / len(rows) - config.shrink * w
         speed += g * g
         w += config.rate * g / np.sqrt(speed + 1e-8)
+        del p, ahead, back, e
         g = gap.sum() / len(rows)
         speed_bias += g * g
         bias += config.rate * g / np.sqrt(speed_bias + 1e-8)
@@ -172,7 +197,7 @@ def fit_field(rows: list[tuple[int, list[str]]], config: Toxicity) -> Field:
     # the bias goes into the transitions, so that an emission is the sum of a word's weights alone
     step = step + np.array([[0.0, bias], [0.0, bias]])
     model = Field(weights, step, start + bias, np.zeros(3))
-    p, _, _ = marginals(np.clip(np.bincount(token, w[feature], len(y)), -30, 30), cuts, step, model.start)
+    p, _, _ = marginals(np.clip(emissions(w), -30, 30), cuts, step, model.start)
     model.curve = fit_curve(document_figures(p, cuts), np.array([r[0] for r in rows], float))
     return model
 
@@ -201,23 +226,21 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
     return c
 
 
-def training_windows(docs: DataFrame, labels: DataFrame, config: Toxicity) -> list[tuple[int, list[str]]]:
-    """One hashed window of words of every training document, collected: bounded by the two parameters."""
+def training_texts(docs: DataFrame, labels: DataFrame, config: Toxicity) -> list[tuple[int, list[str]]]:
+    """(label, words) of every training document, collected: the number of documents is bounded, their texts are whole."""
     chosen = training_rows(labels, "toxic", config.folds, config.held, config.per_class)
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            windows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(2)):
-                words = (text.as_py() or b"").split()
-                room = max(0, len(words) - config.window)
-                at = zlib.crc32(str(doc_id).encode()) % (room + 1)
-                windows.append([core(w)[:64] for w in words[at:at + config.window]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(windows, pa.list_(pa.string()))], names=["doc_id", "y", "words"])
+        for batch in slices(batches, 2):
+            words = [[core(w)[:64] for w in (text.as_py() or b"").split()] for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int64()),
+                                              pa.array([" ".join(w) for w in words], pa.string())], names=["doc_id", "y", "n", "words"])
 
-    found = rows.mapInArrow(run, "doc_id long, y int, words array<string>").collect()
-    return [(r["y"], r["words"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["words"]))]
+    found = rows.mapInArrow(run, "doc_id long, y int, n long, words string").collect()
+    known: dict[str, str] = {}
+    return [(r["y"], [known.setdefault(w, w) for w in r["words"].split(" ")] if r["n"] else [])
+            for r in sorted(found, key=lambda r: (r["doc_id"], r["words"]))]
 
 
 def score_batch(model: Field, column: pa.Array, config: Toxicity) -> dict[str, list]:
@@ -283,4 +306,4 @@ def toxicity_scores(docs: DataFrame, model: Field, config: Toxicity = Toxicity()
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, config: Toxicity = Toxicity()) -> DataFrame:
-    return toxicity_scores(docs, fit_field(training_windows(docs, labels, config), config), config)
+    return toxicity_scores(docs, fit_field(training_texts(docs, labels, config), config), config)

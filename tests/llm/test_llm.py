@@ -518,6 +518,22 @@ def test_toxicity(spark, none):
     assert {r["predicted"] for r in toxic_spans.toxicity_report(df, marks.limit(0)).collect()} == {0}
 
 
+def test_rare_marks_are_labelled():
+    rows = [(1, ["common"])] * 600 + [(1, ["plain", "rarity"])] * 8 + [(0, ["plain"])] * 2500 + [(1, ["once"])]
+    made = toxic_spans.token_labels(rows, toxic_spans.Toxicity())
+    assert all(list(x) == [0, 1] for x in made[600:608])
+    assert not any(x.any() for x in made[608:])
+
+
+def test_training_texts_are_whole(spark):
+    text = " ".join(["a", "--"] * 400) + " Scoundrel!"
+    df = spark.createDataFrame([(i, text if i else None, "en", "s", 0) for i in range(8)], DOCS)
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in range(8)], "doc_id long, quality int, toxic int")
+    got = toxic_spans.training_texts(df, marks, toxic_spans.Toxicity(held=9))
+    assert sorted(map(len, (words for _, words in got))) == [0] + [801] * 7
+    assert all(words[-3:] == ["a", "", "scoundrel"] for _, words in got if words)
+
+
 def test_quality_scores(spark, none):
     rows, labels = labelled()
     df, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
