@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 SLICE_BYTES = 1 << 22
 
@@ -64,3 +65,27 @@ def with_text_columns(df: DataFrame, text: str, ddl: str, compute: Callable[[pa.
     result = source.mapInArrow(run, out)
     return result.select(*[named(c).cast("string").alias(c) if c == text else named(c) for c in carried],
                          *[named(c) for c in added.names])
+
+
+def with_columns_of(df: DataFrame, text: str, ddl: str, make: Callable[[pa.RecordBatch], list[object]], keep: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with the columns of ``ddl``; ``make`` gets batches whose last column is the text in UTF-8.
+
+    Inside, columns have numbers for names, so no name of the input can clash or need quoting. A carried column called like a
+    new one gives way to it.
+    """
+    added = schema_of(ddl)
+    carried = [c for c in without(df, added.names) if keep is None or c in keep]
+    at = len(carried)
+    source = df.select(*[named(c).alias(f"c{i}") for i, c in enumerate(carried)], named(text).cast("binary").alias("text"))
+    out = StructType([StructField(f"c{i}", source.schema[i].dataType) for i in range(at)]
+                     + [StructField(f"m{j}", f.dataType) for j, f in enumerate(added.fields)])
+    kinds = [to_arrow_type(f.dataType) for f in added.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at):
+            made = make(batch)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:at], *[v if isinstance(v, pa.Array) else pa.array(v, kind) for v, kind in zip(made, kinds)]], names=out.names)
+
+    return source.mapInArrow(run, out).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carried)],
+                                              *[F.col(f"m{j}").alias(f.name) for j, f in enumerate(added.fields)])

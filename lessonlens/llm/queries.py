@@ -1,12 +1,15 @@
-"""Queries over the ten operators of this subpackage and the pipeline, with check texts where SQL can express them."""
+"""Queries over the operators of this subpackage and the pipeline, with check texts where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lessonlens.llm.collocations import collocation_report
 from lessonlens.llm.jaccard_join import near_copies
+from lessonlens.llm.license_scan import BASE, TEMPLATES, license_report, template_pattern
 from lessonlens.llm.mixing import mix_report
 from lessonlens.llm.packing import pack_documents
+from lessonlens.llm.periodic_runs import run_report
 from lessonlens.llm.pivot_search import top_k
 from lessonlens.llm.prefix_counts import count_report
 from lessonlens.llm.quality_rules import quality_report
@@ -131,6 +134,60 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(table(spark, sf_dir, "documents"))
 
 
+A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@query("op11_collocations", f"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w
+               FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {A_TO_Z}), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM piece GROUP BY lang),
+f AS (SELECT lang, k, list_aggregate(w[i:i + k - 1], 'string_agg', ' ') AS phrase, count(*) AS f
+      FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM piece), (SELECT unnest([1, 2, 3, 4]) AS k)
+      WHERE i + k - 1 <= len(w) GROUP BY ALL),
+c AS (SELECT lang, k AS m, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 30),
+cut AS (SELECT lang, m, phrase, w, a, k, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+        FROM c, (SELECT unnest([1, 2, 3]) AS k) WHERE k < m),
+best AS (SELECT cut.lang, cut.phrase, a, x.f AS l, y.f AS r, ((2000000 * a::HUGEINT) // (x.f + y.f))::BIGINT AS score
+         FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = head JOIN f y ON y.lang = cut.lang AND y.phrase = tail
+         QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY ((2000000 * a::HUGEINT) // (x.f + y.f)), cut.k) = 1),
+inner_ AS (SELECT lang, array_to_string(w[s:s + size - 1], ' ') AS phrase, max(a) AS a
+           FROM c, (SELECT unnest([1, 2, 3]) AS s), (SELECT unnest([2, 3]) AS size) WHERE size < m AND s + size - 1 <= m GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, l, r, n, score
+FROM best b JOIN n ON n.lang = b.lang LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase
+WHERE i.a IS NULL OR 100 * i.a < 80 * b.a QUALIFY rank <= 2000""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation_report(table(spark, sf_dir, "documents"))
+
+
+def license_sql() -> str:
+    """The base rule over word lists; the templates as regular expressions over the words, a blank behind each."""
+    words = "regexp_extract_all(translate(coalesce(text, ''), " + A_TO_Z + "), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    at = {p: "list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) + ")" for p in BASE}
+    base = ", ".join(f"{places} AS {label}" for (p, label), places in zip(BASE.items(), at.values()))
+    named_ = "list_filter([" + ", ".join(f"CASE WHEN len({x}) > 0 THEN '{x}' END" for x in BASE.values()) + "], lambda x: x IS NOT NULL)"
+    own = "list_filter([" + ", ".join(
+        f"CASE WHEN regexp_matches(words, '(^| )(?:{'|'.join(map(template_pattern, group))})') THEN '{label}' END"
+        for label, group in TEMPLATES.items()) + "], lambda x: x IS NOT NULL)"
+    return f"""
+WITH t AS (SELECT doc_id, {words} AS w FROM documents),
+b AS (SELECT doc_id, w, {base}, array_to_string(w, ' ') || ' ' AS words FROM t),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, list_concat(list_concat({', '.join(list(BASE.values())[:2])}), {list(BASE.values())[2]}) AS places,
+             {named_} AS named, {own} AS own FROM b)
+SELECT doc_id, n_words, len(places)::BIGINT AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
+       array_to_string(list_sort(named), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(named, own))), ',') AS labels,
+       CASE WHEN len(own) > 0 THEN 1.0 WHEN len(places) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM m"""
+
+
+@query("op12_license_templates", license_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
