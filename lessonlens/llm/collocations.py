@@ -55,7 +55,7 @@ class Mining:
     top: int = 2000
     listed: int = 65_535
     listed_bytes: int = 64
-    bucket_windows: int = 2_000_000
+    bucket_windows: int = 1_000_000
     hot: float = 1 / 128
 
 
@@ -240,9 +240,9 @@ def numbers(counts: DataFrame, options: Mining) -> tuple[Numbers, DataFrame, int
 
 def lead_windows(t: Tokens, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct windows of a batch as rows of four numbers (0 behind the end), and how often each occurs."""
-    local = np.cumsum(ids != 0) * (ids != 0)  # 1, 2, .. for the frequent entries
-    table = np.append(0, ids[ids != 0])
-    word, n = local[t.entry], len(t.entry)
+    frequent = np.unique(ids[ids != 0])
+    table = np.append(0, frequent)
+    word, n = np.where(ids != 0, np.searchsorted(frequent, ids) + 1, 0)[t.entry], len(t.entry)
     lead = [word]
     for k in range(1, 4):
         own = np.zeros(n, np.int64)
@@ -274,14 +274,28 @@ def bucket_of(rows: np.ndarray, hot: int, buckets: int) -> np.ndarray:
 
 
 def packed(rows: np.ndarray, counts: np.ndarray) -> bytes:
-    """Windows and counts by column and byte: the upper bytes of ranks and counts are zeros and take no room."""
-    columns = np.concatenate([rows, counts[:, None]], 1).astype("<i8")
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(columns.T).view(np.uint8).reshape(5, -1, 8).transpose(0, 2, 1).tobytes())
+    """Sorted windows and their counts by column and byte. Where all columns before are as in the row above, a column holds
+    the difference to that row; so most upper bytes are zeros and take no room."""
+    columns = np.ascontiguousarray(np.concatenate([rows.T, counts[None]]), "<i8")
+    same = np.ones(len(rows) - 1, bool)
+    for k in range(4):
+        step = np.diff(rows[:, k])
+        columns[k, 1:] = np.where(same, step, rows[1:, k])
+        same &= step == 0
+    return zstandard.ZstdCompressor(level=1).compress(columns.view(np.uint8).reshape(5, -1, 8).transpose(0, 2, 1).tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(5, 8, -1)
-    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8").reshape(5, -1)
+    columns = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8").reshape(5, -1)
+    head = np.zeros(columns.shape[1], bool)  # rows in which a column before has changed
+    head[0] = True
+    for k in range(4):
+        sums = np.cumsum(columns[k])
+        heads = np.flatnonzero(head)
+        columns[k] = sums - np.repeat((sums - columns[k])[heads], np.diff(np.append(heads, len(sums))))
+        head[1:] |= columns[k, 1:] != columns[k, :-1]
+    return columns
 
 
 def window_blobs(docs: DataFrame, numbers_: Numbers, buckets: int) -> DataFrame:
@@ -342,7 +356,8 @@ def phrase_counts(docs: DataFrame, numbers_: Numbers, total: int, options: Minin
         for at in range(0, rows.shape[1], 65_536):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[at:at + 65_536])) for c in rows], names=[*KEY, "n"])
 
-    windows = window_blobs(docs, numbers_, buckets).groupBy("bucket").applyInArrow(merge, ", ".join(f"{c} long" for c in KEY) + ", n long")
+    blobs = window_blobs(docs, numbers_, buckets).repartition(buckets, "bucket")  # tasks grow with the corpus
+    windows = blobs.groupBy("bucket").applyInArrow(merge, ", ".join(f"{c} long" for c in KEY) + ", n long")
     level = F.grouping_id()
     last = F.expr("CASE g WHEN 0 THEN c4 WHEN 1 THEN c3 WHEN 3 THEN c2 WHEN 7 THEN c1 ELSE 0 END")
     sums = windows.rollup(*KEY).agg(F.sum("n").alias("f"), level.alias("g")).where((last != 0) & (F.col("f") >= least))

@@ -121,8 +121,10 @@ def test_scores_past_64_bits(spark):
 
 
 def test_windows_survive_packing():
-    rows = np.array([[1, 2, 0, 0], [-2**63 + 5, 70000, 3, 9]], np.int64)
-    assert co.unpacked(co.packed(rows, np.array([3, 2**40]))).tolist() == [[1, -2**63 + 5], [2, 70000], [0, 3], [0, 9], [3, 2**40]]
+    rows = np.array([[-2**63 + 5, 70000, 3, 9], [1, 2, 0, 0], [1, 2, 5, 7], [1, 2, 5, 2**40], [1, 3, -9, 0], [2, 3, 4, 4]], np.int64)
+    counts = np.array([3, 2**40, 1, 1, 5, 1])
+    assert co.unpacked(co.packed(rows, counts)).tolist() == [*rows.T.tolist(), counts.tolist()]
+    assert co.unpacked(co.packed(rows[:1], counts[:1])).tolist() == [*rows[:1].T.tolist(), [3]]
 
 
 # license templates
