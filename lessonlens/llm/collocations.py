@@ -287,7 +287,7 @@ def packed(rows: np.ndarray, counts: np.ndarray) -> bytes:
 
 def unpacked(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(5, 8, -1)
-    columns = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8").reshape(5, -1)
+    columns = np.array(planes.transpose(0, 2, 1), order="C").view("<i8").reshape(5, -1)
     head = np.zeros(columns.shape[1], bool)  # rows in which a column before has changed
     head[0] = True
     for k in range(4):
