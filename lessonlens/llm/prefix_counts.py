@@ -19,6 +19,7 @@ columns called like a result column give way to it.
 from __future__ import annotations
 
 import re
+import zlib
 from array import array
 from dataclasses import dataclass
 from operator import sub
@@ -37,7 +38,7 @@ from lessonlens.llm.words import flat
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LATE = {"'re", "'ve", "'ll"}
 WHITE = {c for c in map(chr, range(0x3001)) if regex.match(r"\s", c)}
-KEPT, LONGEST, SLICE = 1_000_000, 64, 256
+KEPT, LONGEST, SLICE = 500_000, 64, 256
 BITS, MASK = 20, (1 << 20) - 1
 STOPS = set(",.;:!?")
 BEYOND_LATIN = "\u0250"  # letters before are letters in every version of Unicode
@@ -296,20 +297,32 @@ def fitting(steps: np.ndarray, budget: int) -> int:
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
-def prefix_counts(docs: DataFrame, counting: Counting = Counting(), keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``n_tokens`` and ``prefix_steps``: the signed 16-bit steps of the count, a character each."""
+def _counted(docs: DataFrame, counting: Counting, keep: list[str], ddl: str) -> DataFrame:
+    """The steps of every text, and of ``ddl`` what is asked for: the steps, their sum, their checksum, answers read from them."""
+    wanted = [column.split()[0] for column in ddl.split(", ")]
+
     def make(batch: pa.RecordBatch) -> list[object]:
         counter = PrefixCounter.of(vocabulary(counting.vocabulary))
-        stored, totals = [], []
+        out: dict[str, list] = {name: [] for name in wanted}
         column = batch.column(batch.num_columns - 1)
         for at in range(0, len(column), SLICE):
-            steps, borders, total = counter.batch(column.slice(at, SLICE))
-            raw = steps.tobytes()
-            stored += [raw[2 * a:2 * b] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
-            totals.append(total)
-        return [np.concatenate(totals), stored]
+            steps, borders, totals = counter.batch(column.slice(at, SLICE))
+            for a, b, total in zip(borders[:-1].tolist(), borders[1:].tolist(), totals.tolist()):
+                own = steps[a:b]
+                found = {"n_tokens": total, "prefix_steps": own.tobytes() if "prefix_steps" in out else None,
+                         "steps_crc32": zlib.crc32(own) if "steps_crc32" in out else None,
+                         "fitting_chars": b - a if "fitting_chars" in out and total <= counting.limit
+                         else fitting(own, counting.limit) if "fitting_chars" in out else None}
+                for name, values in out.items():
+                    values.append(found[name])
+        return list(out.values())
+
+    return with_columns_of(docs, "text", ddl, make, keep)
 
-    return with_columns_of(docs, "text", "n_tokens long, prefix_steps binary", make, docs.columns if keep is None else keep)
+
+def prefix_counts(docs: DataFrame, counting: Counting = Counting(), keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``n_tokens`` and ``prefix_steps``: the signed 16-bit steps of the count, a character each."""
+    return _counted(docs, counting, docs.columns if keep is None else keep, "n_tokens long, prefix_steps binary")
 
 
 def budget_answers(counted: DataFrame, budget: int, chars: int = 0) -> DataFrame:
@@ -322,8 +335,8 @@ def budget_answers(counted: DataFrame, budget: int, chars: int = 0) -> DataFrame
 
 
 def count_report(docs: DataFrame, counting: Counting = Counting()) -> DataFrame:
-    """The columns of the query, from the stored steps; ``fitting_chars`` is the longest prefix within the limit."""
+    """The columns of the query, all read from the steps: their sum, the longest prefix within the limit, and a checksum of the
+    steps as little-endian 16-bit numbers. The steps themselves stay in the task (``prefix_counts`` returns them)."""
     sized = docs.select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
-    counted = prefix_counts(sized, counting, ["doc_id", "n_bytes"])
-    made = budget_answers(counted, counting.limit)
-    return made.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > counting.limit).alias("over_limit"), "fitting_chars")
+    made = _counted(sized, counting, ["doc_id", "n_bytes"], "n_tokens long, fitting_chars long, steps_crc32 long")
+    return made.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > counting.limit).alias("over_limit"), "fitting_chars", "steps_crc32")

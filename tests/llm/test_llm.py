@@ -304,6 +304,8 @@ def test_token_counts(docs, none):
         text = {i: t for i, t, *_ in corpus()}[r["doc_id"]]
         assert n(text[:r["fitting_chars"]]) <= 1024 < n(text[:r["fitting_chars"] + 1])
     stored = prefix_counts.prefix_counts(docs.where("doc_id < 5"))
+    marks = {r["doc_id"]: r["steps_crc32"] for r in got.collect()}
+    assert {r["doc_id"]: zlib.crc32(r["prefix_steps"]) for r in stored.collect()} == {i: marks[i] for i in range(5)}
     for r in prefix_counts.budget_answers(stored, 20, 30).collect():
         assert r["prefix_tokens"] == n(r["text"][:30]) and n(r["text"][:r["fitting_chars"]]) <= 20
     assert prefix_counts.count_report(none).collect() == []
