@@ -54,7 +54,7 @@ def _track_scores(stream):
 
 @query("R4_R10_track_scores_stream", "SELECT video_path, track_id, frame_idx, round(score,6) AS raw_score, round(smooth,6) AS smooth_score FROM st WHERE due", **TRACK_STEPS)
 def r4(spark, d):
-    out = live.drain(_track_scores(_log(spark, d)), "track-scores")
+    out = live.drain_closed(_log(spark, d), _track_scores, "track-scores")
     return rounded(out.select("video_path", "track_id", "frame_idx", "raw_score", "smooth_score"))
 
 
@@ -62,7 +62,7 @@ def r4(spark, d):
        ev="""SELECT video_path, track_id, i, frame_idx, t, score AS smooth FROM ord WHERE i = 1 UNION ALL SELECT o.video_path, o.track_id, o.i, o.frame_idx, o.t, CASE WHEN o.t - e.t > 600 THEN o.score ELSE 0.7::DOUBLE*e.smooth + 0.3::DOUBLE*o.score END
          FROM ev e JOIN ord o ON o.video_path=e.video_path AND o.track_id=e.track_id AND o.i=e.i+1""")
 def r3(spark, d):
-    out = live.drain(live.track_scores(_log(spark, d), every=0.0, ttl=600.0), "track-eviction")
+    out = live.drain_closed(_log(spark, d), lambda log: live.track_scores(log, every=0.0, ttl=600.0), "track-eviction")
     return rounded(out.select("video_path", "track_id", "frame_idx", "smooth_score"))
 
 
@@ -70,13 +70,13 @@ def r3(spark, d):
        em="""SELECT video_path, track_id, min(t) AS t FROM pred GROUP BY 1,2 UNION ALL SELECT video_path, track_id, nt FROM (SELECT e.video_path, e.track_id, min(p.t) AS nt FROM em e JOIN pred p
          ON p.video_path=e.video_path AND p.track_id=e.track_id AND p.t - e.t >= 900 - 1e-9 GROUP BY 1,2)""")
 def r1(spark, d):
-    return rounded(live.drain(live.throttled(_log(spark, d), 1.0 / 900.0), "throttled").select("video_path", "track_id", "t"))
+    return rounded(live.drain_closed(_log(spark, d), lambda log: live.throttled(log, 1.0 / 900.0), "throttled").select("video_path", "track_id", "t"))
 
 
 @query("R2_buffered_stream", """SELECT video_path, track_id, frame_idx, i >= 3 AS ready, list_transform(list(score) OVER (PARTITION BY video_path, track_id ORDER BY t, frame_idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), lambda v: round(v,6)) AS items FROM ord""", **EMA_STEPS)
 def r2(spark, d):
-    rows = live.buffered(_log(spark, d).withColumn("item", F.col("score")), 3, ttl=live.LESSON_TTL)
-    out = live.drain(rows, "buffered")
+    rows = _log(spark, d).withColumn("item", F.col("score"))
+    out = live.drain_closed(rows, lambda log: live.buffered(log, 3, ttl=live.LESSON_TTL), "buffered")
     return out.select("video_path", "track_id", "frame_idx", "ready", F.transform("items", lambda v: F.round(v, 6)).alias("items"))
 
 
@@ -94,7 +94,7 @@ def r5(spark, d):
        ord="SELECT *, score/(score+2+t/1000) AS p0, 2/(score+2+t/1000) AS p1, row_number() OVER (PARTITION BY video_path ORDER BY t, frame_idx) AS i FROM pred")
 def r6(spark, d):
     rows = _log(spark, d).withColumn("probs", F.array(F.col("score"), F.lit(2.0), F.col("t") / 1000))
-    out = live.drain(live.situations(rows), "situations")
+    out = live.drain_closed(rows, live.situations, "situations")
     return rounded(out.select("frame_idx", *[F.element_at("probs", i + 1).alias(f"p{i}") for i in range(3)]))
 
 
@@ -104,20 +104,23 @@ def r6(spark, d):
 def r8(spark, d):
     i = F.col("frame_idx")
     rows = _log(spark, d).withColumn("matched_name", F.when(i % 3 > 0, F.concat(F.lit("p"), (i % 2).cast("string"))))
-    return live.drain(live.exclusions(rows, ttl=live.LESSON_TTL), "exclusions").select("video_path", "track_id", "frame_idx", "excluded", "name")
+    return live.drain_closed(rows, lambda log: live.exclusions(log, ttl=live.LESSON_TTL), "exclusions").select("video_path", "track_id", "frame_idx", "excluded", "name")
 
 
 @query("R7_rolling_history_stream")
 def r7(spark, d):
-    return rounded(live.drain(live.history(_log(spark, d)), "history"))
+    return rounded(live.drain_closed(_log(spark, d), live.history, "history"))
 
 
 @query("R9_stable_id_stream")
 def r9(spark, d):
-    v = F.col("value")
-    box = F.struct(F.col("frame_idx").alias("det_id"), v.alias("x1"), v.alias("y1"), (v + 50).alias("x2"), (v + 100).alias("y2"))
-    rows = _log(spark, d, "value").select("video_path", "t", "at", F.array(box).alias("dets"))
-    return live.drain(live.stable_ids(rows, 60.0), "stable-ids").select("video_path", "det_id", "stable_id")
+    v, i = F.col("value"), F.col("frame_idx")
+    vector = lambda *parts: F.array(*[p.cast("double") for p in parts])
+    boxes = _log(spark, d, "value").select(
+        "video_path", "t", "at", i.alias("det_id"), v.alias("x1"), (v / 2).alias("y1"), (v + 50).alias("x2"), (v / 2 + 100).alias("y2"),
+        F.when(i % 3 > 0, vector(F.col("track_id") % 5 + 1, v % 7)).alias("pose_vec"), vector(F.col("track_id") % 3, i % 2).alias("colour_vec"))
+    out = live.drain_closed(boxes, lambda log: live.stable_ids(live.frames_of(log, "30 seconds"), 90.0, delay=None), "stable-ids")
+    return out.select("video_path", "det_id", "stable_id")
 
 
 @query("R11_binned_stream", """SELECT situation, bin AS bin_start, count(*) AS n_tracks, round(avg(score),6) AS score_mean, round(median(score),6) AS score_p50, round(stddev_samp(score),6) AS score_std,

@@ -2,11 +2,14 @@
 
 A stream carries two times: ``t``, the seconds since its lesson began, which the steps work with, and ``at``, the instant
 on a clock that all lessons share, which the watermark and the timers follow. Lessons may begin at any time; a row is late
-only when its instant is, and Spark counts the late rows (``live.late_rows``).
+only when its instant is, and late rows are counted (``live.LateRows``).
 
-The state of a key is one JSON text in the state store, cleared by an event-time timer once the key has been silent for
-longer than its time to live. Rows of a micro-batch are ordered by time within their key; the amount per batch is bounded
-by the source's admission limits.
+Rows come in any order within the watermark's delay. A key's rows wait in its state until the watermark has passed their
+instant, when no earlier row can come any more; then they are folded in time order. So the result does not depend on how
+rows fall into micro-batches, and a key holds as many waiting rows as the delay spans.
+
+State is typed: each step names the type of its own state, waiting rows have the columns of the stream, and both are read
+and written once per key and batch. A state is cleared once its key has been silent for longer than its time to live.
 """
 
 from __future__ import annotations
@@ -15,54 +18,84 @@ import sys
 from collections.abc import Callable, Sequence
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 LATE_DELAY = "10 seconds"
 # Silence after which a key that has no shorter time to live is forgotten: no lesson pauses for a day.
 LESSON_TTL = 86_400.0
+DUE = "__due"
+
+
+def _plain(value):
+    """State as read, its rows as tuples: the state client writes no rows."""
+    if isinstance(value, tuple):
+        return tuple(_plain(v) for v in value)
+    return [_plain(v) for v in value] if isinstance(value, list) else value
 
 
 class StepFold(StatefulProcessor):
-    """``step(state, row) -> (state, output dict or None)``; ``state`` is None on a new or expired key."""
+    """``step(state, row) -> (state, output dict or None)``; ``state`` is None on a new or expired key.
 
-    def __init__(self, step: Callable, columns: Sequence[str], keys: Sequence[str], order: Sequence[str], ttl: float):
-        self.step, self.columns, self.keys, self.order, self.ttl = step, list(columns), list(keys), list(order), ttl
+    ``step.state`` is the type of the state in DDL. Kept per key: the latest instant folded, when the next waiting row is due,
+    when a timer will look for silence, the step's state, and the waiting rows.
+    """
+
+    def __init__(self, step: Callable, columns: Sequence[str], keys: Sequence[str], order: Sequence[str], ttl: float,
+                 fields: Sequence[T.StructField]):
+        self.step, self.columns, self.keys, self.ttl = step, list(columns), list(keys), int(ttl * 1000)
+        self.fields = [f.name for f in fields]
+        self.due, self.order = self.fields.index(DUE), [self.fields.index(c) for c in order]
+        kept = T.StructType([T.StructField(n, T.LongType()) for n in ("seen", "due", "expires")])
+        inner = T.StructType.fromDDL(f"inner {step.state}")["inner"]
+        self.schema = kept.add(inner).add("waiting", T.ArrayType(T.StructType(list(fields))))
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "text string")
+        self.held = handle.getValueState("held", self.schema)
 
     def handleInputRows(self, key, rows, timerValues):
-        import json
-        from pyspark.sql import Row
-        records = [r.asDict() for r in rows]
-        if len(records) > 1:
-            records.sort(key=lambda r: tuple(r[c] for c in self.order))
-        stored = self.state.get()
-        held = json.loads(stored[0]) if stored is not None else None
+        new = [tuple(_plain(r[c]) for c in self.fields) for r in rows]
+        seen, due, expires, inner, waiting = _plain(self.held.get()) or (None, None, None, None, [])
+        first = min(r[self.due] for r in new)
+        if due is None or first < due:
+            due = first
+            self.handle.registerTimer(due)
+        self.held.update((seen, due, expires, inner, [*waiting, *new]))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        stored = self.held.get()
+        if stored is None:
+            return iter([])
+        now = timerValues.getCurrentWatermarkInMs()
+        seen, due, expires, inner, waiting = _plain(stored)
+        ready = sorted((r for r in waiting if r[self.due] <= now), key=lambda r: [r[i] for i in self.order])
+        rest = [r for r in waiting if r[self.due] > now]
         out = []
-        for row in records:
-            seen = row["__ms"]
-            # A key silent for longer than its time to live starts anew, whether or not its timer has fired.
-            if held is not None and seen - held["seen"] > self.ttl * 1000:
-                held = None
-            inner, result = self.step(None if held is None else held["inner"], row)
-            held = {"inner": inner, "seen": seen}
+        for values in ready:
+            if seen is not None and values[self.due] - seen > self.ttl:
+                inner = None  # silent for longer than its time to live: the key starts anew
+            row = dict(zip(self.fields, values))
+            inner, result = self.step(inner, row)
+            seen = row[DUE]
             if result is not None:
                 found = {**dict(zip(self.keys, key)), "at": row["at"], **result}
                 out.append(Row(**{c: found[c] for c in self.columns}))
-        self.state.update((json.dumps(held),))
-        if stored is not None:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-        self.handle.registerTimer(int(held["seen"] + self.ttl * 1000) + 1)
+        if expires is not None and expires <= now:
+            expires = None
+        if not rest and (seen is None or seen + self.ttl < now):
+            self.held.clear()
+            return iter(out)
+        due = min((r[self.due] for r in rest), default=None)
+        if due is not None:
+            self.handle.registerTimer(due)
+        if expires is None:
+            expires = max(now, seen or now) + self.ttl + 1
+            self.handle.registerTimer(expires)
+        self.held.update((seen, due, expires, inner, rest))
         return iter(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.state.clear()
-        return iter([])
-
     def close(self) -> None:
         pass
 
@@ -74,13 +107,17 @@ def fold_stream(
     """Fold ``step`` over each key of a stream with the times ``t`` and ``at``; start it in ``keyed_state``.
 
     ``delay`` is None where ``at`` already has a watermark. With ``at`` in ``schema`` the result has one as well, for a
-    stateful step behind it.
+    stateful step behind it. Rows without an instant are left out.
     """
     out = T.StructType.fromDDL(schema)
     names = [f.name for f in out.fields]
     d = stream if delay is None else stream.withWatermark("at", delay)
-    processor = StepFold(step, names, keys, order, ttl)
-    return d.withColumn("__ms", F.unix_millis("at")).groupBy(*keys).transformWithState(
+    # the first millisecond at which the watermark has passed the row
+    d = d.where(F.col("at").isNotNull()).withColumn(DUE, F.ceil(F.unix_micros("at") / 1000).cast("bigint"))
+    fields = [f for f in d.schema.fields if f.name not in keys]
+    plain = [T.StructField(f.name, f.dataType) for f in fields]
+    processor = StepFold(step, names, keys, order, ttl, plain)
+    return d.groupBy(*keys).transformWithState(
         statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime",
         eventTimeColumnName="at" if "at" in names else "")
 

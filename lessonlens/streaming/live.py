@@ -65,7 +65,7 @@ def situations(stream: DataFrame, alpha: float = 0.15) -> DataFrame:
 
 def history(stream: DataFrame, window: float = 60.0, spacing: float = 0.5) -> DataFrame:
     ddl = "video_path string, t double, n_points int, n_known int, mean double"
-    return fold_stream(stream, ["video_path"], steps.rolling_history(window, spacing), ddl)
+    return fold_stream(stream, ["video_path"], steps.rolling_history(window, spacing), ddl, ("t", "frame_idx") if "frame_idx" in stream.columns else ("t",))
 
 
 def rolling_mean(stream: DataFrame, window: str = "60 seconds", slide: str = "0.5 seconds", delay: str = LATE_DELAY) -> DataFrame:
@@ -81,13 +81,30 @@ def exclusions(stream: DataFrame, keep: int = 8, min_matches: int = 2, min_ratio
     return fold_stream(stream, TRACK, steps.face_vote(keep, min_matches, min_ratio), ddl, ("t", "frame_idx"), ttl)
 
 
-def stable_ids(stream: DataFrame, max_age: float = 3.0) -> DataFrame:
-    """One row per video frame with its detections ``dets``; gives each a stable id."""
+def stable_ids(stream: DataFrame, max_age: float = 3.0, delay: str | None = LATE_DELAY) -> DataFrame:
+    """One row per video frame with its detections ``dets`` (id, box corners and, where there are any, ``pose_vec`` and
+    ``colour_vec``); gives each a stable id."""
+    found = {f.name for f in stream.schema["dets"].dataType.elementType.fields}
+    none = F.lit(None).cast("array<double>")
+    whole = F.transform("dets", lambda q: F.struct(*[
+        (q[c] if c in found else none).cast("bigint" if c == "det_id" else "array<double>" if c.endswith("_vec") else "double").alias(c)
+        for c in steps.DETECTION]))
     ddl = "video_path string, t double, links array<struct<det_id:bigint,stable_id:bigint>>"
-    linked = fold_stream(stream, ["video_path"], steps.stable_ids(steps.LinkRules(max_age=max_age)), ddl)
+    linked = fold_stream(stream.withColumn("dets", whole), ["video_path"], steps.stable_ids(steps.LinkRules(max_age=max_age)), ddl, delay=delay)
     return linked.select("video_path", "t", F.inline("links"))
 
 
+def frames_of(boxes: DataFrame, span: str, delay: str = LATE_DELAY) -> DataFrame:
+    """Detections that come one by one, gathered into frames: all of a lesson within a span of time, which is as long as a frame.
+
+    ``boxes`` has the columns of a detection, ``video_path``, ``t`` and ``at``. ``t`` is that of the frame's first row.
+    """
+    fields = [c for c in steps.DETECTION if c in boxes.columns]
+    frames = boxes.withWatermark("at", delay).groupBy("video_path", F.window("at", span).alias("w")).agg(
+        F.collect_list(F.struct(*fields)).alias("dets"), F.min("t").alias("t"))
+    return frames.select("video_path", F.window_time("w").alias("at"), "t", "dets")
+
+
 def binned_scores(
     stream: DataFrame, span: str, keys: Sequence[str] = ("situation",), delay: str = LATE_DELAY,
 ) -> DataFrame:
@@ -114,28 +131,43 @@ def flagged_sessions(stream: DataFrame, gap: str, keys: Sequence[str] = ("video_
         .select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n"))
 
 
-def late_rows(running) -> int:
-    """Rows a streaming query has left out because their instant was behind the watermark."""
-    return sum(op.numRowsDroppedByWatermark for p in running.recentProgress for op in p.stateOperators)
+class LateRows:
+    """Counts the rows a running query leaves out because their instant is behind the watermark, over all its batches."""
+
+    def __init__(self, running):
+        self.running, self.by_batch = running, {}
+
+    def count(self) -> int:
+        """Rows left out so far; call it now and then, as Spark keeps the reports of recent batches only."""
+        for p in self.running.recentProgress:
+            # a batch without rows reports under the number of the next one
+            self.by_batch[p.batchId, p.timestamp] = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        return sum(self.by_batch.values())
+
+    def to_the_end(self, every: float = 2.0) -> int:
+        """Wait until the query ends, and count."""
+        while not self.running.awaitTermination(every):
+            self.count()
+        return self.count()
 
 
-def _run_to_end(stream: DataFrame, base: str, keyed: bool) -> None:
+def _run_to_end(stream: DataFrame, base: str, keyed: bool) -> int:
     writer = (
         stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/rows")
         .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True))
     with keyed_state(stream.sparkSession) if keyed else nullcontext():
         running = writer.start()
-    running.awaitTermination()
-    late = late_rows(running)
+    late = LateRows(running).to_the_end()
     if late:
         logging.getLogger(__name__).warning("%d late rows were left out", late)
+    return late
 
 
 def drain(stream: DataFrame, name: str, keyed: bool = True) -> DataFrame:
     """Run a stream over all that is there now, into a table in the shared folder, and read the table back.
 
-    ``keyed`` is for streams with a step fold; built-in windows run on the session's own state store. Windows that the
-    watermark has not passed are not in the table; ``drain_closed`` has them too.
+    ``keyed`` is for streams with a step fold; built-in windows run on the session's own state store. Windows and rows that
+    the watermark has not passed are not in the table; ``drain_closed`` has them too.
     """
     base = scratch_path(stream.sparkSession, name)
     _run_to_end(stream, base, keyed)
@@ -143,7 +175,7 @@ def drain(stream: DataFrame, name: str, keyed: bool = True) -> DataFrame:
 
 
 def drain_closed(source: DataFrame, build: Callable[[DataFrame], DataFrame], name: str, keyed: bool = True, **mark: Column) -> DataFrame:
-    """``drain`` of ``build(source)`` with its last windows: once the source is read, a closing mark moves the watermark.
+    """``drain`` of ``build(source)`` with its last rows and windows: once the source is read, a closing mark moves the watermark.
 
     The mark is a row of NULLs at the end of all time, in a window of its own that never closes. ``mark`` names values it
     needs to get past the filters of ``build``. Rows that come after it are late.

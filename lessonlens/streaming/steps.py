@@ -1,4 +1,4 @@
-"""Step functions of the live path. Each keeps a small JSON-ready state and handles one row."""
+"""Step functions of the live path. Each keeps a small state, whose type it names, and handles one row."""
 
 from __future__ import annotations
 
@@ -11,12 +11,25 @@ from pyspark import cloudpickle
 from lessonlens.operators.linking import LinkRules, OpenTracks, link_frame
 
 
+DETECTION = ("det_id", "x1", "y1", "x2", "y2", "pose_vec", "colour_vec")
+
+
+def _typed(state: str):
+    """Name the type of a step's state in DDL."""
+    def add(step):
+        step.state = state
+        return step
+
+    return add
+
+
 def _number(v) -> float | None:
     return None if v is None or not math.isfinite(v) else float(v)
 
 
 def throttle(fps: float):
     """Let a row through when at least 1/fps has passed since the last one let through."""
+    @_typed("double")
     def step(last, row):
         t = row["t"]
         if last is None or t - last >= 1.0 / fps - 1e-9:
@@ -28,6 +41,7 @@ def throttle(fps: float):
 
 def ring_buffer(size: int):
     """Keep the last ``size`` items; ready once they are that many."""
+    @_typed("array<double>")
     def step(items, row):
         items = [*(items or []), row["item"]][-size:]
         return items, {"frame_idx": row["frame_idx"], "t": row["t"], "ready": len(items) >= size, "items": items}
@@ -40,23 +54,25 @@ def track_score(alpha: float = 0.3, every: float = 0.5, buffer: int = 1):
 
     Emits the rows on which a prediction was due: raw and smoothed score.
     """
+    @_typed("struct<n:int,smooth:double,last:double>")
     def step(state, row):
-        s = state or {"n": 0, "smooth": None, "last": None}
+        n, smooth, last = state or (0, None, None)
         t, raw = row["t"], _number(row["score"])
         if row.get("excluded"):
-            return {"n": 0, "smooth": None, "last": None}, None
-        s = {**s, "n": min(buffer, s["n"] + 1)}
-        due = s["n"] >= buffer and (s["last"] is None or t - s["last"] >= every - 1e-9)
+            return (0, None, None), None
+        n = min(buffer, n + 1)
+        due = n >= buffer and (last is None or t - last >= every - 1e-9)
         if not due or raw is None:
-            return s, None
-        smooth = raw if s["smooth"] is None else (1 - alpha) * s["smooth"] + alpha * raw
-        return {**s, "smooth": smooth, "last": t}, {"frame_idx": row["frame_idx"], "t": t, "raw_score": raw, "smooth_score": smooth}
+            return (n, smooth, last), None
+        smooth = raw if smooth is None else (1 - alpha) * smooth + alpha * raw
+        return (n, smooth, t), {"frame_idx": row["frame_idx"], "t": t, "raw_score": raw, "smooth_score": smooth}
 
     return step
 
 
 def class_average(alpha: float = 0.2):
     """Average over the class in each frame, smoothed along time."""
+    @_typed("double")
     def step(old, row):
         value = _number(row["score"])
         if value is None:
@@ -69,6 +85,7 @@ def class_average(alpha: float = 0.2):
 
 def situation_average(alpha: float = 0.15):
     """Evidence of all tracks of a video, normalised and smoothed."""
+    @_typed("array<double>")
     def step(old, row):
         raw = [float(v) for v in row["probs"]]
         total = max(1e-8, sum(raw))
@@ -85,13 +102,14 @@ def situation_average(alpha: float = 0.15):
 
 def rolling_history(window: float = 60.0, spacing: float = 0.5):
     """The values of the last minute at most every half second, clamped to the scale; missing values are kept as gaps."""
+    @_typed("array<struct<t:double,value:double>>")
     def step(state, row):
         t, value = row["t"], _number(row["score"])
         # a clock that went back starts over; else only age removes a point
         restarted = bool(state) and state[-1][0] > t
         points = [p for p in state or [] if not restarted and p[0] >= t - window]
         if not points or t >= points[-1][0] + spacing - 1e-6:
-            points.append([t, None if value is None else min(7.0, max(1.0, value))])
+            points.append((t, None if value is None else min(7.0, max(1.0, value))))
         known = [p[1] for p in points if p[1] is not None]
         return points, {"t": t, "n_points": len(points), "n_known": len(known), "mean": sum(known) / len(known) if known else None}
 
@@ -100,6 +118,7 @@ def rolling_history(window: float = 60.0, spacing: float = 0.5):
 
 def face_vote(keep: int = 8, min_matches: int = 2, min_ratio: float = 0.5):
     """Exclusion of a track by the vote over its last observations."""
+    @_typed("array<string>")
     def step(seen, row):
         seen = [*(seen or []), row["matched_name"]][-keep:]
         names = [n for n in seen if n is not None]
@@ -113,21 +132,24 @@ def face_vote(keep: int = 8, min_matches: int = 2, min_ratio: float = 0.5):
 
 
 def stable_ids(rules: LinkRules | None = None):
-    """Stable ids on a stream with one row per video frame holding its detections ``dets``: box corners, id and, where there
-    are any, ``pose_vec`` and ``colour_vec``."""
+    """Stable ids on a stream with one row per video frame holding its detections ``dets``, with the fields DETECTION; the two
+    vectors may be missing."""
     rules = rules or LinkRules(max_age=3.0)
 
+    @_typed("struct<ids:array<bigint>,boxes:array<array<double>>,poses:array<array<double>>,colours:array<array<double>>,"
+            "seen:array<double>,next:bigint>")
     def step(state, row):
         tracks = OpenTracks()
         if state is not None:
-            tracks = OpenTracks(np.array(state["ids"], np.int64), np.array(state["boxes"], float).reshape(-1, 4), state["poses"],
-                                state["colours"], np.array(state["seen"], float), state["next"])
-        dets = sorted(row["dets"], key=lambda q: q["det_id"])
+            ids, boxes, poses, colours, seen, next_id = state
+            tracks = OpenTracks(np.array(ids, np.int64), np.array(boxes, float).reshape(-1, 4), [list(p) for p in poses],
+                                [list(c) for c in colours], np.array(seen, float), next_id)
+        dets = sorted((q if isinstance(q, dict) else dict(zip(DETECTION, q)) for q in row["dets"]), key=lambda q: q["det_id"])
         boxes = np.array([[q[c] for c in ("x1", "y1", "x2", "y2")] for q in dets], float).reshape(-1, 4)
-        poses, colours = ([list(q[c] or []) if c in q else [] for q in dets] for c in ("pose_vec", "colour_vec"))
+        poses, colours = ([[float(v) for v in q.get(c) or []] for q in dets] for c in ("pose_vec", "colour_vec"))
         ids, tracks = link_frame(tracks, row["t"], boxes, poses, colours, rules)
-        kept = {"ids": tracks.ids.tolist(), "boxes": tracks.boxes.tolist(), "poses": tracks.poses, "colours": tracks.colours,
-                "seen": tracks.seen.tolist(), "next": tracks.next_id}
+        kept = (tracks.ids.tolist(), tracks.boxes.tolist(), [[float(v) for v in p] for p in tracks.poses],
+                [[float(v) for v in c] for c in tracks.colours], tracks.seen.tolist(), int(tracks.next_id))
         found = [{"det_id": int(q["det_id"]), "stable_id": int(i)} for q, i in zip(dets, ids)]
         return kept, {"t": row["t"], "links": found}
 
