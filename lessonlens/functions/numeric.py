@@ -54,3 +54,10 @@ def concordance(x: Column, y: Column) -> Column:
 
 def array_sum(values: Column, body: Callable[[Column], Column] = lambda v: v) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + body(v).cast("double"))
+
+
+def drawn(key: Column, seed: int) -> Column:
+    """A number from 0 to 2**60 - 1 drawn for a key: the first 15 hexadecimal digits of the MD5 of ``seed:key``, which other
+    engines compute alike."""
+    text = F.concat_ws(":", F.lit(str(seed)), key.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")

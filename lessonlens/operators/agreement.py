@@ -51,7 +51,7 @@ def phase_metrics(pairs: DataFrame, keys: Sequence[str] = ("phase",)) -> DataFra
     return pairs.groupBy(*keys).agg(*[parts[k].alias(k) for k in ("n", "mae", "bias", "rmse", "pearson")])
 
 
-def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, constant: float | None = None, step: float = ranks.SCORE_STEP) -> DataFrame:
+def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, constant: float | None = None, rows: int = ranks.BUCKET_ROWS) -> DataFrame:
     """Rank correlation with shared ranks for ties; ``constant`` is the answer when a side does not vary.
 
     Equal pairs are counted before ranks are attached, and the ranks come from the bucketed rank tables.
@@ -61,7 +61,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, constant: float
     pairs = clean.groupBy(*keys, "__x", "__y").agg(F.count(F.lit(1)).alias("__c"))
 
     def ranked(column: str, out: str) -> DataFrame:
-        return ranks.value_ranks(clean, keys, column, step).select(*keys, F.col("value").alias(column), ranks.average_rank().alias(out))
+        return ranks.value_ranks(clean, keys, column, rows).select(*keys, F.col("value").alias(column), ranks.average_rank().alias(out))
 
     r = pairs.join(ranked("__x", "rx"), [*keys, "__x"]).join(ranked("__y", "ry"), [*keys, "__y"])
     c = F.col("__c").cast("double")

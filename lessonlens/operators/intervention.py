@@ -114,7 +114,7 @@ def explicit_events(videos: DataFrame, start: float, end: float) -> DataFrame:
 def number_events(events: DataFrame) -> DataFrame:
     """Ids ``AB001``.. in order of video, start and end."""
     order = ["video_path", "ab_start_sec", "ab_end_sec"]
-    numbered = scans.row_index(events, [], order, "__n", F.col("video_path"))
+    numbered = scans.number_rows(events, order, "__n")
     return numbered.select(F.format_string("AB%03d", F.col("__n")).alias("event_id"), *order, "event_source")
 
 

@@ -1,28 +1,55 @@
 """Exact medians, quantiles, trimmed means and average ranks without gathering a group.
 
-Equal values are merged into counts first (combined on the map side), the distinct values are cut into value buckets,
-and a value's rank is its rank inside its bucket plus the size of the buckets below. No task holds more than one bucket.
-Keys must not be NULL.
+Equal values are merged into counts first (combined on the map side), the distinct values are cut into buckets, and a
+value's rank is its rank inside its bucket plus the size of the buckets below. The borders of the buckets are quantiles of
+the values themselves, sketched in a first pass, so a bucket holds about ``rows`` rows however close together the values
+lie, and no task holds more than one bucket. Ranks do not depend on where the borders are. Keys must not be NULL.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SCORE_STEP = 1.0 / 256.0
+BUCKET_ROWS = 200_000
+MOST_BUCKETS = 4096
+
+
+def _borders(df: DataFrame, value: str, rows: int) -> list[float]:
+    """Rising values that cut the rows into parts of about ``rows``; a few thousand numbers at most."""
+    v = F.col(value).cast("double")
+    known = df.where(v.isNotNull() & ~F.isnan(v))
+    n = known.count()
+    parts = min(MOST_BUCKETS, max(1, math.ceil(n / max(1, rows))))
+    if parts == 1:
+        return []
+    # one more shuffle-free pass; the sketch's error is a small part of a bucket
+    picked = known.agg(F.percentile_approx(v, [k / parts for k in range(1, parts)], max(10_000, 4 * parts))).first()[0]
+    return sorted({x + 0.0 for x in picked if math.isfinite(x)})
+
+
+def _bucket(value: Column, borders: list[float]) -> Column:
+    """How many borders the value reaches, by halving; NaN is above all."""
+    if not borders:
+        return F.lit(0)
+    table = F.from_json(F.lit(json.dumps(borders)), "array<double>")
+    steps = [1 << k for k in range(len(borders).bit_length() - 1, -1, -1)]
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, step: F.when(
+        F.get(table, at + step - 1) <= value.cast("double"), at + step).otherwise(at))
 
 
 def value_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, step: float = SCORE_STEP, **extra: Column,
+    df: DataFrame, keys: Sequence[str], value: str, rows: int = BUCKET_ROWS, **extra: Column,
 ) -> DataFrame:
     """One row per key and distinct value: ``value``, ``cnt``, ``below`` (rows with smaller values) and ``n``.
 
-    NULL values are left out. ``extra`` are aggregates over the rows of each distinct value. ``step`` is the bucket
-    width in units of the value and affects speed only.
+    NULL values are left out. ``extra`` are aggregates over the rows of each distinct value. ``rows`` is how many rows a bucket
+    should have and affects speed only. The borders are sketched when this is called.
     """
-    bucket = F.floor(F.col(value) / F.lit(float(step)))
+    bucket = _bucket(F.col(value), _borders(df, value, rows))
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, bucket.alias("__bucket"), F.col(value).cast("double").alias("value"))
@@ -100,20 +127,20 @@ def average_rank() -> Column:
     return F.col("below") + (F.col("cnt") + 1) / F.lit(2.0)
 
 
-def group_stats(df: DataFrame, keys: Sequence[str], value: str, step: float = SCORE_STEP, **aggs: Column) -> DataFrame:
+def group_stats(df: DataFrame, keys: Sequence[str], value: str, rows: int = BUCKET_ROWS, **aggs: Column) -> DataFrame:
     """One row per key with the requested aggregates over ``value_ranks``."""
-    ranks = value_ranks(df, keys, value, step)
+    ranks = value_ranks(df, keys, value, rows)
     return ranks.groupBy(*keys).agg(*[c.alias(name) for name, c in aggs.items()])
 
 
-def overall_quantiles(df: DataFrame, value: str, step: float = SCORE_STEP, **ps: float) -> DataFrame:
+def overall_quantiles(df: DataFrame, value: str, rows: int = BUCKET_ROWS, **ps: float) -> DataFrame:
     """One row with quantiles over all rows, NULL on none.
 
     A first pass counts the buckets; only the rows of the few buckets that hold a wanted position are ranked, so hardly
     anything is shuffled however many rows there are.
     """
-    d = df.where(F.col(value).isNotNull()).select(
-        F.floor(F.col(value) / F.lit(float(step))).alias("__bucket"), F.col(value).cast("double").alias("value"))
+    bucket = _bucket(F.col(value), _borders(df, value, rows))
+    d = df.where(F.col(value).isNotNull()).select(bucket.alias("__bucket"), F.col(value).cast("double").alias("value"))
     sizes = d.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size"))
     whole = Window.partitionBy()
     lower = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -130,9 +157,9 @@ def overall_quantiles(df: DataFrame, value: str, step: float = SCORE_STEP, **ps:
 
 
 def with_stats(
-    plain: DataFrame, df: DataFrame, keys: Sequence[str], value: str, step: float = SCORE_STEP, **aggs: Column,
+    plain: DataFrame, df: DataFrame, keys: Sequence[str], value: str, rows: int = BUCKET_ROWS, **aggs: Column,
 ) -> DataFrame:
     """Join rank-based aggregates of ``df`` to ``plain``, which holds the ordinary aggregates per key."""
     if not keys:
-        return plain.join(group_stats(df, keys, value, step, **aggs), how="left")
-    return plain.join(group_stats(df, keys, value, step, **aggs), list(keys), "left")
+        return plain.join(group_stats(df, keys, value, rows, **aggs), how="left")
+    return plain.join(group_stats(df, keys, value, rows, **aggs), list(keys), "left")

@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lessonlens.session import cut_lineage
+
 _CHUNK = "__chunk"
 
 
@@ -69,6 +71,23 @@ def row_index(
     return running_total(df, keys, order, F.lit(1).cast("bigint"), out, chunk)
 
 
+def number_rows(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Add ``out``: the 1-based position of the row among all rows, which are dealt to tasks by ranges of ``order``.
+
+    Spark draws the borders of the ranges from a sample of the rows, so the tasks are even whatever the values look like (long
+    common beginnings of names included). The dealt rows are a written table; a window numbers each range, and only the
+    sizes of the ranges, as many as there are shuffle partitions, are summed in one place.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    offsets = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.withColumn(out, place).join(F.broadcast(offsets), "__part").withColumn(out, F.col("__before") + F.col(out)).select(*df.columns, out)
+
+
 def running_max(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, out: str, chunk: Column,
 ) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
+from itertools import chain
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lessonlens.functions import boxes, pose
+from lessonlens.functions.numeric import drawn
 from lessonlens.operators import ranks, scans
 from lessonlens.operators.joins import nearest_in_time
 
@@ -110,8 +114,8 @@ def uniform_positions(n: Column, wanted: int) -> Column:
 
 
 def contiguous_positions(n: Column, wanted: int, seed: int, key: Column) -> Column:
-    """A run of ``wanted`` positions from a start drawn from the key's hash; short sequences repeat the last item."""
-    start = F.pmod(F.xxhash64(F.lit(seed), key), F.greatest(F.lit(1).cast("bigint"), n - wanted + 1)).cast("int")
+    """A run of ``wanted`` positions from a start drawn for the key; short sequences repeat the last item."""
+    start = (drawn(key, seed) % F.greatest(F.lit(1).cast("bigint"), n - wanted + 1)).cast("int")
     return F.transform(F.sequence(F.lit(0), F.lit(wanted - 1)), lambda k: F.least(start + k, n.cast("int") - 1))
 
 
@@ -205,32 +209,123 @@ def slot_samples(log: DataFrame, keys: Sequence[str], fps: float) -> DataFrame:
     return log.groupBy(*keys, slot.alias("slot")).agg(F.min(rest).alias("r")).select(*keys, "slot", "r.*")
 
 
-def rate_limited(log: DataFrame, keys: Sequence[str], step: float, chunk_width: float = 600.0) -> DataFrame:
-    """Rows emitted by a limiter that lets a row through when at least ``step`` has passed since the last one let through.
+def rate_limited(log: DataFrame, keys: Sequence[str], step: float, chunk_width: float | None = None) -> DataFrame:
+    """Rows let through by a limiter that opens when at least ``step`` has passed since the last row it let through.
 
-    After a pause of ``step`` the limiter always opens, so a key is cut at its pauses into independent bursts.
+    Which row comes next depends on the present one alone, so a row has a pointer to its successor. A key's time is cut into
+    chunks. In every chunk the pointers are followed by doubling, from each row that may be the first one let through there to
+    the last one; as a row before the chunk closes the limiter for one ``step`` at most, these are few. Only these tables are
+    walked in order, chunk by chunk. Then each chunk marks its rows from its own first one, again by doubling. So a burst without
+    a pause is as many tasks as it has chunks. Of rows with equal times the first by ``frame_idx`` counts; rows without a time
+    are left out.
     """
-    keys = list(keys)
-    pause = F.col("t") - F.col("prev_row.t") >= F.lit(step - 1e-9)
-    bursts = scans.run_ids(log, keys, ["t", "frame_idx"], pause, ["t"], scans.time_chunk("t", chunk_width), "burst")
-    bursts = bursts.drop("prev_row", "next_row")
-
-    # Sorted inside partitions by burst and time, so a burst arrives in order and page by page, never as a whole.
-    ordered = bursts.repartition(*keys, "burst").sortWithinPartitions(*keys, "burst", "t", "frame_idx")
-
-    def per_partition(pages):
-        import pandas as pd
-        last_key, last = None, None
-        for pdf in pages:
-            keep = []
-            for row in pdf[[*keys, "burst", "t"]].itertuples(index=False):
-                *key, t = row
-                if key != last_key:
-                    last_key, last = key, None
-                due = last is None or t - last >= step - 1e-9
-                keep.append(due)
-                if due:
-                    last = t
-            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
-
-    return ordered.mapInPandas(per_partition, ordered.schema).drop("burst")
+    keys, limit = list(keys), step - 1e-9
+    width = max(step, chunk_width if chunk_width is not None else 256 * step)
+    timed = log.where(F.col("t").isNotNull()).withColumn("__chunk", F.floor(F.col("t") / F.lit(float(width))))
+    cell, names = [*keys, "__chunk"], log.columns
+
+    def successors(t):
+        """The first later row of each row that is due after it; the number of rows where there is none."""
+        import numpy as np
+        after = np.searchsorted(t, t + limit, "left")
+        while True:  # t + limit is rounded: settle it by the limiter's own comparison
+            early = (after > 0) & (t[np.maximum(after - 1, 0)] - t >= limit)
+            late = (after < len(t)) & (t[np.minimum(after, len(t) - 1)] - t < limit)
+            if not (early | late).any():
+                return after
+            after = after - early + late
+
+    def last_reached(t):
+        """For each row the last one that following the pointers leads to."""
+        import numpy as np
+        after = successors(t)
+        jump = np.where(after < len(t), after, np.arange(len(t)))
+        while (jump[jump] != jump).any():
+            jump = jump[jump]
+        return jump
+
+    def reached_from(t, first):
+        """The rows that following the pointers from one row meets, by doubling."""
+        import numpy as np
+        jump, reached = np.append(successors(t), len(t)), np.array([first])
+        while (jump < len(t)).any():
+            reached = np.unique(np.append(reached, jump[reached]))
+            jump = jump[jump]
+        return reached[reached < len(t)]
+
+    def tables_of(batches):
+        import numpy as np
+        import pyarrow as pa
+        for rows, edges in whole_groups(batches, cell):
+            times, chunks, begins, ends = rows.column("t").to_numpy(), rows.column("__chunk").to_numpy(), [], []
+            for low, high in zip(edges[:-1], edges[1:]):
+                t = times[low:high]
+                t = t[np.append(True, t[1:] > t[:-1])]
+                few = min(len(t), np.searchsorted(t, chunks[low] * width + step, "right") + 1)
+                begins.append(t[:few].tolist())
+                ends.append(t[last_reached(t)[:few]].tolist())
+            heads = rows.take(edges[:-1]).select(cell)
+            yield from heads.append_column("__in", [begins]).append_column("__out", [ends]).combine_chunks().to_batches()
+
+    ddl = [timed.schema[c] for c in cell]
+    spans = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("__in", "__out")]
+    times = timed.select(*cell, F.col("t").cast("double").alias("t")).repartition(*cell).sortWithinPartitions(*cell, "t")
+    tables = times.mapInArrow(tables_of, T.StructType([*ddl, *spans]))
+
+    def walk(batches):
+        import numpy as np
+        import pyarrow as pa
+        present, last = None, None
+        for batch in batches:
+            firsts = []
+            for *key, begins, ends in zip(*[c.to_pylist() for c in batch.columns]):
+                if key[:-1] != present:
+                    present, last = key[:-1], None
+                at = 0 if last is None else int(np.argmax(np.append(np.asarray(begins) - last >= limit, True)))
+                firsts.append(begins[at] if at < len(begins) else None)
+                last = ends[at] if at < len(begins) else last
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(cell)], pa.array(firsts, pa.float64())], names=[*cell, "__first"])
+
+    # a key's tables in order, a row per chunk; they come page by page
+    walked = tables.repartition(*keys).sortWithinPartitions(*cell).mapInArrow(walk, T.StructType([*ddl, T.StructField("__first", T.DoubleType())]))
+    entered = timed.join(walked.where(F.col("__first").isNotNull()).select(*[F.col(c).alias(f"__w{i}") for i, c in enumerate(cell)], "__first"),
+                         [F.col(c).eqNullSafe(F.col(f"__w{i}")) for i, c in enumerate(cell)])
+
+    def marked(batches):
+        import numpy as np
+        for rows, edges in whole_groups(batches, cell):
+            times, firsts, kept = rows.column("t").to_numpy(), rows.column("__first").to_numpy(), []
+            for low, high in zip(edges[:-1], edges[1:]):
+                place = np.flatnonzero(np.append(True, times[low + 1:high] > times[low:high - 1]))
+                t = times[low:high][place]
+                kept.append(low + place[reached_from(t, int(np.searchsorted(t, firsts[low])))])
+            yield from rows.take(np.concatenate(kept)).select(names).combine_chunks().to_batches()
+
+    ordered = entered.select(*log.columns, "__chunk", "__first").repartition(*cell).sortWithinPartitions(*cell, "t", "frame_idx")
+    return ordered.mapInArrow(marked, log.schema)
+
+
+def whole_groups(batches, keys: Sequence[str]):
+    """Sorted Arrow batches as tables that hold whole groups of equal ``keys``, each with the borders of its groups."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    rest = None
+    for batch in chain(batches, [None]):
+        parts = [x for x in (rest, None if batch is None else pa.Table.from_batches([batch])) if x is not None and x.num_rows]
+        if not parts:
+            continue
+        rows = pa.concat_tables(parts).combine_chunks()
+        changed = np.zeros(rows.num_rows - 1, bool)
+        for key in keys:
+            codes = pc.dictionary_encode(rows.column(key).combine_chunks()).indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            changed |= codes[1:] != codes[:-1]
+        edges = np.concatenate([[0], np.flatnonzero(changed) + 1, [rows.num_rows]])
+        if batch is not None:
+            rest, edges = rows.slice(edges[-2]), edges[:-1]  # the last group may go on in the next batch
+        if len(edges) > 1:
+            yield rows.slice(0, edges[-1]), edges
+
+
+# The functions above travel with the tasks, so that workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lessonlens.functions import pose, probs
-from lessonlens.functions.numeric import half_even, score_class
+from lessonlens.functions.numeric import drawn, half_even, score_class
 from lessonlens.operators import ratings, scans
 from lessonlens.operators.segments import assemble
 from lessonlens.schemas import SCORES, SITUATIONS
@@ -36,13 +36,15 @@ def split_by_group(
 ) -> DataFrame:
     """Add ``split``; a group lies wholly on one side.
 
-    The groups are ordered by a seeded hash and the first share of them validates. Only the hash of the last validating
-    group reaches the driver, so marking the items is a projection without a join.
+    The groups are ordered by a seeded hash and the first share of them validates. The groups are numbered once, in a
+    written table; only the hash of the last validating one reaches the driver, so marking the items is a projection
+    without a join.
     """
     d = items.withColumn("split_group", group)
     if no_validation:
         return d.withColumn("split", F.lit("train"))
-    groups = d.select("split_group").distinct()
+    mark = F.struct(drawn(F.col("split_group"), seed).alias("h"), F.col("split_group").alias("g"))
+    groups = scans.number_rows(d.select("split_group").distinct().withColumn("h", mark.h), ["h", "split_group"], "n")
     total = groups.count()
     if total < 2:
         raise ValueError(f"{total} split group(s); at least 2 are required")
@@ -52,23 +54,19 @@ def split_by_group(
         if unknown:
             raise ValueError(f"unknown hold-out groups: {unknown}")
         return d.withColumn("split", F.when(F.col("split_group").isin(*holdouts), "validation").otherwise("train"))
-    hashed = groups.withColumn("h", F.xxhash64(F.lit(seed), "split_group"))
     wanted = min(max(1, round(total * val_ratio)), total - 1)
-    placed = scans.row_index(hashed, [], ["h", "split_group"], "n", F.shiftright("h", 50))
-    last = placed.where(F.col("n") == wanted).first()
-    mark = F.struct(F.xxhash64(F.lit(seed), "split_group").alias("h"), F.col("split_group").alias("g"))
+    last = groups.where(F.col("n") == wanted).first()
     border = F.struct(F.lit(last.h).cast("bigint").alias("h"), F.lit(last.split_group).alias("g"))
     return d.withColumn("split", F.when(mark <= border, "validation").otherwise("train"))
 
 
 def dataset_folds(datasets: DataFrame, folds: int = 0) -> DataFrame:
     """Whole datasets in turn to ``folds`` folds; 0 leaves one dataset out at a time."""
-    names = datasets.select("dataset_id").distinct()
-    total = names.count()
+    placed = scans.number_rows(datasets.select("dataset_id").distinct(), ["dataset_id"], "__n")
+    total = placed.count()
     k = folds or total
     if not 2 <= k <= total:
         raise ValueError("folds must be between 2 and the number of datasets")
-    placed = scans.row_index(names, [], ["dataset_id"], "__n", F.substring("dataset_id", 1, 8))
     return placed.select("dataset_id", F.pmod(F.col("__n") - 1, F.lit(k)).cast("int").alias("fold"))
 
 
@@ -115,7 +113,7 @@ def training_examples(
 
 def flips(segment: Column, seed: int) -> Column:
     """One coin per segment, so that all frames of a sequence are mirrored together."""
-    return F.pmod(F.xxhash64(F.lit(seed), segment), F.lit(2)) == 0
+    return drawn(segment, seed) % 2 == 0
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

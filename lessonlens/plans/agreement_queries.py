@@ -190,7 +190,12 @@ def m1_counts(spark, d):
                  F.count_if(F.col("a") != F.col("b")).alias("straddling"))
 
 
-@query("M1_grouped_split")
+DRAW = "CAST('0x' || substr(md5('42:' || {}), 1, 15) AS BIGINT)"
+
+
+@query("M1_grouped_split", """SELECT segment_id, split_group, CASE WHEN n <= (SELECT round_even(max(n)*0.2, 0) FROM num) THEN 'validation' ELSE 'train' END AS split FROM named JOIN num USING (split_group)""",
+       named="SELECT segment_id, printf('window:0:1:%.6f:%.6f', t_start, t_end) AS split_group FROM seg JOIN win USING (window_id)",
+       num=f"SELECT split_group, row_number() OVER (ORDER BY {DRAW.format('split_group')}, split_group) AS n FROM (SELECT DISTINCT split_group FROM named)")
 def m1(spark, d):
     return _split(spark, d).select("segment_id", "split_group", "split")
 
@@ -236,7 +241,7 @@ def m7(spark, d):
     return topology_differences(a, b, ["segment_id", "split"])
 
 
-@query("M8_sequence_flips")
+@query("M8_sequence_flips", f"SELECT segment_id, {DRAW.format('segment_id')} % 2 = 0 AS flip FROM seg")
 def m8(spark, d):
     return fx.seg(spark, d).select("segment_id", tr.flips(F.col("segment_id"), 42).alias("flip"))
 

@@ -114,10 +114,12 @@ def w15(spark, d):
         *DS, "segment_id", "n_frames", F.col("f.k").cast("bigint").alias("k"), "f.t")
 
 
-@query("W14_contiguous_sampling")
+@query("W14_contiguous_sampling", """SELECT s.segment_id, s.n AS n_frames, s.k, p.t FROM (SELECT segment_id, n, k, least(CAST('0x' || substr(md5('42:' || segment_id), 1, 15) AS BIGINT) % greatest(1, n - 4 + 1) + k, n - 1) AS i
+  FROM (SELECT segment_id, count(*) AS n FROM frames GROUP BY 1), range(0,4) AS r(k)) s JOIN pos p ON p.segment_id=s.segment_id AND p.i=s.i""", **POS)
 def w14_random(spark, d):
     built = sg.assemble(fx.frames(spark, d), 4, ["t"], seed=42)
-    return built.select("segment_id", "n_frames", F.size("sequence").alias("picked"))
+    return built.select("segment_id", "n_frames", F.explode("sequence").alias("f")).select(
+        "segment_id", "n_frames", F.col("f.k").cast("bigint").alias("k"), "f.t")
 
 
 @query("W19_animation_frames", f"""SELECT dataset_id, segment_id, clip_start, clip_end, CAST(k AS INT) AS position, t, crop_path FROM {TWO_STORES}, (

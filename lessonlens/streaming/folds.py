@@ -8,12 +8,15 @@ Rows come in any order within the watermark's delay. A key's rows wait in its st
 instant, when no earlier row can come any more; then they are folded in time order. So the result does not depend on how
 rows fall into micro-batches, and a key holds as many waiting rows as the delay spans.
 
-State is typed: each step names the type of its own state, waiting rows have the columns of the stream, and both are read
-and written once per key and batch. A state is cleared once its key has been silent for longer than its time to live.
+State is typed: each step names the type of its own state, and waiting rows have the columns the step reads. What is kept of
+a key is small, and a call to the state store costs far more than a fold over a few rows, so keys are dealt to a fixed number
+of cells by their hash, and a cell's keys and waiting rows are read and written together, once per batch. A key is
+forgotten once it has been silent for longer than its time to live.
 """
 
 from __future__ import annotations
 
+import datetime
 import sys
 from collections.abc import Callable, Sequence
 
@@ -24,7 +27,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 LATE_DELAY = "10 seconds"
 # Silence after which a key that has no shorter time to live is forgotten: no lesson pauses for a day.
 LESSON_TTL = 86_400.0
-DUE = "__due"
+DUE, AT, CELL = "__due", "__at", "__cell"
+EPOCH = datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc)
+# Cells of keys over all tasks; part of a stream's state, so it stays as it is for the life of a checkpoint.
+CELLS = 1024
 
 
 def _plain(value):
@@ -37,31 +43,36 @@ def _plain(value):
 class StepFold(StatefulProcessor):
     """``step(state, row) -> (state, output dict or None)``; ``state`` is None on a new or expired key.
 
-    ``step.state`` is the type of the state in DDL. Kept per key: the latest instant folded, when the next waiting row is due,
-    when a timer will look for silence, the step's state, and the waiting rows.
+    ``step.state`` is the type of the state in DDL, ``step.reads`` names the columns that the step reads besides ``t``. Kept per cell: when the next waiting row is due, when a timer will look for
+    silent keys, the latest instant and the step's state of every key, and the waiting rows.
     """
 
     def __init__(self, step: Callable, columns: Sequence[str], keys: Sequence[str], order: Sequence[str], ttl: float,
                  fields: Sequence[T.StructField]):
-        self.step, self.columns, self.keys, self.ttl = step, list(columns), list(keys), int(ttl * 1000)
-        self.fields = [f.name for f in fields]
-        self.due, self.order = self.fields.index(DUE), [self.fields.index(c) for c in order]
-        kept = T.StructType([T.StructField(n, T.LongType()) for n in ("seen", "due", "expires")])
+        self.step, self.columns, self.ttl = step, list(columns), int(ttl * 1000)
+        self.fields, self.keys = [f.name for f in fields], list(keys)
+        place = self.fields.index
+        self.due, self.at, self.order, self.key = place(DUE), place(AT), [place(c) for c in order], [place(c) for c in keys]
         inner = T.StructType.fromDDL(f"inner {step.state}")["inner"]
-        self.schema = kept.add(inner).add("waiting", T.ArrayType(T.StructType(list(fields))))
+        known = T.StructType([T.StructField("key", T.StructType([fields[i] for i in self.key])), T.StructField("seen", T.LongType()), inner])
+        self.schema = T.StructType([
+            T.StructField("due", T.LongType()), T.StructField("expires", T.LongType()),
+            T.StructField("known", T.ArrayType(known)), T.StructField("waiting", T.ArrayType(T.StructType(list(fields))))])
 
     def init(self, handle) -> None:
         self.handle = handle
         self.held = handle.getValueState("held", self.schema)
 
     def handleInputRows(self, key, rows, timerValues):
-        new = [tuple(_plain(r[c]) for c in self.fields) for r in rows]
-        seen, due, expires, inner, waiting = _plain(self.held.get()) or (None, None, None, None, [])
+        rows = list(rows)
+        at = [rows[0].__fields__.index(c) for c in self.fields]
+        new = [tuple([_plain(r[i]) for i in at]) for r in rows]
+        due, expires, known, waiting = _plain(self.held.get()) or (None, None, [], [])
         first = min(r[self.due] for r in new)
         if due is None or first < due:
             due = first
             self.handle.registerTimer(due)
-        self.held.update((seen, due, expires, inner, [*waiting, *new]))
+        self.held.update((due, expires, known, waiting + new))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -69,31 +80,36 @@ class StepFold(StatefulProcessor):
         if stored is None:
             return iter([])
         now = timerValues.getCurrentWatermarkInMs()
-        seen, due, expires, inner, waiting = _plain(stored)
+        due, expires, known, waiting = _plain(stored)
+        if due is not None and due > now and (expires is None or expires > now):
+            return iter([])  # the timer of rows that have been folded since
         ready = sorted((r for r in waiting if r[self.due] <= now), key=lambda r: [r[i] for i in self.order])
         rest = [r for r in waiting if r[self.due] > now]
-        out = []
+        held = {k: (seen, inner) for k, seen, inner in known}
+        out, make = [], Row(*self.columns)
         for values in ready:
+            own = tuple([values[i] for i in self.key])
+            seen, inner = held.get(own, (None, None))
             if seen is not None and values[self.due] - seen > self.ttl:
                 inner = None  # silent for longer than its time to live: the key starts anew
-            row = dict(zip(self.fields, values))
-            inner, result = self.step(inner, row)
-            seen = row[DUE]
+            inner, result = self.step(inner, dict(zip(self.fields, values)))
+            held[own] = values[self.due], inner
             if result is not None:
-                found = {**dict(zip(self.keys, key)), "at": row["at"], **result}
-                out.append(Row(**{c: found[c] for c in self.columns}))
+                found = {**dict(zip(self.keys, own)), "at": EPOCH + datetime.timedelta(microseconds=values[self.at]), **result}
+                out.append(make(*[found[c] for c in self.columns]))
         if expires is not None and expires <= now:
             expires = None
-        if not rest and (seen is None or seen + self.ttl < now):
+        known = [(k, seen, inner) for k, (seen, inner) in held.items() if seen + self.ttl >= now]
+        due = min((r[self.due] for r in rest), default=None)
+        if due is None and not known:
             self.held.clear()
             return iter(out)
-        due = min((r[self.due] for r in rest), default=None)
         if due is not None:
             self.handle.registerTimer(due)
-        if expires is None:
-            expires = max(now, seen or now) + self.ttl + 1
+        if expires is None and known:
+            expires = max(now, min(seen for _, seen, _ in known)) + self.ttl + 1
             self.handle.registerTimer(expires)
-        self.held.update((seen, due, expires, inner, rest))
+        self.held.update((due, expires, known, rest))
         return iter(out)
 
     def close(self) -> None:
@@ -114,10 +130,11 @@ def fold_stream(
     d = stream if delay is None else stream.withWatermark("at", delay)
     # the first millisecond at which the watermark has passed the row
     d = d.where(F.col("at").isNotNull()).withColumn(DUE, F.ceil(F.unix_micros("at") / 1000).cast("bigint"))
-    fields = [f for f in d.schema.fields if f.name not in keys]
-    plain = [T.StructField(f.name, f.dataType) for f in fields]
+    d = d.withColumn(AT, F.unix_micros("at"))
+    waiting = {*keys, *order, "t", DUE, AT, *step.reads}
+    plain = [T.StructField(f.name, f.dataType) for f in d.schema.fields if f.name in waiting]
     processor = StepFold(step, names, keys, order, ttl, plain)
-    return d.groupBy(*keys).transformWithState(
+    return d.select("at", *[f.name for f in plain]).withColumn(CELL, F.pmod(F.xxhash64(*keys), F.lit(CELLS))).groupBy(CELL).transformWithState(
         statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime",
         eventTimeColumnName="at" if "at" in names else "")
 

@@ -6,6 +6,7 @@ Streams have ``t`` (seconds since the lesson began) and ``at`` (the instant; see
 from __future__ import annotations
 
 import logging
+import threading
 from collections.abc import Callable, Sequence
 from contextlib import nullcontext
 
@@ -151,16 +152,37 @@ class LateRows:
         return self.count()
 
 
-def _run_to_end(stream: DataFrame, base: str, keyed: bool) -> int:
-    writer = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/rows")
-        .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True))
-    with keyed_state(stream.sparkSession) if keyed else nullcontext():
-        running = writer.start()
-    late = LateRows(running).to_the_end()
+    def while_running(self, work: Callable[[], None], every: float = 2.0) -> int:
+        """Count beside ``work``, which waits for the query."""
+        done = threading.Event()
+
+        def look() -> None:
+            while not done.wait(every):
+                self.count()
+
+        looking = threading.Thread(target=look, daemon=True)
+        looking.start()
+        try:
+            work()
+        finally:
+            done.set()
+            looking.join()
+        return self.count()
+
+
+def _writer(stream: DataFrame, base: str):
+    return (stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/rows")
+            .option("checkpointLocation", f"{base}/progress"))
+
+
+def _start(writer, spark: SparkSession, keyed: bool):
+    with keyed_state(spark) if keyed else nullcontext():
+        return writer.start()
+
+
+def _report(late: int) -> None:
     if late:
         logging.getLogger(__name__).warning("%d late rows were left out", late)
-    return late
 
 
 def drain(stream: DataFrame, name: str, keyed: bool = True) -> DataFrame:
@@ -169,9 +191,10 @@ def drain(stream: DataFrame, name: str, keyed: bool = True) -> DataFrame:
     ``keyed`` is for streams with a step fold; built-in windows run on the session's own state store. Windows and rows that
     the watermark has not passed are not in the table; ``drain_closed`` has them too.
     """
-    base = scratch_path(stream.sparkSession, name)
-    _run_to_end(stream, base, keyed)
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/rows")
+    spark = stream.sparkSession
+    base = scratch_path(spark, name)
+    _report(LateRows(_start(_writer(stream, base).trigger(availableNow=True), spark, keyed)).to_the_end())
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
 def drain_closed(source: DataFrame, build: Callable[[DataFrame], DataFrame], name: str, keyed: bool = True, **mark: Column) -> DataFrame:
@@ -187,9 +210,17 @@ def drain_closed(source: DataFrame, build: Callable[[DataFrame], DataFrame], nam
     row = spark.range(1).select(*[end.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in source.schema.fields])
     row.limit(0).write.parquet(marks)
     stream = build(source.unionByName(spark.readStream.schema(source.schema).parquet(marks)))
-    _run_to_end(stream, base, keyed)
-    row.write.mode("append").parquet(marks)
-    _run_to_end(stream, base, keyed)
+    running = _start(_writer(stream, base), spark, keyed)
+
+    def close() -> None:
+        running.processAllAvailable()
+        row.write.mode("append").parquet(marks)
+        running.processAllAvailable()  # returns when no batch is left to run, those that only move the watermark included
+
+    try:
+        _report(LateRows(running).while_running(close))
+    finally:
+        running.stop()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 

@@ -14,10 +14,10 @@ from lessonlens.operators.linking import LinkRules, OpenTracks, link_frame
 DETECTION = ("det_id", "x1", "y1", "x2", "y2", "pose_vec", "colour_vec")
 
 
-def _typed(state: str):
-    """Name the type of a step's state in DDL."""
+def _typed(state: str, *reads: str):
+    """Name the type of a step's state in DDL, and the columns that it reads besides the time."""
     def add(step):
-        step.state = state
+        step.state, step.reads = state, reads
         return step
 
     return add
@@ -29,7 +29,7 @@ def _number(v) -> float | None:
 
 def throttle(fps: float):
     """Let a row through when at least 1/fps has passed since the last one let through."""
-    @_typed("double")
+    @_typed("double", "frame_idx")
     def step(last, row):
         t = row["t"]
         if last is None or t - last >= 1.0 / fps - 1e-9:
@@ -41,7 +41,7 @@ def throttle(fps: float):
 
 def ring_buffer(size: int):
     """Keep the last ``size`` items; ready once they are that many."""
-    @_typed("array<double>")
+    @_typed("array<double>", "frame_idx", "item")
     def step(items, row):
         items = [*(items or []), row["item"]][-size:]
         return items, {"frame_idx": row["frame_idx"], "t": row["t"], "ready": len(items) >= size, "items": items}
@@ -54,7 +54,7 @@ def track_score(alpha: float = 0.3, every: float = 0.5, buffer: int = 1):
 
     Emits the rows on which a prediction was due: raw and smoothed score.
     """
-    @_typed("struct<n:int,smooth:double,last:double>")
+    @_typed("struct<n:int,smooth:double,last:double>", "frame_idx", "score", "excluded")
     def step(state, row):
         n, smooth, last = state or (0, None, None)
         t, raw = row["t"], _number(row["score"])
@@ -72,7 +72,7 @@ def track_score(alpha: float = 0.3, every: float = 0.5, buffer: int = 1):
 
 def class_average(alpha: float = 0.2):
     """Average over the class in each frame, smoothed along time."""
-    @_typed("double")
+    @_typed("double", "score")
     def step(old, row):
         value = _number(row["score"])
         if value is None:
@@ -85,7 +85,7 @@ def class_average(alpha: float = 0.2):
 
 def situation_average(alpha: float = 0.15):
     """Evidence of all tracks of a video, normalised and smoothed."""
-    @_typed("array<double>")
+    @_typed("array<double>", "frame_idx", "probs")
     def step(old, row):
         raw = [float(v) for v in row["probs"]]
         total = max(1e-8, sum(raw))
@@ -102,7 +102,7 @@ def situation_average(alpha: float = 0.15):
 
 def rolling_history(window: float = 60.0, spacing: float = 0.5):
     """The values of the last minute at most every half second, clamped to the scale; missing values are kept as gaps."""
-    @_typed("array<struct<t:double,value:double>>")
+    @_typed("array<struct<t:double,value:double>>", "score")
     def step(state, row):
         t, value = row["t"], _number(row["score"])
         # a clock that went back starts over; else only age removes a point
@@ -118,7 +118,7 @@ def rolling_history(window: float = 60.0, spacing: float = 0.5):
 
 def face_vote(keep: int = 8, min_matches: int = 2, min_ratio: float = 0.5):
     """Exclusion of a track by the vote over its last observations."""
-    @_typed("array<string>")
+    @_typed("array<string>", "frame_idx", "matched_name")
     def step(seen, row):
         seen = [*(seen or []), row["matched_name"]][-keep:]
         names = [n for n in seen if n is not None]
@@ -137,7 +137,7 @@ def stable_ids(rules: LinkRules | None = None):
     rules = rules or LinkRules(max_age=3.0)
 
     @_typed("struct<ids:array<bigint>,boxes:array<array<double>>,poses:array<array<double>>,colours:array<array<double>>,"
-            "seen:array<double>,next:bigint>")
+            "seen:array<double>,next:bigint>", "dets")
     def step(state, row):
         tracks = OpenTracks()
         if state is not None:

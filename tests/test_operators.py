@@ -26,14 +26,14 @@ def test_trimmed_mean(rows, n, expected):
     assert ranks.group_stats(df, [], "v", m=ranks.trimmed_mean(0.1)).first().m == expected
 
 
-@pytest.mark.parametrize("step", [0.01, 1.0, 1000.0])
-def test_ranks_match_plain_statistics(rows, step):
+@pytest.mark.parametrize("per_bucket", [2, 40, 10**6])
+def test_ranks_match_plain_statistics(rows, per_bucket):
     rng = random.Random(3)
     data = [(g, round(rng.gauss(0, 3), 2)) for g in "abc" for _ in range({"a": 300, "b": 7, "c": 1}[g])]
     data += [("a", 1.0)] * 150
     df = rows(data, "g string, v double")
     out = {r.g: r for r in ranks.group_stats(
-        df, ["g"], "v", step, mid=ranks.median(), q=ranks.quantile(0.9), up=ranks.upper_median(), t=ranks.trimmed_mean(0.1),
+        df, ["g"], "v", per_bucket, mid=ranks.median(), q=ranks.quantile(0.9), up=ranks.upper_median(), t=ranks.trimmed_mean(0.1),
         sd=ranks.deviation(0.0), mean=ranks.mean(), low=ranks.share_at_most(0.0)).collect()}
     for g in "abc":
         v = sorted(x for k, x in data if k == g)
@@ -697,11 +697,11 @@ def test_running_total_over_two_levels(rows):
         assert [out[i] for _t, i in mine] == list(range(1, len(mine) + 1))
 
 
-@pytest.mark.parametrize("step", [0.01, 3.0])
-def test_overall_quantiles(rows, step):
+@pytest.mark.parametrize("per_bucket", [3, 10**6])
+def test_overall_quantiles(rows, per_bucket):
     rng = random.Random(12)
     v = sorted([round(rng.gauss(0, 5), 1) for _ in range(331)] + [2.0] * 200)
-    r = ranks.overall_quantiles(rows([(x,) for x in v], "v double"), "v", step, a=0.1, b=0.5, c=1.0).first()
+    r = ranks.overall_quantiles(rows([(x,) for x in v], "v double"), "v", per_bucket, a=0.1, b=0.5, c=1.0).first()
     pos = 0.1 * (len(v) - 1)
     assert r.a == pytest.approx(v[math.floor(pos)] + (v[math.ceil(pos)] - v[math.floor(pos)]) * (pos % 1))
     assert r.b == statistics.median(v) and r.c == v[-1]
@@ -718,6 +718,46 @@ def test_one_key_with_a_third_of_all_rows(spark):
     assert r.m == pytest.approx(sorted(x.v for x in df.where("k = 0").collect())[4999], abs=0.01)
 
 
+def test_values_close_together_are_spread(spark):
+    """A million distinct values within 0.003, one key's among them: no bucket has more than a few times the rows asked for."""
+    df = spark.range(1_000_000).select((F.col("id") % 3).alias("k"), (3.0 + F.col("id") * 3e-9).alias("v"))
+    borders = ranks._borders(df, "v", 20_000)
+    sizes = df.groupBy(ranks._bucket(F.col("v"), borders).alias("b")).count().collect()
+    assert len(sizes) >= 50 and max(r["count"] for r in sizes) <= 40_000
+    r = ranks.group_stats(df, ["k"], "v", 20_000, m=ranks.median(), n=F.max("n")).where("k = 0").first()
+    assert r.n == 333_334 and r.m == pytest.approx(3.0 + 3e-9 * 499_999.5, abs=1e-12)
+
+
+def test_buckets_know_every_value(rows):
+    values_ = [float("-inf"), -1e300, -0.0, 0.0, 0.1, 2.5, 1e300, float("inf"), float("nan")]
+    out = rows([(v,) for v in values_], "v double").select(ranks._bucket(F.col("v"), [-1.0, 0.0, 0.1, 2.5, 3.0])).collect()
+    assert [r[0] for r in out] == [0, 0, 2, 2, 3, 4, 5, 5, 5]
+
+
+def test_rows_are_numbered_by_ranges(spark):
+    """Names with a long common beginning fall into many ranges, and numbers are whole."""
+    names = spark.range(5000).select(F.concat(F.lit("lesson_of_the_school_in_the_town_"), F.lpad(F.expr("pmod(hash(id), 100000)").cast("string"), 6, "0")).alias("name"), "id")
+    got = scans.number_rows(names, ["name", "id"], "n").collect()
+    assert [r.n for r in sorted(got, key=lambda r: (r.name, r.id))] == list(range(1, 5001))
+    assert scans.number_rows(names.where("id < 0"), ["name"], "n").collect() == []
+    assert names.repartitionByRange(8, "name").select(F.spark_partition_id().alias("p")).groupBy("p").count().where("count > 1500").isEmpty()
+
+
+@pytest.mark.parametrize("width", [None, 1.0, 3.7, 1e6])
+def test_limiter_follows_pointers(rows, width):
+    """The limiter equals the plain one whatever the chunks; bursts, ties, pauses and NULL keys included."""
+    rng = random.Random(8)
+    data = [(k, i, round(rng.uniform(0, 60) // 20 * 30 + rng.uniform(0, 14), 1)) for k in ("a", "b", None) for i in range(400)]
+    data += [("c", 0, -2.5), ("c", 1, -2.0), ("c", 2, -1.2), ("d", 0, 1.0)]
+    got = values(sg.rate_limited(rows(data, "k string, frame_idx int, t double"), ["k"], 0.9, width).fillna("none"), "k", "frame_idx", "t")
+    want, last = [], {}
+    for k, i, t in sorted(data, key=lambda r: (r[2], r[1])):
+        if k not in last or t - last[k] >= 0.9 - 1e-9:
+            last[k] = t
+            want.append((k or "none", i, t))
+    assert got == sorted(want)
+
+
 @pytest.mark.parametrize("alpha", [0.5, 1.0])
 def test_averages_pass_over_nulls(rows, alpha):
     data = [("a", float(i), v) for i, v in enumerate([None, 4.0, None, 8.0, None, None, 2.0])]
