@@ -25,6 +25,12 @@ def without(df: DataFrame, names: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in gone]
 
 
+def numbered(df: DataFrame, known: tuple[str, ...]) -> DataFrame:
+    """``df`` with numbers for the names of all columns but ``known``, so that no name can clash with one inside an operator.
+    ``out.toDF(*df.columns)`` gives the names back."""
+    return df.toDF(*[c if c in known else f"x{i}" for i, c in enumerate(df.columns)])
+
+
 def schema_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lessonlens.llm.batches import slices
+from lessonlens.llm.batches import numbered, slices
 from lessonlens.llm.components import components
 from lessonlens.llm.words import blocks, rolling
 from lessonlens.session import cut_lineage
@@ -259,5 +259,6 @@ def one_of_each(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
     Rows without an id stay; rows that repeat the id that stays, stay with it.
     """
-    gone = cut_lineage(near_copies(docs, join).where("doc_id != class_id").select(F.col("doc_id").alias("gone_")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("gone_"), "left_anti")
+    rows = numbered(docs, ("doc_id", "text"))
+    gone = cut_lineage(near_copies(rows, join).where("doc_id != class_id").select(F.col("doc_id").alias("gone_")).distinct())
+    return rows.join(gone, F.col("doc_id") == F.col("gone_"), "left_anti").toDF(*docs.columns)

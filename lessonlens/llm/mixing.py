@@ -22,9 +22,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lessonlens.llm.batches import named, slices, with_text_columns
+from lessonlens.llm.batches import named, numbered, slices, with_text_columns
 from lessonlens.llm.words import blocks
 from lessonlens.session import cut_lineage
 
@@ -33,13 +33,14 @@ GOLDEN = 0.6180339887498949
 
 @dataclass(frozen=True)
 class Mix:
-    """``block_tokens``: length of a block; ``chunks``: hash ranges of a source; ``slot_chunk``: slots ranked together."""
+    """``block_tokens``: length of a block; ``chunk_rows``: documents of a source that are put on its line together;
+    ``slot_chunk``: slots ranked together."""
 
     weights: tuple[int, ...] = (3, 1, 2)
     share: float = 1.5
     most: int = 2
     block_tokens: int = 2048
-    chunks: int = 1024
+    chunk_rows: int = 16_384
     slot_chunk: int = 8192
     cells: int = 1024
     seed: str = "mix"
@@ -71,10 +72,19 @@ def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
         .otherwise(F.col("at") * F.col("w")).alias("target"))
 
 
+def line_order(mix: Mix) -> Column:
+    """The place of a document on its source's line: a hash of its id and its text, so that rows without an id spread as well."""
+    text = F.concat(F.lit(mix.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def documents_on_line(docs: DataFrame, keys: list[str], mix: Mix) -> DataFrame:
-    """(keys..., source, size) with ``begin``, the tokens of its source before it in the order shuffled by a hash."""
-    order = F.conv(F.substring(F.md5(F.concat(F.lit(mix.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
-    placed = docs.withColumn("order_", order).withColumn("chunk", F.shiftright("order_", 60 - (mix.chunks - 1).bit_length()))
+    """(keys..., source, size, order_) with ``begin``, the tokens of its source before it in the order of ``order_``.
+
+    The line is cut into hash ranges, as many as the number of rows asks for.
+    """
+    chunks = max(1, -(-docs.count() // mix.chunk_rows))
+    placed = docs.withColumn("chunk", F.shiftright("order_", 60 - (chunks - 1).bit_length()))
     sums = placed.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
     before = W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("source", "chunk", F.coalesce(F.sum("chunk_size").over(before), F.lit(0)).alias("chunk_begin"))
@@ -82,7 +92,7 @@ def documents_on_line(docs: DataFrame, keys: list[str], mix: Mix) -> DataFrame:
     placed = placed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     sums = sums.select(F.col("source").alias("s_"), F.col("chunk").alias("c_"), "chunk_begin")
     placed = placed.join(sums, placed.source.eqNullSafe(sums.s_) & (placed.chunk == sums.c_))
-    return placed.withColumn("begin", F.col("inner") + F.col("chunk_begin")).drop("s_", "c_", "inner", "chunk_begin", "order_", "chunk")
+    return placed.withColumn("begin", F.col("inner") + F.col("chunk_begin")).drop("s_", "c_", "inner", "chunk_begin", "chunk")
 
 
 def schedule(targets: DataFrame, mix: Mix) -> DataFrame:
@@ -125,11 +135,11 @@ def schedule(targets: DataFrame, mix: Mix) -> DataFrame:
                          F.least(size.cast("long"), F.col("source_size") - F.col("block") * size, left).alias("tokens"))
 
 
-def mixed(docs: DataFrame, keys: list[str], mix: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
-    """(keys..., source, size) -> (takes, targets).
+def mixed_pieces(docs: DataFrame, keys: list[str], mix: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
+    """(keys..., source, size, order_) -> (pieces, targets): the mix slot by slot, and (source, source_size, target).
 
-    Takes are (keys..., source, size, begin, pass, got) for every document and pass: the pass takes the document's first
-    ``got`` words. Documents that give nothing have one row with ``got`` 0. Targets are (source, source_size, target).
+    A piece is what a slot takes of one document: (slot, source, pass, block, keys..., size, begin, place, first_word, words),
+    ``place`` being where it stands in the slot. Ordered by slot and place, the pieces are the mixed corpus.
     """
     docs = cut_lineage(docs)
     sizes = docs.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
@@ -139,27 +149,58 @@ def mixed(docs: DataFrame, keys: list[str], mix: Mix = Mix()) -> tuple[DataFrame
     cut = F.lit(mix.block_tokens)
     pieces = placed.withColumn("block", F.explode(F.sequence(
         F.floor(F.col("begin") / cut), F.floor((F.col("begin") + F.col("size") - 1) / cut))))
-    pieces = pieces.withColumn("from_", F.greatest(F.col("begin") - F.col("block") * cut, F.lit(0)))
+    pieces = pieces.withColumn("place", F.greatest(F.col("begin") - F.col("block") * cut, F.lit(0)))
     pieces = pieces.withColumn("to_", F.least(F.col("begin") + F.col("size") - F.col("block") * cut, cut.cast("long")))
-    uses = slots.select(F.col("source").alias("s_"), F.col("block").alias("b_"), "pass", "tokens")
-    met = F.col("source").eqNullSafe(F.col("s_")) & (F.col("block") == F.col("b_")) & (F.col("tokens") > F.col("from_"))
-    pieces = pieces.join(uses, met, "left")
-    got = F.when(F.col("tokens").isNull(), 0).otherwise(F.least(F.col("to_"), F.col("tokens")) - F.col("from_"))
-    takes = pieces.groupBy(*keys, "source", "size", "begin", "pass").agg(F.sum(got).alias("got"))
-    nothing = docs.where("size = 0").select(*keys, "source", "size", F.lit(None).cast("long").alias("begin"),
-                                            F.lit(None).cast("long").alias("pass"), F.lit(0).cast("long").alias("got"))
-    return takes.unionByName(nothing), targets
+    uses = slots.select("slot", F.col("source").alias("s_"), F.col("block").alias("b_"), "pass", "tokens")
+    met = F.col("source").eqNullSafe(F.col("s_")) & (F.col("block") == F.col("b_")) & (F.col("tokens") > F.col("place"))
+    return pieces.join(uses, met).select(
+        "slot", "source", "pass", "block", *keys, "size", "begin", "place",
+        (F.col("block") * cut + F.col("place") - F.col("begin")).alias("first_word"),
+        (F.least(F.col("to_"), F.col("tokens")) - F.col("place")).alias("words")), targets
+
+
+def mixed(docs: DataFrame, keys: list[str], mix: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
+    """(keys..., source, size, order_) -> (takes, targets).
+
+    Takes are (keys..., source, size, begin, pass, got, slot) for every document and pass that takes some of it: the pass takes the
+    document's first ``got`` words, and ``slot`` is the first one that does. Targets are (source, source_size, target).
+    """
+    pieces, targets = mixed_pieces(docs, keys, mix)
+    return pieces.groupBy(*keys, "source", "size", "begin", "pass").agg(F.sum("words").alias("got"), F.min("slot").alias("slot")), targets
+
+
+def _sized(docs: DataFrame, keep: list[str], mix: Mix) -> DataFrame:
+    return with_text_columns(docs.withColumn("order_", line_order(mix)), "text", "size long", word_counts, [*keep, "source", "order_"])
 
 
 def mix_report(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The columns of the query: (doc_id, size, source_size, target, taken), one row per document."""
-    sized = with_text_columns(docs.select("doc_id", "text", "source"), "text", "size long", word_counts, ["doc_id", "source"])
-    takes, targets = mixed(sized, ["doc_id"], mix)
-    some = takes.where("size > 0").groupBy("doc_id", "source", "size", "begin").agg(F.sum("got").alias("taken"))
-    none = takes.where("size = 0").select("doc_id", "source", "size", "begin", F.col("got").alias("taken"))
+    """The columns of the query: (doc_id, size, source_size, target, taken), one row per document, and ``first_slot``, the slot of
+    the schedule at which the mix first comes to the document (null where it does not)."""
+    marked = _sized(docs.select("doc_id", "text", "source"), ["doc_id"], mix).withColumn("row_", F.monotonically_increasing_id())
+    marked = cut_lineage(marked)
+    takes, targets = mixed(marked, ["doc_id", "row_"], mix)
+    some = takes.groupBy(F.col("row_").alias("r_")).agg(F.sum("got").alias("got"), F.min("slot").alias("first_slot"))
     targets = targets.withColumnRenamed("source", "s_")
-    return some.unionByName(none).join(targets, F.col("source").eqNullSafe(F.col("s_"))).select(
-        "doc_id", "size", "source_size", "target", "taken")
+    rows = marked.join(some, F.col("row_") == F.col("r_"), "left")
+    return rows.join(targets, F.col("source").eqNullSafe(F.col("s_"))).select(
+        "doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"), "first_slot")
+
+
+def mixed_corpus(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The mixed corpus in pieces: (slot, place, source, pass, block, doc_id, first_word, words, text), to be read by slot and place.
+    The text of a piece is its words with single blanks between."""
+    keyed = cut_lineage(docs.select("doc_id", "text", "source").withColumn("row_", F.monotonically_increasing_id()))
+    pieces, _ = mixed_pieces(_sized(keyed, ["doc_id", "row_"], mix), ["doc_id", "row_"], mix)
+    texts = keyed.select(F.col("row_").alias("r_"), F.col("text").cast("binary").alias("text"))
+    joined = pieces.join(texts, F.col("row_") == F.col("r_")).select(
+        "slot", "place", "source", "pass", "block", "doc_id", "first_word", "words", "text")
+
+    def run(batches):
+        for batch in slices(batches, 8):
+            parts = [b" ".join((text or b"").split()[first:first + n]) for first, n, text in zip(*[c.to_pylist() for c in batch.columns[6:]])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:8], pa.array(parts, pa.binary())], names=batch.schema.names)
+
+    return joined.mapInArrow(run, joined.schema).withColumn("text", F.col("text").cast("string"))
 
 
 def first_words(column: pa.Array, counts: pa.Array) -> pa.Array:
@@ -177,15 +218,16 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     Rows equal in all columns take what the first of them takes.
     """
+    given = docs.columns
+    docs = numbered(docs, ("doc_id", "text", "source"))
     names = docs.columns
     row = F.xxhash64(*[named(c) for c in names])
-    keyed = docs.select(named("doc_id").alias("doc_id"), "text", "source", row.alias("row_"))
-    sized = with_text_columns(keyed, "text", "size long", word_counts, ["doc_id", "source", "row_"])
+    sized = _sized(docs.select("doc_id", "text", "source", row.alias("row_")), ["doc_id", "row_"], mix)
     takes, _ = mixed(sized, ["doc_id", "row_"], mix)
-    takes = takes.where("got > 0").groupBy(F.col("doc_id").alias("i_"), F.col("row_").alias("r_"), "size", "pass").agg(F.min("got").alias("got_"))
+    takes = takes.groupBy(F.col("doc_id").alias("i_"), F.col("row_").alias("r_"), "size", "pass").agg(F.min("got").alias("got_"))
     whole = docs.withColumn("row_", row).join(takes, F.col("doc_id").eqNullSafe(F.col("i_")) & (F.col("row_") == F.col("r_")))
     whole = whole.select(*[named(c) for c in names], F.when(F.col("got_") < F.col("size"), F.col("got_")).alias("cut_"))
-    return _cut(whole, names)
+    return _cut(whole, names).toDF(*given)
 
 
 def _cut(rows: DataFrame, names: list[str]) -> DataFrame:

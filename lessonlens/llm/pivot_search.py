@@ -12,7 +12,8 @@ the result.
 
 Defined cases: null vectors, vectors with null or non-finite components, and rows without an id take no part; rows that
 repeat an id count once, with the least vector; vectors of different lengths never meet; ties go to the smaller id; a
-query with fewer than k candidates gives them all; an empty table gives an empty result; other columns are not read.
+query with fewer than k candidates gives them all; a score among the best that does not fit 64 bits is an error that names the
+vectors; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -96,6 +97,8 @@ def search_block(ids: np.ndarray, v: np.ndarray, near: np.ndarray, q_ids: np.nda
             best = sorted(best + [(-int(scores[j]), int(ids[part[j]])) for j in keep])[:search.k]
             at, step = at + step, step * 2
         for score, vec_id in best:
+            if not -2**63 < score <= 2**63:
+                raise ValueError(f"the score of vectors {int(q_ids[i])} and {vec_id} does not fit 64 bits")
             yield int(q_ids[i]), vec_id, -score
 
 

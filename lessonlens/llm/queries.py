@@ -42,7 +42,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_mixing", """
 WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-                      ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS ord FROM documents),
+                      ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS ord FROM documents),
 src AS (SELECT source, sum(size)::DOUBLE AS s, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)] AS w
         FROM sized GROUP BY source),
 lev AS (SELECT *, 2 * s AS lim, ((SELECT sum(s) FROM src) * 1.5 - coalesce(sum(2 * s) OVER below, 0)) / sum(w) OVER rest AS level FROM src
@@ -51,10 +51,20 @@ lev AS (SELECT *, 2 * s AS lim, ((SELECT sum(s) FROM src) * 1.5 - coalesce(sum(2
 cutoff AS (SELECT (SELECT level FROM lev WHERE level * w <= lim ORDER BY lim / w LIMIT 1) AS level),
 tgt AS (SELECT source, s, CASE WHEN cutoff.level IS NULL OR cutoff.level * w > lim THEN lim ELSE cutoff.level * w END AS target FROM lev, cutoff),
 line AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
-         FROM sized)
-SELECT doc_id, size::BIGINT AS size, s::BIGINT AS source_size, target,
-       (least(greatest(floor(target + 0.5) - b, 0), size) + least(greatest(floor(target + 0.5) - s - b, 0), size))::BIGINT AS taken
-FROM line JOIN tgt ON line.source IS NOT DISTINCT FROM tgt.source""")
+         FROM sized),
+plan AS (SELECT *, sum(need) OVER (ORDER BY source IS NULL, source) AS upto, sum(need) OVER () AS total FROM (
+  SELECT *, (goal // s) * ceil(s / 2048)::BIGINT + ceil((goal % s) / 2048)::BIGINT AS need
+  FROM (SELECT source, s::BIGINT AS s, floor(target + 0.5)::BIGINT AS goal FROM tgt) WHERE s > 0 AND goal > 0)),
+point AS (SELECT range AS slot, range * 0.6180339887498949::DOUBLE - floor(range * 0.6180339887498949::DOUBLE) AS point FROM range((SELECT max(total) FROM plan)::BIGINT)),
+drawn AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+          FROM point JOIN plan ON point >= (upto - need)::DOUBLE / total::DOUBLE AND point < upto::DOUBLE / total::DOUBLE),
+got AS (SELECT source, count(*) AS got FROM drawn GROUP BY source),
+slots AS (SELECT d.source, slot, rank FROM drawn d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source WHERE rank < need UNION ALL
+          SELECT source, total + upto - need + rank, rank FROM (SELECT p.*, unnest(range(coalesce(got, 0), need)) AS rank FROM plan p LEFT JOIN got g ON p.source IS NOT DISTINCT FROM g.source)),
+took AS (SELECT line.*, s, target, least(greatest(floor(target + 0.5) - b, 0), size) + least(greatest(floor(target + 0.5) - s - b, 0), size) AS taken
+         FROM line JOIN tgt ON line.source IS NOT DISTINCT FROM tgt.source)
+SELECT doc_id, size::BIGINT AS size, s::BIGINT AS source_size, target, taken::BIGINT AS taken, slot::BIGINT AS first_slot
+FROM took LEFT JOIN slots ON took.source IS NOT DISTINCT FROM slots.source AND rank = b // 2048 AND taken > 0""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 

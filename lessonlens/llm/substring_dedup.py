@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lessonlens.llm.batches import named, slices
+from lessonlens.llm.batches import named, numbered, slices
 from lessonlens.llm.words import Block, blocks, covered, mix, rolling, window_mask
 from lessonlens.session import cut_lineage
 
@@ -250,6 +250,8 @@ def without_repeats(docs: DataFrame, r: Repeats = Repeats()) -> DataFrame:
 
     Documents without a word left go.
     """
+    given = docs.columns
+    docs = numbered(docs, ("doc_id", "text"))
     names = docs.columns
     others = [c for c in names if c not in ("doc_id", "text")]
     source, starts = _starts(docs, r, others)
@@ -272,4 +274,4 @@ def without_repeats(docs: DataFrame, r: Repeats = Repeats()) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(full, pa.bool_()))
 
     out = judged.mapInArrow(run, judged.drop("__starts").schema)
-    return out.select(*[named(c).cast("string").alias(c) if c == "text" else named(c) for c in names])
+    return out.select(*[named(c).cast("string").alias(c) if c == "text" else named(c) for c in names]).toDF(*given)

@@ -35,10 +35,12 @@ RECORDS = "page_id long, record_type string, url string, payload_digest string,
 
 @dataclass(frozen=True)
 class Archive:
-    """``records_per_file`` keeps files at a size one task can read whole."""
+    """``records_per_file`` and ``file_bytes``, which the largest page must not pass so many times over, keep files at a size that one
+    task can read whole."""
 
     min_bytes: int = 0
     records_per_file: int = 4000
+    file_bytes: int = 1 << 29
     codec: str = "gzip"
     prefix: str = "urn:page:"
 
@@ -50,33 +52,38 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), HEX_32, BASE_32)
 
 
-def resolved(pages: DataFrame, archive: Archive) -> DataFrame:
-    """(page_id, url, html, payload_digest, payload_bytes, original): the page id of the response for each payload."""
+def resolved(pages: DataFrame, archive: Archive) -> tuple[DataFrame, int]:
+    """(page_id, url, html, payload_digest, payload_bytes, original), the page id of the response for each payload; and the bytes
+    of the largest payload."""
     page = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     page = page.withColumn("payload_digest", base32_sha1(F.col("html").cast("binary")))
     page = page.withColumn("payload_bytes", F.octet_length("html").cast("long"))
     first = cut_lineage(page.groupBy(F.col("payload_digest").alias("d_"), F.col("payload_bytes").alias("b_"))
                         .agg(F.max("page_id").alias("original")))
-    return page.join(first, (F.col("payload_digest") == F.col("d_")) & (F.col("payload_bytes") == F.col("b_"))).drop("d_", "b_")
+    rows = page.join(first, (F.col("payload_digest") == F.col("d_")) & (F.col("payload_bytes") == F.col("b_"))).drop("d_", "b_")
+    return rows, first.agg(F.max("b_")).first()[0] or 0
 
 
 def write_archives(pages: DataFrame, path: str, archive: Archive = Archive()) -> None:
-    rows = resolved(pages, archive)
+    rows, largest = resolved(pages, archive)
     revisit = (F.col("payload_bytes") >= archive.min_bytes) & ~F.col("page_id").eqNullSafe(F.col("original"))
-    uri = lambda c: F.concat(F.lit(f"<{archive.prefix}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+    # a response is named by its page and payload, so that revisits can refer to it; a revisit has a number of its own as well
+    uri = lambda c, more: F.concat(F.lit(f"<{archive.prefix}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(":"), F.col("payload_digest"), more, F.lit(">"))
+    own = F.when(revisit, F.concat(F.lit(":"), F.monotonically_increasing_id().cast("string"))).otherwise("")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
                     F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
     length = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("payload_bytes"))
     url = F.concat(F.lit("WARC-Target-URI: "), F.translate("url", "\r\n", "  "), F.lit("\r\n"))
-    refers = F.concat(F.lit("WARC-Refers-To: "), uri(F.col("original")), F.lit(f"\r\nWARC-Profile: {REVISIT_PROFILE}\r\n"))
+    refers = F.concat(F.lit("WARC-Refers-To: "), uri(F.col("original"), F.lit("")), F.lit(f"\r\nWARC-Profile: {REVISIT_PROFILE}\r\n"))
     record = F.concat(
         F.lit(f"{VERSION}\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: "), uri(F.col("page_id")), F.lit("\r\n"), F.coalesce(url, F.lit("")),
-        F.lit("WARC-Date: "), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.lit("\r\nWARC-Record-ID: "), uri(F.col("page_id"), own), F.lit("\r\n"), F.coalesce(url, F.lit("")),
+        F.lit("WARC-Date: "), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("payload_digest"), F.lit("\r\n"), F.when(revisit, refers).otherwise(""),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), length.cast("string"), F.lit("\r\n\r\n"),
         http, F.when(revisit, "").otherwise(F.col("html")), F.lit("\r\n"))
-    (rows.select(record.alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", archive.records_per_file)
+    per_file = max(1, min(archive.records_per_file, archive.file_bytes // (largest + 4096)))
+    (rows.select(record.alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", per_file)
      .option("compression", archive.codec).text(path))
 
 
@@ -99,7 +106,7 @@ def read_archives(spark: SparkSession, path: str, archive: Archive = Archive(),
     names = [f.split()[0] for f in RECORDS.split(", ")]
 
     def page_id(value: str | None) -> int | None:
-        digits = (value or "").strip("<>").removeprefix(archive.prefix)
+        digits = (value or "").strip("<>").removeprefix(archive.prefix).partition(":")[0]
         return int(digits) if digits else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -170,6 +170,21 @@ def test_clashing_columns(spark):
     assert quality_rules.keep_good(df).columns == df.columns
 
 
+def test_any_column_name_is_carried(spark):
+    """The rows that stay keep the values of columns that are called like the operators' own."""
+    inner = ["size", "pass", "cut_", "row_", "gone_", "__starts", "starts", "source_size", "begin", "block", "slot", "i_", "r_", "got_", "a.b", "d_", "x0",
+             "order_", "words", "digest", "text_", "c0", "m0", "kept"]
+    data = [(i, " ".join(f"w{i}x{k}" for k in range(70)), "s", *[f"{i}{n}" for n in inner]) for i in range(6)]
+    data.append((9, data[0][1], "s", *[f"9{n}" for n in inner]))
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in inner))
+    rest = {i: tuple(r) for i, _, _, *r in data}
+    for out, ids in ((jaccard_join.one_of_each(df), range(6)), (substring_dedup.without_repeats(df), range(6)), (mixing.mix_documents(df), None)):
+        rows_ = out.collect()
+        assert out.columns == df.columns and len(rows_) > 3
+        assert all(tuple(r)[3:] == rest[r["doc_id"]] for r in rows_)
+        assert ids is None or sorted(r["doc_id"] for r in rows_) == list(ids)
+
+
 # --- 10
 
 
@@ -189,7 +204,7 @@ def test_mixing(docs, none):
         if not over:
             break
         capped |= over
-    mix = mixing.Mix(block_tokens=64, chunks=16, slot_chunk=50, cells=8)
+    mix = mixing.Mix(block_tokens=64, chunk_rows=5, slot_chunk=50, cells=8)
     got = mixing.mix_report(docs, mix).collect()
     assert len(got) == len(rows)
     by_id = {i: (len(split(t)), s) for i, t, _, s, _ in rows}
@@ -223,6 +238,21 @@ def test_mixed_documents(docs, spark):
     mix = mixing.Mix(block_tokens=64)
     report = {r["doc_id"]: r["taken"] for r in mixing.mix_report(plain, mix).collect()}
     out = mixing.mix_documents(plain, mix)
+    corpus_ = sorted(mixing.mixed_corpus(plain, mix).collect(), key=lambda r: (r["slot"], r["place"]))
+    whole = {r["doc_id"]: split(r["text"]) for r in plain.collect()}
+    got_ = Counter()
+    for r in corpus_:
+        assert split(r["text"]) == whole[r["doc_id"]][r["first_word"]:r["first_word"] + r["words"]] and r["words"] > 0
+        got_[r["doc_id"]] += r["words"]
+    assert got_ == Counter({i: n for i, n in report.items() if n})
+    by_slot = Counter()
+    for r in corpus_:
+        by_slot[r["slot"]] += r["words"]
+    assert max(by_slot.values()) <= 64
+    first = {}
+    for r in corpus_:
+        first.setdefault(r["doc_id"], r["slot"])
+    assert {r["doc_id"]: r["first_slot"] for r in mixing.mix_report(plain, mix).collect() if r["taken"]} == first
     assert out.columns == docs.columns
     taken = defaultdict(int)
     whole = {r[0]: r[1] for r in corpus()}
@@ -314,6 +344,28 @@ def test_token_counts(docs, none):
 # --- 5
 
 
+def test_archive_times_names_and_file_sizes(spark, tmp_path):
+    """Dates are in UTC whatever the session's zone; names of revisits are unique; a file holds a bounded number of bytes."""
+    import datetime
+
+    pages = [(i, f"http://h/{i}", "same" if i < 40 else "x" * (1000 + i)) for i in range(60)] + [(3, "http://h/3", "same")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        warc.write_archives(df, str(tmp_path / "w"), warc.Archive(codec="none", file_bytes=60_000))
+        now = datetime.datetime.now(datetime.timezone.utc)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    files = [f.read_bytes() for f in (tmp_path / "w").glob("part-*")]
+    assert len(files) >= 4 and max(map(len, files)) < 60_000
+    names = re.findall(rb"WARC-Record-ID: (\S+)", b"".join(files))
+    assert len(names) == 61 and len(set(names)) == 61
+    dates = {datetime.datetime.fromisoformat(d.decode()) for d in re.findall(rb"WARC-Date: (\S+)", b"".join(files))}
+    assert all(abs((now - d).total_seconds()) < 600 for d in dates)
+    assert set(re.findall(rb"WARC-Refers-To: (\S+)", b"".join(files))) <= set(names)
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "http://a/", "<p>one"), (2, "http://b/\r\nX: y", "<p>one"), (3, None, None), (4, "u", ""), (5, "u", "WARC/1.1\r\nWARC-Type: x\r\n\r\n" * 3),
              (6, "u", "é\r\n\r\n"), (7, "u", "<p>one"), (8, "u", "long " * 5000), (9, "u", "last"), (9, "u", "last"), (None, "u", "<p>one")]
@@ -590,3 +642,16 @@ def test_pipeline_stages(spark, docs):
             total = sum(len(split(r["text"])) for r in taken)
             assert abs(total - 1.5 * sum(map(len, left.values()))) <= 3
     assert df.selectExpr("count(distinct doc_id) n").first()["n"] == len({r["doc_id"] for r in taken})
+
+
+def test_scores_past_64_bits_name_the_vectors(spark):
+    df = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1e17, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="vectors 0 and 1"):
+        pivot_search.top_k(df).collect()
+
+
+def test_equal_ids_spread_over_the_line(spark):
+    """Rows without an id lie all over their source's line, by their texts."""
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    order = docs.select(F.shiftright(mixing.line_order(mixing.Mix()), 57).alias("part")).groupBy("part").count().collect()
+    assert len(order) == 8 and max(r["count"] for r in order) < 600
