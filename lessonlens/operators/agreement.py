@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lessonlens.functions.numeric import concordance, finite, pearson, score_class, share
 from lessonlens.operators import ranks
+from lessonlens.session import cut_lineage
 from lessonlens.schemas import SCORES, SITUATIONS
 
 SS_FLOOR = 1e-8
@@ -57,7 +58,9 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, constant: float
     Equal pairs are counted before ranks are attached, and the ranks come from the bucketed rank tables.
     """
     keys = list(keys)
-    clean = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    # the pairs are read once for each side's borders and ranks, and once more
+    clean = cut_lineage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        *keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")))
     pairs = clean.groupBy(*keys, "__x", "__y").agg(F.count(F.lit(1)).alias("__c"))
 
     def ranked(column: str, out: str) -> DataFrame:
