@@ -43,8 +43,10 @@ def override_pieces(videos: DataFrame, intervals: DataFrame) -> DataFrame:
 
     ``intervals``: ``id, video_filter, start_sec, end_sec, situation, note``; the filter is a LIKE text, NULL for all videos.
     """
-    valid = intervals.where(F.col("end_sec") > F.col("start_sec"))
-    placed = text_matches(videos, "video_path", valid, "video_filter", like_text)
+    late = F.coalesce(F.col("end_sec") > F.col("start_sec"), F.lit(False))
+    checked = F.when(late, F.col("end_sec")).otherwise(F.raise_error(F.concat(
+        F.lit("an override must end after it starts: "), F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in ("id", "start_sec", "end_sec")]))).cast("double"))
+    placed = text_matches(videos, "video_path", intervals.withColumn("end_sec", checked), "video_filter", like_text)
     cuts = placed.select("video_path", F.explode(F.array("start_sec", "end_sec")).alias("cut")).distinct()
     near = scans.neighbours(cuts, ["video_path"], ["cut"], ["cut"], scans.time_chunk("cut", PIECE_WIDTH))
     pieces = near.select("video_path", F.col("cut").alias("piece_start"), F.col("next_row.cut").alias("piece_end"))
@@ -76,6 +78,18 @@ def stamp_overrides(log: DataFrame, intervals: DataFrame, clear_existing: bool =
     }).drop("piece_start", "piece_end", "latest")
 
 
+def override_log(kept: DataFrame, intervals: DataFrame) -> DataFrame:
+    """The table of overrides after ``intervals`` were applied: a row is added for each that stamps a situation, in order of ``id``.
+
+    ``kept``: ``id, video_filter, start_sec, end_sec, situation, note``; new rows are numbered on from its largest id.
+    """
+    columns = ["video_filter", "start_sec", "end_sec", "situation", "note"]
+    new = scans.number_rows(intervals.where(F.col("situation").isNotNull()).select("id", *columns), ["id"], "__n")
+    top = kept.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
+    added = new.join(F.broadcast(top), how="left").select((F.col("__top") + F.col("__n")).cast("int").alias("id"), *columns)
+    return kept.select(F.col("id").cast("int").alias("id"), *columns).unionByName(added)
+
+
 def inferred_runs(log: DataFrame, chunk_width: float = 600.0) -> DataFrame:
     """Runs of flagged seconds per video; a run may pause for three typical gaps (at least 2 s) and ends a third of that late."""
     key = ["video_path"]

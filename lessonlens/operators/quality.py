@@ -23,6 +23,21 @@ def schema_gaps(tables: Mapping[str, DataFrame], required: Sequence[str]) -> dic
     return gaps
 
 
+def schema_report(stores: DataFrame, required: Sequence[str]) -> DataFrame:
+    """Per store the required tables and columns it lacks, one row each (``column`` is NULL for a whole table).
+
+    ``stores`` lists what the stores have: ``dataset_id, table, column``, a row per column. Stores are checked side by side, so any
+    number of them is one anti join. The key ``dataset_id`` of merged tables is not asked for.
+    """
+    wanted = [(name, f.name) for name in required for f in schema(name).fields if f.name != "dataset_id"]
+    needs = F.inline(F.array(*[F.struct(F.lit(t).alias("table"), F.lit(c).alias("column")) for t, c in wanted]))
+    asked = stores.select("dataset_id").distinct().select("dataset_id", needs)
+    here = stores.select("dataset_id", "table").distinct()
+    absent = asked.select("dataset_id", "table").distinct().join(here, ["dataset_id", "table"], "left_anti").withColumn("column", F.lit(None).cast("string"))
+    columns = asked.join(here, ["dataset_id", "table"], "left_semi").join(stores, ["dataset_id", "table", "column"], "left_anti")
+    return absent.unionByName(columns)
+
+
 def rule_counts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """One row per rule with the number of rows that break it; a rule that is NULL counts as broken."""
     rows = [F.struct(F.lit(name).alias("rule"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("violations")) for name, ok in rules.items()]

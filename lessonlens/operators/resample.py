@@ -1,20 +1,66 @@
 """Bootstrap by resampling units with replacement, spread over the cluster.
 
-Every replicate draws exactly as many units as its group has. The units lie in chunks of bounded size; a replicate's
-draws are first divided over the chunks (a multinomial draw every chunk repeats from the same seed) and each chunk then
-draws its own share, so no pairs of replicate and unit are ever formed and no task holds more than one chunk.
+Every replicate draws exactly as many units as its group has. The units are ordered by a hash, and the draws are divided over
+them by a binary tree of hash prefixes: at every node a binomial draw, made from the node's own seed, says how many of the
+node's draws go to its left half. So any part of the tree can be drawn by itself: a task that holds the units below one
+prefix repeats the few draws on the way down to it, in logarithmic time, and then works on its own subtree. Small cells at
+the bottom, whose size depends on the group alone, are drawn unit by unit. Replicates therefore do not depend on how the
+tree is cut into tasks. No pairs of replicate and unit are ever shuffled.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lessonlens.functions.numeric import drawn
 from lessonlens.session import cut_lineage
 
 CHUNK_UNITS = 100_000
-REPLICATE_BLOCKS = 4
+CELL_UNITS = 256
+BLOCK_REPLICATES = 2500
+HASH_BITS = 60
+
+
+def _levels(n: Column, units: int) -> Column:
+    """How often n units are halved until a part has about ``units``."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(n / F.lit(float(units))))).cast("int")
+
+
+class Tree:
+    """Draws of one block of replicates for the units below a prefix, given in the order of their hashes."""
+
+    def __init__(self, hashes, values, seed: int, block: int, bits: int):
+        self.hashes, self.values, self.seed, self.block, self.bits = hashes, values, seed, block, bits
+
+    def rng(self, depth: int, prefix: int):
+        import numpy as np
+        return np.random.default_rng([self.seed, self.block, depth, int(prefix)])
+
+    def left(self, m, depth: int, prefix: int, size: int, left_size: int):
+        """How many of the m draws of a node go to its left half."""
+        return self.rng(depth, prefix).binomial(m, left_size / size)
+
+    def totals(self, m, depth: int, prefix: int, low: int, high: int):
+        """Sums of the values over the m draws of each replicate from the units low..high."""
+        import numpy as np
+        if low == high or not m.any():
+            return np.zeros((len(m), self.values.shape[1]))
+        if depth == self.bits or high - low == 1:
+            if high - low == 1:
+                return m[:, None] * self.values[low]
+            picks = self.values[low + self.rng(HASH_BITS + depth, prefix).integers(0, high - low, int(m.sum()))]
+            sums = np.zeros((len(picks) + 1, picks.shape[1]))
+            np.cumsum(picks, axis=0, out=sums[1:])
+            ends = np.cumsum(m)
+            return sums[ends] - sums[ends - m]
+        half = (2 * prefix + 1) << (HASH_BITS - depth - 1)
+        middle = low + int(np.searchsorted(self.hashes[low:high], half))
+        mine = self.left(m, depth, prefix, high - low, middle - low)
+        return self.totals(mine, depth + 1, 2 * prefix, low, middle) + self.totals(m - mine, depth + 1, 2 * prefix + 1, middle, high)
 
 
 def resample_totals(
@@ -24,48 +70,53 @@ def resample_totals(
     """Per key and replicate: ``draws`` and the sums of ``values`` over the drawn units. Values must not be NULL."""
     keys, values = list(keys) or ["__all"], list(values)
     d = units if keys != ["__all"] else units.withColumn("__all", F.lit(0))
-    d = d.select(*keys, F.xxhash64(F.lit(seed), *unit).alias("__h"), *[F.col(v).cast("double").alias(v) for v in values])
+    name = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in unit])
+    d = d.select(*keys, drawn(name, seed).alias("__h"), *[F.col(v).cast("double").alias(v) for v in values])
     # The units are totals of classes, schools or events; they are read by every step below.
     d = cut_lineage(d)
     counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    chunks = F.ceil(F.col("__n") / F.lit(chunk_units))
-    d = d.join(counts, keys).withColumn("__c", F.pmod("__h", chunks).cast("int"))
-    sizes = d.groupBy(*keys, "__c").agg(F.count(F.lit(1)).alias("__size"))
-    plan = sizes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__c", "__size"))).alias("__plan"))
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(REPLICATE_BLOCKS - 1)))
+    d = d.join(counts, keys).withColumn("__depth", _levels(F.col("__n"), chunk_units))
+    d = d.withColumn("__c", F.expr(f"shiftright(__h, {HASH_BITS} - __depth)"))
+    # sizes of all nodes above the chunks; a chunk gets those on its way from the root and of their left halves
+    chunks = d.groupBy(*keys, "__n", "__depth", "__c").agg(F.count(F.lit(1)).alias("__size"))
+    above = F.transform(F.sequence(F.lit(0), F.col("__depth")), lambda j: F.struct(j.alias("j"), F.call_function("shiftright", F.col("__c"), F.col("__depth") - j).alias("node")))
+    nodes = cut_lineage(chunks.select(*keys, "__size", F.explode(above).alias("p")).groupBy(*keys, "p.j", "p.node").agg(F.sum("__size").alias("__size")))
+    way = chunks.select(*keys, "__n", "__depth", "__c", F.explode(above).alias("p")).where("p.j < __depth").select(*keys, "__n", "__depth", "__c", "p.*")
+    lefts = nodes.select(*keys, (F.col("j") - 1).alias("j"), F.expr("node DIV 2").alias("node"), F.col("__size").alias("__left")).where(nodes.node % 2 == 0)
+    sized = way.join(nodes, [*keys, "j", "node"]).join(lefts, [*keys, "j", "node"], "left")
+    step = F.struct("j", "node", "__size", F.coalesce("__left", F.lit(0)).alias("__left"))
+    plan = sized.groupBy(*keys, "__c").agg(F.array_sort(F.collect_list(step)).alias("__way"))
+    plan = chunks.select(*keys, "__c", "__n", "__depth").join(plan, [*keys, "__c"], "left")
+    n_blocks = max(1, -(-iterations // BLOCK_REPLICATES))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     cell = [*keys, "__c", "__block"]
     # The plan reaches every cell once, as its own row, and not with each unit.
-    plans = plan.select(
-        *keys, F.explode("__plan.__c").alias("__c"), F.col("__plan.__c").alias("__ids"), F.col("__plan.__size").alias("__sizes"))
-    plans = plans.withColumn("__block", blocks).withColumnsRenamed({c: f"__p_{c}" for c in cell})
-    spread = d.withColumn("__block", blocks)
+    flat = [F.coalesce(F.col(f"__way.{c}"), F.array().cast("array<bigint>")).cast("array<bigint>").alias(c) for c in ("node", "__size", "__left")]
+    plans = plan.select(*keys, "__c", "__n", "__depth", *flat).withColumn("__block", blocks).withColumnsRenamed({c: f"__p_{c}" for c in cell})
+    spread = d.drop("__n", "__depth").withColumn("__block", blocks)
 
     out = T.StructType([d.schema[k] for k in keys])
     out = out.add("replicate", T.IntegerType()).add("draws", T.LongType())
     for v in values:
         out = out.add(v, T.DoubleType())
-    n_blocks = REPLICATE_BLOCKS
 
     def draw(key, units_, plan_):
         import numpy as np
         import pandas as pd
         chunk, block = int(key[-2]), int(key[-1])
         units_ = units_.sort_values(["__h", *values], kind="mergesort")
-        ids, sizes_ = np.asarray(plan_["__ids"].iloc[0]), np.asarray(plan_["__sizes"].iloc[0], dtype=float)
-        total, place = int(sizes_.sum()), int(np.flatnonzero(ids == chunk)[0])
+        n, depth = int(plan_["__n"].iloc[0]), int(plan_["__depth"].iloc[0])
+        bits = max(0, int(np.ceil(np.log2(n / CELL_UNITS))))
         data = units_[values].to_numpy(dtype=float)
-        reps = range(block, iterations, n_blocks)
-        rows = np.zeros((len(reps), len(values)))
-        drawn = np.zeros(len(reps), dtype=np.int64)
-        for i, rep in enumerate(reps):
-            m = total
-            if len(ids) > 1:
-                m = int(np.random.default_rng([seed, rep]).multinomial(total, sizes_ / total)[place])
-            picks = np.random.default_rng([seed, rep, chunk + 1]).integers(0, len(data), m)
-            rows[i], drawn[i] = data[picks].sum(axis=0), m
-        frame = pd.DataFrame(rows, columns=values)
-        frame.insert(0, "draws", drawn)
-        frame.insert(0, "replicate", np.fromiter(reps, dtype=np.int32))
+        tree = Tree(units_["__h"].to_numpy(), data, seed, block, max(bits, depth))
+        reps = np.arange(block, iterations, n_blocks, dtype=np.int32)
+        m = np.full(len(reps), n, np.int64)
+        for j, (node, size, left) in enumerate(zip(*[plan_[c].iloc[0] for c in ("node", "__size", "__left")])):
+            mine = tree.left(m, j, node, size, left)
+            m = mine if (chunk >> (depth - j - 1)) % 2 == 0 else m - mine
+        frame = pd.DataFrame(tree.totals(m, depth, chunk, 0, len(data)), columns=values)
+        frame.insert(0, "draws", m)
+        frame.insert(0, "replicate", reps)
         for k, v in reversed(list(zip(keys, key))):
             frame.insert(0, k, v)
         return frame
@@ -97,3 +148,7 @@ def mean_interval(
     ci = interval(totals, keys, F.col(value) / F.col("draws")).drop("resampled_mean")
     joined = base.join(ci, keys, "left") if keys else base.join(ci, how="left")
     return joined.withColumns({c: F.when(F.col("n") >= 2, F.col(c)) for c in ("ci95_low", "ci95_high")})
+
+
+# The tree travels with the tasks, so that workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lessonlens.functions import pose, probs
 from lessonlens.functions.numeric import drawn, half_even, score_class
 from lessonlens.operators import ratings, scans
 from lessonlens.operators.segments import assemble
 from lessonlens.schemas import SCORES, SITUATIONS
+from lessonlens.session import cut_lineage
 
 MAXIMISED = ("exact_accuracy", "qwk")
 WEIGHT_CAP = 3.0
@@ -176,6 +180,59 @@ def score_batches(df: DataFrame, scorer: Callable[["object"], "object"], schema:
     return df.mapInPandas(pages, schema)
 
 
+@dataclass(frozen=True)
+class OrdinalModel:
+    """Six threshold models (score above 1, .., above 6) over one feature vector; small, and sent to the tasks as it is."""
+
+    weights: tuple[tuple[float, ...], ...]
+    intercepts: tuple[float, ...]
+
+    def scores(self, features):
+        """Expected scores of a batch, a feature vector a row."""
+        import numpy as np
+        logits = np.asarray(features, float).reshape(-1, len(self.weights[0])) @ np.array(self.weights).T + np.array(self.intercepts)
+        return 1.0 + (1.0 / (1.0 + np.exp(-np.clip(logits, -500, 500)))).sum(axis=1)
+
+    def score(self, features: Column) -> Column:
+        """The same as a column expression."""
+        out = F.lit(1.0)
+        for w, b in zip(self.weights, self.intercepts):
+            z = pose.dot(features, F.array(*[F.lit(float(v)) for v in w])) + F.lit(max(-500.0, min(500.0, b)))
+            out = out + F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+        return out
+
+
+def fit_ordinal(examples: DataFrame, features: str = "features", label: str = "label", iterations: int = 30) -> OrdinalModel:
+    """Fit the thresholds on examples with a vector as an array column; Spark sums the gradients, only coefficients reach the driver."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rows = cut_lineage(examples.select(array_to_vector(F.col(features)).alias("__x"), score_class(F.col(label)).alias("__c")))
+    weights, intercepts = [], []
+    for k in SCORES[:-1]:
+        target = rows.select("__x", (F.col("__c") > k).cast("double").alias("__y"))
+        model = LogisticRegression(featuresCol="__x", labelCol="__y", maxIter=iterations, regParam=0.01, family="binomial").fit(target)
+        weights.append(tuple(float(v) for v in model.coefficients.toArray()))
+        intercepts.append(float(model.intercept))
+    return OrdinalModel(tuple(weights), tuple(intercepts))
+
+
+def score_ordinal(examples: DataFrame, model: OrdinalModel, keep: Sequence[str], features: str = "features") -> DataFrame:
+    """``keep`` and ``pred_score``: Arrow batches in and out, one matrix product each."""
+    source = examples.select(*keep, F.col(features).cast("array<double>").alias("__x"))
+    weights, names = model, [*keep, "pred_score"]
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            if batch.num_rows:
+                flat = batch.column(len(keep)).flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(np.asarray(weights.scores(flat)))], names=names)
+
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:len(keep)], T.StructField("pred_score", T.DoubleType())]))
+
+
 def linear_ordinal_score(features: Column, weights: Sequence[float], thresholds: Sequence[float]) -> Column:
     """Expected score of a linear model with six ordered thresholds."""
     w = F.array(*[F.lit(float(v)) for v in weights])
@@ -216,3 +273,7 @@ def apply_baseline(examples: DataFrame, models, features: str = "vector") -> Dat
         "predicted_situation": probs.best_situation(F.col("situation_probs")),
         "situation_confidence": probs.confidence(F.col("situation_probs"))})
     return out.select(*examples.columns, "pred_score", "situation_probs", "predicted_situation", "situation_confidence")
+
+
+# The model travels with the tasks, so that workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

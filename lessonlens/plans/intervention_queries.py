@@ -56,12 +56,24 @@ def j10(spark, d):
 
 @query("U16_clear_then_stamp", """SELECT frame_idx, CASE WHEN t >= 1700 AND t < 1900 THEN NULL WHEN t >= 2000 AND t < 2300 THEN 'AB' ELSE situation_override END AS situation_override FROM predlog""")
 def u16(spark, d):
-    rows = _videos(spark, d).agg(F.count(F.lit(1)).alias("n")).select(F.inline(F.array(
+    return iv.stamp_overrides(fx.predlog(spark, d), _clear_then_stamp(spark, d), clear_existing=True).select("frame_idx", "situation_override")
+
+
+def _clear_then_stamp(spark, d):
+    return _videos(spark, d).agg(F.count(F.lit(1)).alias("n")).select(F.inline(F.array(
         F.struct(F.lit(1).alias("id"), F.lit(None).cast("string").alias("video_filter"), F.lit(1700.0).alias("start_sec"),
                  F.lit(1900.0).alias("end_sec"), F.lit(None).cast("string").alias("situation"), F.lit(None).cast("string").alias("note")),
         F.struct(F.lit(2).alias("id"), F.lit(None).cast("string").alias("video_filter"), F.lit(2000.0).alias("start_sec"),
                  F.lit(2300.0).alias("end_sec"), F.lit("AB").alias("situation"), F.lit(iv.AB_NOTE).alias("note")))))
-    return iv.stamp_overrides(fx.predlog(spark, d), rows, clear_existing=True).select("frame_idx", "situation_override")
+
+
+@query("U16_override_log", """SELECT CAST(id AS INT) AS id, video_path AS video_filter, start_sec, end_sec, 'AB' AS situation FROM old UNION ALL SELECT CAST((SELECT max(id) FROM old) + 1 AS INT), NULL, 2000, 2300, 'AB'""",
+       ovr=OVR, old="SELECT row_number() OVER (ORDER BY video_path, start_sec, end_sec) AS id, * FROM ovr")
+def u16_log(spark, d):
+    from lessonlens.operators import scans
+    old = _overrides(spark, d).withColumn("video_filter", F.col("video_path"))
+    old = scans.number_rows(old, ["video_path", "start_sec", "end_sec"], "id").withColumn("note", F.lit(None).cast("string"))
+    return iv.override_log(old, _clear_then_stamp(spark, d)).drop("note")
 
 
 @query("J14_override_filters", "SELECT video_path, start_sec, end_sec FROM ovr", ovr=OVR)
@@ -198,9 +210,20 @@ def a9_means(spark, d):
     return rounded(iv.sensitivity(_sweep(spark, d)[2], iterations=0).select("cooldown_sec", "effect_type", "n_events", "mean_effect"))
 
 
-@query("A12_sensitivity_intervals")
+# An interval's width must be within a tenth (and what few units cannot give) of that of a normal mean, and hold the mean.
+@query("A12_sensitivity_intervals", """SELECT cooldown_sec, effect_type, count(effect) AS n_events, round(avg(effect),6) AS mean_effect, CASE WHEN count(effect) > 1 THEN true END AS inside,
+  CASE WHEN count(effect) > 1 THEN true END AS width_ok FROM lng WHERE effect IS NOT NULL GROUP BY 1,2""", **ALLC, lng=LONG)
 def a12(spark, d):
-    return rounded(iv.sensitivity(_sweep(spark, d)[2], iterations=2000))
+    effects = iv.long_effects(_sweep(spark, d)[2])
+    spread = effects.groupBy("cooldown_sec", "effect_type").agg(F.stddev_pop("effect").alias("sd"))
+    out = iv.sensitivity(_sweep(spark, d)[2], iterations=2000).join(spread, ["cooldown_sec", "effect_type"])
+    return rounded(out.select("cooldown_sec", "effect_type", "n_events", "mean_effect", *_interval_checks("mean_effect", "n_events", 0.3)))
+
+
+def _interval_checks(mean, n, tolerance):
+    expected = F.lit(3.92) * F.col("sd") / F.sqrt(F.col(n))
+    return [F.col(mean).between(F.col("ci95_low") - 1e-9, F.col("ci95_high") + 1e-9).alias("inside"),
+            (F.abs(F.col("ci95_high") - F.col("ci95_low") - expected) <= tolerance * expected + 1e-9).alias("width_ok")]
 
 
 @query("A40_chart_time_course", """SELECT cooldown_sec, bin_center_relative_sec, round(avg(m),6) AS score_trimmed_mean FROM (SELECT cooldown_sec, relative_bin*CAST(300 AS DOUBLE)+150 AS bin_center_relative_sec, phase,
@@ -229,9 +252,12 @@ def a10(spark, d):
     return rounded(iv.paired_class_effects(fx.trial(spark, d)))
 
 
-@query("A11_class_effect_bootstrap")
+@query("A11_class_effect_bootstrap", """SELECT count(*) AS n_classes, round(avg(post-pre),6) AS mean_effect, round(median(post-pre),6) AS median_class_effect, true AS inside, true AS width_ok,
+  10000 AS bootstrap_iterations FROM pc WHERE pre IS NOT NULL AND post IS NOT NULL""", pc=PAIRED)
 def a11(spark, d):
-    return rounded(iv.class_effect_summary(iv.paired_class_effects(fx.trial(spark, d)), 10000, 42))
+    effects = iv.paired_class_effects(fx.trial(spark, d))
+    out = iv.class_effect_summary(effects, 10000, 42).join(effects.agg(F.stddev_pop("effect_post_minus_pre").alias("sd")), how="left")
+    return rounded(out.select("n_classes", "mean_effect", "median_class_effect", "bootstrap_iterations", *_interval_checks("mean_effect", "n_classes", 0.1)))
 
 
 @query("A11_class_effect_centre", "SELECT count(*) AS n_classes, round(avg(post-pre),6) AS mean_effect, round(median(post-pre),6) AS median_class_effect FROM pc WHERE pre IS NOT NULL AND post IS NOT NULL", pc=PAIRED)
@@ -240,9 +266,19 @@ def a11_centre(spark, d):
     return rounded(out.select("n_classes", "mean_effect", "median_class_effect"))
 
 
-@query("A14_bias_shift_bootstrap")
+# The shift is a difference of ratios of school totals: its error follows from the schools' deviations (the delta method).
+@query("A14_bias_shift_bootstrap", """SELECT round(sum(post_error)/sum(post_n) - sum(pre_error)/sum(pre_n), 2) AS shift, true AS inside, true AS width_ok FROM (SELECT school_id,
+  coalesce(sum(CASE WHEN phase='pre' THEN model_score-human_score END),0) AS pre_error, CAST(count_if(phase='pre') AS DOUBLE) AS pre_n,
+  coalesce(sum(CASE WHEN phase='post' THEN model_score-human_score END),0) AS post_error, CAST(count_if(phase='post') AS DOUBLE) AS post_n FROM pairs GROUP BY 1)""")
 def a14(spark, d):
-    return rounded(iv.bias_shift(fx.pairs(spark, d), 10000, 42))
+    schools = iv.school_errors(fx.pairs(spark, d))
+    s = schools.agg(F.count(F.lit(1)).alias("schools"), *[F.sum(c).alias(c) for c in ("pre_error", "pre_n", "post_error", "post_n")])
+    both = schools.select(*[F.col(c).alias(f"own_{c}") for c in ("pre_error", "pre_n", "post_error", "post_n")]).join(F.broadcast(s))
+    part = lambda p: (F.col(f"own_{p}_error") - F.col(f"{p}_error") / F.col(f"{p}_n") * F.col(f"own_{p}_n")) * F.col("schools") / F.col(f"{p}_n")
+    shift = F.col("post_error") / F.col("post_n") - F.col("pre_error") / F.col("pre_n")
+    facts = both.agg(F.max("schools").alias("n"), F.stddev_pop(part("post") - part("pre")).alias("sd"), F.max(shift).alias("shift"))
+    out = iv.bias_shift(fx.pairs(spark, d), 10000, 42).join(facts, how="left")
+    return out.select(F.round("shift", 2).alias("shift"), *_interval_checks("shift", "n", 0.1))
 
 
 @query("A14_school_errors", """SELECT school_id, round(coalesce(sum(CASE WHEN phase='pre' THEN model_score-human_score END),0),4) AS pre_error, CAST(count_if(phase='pre') AS DOUBLE) AS pre_n,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lessonlens.operators import clips as cl, merging as mg, mutations as mu, quality as ql, ratings as rt
 from lessonlens.plans.catalogue import query
 from lessonlens.plans.tools import DS, TWO_STORES, rounded
+from lessonlens.schemas import schema
 from lessonlens.session import cut_lineage
 from lessonlens.sources import fixtures as fx
 
@@ -473,6 +474,23 @@ def j17(spark, d):
     return ql.orphans(fx.rate(spark, d).select("segment_id", "rater", "score"), fx.excluded(spark, d), ["segment_id"])
 
 
+REQUIRED = ["videos", "windows", "segments", "labels"]
+WANTED = [(t, f.name) for t in REQUIRED for f in schema(t).fields if f.name != "dataset_id"]
+
+
+# Every fifth lesson's store has no labels, and every seventh one lacks the windows' lock.
+@query("Q1_schema_gaps", """SELECT dataset_id, t AS "table", CASE WHEN day % 5 = 0 AND t = 'labels' THEN NULL ELSE c END AS "column" FROM sto, want
+  WHERE (day % 5 = 0 AND t = 'labels' AND c = 'score') OR (day % 7 = 0 AND t = 'windows' AND c = 'situation_locked')""",
+       sto="SELECT DISTINCT video_path AS dataset_id, CAST(substr(video_path, 8, 2) AS INT) AS day FROM pred",
+       want="SELECT unnest(" + str([list(w) for w in WANTED]) + ") AS p, p[1] AS t, p[2] AS c")
+def q1(spark, d):
+    day = F.substring("dataset_id", 8, 2).cast("int")
+    found = fx.pred(spark, d).select(F.col("video_path").alias("dataset_id")).distinct().select(
+        "dataset_id", F.inline(F.array(*[F.struct(F.lit(t).alias("table"), F.lit(c).alias("column")) for t, c in WANTED])))
+    gone = ((day % 5 == 0) & (F.col("table") == "labels")) | ((day % 7 == 0) & (F.col("table") == "windows") & (F.col("column") == "situation_locked"))
+    return ql.schema_report(found.where(~gone), REQUIRED)
+
+
 @query("Q2_rule_violations", """SELECT 'score in 1..7' AS rule, count_if(NOT (score BETWEEN 1 AND 7)) AS violations FROM (SELECT l_quantity - 20 AS score FROM lineitem) UNION ALL SELECT 'rater not blank', 0""")
 def q2(spark, d):
     rows = fx.table(spark, d, "lineitem").select((F.col("l_quantity") - 20).alias("score"), F.col("l_returnflag").alias("rater"))

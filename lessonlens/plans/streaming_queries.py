@@ -89,6 +89,16 @@ def r5(spark, d):
     return rounded(out.select("video_path", "t", "class_score", "smooth_score"))
 
 
+@query("R5_live_average_stream", """SELECT a.video_path, round(any_value(a.t),6) AS t, any_value(a.n) AS n_alive, round(any_value(a.v),6) AS class_score,
+  round(sum(CASE WHEN b.i = 1 THEN pow(0.8::DOUBLE, a.i-1) ELSE 0.2*pow(0.8::DOUBLE, a.i-b.i) END * b.v),6) AS smooth_score FROM num a JOIN num b ON a.video_path=b.video_path AND b.i <= a.i GROUP BY a.video_path, a.i""", **TRACK_STEPS,
+       fr="SELECT video_path, floor(t/6) AS span, max(t) AS t FROM st WHERE due GROUP BY 1,2",
+       las="""SELECT f.video_path, f.span, f.t, s.track_id, max(s.t) AS seen, max_by(s.smooth, struct_pack(t := s.t, i := s.i)) AS v FROM fr f JOIN st s ON s.due AND s.video_path=f.video_path AND floor(s.t/6) <= f.span GROUP BY 1,2,3,4""",
+       num="SELECT video_path, span, t, CAST(count(*) AS INT) AS n, avg(v) AS v, row_number() OVER (PARTITION BY video_path ORDER BY span) AS i FROM las WHERE t - seen <= 300 GROUP BY 1,2,3")
+def r5_live(spark, d):
+    out = live.drain_closed(_log(spark, d), lambda log: live.live_class_scores(_track_scores(log), frame_sec=6.0, track_ttl=300.0), "live-average")
+    return rounded(out)
+
+
 @query("R6_situation_stream", """SELECT frame_idx, round(p0,6) AS p0, round(p1,6) AS p1, round(1-p0-p1,6) AS p2 FROM (SELECT a.frame_idx, """ + ", ".join(
     f"sum(CASE WHEN b.i = 1 THEN pow(0.85::DOUBLE, a.i-1) ELSE 0.15*pow(0.85::DOUBLE, a.i-b.i) END * b.{p}) AS {p}" for p in ("p0", "p1")) + """ FROM ord a JOIN ord b ON a.video_path=b.video_path AND b.i<=a.i GROUP BY 1)""",
        ord="SELECT *, score/(score+2+t/1000) AS p0, 2/(score+2+t/1000) AS p1, row_number() OVER (PARTITION BY video_path ORDER BY t, frame_idx) AS i FROM pred")
@@ -123,7 +133,7 @@ def r9(spark, d):
     return out.select("video_path", "det_id", "stable_id")
 
 
-@query("R11_binned_stream", """SELECT situation, bin AS bin_start, count(*) AS n_tracks, round(avg(score),6) AS score_mean, round(median(score),6) AS score_p50, round(stddev_samp(score),6) AS score_std,
+@query("R11_binned_stream", """SELECT situation, bin AS bin_start, count(*) AS n_tracks, round(avg(score),6) AS score_mean, round(median(score),6) AS score_p50, round(stddev_samp(score),6) AS score_std, round(list_avg(list_sort(list(score))[1 + floor(count(score)*0.1)::INT : count(score) - floor(count(score)*0.1)::INT]),6) AS score_trimmed_mean,
     round(avg(CASE WHEN score <= 3 THEN 1.0 ELSE 0.0 END),6) AS low_score_ratio, round(avg(confidence),6) AS situation_confidence, round(avg(clamped),6) AS clamped_mean FROM (
   SELECT p.situation, date_trunc('day', e.ts) AS bin, p.video_path, p.track_id, avg(p.score) AS score, avg(p.score_clamped) AS clamped, avg(p.situation_confidence) AS confidence FROM predlog p JOIN events e ON e.event_id = p.frame_idx GROUP BY 1,2,3,4) GROUP BY 1,2""")
 def r11(spark, d):

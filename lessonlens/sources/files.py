@@ -111,9 +111,18 @@ def store_fingerprints(spark: SparkSession, path: str) -> DataFrame:
         text.base_name(F.col("path")).alias("source_name"), text.content_fingerprint(F.col("content")).alias("source_sha256"))
 
 
-def append_predictions(df: DataFrame, path: str) -> None:
-    """Append scored rows, one folder per video."""
-    conform(df, "predictions").write.mode("append").partitionBy("video_path").parquet(path)
+def append_predictions(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """Append scored rows, one folder per video, in files of about ``rows_per_file`` rows.
+
+    The rows of a video are dealt to as many parts as its count asks for, each part to one task: a small video gets one file
+    per append, a large one is written by several tasks.
+    """
+    rows = conform(df, "predictions")
+    parts = rows.groupBy(F.col("video_path").alias("__video")).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).alias("__parts"))
+    dealt = rows.join(parts, rows.video_path.eqNullSafe(F.col("__video"))).withColumn("__part", F.pmod(F.xxhash64("t", "track_id", "frame_idx"), F.col("__parts")))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number is not joined to fewer
+    dealt.repartition(tasks, "video_path", "__part").drop("__video", "__parts", "__part").write.mode("append").option(
+        "maxRecordsPerFile", 2 * rows_per_file).partitionBy("video_path").parquet(path)
 
 
 def write_tables(tables: Mapping[str, DataFrame], path: str, kind: str = "parquet") -> None:

@@ -59,6 +59,19 @@ def class_scores(scores: DataFrame, frame_sec: float = 0.5, alpha: float = 0.2,
     return fold_stream(spans, ["video_path"], steps.class_average(alpha), ddl, ttl=ttl, delay=None)
 
 
+def live_class_scores(scores: DataFrame, frame_sec: float = 0.5, alpha: float = 0.2, track_ttl: float = TRACK_TTL, ttl: float = LESSON_TTL) -> DataFrame:
+    """The class figure on the screen: after each frame span with a score, the mean over all tracks still alive, then smoothed.
+
+    ``scores`` are those of ``track_scores``; ``t`` is that of the span's last row, and a track lives for ``track_ttl`` after its
+    last score.
+    """
+    frames = scores.groupBy("video_path", F.window("at", f"{round(frame_sec * 1000)} milliseconds").alias("w")).agg(
+        F.collect_list(F.struct("t", "track_id", F.col("smooth_score").alias("score"))).alias("scores"), F.max("t").alias("t"))
+    frames = frames.select("video_path", F.window_time("w").alias("at"), "t", "scores")
+    ddl = "video_path string, t double, n_alive int, class_score double, smooth_score double"
+    return fold_stream(frames, ["video_path"], steps.live_average(track_ttl, alpha), ddl, ttl=ttl, delay=None)
+
+
 def situations(stream: DataFrame, alpha: float = 0.15) -> DataFrame:
     ddl = "video_path string, frame_idx bigint, t double, probs array<double>, best int, confidence double"
     return fold_stream(stream, ["video_path"], steps.situation_average(alpha), ddl, ("t", "frame_idx"))
@@ -106,8 +119,24 @@ def frames_of(boxes: DataFrame, span: str, delay: str = LATE_DELAY) -> DataFrame
     return frames.select("video_path", F.window_time("w").alias("at"), "t", "dets")
 
 
+def _value_at(position: Column) -> Column:
+    """Of the sorted counts ``v``: the value at a 0-based position, NULL if there is none."""
+    start = F.struct(F.lit(0).cast("bigint").alias("below"), F.lit(None).cast("double").alias("found"))
+    return F.aggregate("v", start, lambda a, x: F.struct(
+        (a.below + x.c).alias("below"), F.when((a.below <= position) & (position < a.below + x.c), x.score).otherwise(a.found).alias("found")), lambda a: a.found)
+
+
+def _kept_mean(cut: Column) -> Column:
+    """Of the sorted counts ``v`` of ``n`` values: the mean without ``cut`` values at each end."""
+    cut = F.when(2 * cut < F.col("n"), cut).otherwise(F.lit(0))
+    start = F.struct(F.lit(0).cast("bigint").alias("below"), F.lit(0.0).alias("s"))
+    kept = lambda a, x: F.greatest(F.lit(0), F.least(a.below + x.c, F.col("n") - cut) - F.greatest(a.below, cut))
+    total = F.aggregate("v", start, lambda a, x: F.struct((a.below + x.c).alias("below"), (a.s + x.score * kept(a, x)).alias("s")), lambda a: a.s)
+    return F.when(F.col("n") > 0, total / (F.col("n") - 2 * cut))
+
+
 def binned_scores(
-    stream: DataFrame, span: str, keys: Sequence[str] = ("situation",), delay: str = LATE_DELAY,
+    stream: DataFrame, span: str, keys: Sequence[str] = ("situation",), delay: str = LATE_DELAY, trim: float = 0.1,
 ) -> DataFrame:
     """Streaming counterpart of the binned class figures: mean per track, then over tracks, in tumbling windows.
 
@@ -116,10 +145,21 @@ def binned_scores(
     tracks = (
         stream.withWatermark("at", delay).groupBy(F.window("at", span).alias("w"), *keys, "video_path", "track_id")
         .agg(F.avg("score").alias("score"), F.avg("score_clamped").alias("clamped"), F.avg("situation_confidence").alias("confidence")))
-    classes = tracks.groupBy("w", *keys).agg(
-        F.count(F.lit(1)).alias("n_tracks"), F.avg("score").alias("score_mean"), F.median("score").alias("score_p50"),
-        F.stddev_samp("score").alias("score_std"), F.avg(F.when(F.col("score") <= LOW_SCORE, 1.0).otherwise(0.0)).alias("low_score_ratio"),
-        F.avg("confidence").alias("situation_confidence"), F.avg("clamped").alias("clamped_mean"))
+    # equal scores are counted before they meet, so what a class holds when its bin closes is its distinct scores
+    values = tracks.groupBy("w", *keys, "score").agg(
+        F.count(F.lit(1)).alias("c"), F.sum("clamped").alias("clamped"), F.count("clamped").alias("n_clamped"),
+        F.sum("confidence").alias("confidence"), F.count("confidence").alias("n_confidence"))
+    known, low = F.col("score").isNotNull(), F.col("score") <= LOW_SCORE
+    classes = values.groupBy("w", *keys).agg(
+        F.sum("c").alias("n_tracks"), F.array_sort(F.collect_list(F.when(known, F.struct("score", "c")))).alias("v"),
+        (F.sum(F.when(low, F.col("c")).otherwise(0)) / F.sum("c")).alias("low_score_ratio"),
+        F.try_divide(F.sum("confidence"), F.sum("n_confidence")).alias("situation_confidence"),
+        F.try_divide(F.sum("clamped"), F.sum("n_clamped")).alias("clamped_mean"))
+    classes = classes.withColumn("n", F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x.c)).withColumns({
+        "score_mean": _kept_mean(F.lit(0)), "score_trimmed_mean": _kept_mean(F.floor(F.col("n") * F.lit(trim))),
+        "score_p50": (_value_at(F.floor((F.col("n") - 1) / 2)) + _value_at(F.floor(F.col("n") / 2))) / 2})
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.c * (x.score - F.col("score_mean")) * (x.score - F.col("score_mean")))
+    classes = classes.withColumn("score_std", F.when(F.col("n") > 1, F.sqrt(square / (F.col("n") - 1)))).drop("v", "n")
     figures = [c for c in classes.columns if c not in ("w", *keys)]
     return classes.select(*keys, F.col("w.start").alias("bin_start"), F.col("w.end").alias("bin_end"), *figures)
 

@@ -83,6 +83,29 @@ def class_average(alpha: float = 0.2):
     return step
 
 
+def live_average(ttl: float = 3.0, alpha: float = 0.2):
+    """Average over all tracks that are alive at a frame, scored in it or not, smoothed along time.
+
+    A frame has the time ``t`` and its rows ``scores`` (time, track, score). A track is alive until it has had no score for
+    longer than ``ttl``.
+    """
+    @_typed("struct<tracks:array<struct<id:bigint,seen:double,score:double>>,smooth:double>", "scores")
+    def step(state, row):
+        tracks, smooth = state or ([], None)
+        known = {i: (seen, score) for i, seen, score in tracks}
+        for t, i, score in sorted(row["scores"], key=lambda r: r[:2]):
+            if _number(score) is not None:
+                known[i] = (t, score)
+        known = {i: v for i, v in known.items() if row["t"] - v[0] <= ttl}
+        if known:
+            value = sum(score for _, score in known.values()) / len(known)
+            smooth = value if smooth is None else (1 - alpha) * smooth + alpha * value
+        kept = [(i, seen, score) for i, (seen, score) in known.items()], smooth
+        return kept, {"t": row["t"], "n_alive": len(known), "class_score": value, "smooth_score": smooth} if known else None
+
+    return step
+
+
 def situation_average(alpha: float = 0.15):
     """Evidence of all tracks of a video, normalised and smoothed."""
     @_typed("array<double>", "frame_idx", "probs")

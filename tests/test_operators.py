@@ -808,3 +808,82 @@ def test_stores_are_not_mixed(rows):
     chosen = rows([("a", 0.0, 1), ("b", 0.0, 1)], "dataset_id string, clip_start double, segment_id int")
     current = rows([("a", 1, "x", "t")], "dataset_id string, segment_id int, reason string, excluded_by string")
     assert values(mu.toggle_exclusion(current, chosen, ["clip_start"], "me", ds), "dataset_id", "segment_id") == [("b", 1)]
+
+
+def test_resample_does_not_depend_on_the_cut_into_tasks(rows):
+    """The tree of draws is the same whether one task holds it or many, and every replicate draws as many units as there are."""
+    rng = random.Random(2)
+    data = [(k, i, rng.uniform(0, 10), 1.0) for k, n in (("a", 3000), ("b", 700), ("c", 1)) for i in range(n)]
+    df = rows(data, "k string, u int, v double, w double")
+    runs = []
+    for chunk in (256, 500, 10**6):
+        out = rs.resample_totals(df, ["k"], ["k", "u"], ["v", "w"], 60, 7, chunk_units=chunk).collect()
+        assert len(out) == 180 and all(r.draws == {"a": 3000, "b": 700, "c": 1}[r.k] == round(r.w) for r in out)
+        runs.append({(r.k, r.replicate): r.v for r in out})
+    for other in runs[1:]:
+        assert other.keys() == runs[0].keys() and all(other[k] == pytest.approx(v, rel=1e-12) for k, v in runs[0].items())
+    for k, n in (("a", 3000), ("b", 700)):
+        v = [x for kk, _, x, _ in data if kk == k]
+        means = [t / n for (kk, _), t in runs[0].items() if kk == k]
+        se = statistics.pstdev(v) / math.sqrt(n)
+        assert statistics.mean(means) == pytest.approx(statistics.mean(v), abs=4 * se / math.sqrt(60))
+        assert statistics.stdev(means) == pytest.approx(se, rel=0.35)
+
+
+def test_live_average_counts_tracks_until_they_expire():
+    from lessonlens.streaming import steps
+    step, state, out = steps.live_average(3.0, 0.5), None, []
+    for t, scores in [(0.0, [(0.0, 1, 2.0), (0.0, 2, 4.0)]), (2.0, [(2.0, 1, 6.0)]), (4.0, [(3.5, 3, None), (4.0, 1, 7.0)]), (9.0, [(9.0, 4, float("nan"))])]:
+        state, r = step(state, {"t": t, "scores": scores})
+        out.append(r and (r["n_alive"], r["class_score"], r["smooth_score"]))
+    assert out == [(2, 3.0, 3.0), (2, 5.0, 4.0), (1, 7.0, 5.5), None]
+
+
+def test_fitted_thresholds_score_held_out_rows(spark):
+    rng = random.Random(6)
+    data = []
+    for i in range(600):
+        x = [rng.gauss(0, 1) for _ in range(4)]
+        data.append((i, x, float(min(7, max(1, round(4 + 1.5 * x[0] - x[2]))))))
+    examples = spark.createDataFrame(data, "id int, features array<double>, label double")
+    model = tr.fit_ordinal(examples.where("id % 3 > 0"))
+    held = examples.where("id % 3 = 0").withColumn("by_column", model.score(F.col("features")))
+    out = tr.score_ordinal(held, model, ["id", "label", "by_column"]).collect()
+    assert len(out) == 200 and all(1 <= r.pred_score <= 7 and r.pred_score == pytest.approx(r.by_column) for r in out)
+    assert statistics.mean(abs(r.pred_score - r.label) for r in out) < 0.6
+    assert tr.score_ordinal(held.where("id < 0"), model, ["id"]).collect() == []
+    constant = tr.fit_ordinal(examples.where("label = 4"), iterations=3)
+    assert tr.score_ordinal(held.limit(1), constant, []).first().pred_score == pytest.approx(4.0, abs=1e-6)
+
+
+def test_appends_cluster_the_rows_of_a_video(spark, tmp_path):
+    from lessonlens.sources import files
+    log = spark.range(20_000).select(
+        F.when(F.col("id") < 18_000, "big").otherwise(F.concat(F.lit("v"), (F.col("id") % 20).cast("string"))).alias("video_path"),
+        F.col("id").cast("double").alias("t"), F.col("id").alias("frame_idx"), (F.col("id") % 7).alias("track_id"), F.lit(3.0).alias("score")).repartition(8)
+    for _ in range(2):
+        files.append_predictions(log, str(tmp_path / "log"), rows_per_file=5000)
+    found = {p.name.split("=")[1]: len(list(p.glob("*.parquet"))) for p in (tmp_path / "log").glob("video_path=*")}
+    assert found.pop("big") in range(4, 9) and set(found.values()) == {2} and len(found) == 20
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 40_000
+
+
+def test_schema_report_lists_tables_and_columns(rows):
+    from lessonlens.schemas import schema
+    have = [("a", t, f.name) for t in ("videos", "labels") for f in schema(t).fields] + [("b", "labels", f.name) for f in schema("labels").fields if f.name != "score"]
+    got = ql.schema_report(rows(have, "dataset_id string, table string, column string"), ["videos", "labels"]).fillna("-")
+    assert values(got, "dataset_id", "table", "column") == [("b", "labels", "score"), ("b", "videos", "-")]
+
+
+def test_overrides_are_logged_and_must_have_a_length(rows):
+    from lessonlens.operators import intervention as iv
+    ddl = "id int, video_filter string, start_sec double, end_sec double, situation string, note string"
+    log = rows([("v", 1.0), ("v", 5.0)], "video_path string, t double")
+    good = rows([(3, None, 0.0, 2.0, None, None), (7, "v", 4.0, 6.0, "AB", "n"), (9, "w", 0.0, 1.0, "AB", None)], ddl)
+    kept = rows([(4, "old", 1.0, 2.0, "AB", None)], ddl)
+    assert values(iv.override_log(kept, good), "id", "video_filter", "start_sec") == [(4, "old", 1.0), (5, "v", 4.0), (6, "w", 0.0)]
+    assert values(iv.override_log(kept.limit(0), good), "id") == [(1,), (2,)]
+    assert values(iv.stamp_overrides(log, good, True).fillna("-"), "t", "situation_override") == [(1.0, "-"), (5.0, "AB")]
+    for end in (4.0, 3.0, None):
+        with pytest.raises(Exception, match="must end after it starts"):
+            iv.stamp_overrides(log, rows([(7, "v", 4.0, end, "AB", "n")], ddl)).collect()
