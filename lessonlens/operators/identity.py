@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from lessonlens.functions.numeric import drawn
 from lessonlens.functions.pose import unit_vector
+from lessonlens.session import cut_lineage
 
 THRESHOLD = 0.5
 MIN_MATCHES = 2
 MIN_RATIO = 0.5
-# Numbers (people times dimensions) up to which all centroids travel with each task.
-LOCAL_NUMBERS = 4_000_000
 BLOCK_PEOPLE = 2_000
 BLOCK_FACES = 50_000
+# Most centres of blocks: the only vectors that travel with every task.
+MOST_CENTRES = 256
 
 
 def centroids(faces: DataFrame) -> DataFrame:
@@ -25,74 +30,113 @@ def centroids(faces: DataFrame) -> DataFrame:
     return faces.groupBy("name").agg(vector_to_array(mean).alias("m")).select("name", unit_vector(F.col("m")).alias("emb"))
 
 
+@dataclass(frozen=True)
+class Blocks:
+    """People around centres: unit vectors of the centres, per centre the largest angle to one of its people and its number of
+    parts, and the people with their centre and part."""
+
+    centres: list[list[float]]
+    radius: list[float]
+    parts: list[int]
+    people: DataFrame
+
+
+def people_blocks(people: DataFrame, block_people: int = BLOCK_PEOPLE) -> Blocks | None:
+    """People dealt to the nearest of a few of them, chosen by a hash of their names; None without people."""
+    n = people.count()
+    if not n:
+        return None
+    wanted = min(MOST_CENTRES, max(1, -(-n // block_people)))
+    centres = _unit([r.emb for r in people.orderBy(drawn(F.col("name"), 0), "name").limit(wanted).collect()])
+
+    def home(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            if batch.num_rows:
+                near = _unit(batch.column(1).to_pylist()) @ np.array(centres).T
+                at = near.argmax(axis=1)
+                angle = np.arccos(np.clip(near[np.arange(len(at)), at], -1.0, 1.0))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64()), pa.array(angle)], names=["name", "emb", "centre", "angle"])
+
+    source = people.select("name", F.col("emb").cast("array<double>").alias("emb"))
+    placed = cut_lineage(source.mapInArrow(home, T.StructType([*source.schema.fields, T.StructField("centre", T.LongType()), T.StructField("angle", T.DoubleType())])))
+    facts = {r.centre: r for r in placed.groupBy("centre").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
+    parts = [-(-facts[k].n // block_people) if k in facts else 0 for k in range(len(centres))]
+    split = F.pmod(F.xxhash64("name"), F.element_at(F.array(*[F.lit(max(1, x)) for x in parts]), (F.col("centre") + 1).cast("int")))
+    return Blocks(centres, [facts[k].radius if k in facts else 0.0 for k in range(len(centres))], parts, placed.withColumn("part", split))
+
+
+def _unit(vectors) -> "object":
+    import numpy as np
+    matrix = np.stack([np.asarray(e, dtype=float) for e in vectors])
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+
+
+def visited_blocks(faces: DataFrame, blocks: Blocks) -> DataFrame:
+    """``face_id, emb`` and ``centres``: the blocks that may hold the person most similar to the face.
+
+    The angle to a person is at least the angle to the centre less the block's radius, and the nearest centre is a person too; a
+    block whose bound is below that person's similarity is passed over.
+    """
+    centres, radius = blocks.centres, blocks.radius
+
+    def bound(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            if batch.num_rows:
+                cosine = np.clip(_unit(batch.column(1).to_pylist()) @ np.array(centres).T, -1.0, 1.0)
+                most = np.cos(np.maximum(np.arccos(cosine) - np.array(radius), 0.0))
+                stay = most >= cosine.max(axis=1, keepdims=True) - 1e-9
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array([np.flatnonzero(row).tolist() for row in stay], pa.list_(pa.int64()))], names=["face_id", "emb", "centres"])
+
+    source = faces.select("face_id", F.col("emb").cast("array<double>").alias("emb"))
+    return source.mapInArrow(bound, T.StructType([*source.schema.fields, T.StructField("centres", T.ArrayType(T.LongType()))]))
+
+
 def nearest_identity(
-    faces: DataFrame, people: DataFrame, threshold: float = THRESHOLD, local_numbers: int = LOCAL_NUMBERS,
-    block_people: int = BLOCK_PEOPLE, block_faces: int = BLOCK_FACES,
+    faces: DataFrame, people: DataFrame, threshold: float = THRESHOLD, block_people: int = BLOCK_PEOPLE, block_faces: int = BLOCK_FACES,
 ) -> DataFrame:
     """Add ``matched_name`` (NULL below the threshold) and ``similarity`` of the person most similar to ``emb``.
 
-    ``faces`` needs a unique ``face_id``. A small table of people is sent to every task. A larger one is cut into
-    blocks, each face goes to every block and its best answers are combined, so no task holds more than one block pair.
+    ``faces`` needs a unique ``face_id``. People lie in blocks around centres, a large block in several parts; a face goes to the
+    blocks that its angles to the centres leave open, and its best answers are combined, the first name on ties. No task holds
+    more than a part of a block and as many faces.
     """
-    size = people.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("emb")).alias("d")).first()
-    if not size.n:
+    blocks = people_blocks(people, block_people)
+    if blocks is None:
         return faces.withColumns({"matched_name": F.lit(None).cast("string"), "similarity": F.lit(None).cast("double")})
-    if size.n * size.d <= local_numbers:
-        best = _local(faces, people)
-    else:
-        best = _blocked(faces, people, size.n, block_people, block_faces)
-    named = F.when(F.col("similarity") >= F.lit(threshold), F.col("best_name"))
-    return best.withColumn("matched_name", named).drop("best_name")
-
-
-def _local(faces: DataFrame, people: DataFrame) -> DataFrame:
-    rows = people.orderBy("name").select("name", "emb").collect()
-    shared = faces.sparkSession.sparkContext.broadcast(([r.name for r in rows], [r.emb for r in rows]))
+    shares = max(1, -(-faces.count() // block_faces))
+    cell = ["share", "centre", "part"]
+    last = F.element_at(F.array(*[F.lit(x - 1) for x in blocks.parts]), (F.col("centre") + 1).cast("int"))
+    left = visited_blocks(faces, blocks).withColumn("share", F.pmod(F.xxhash64("face_id"), F.lit(shares)))
+    left = left.withColumn("centre", F.explode("centres")).drop("centres").where(last >= 0)
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))))
+    right = blocks.people.select("name", "emb", "centre", F.col("part").cast("bigint").alias("part"))
+    right = right.withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shares - 1).cast("bigint"))))
 
-    def match(pages):
-        import numpy as np
-        names, vectors = shared.value
-        matrix = np.asarray(vectors, dtype=float)
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-        for pdf in pages:
-            if len(pdf):
-                scores = np.stack([np.asarray(e, dtype=float) for e in pdf["emb"]]) @ matrix.T
-                at = scores.argmax(axis=1)
-                pdf = pdf.assign(best_name=[names[i] for i in at], similarity=scores[np.arange(len(at)), at])
-                yield pdf
-
-    out = T.StructType([*faces.schema.fields, T.StructField("best_name", T.StringType()), T.StructField("similarity", T.DoubleType())])
-    return faces.mapInPandas(match, out)
-
-
-def _blocked(faces: DataFrame, people: DataFrame, n_people: int, block_people: int, block_faces: int) -> DataFrame:
-    parts = max(1, -(-faces.count() // block_faces))
-    blocks = max(1, -(-n_people // block_people))
-    left = faces.select("face_id", "emb").withColumn("p", F.pmod(F.xxhash64("face_id"), F.lit(parts)))
-    left = left.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    right = people.select("name", "emb").withColumn("b", F.pmod(F.xxhash64("name"), F.lit(blocks)))
-    right = right.withColumn("p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    kind = dict(faces.dtypes)["face_id"]
 
     def best(face, person):
         import numpy as np
-        import pandas as pd
-        if not len(face) or not len(person):
-            return pd.DataFrame({"face_id": [], "similarity": [], "best_name": []})
-        person = person.sort_values("name")
-        matrix = np.stack([np.asarray(e, dtype=float) for e in person["emb"]])
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-        scores = np.stack([np.asarray(e, dtype=float) for e in face["emb"]]) @ matrix.T
+        import pyarrow as pa
+        ids = face.column("face_id").combine_chunks() if face.num_rows else face.column("face_id")
+        if not face.num_rows or not person.num_rows:
+            return pa.table({"face_id": pa.array([], ids.type), "similarity": pa.array([], pa.float64()), "best_name": pa.array([], pa.string())})
+        person = person.sort_by("name")
+        scores = np.array(face.column("emb").to_pylist(), float) @ _unit(person.column("emb").to_pylist()).T
         at = scores.argmax(axis=1)
-        return pd.DataFrame({
-            "face_id": face["face_id"].to_numpy(), "similarity": scores[np.arange(len(at)), at],
-            "best_name": person["name"].to_numpy()[at]})
+        names = person.column("name").combine_chunks().take(pa.array(at))
+        return pa.table({"face_id": ids, "similarity": pa.array(scores[np.arange(len(at)), at]), "best_name": names.cast(pa.string())})
 
-    kind = dict(faces.dtypes)["face_id"]
-    partial = left.groupBy("p", "b").cogroup(right.groupBy("p", "b")).applyInPandas(
+    partial = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(
         best, f"face_id {kind}, similarity double, best_name string")
     top = partial.groupBy("face_id").agg(F.max("similarity").alias("similarity"), F.min_by(
         "best_name", F.struct(-F.col("similarity"), "best_name")).alias("best_name"))
-    return faces.join(top, "face_id")
+    named = F.when(F.col("similarity") >= F.lit(threshold), F.col("best_name"))
+    return faces.join(top, "face_id").withColumn("matched_name", named).select(*faces.columns, "similarity", "matched_name")
 
 
 def face_votes(
@@ -111,3 +155,7 @@ def face_votes(
     return out.select(
         *keys, F.col("b.matched_name").alias("name"), count.alias("matches"), ratio.alias("ratio"),
         ((count >= min_matches) & (count > 0) & (ratio >= min_ratio)).alias("excluded"))
+
+
+# The functions above travel with the tasks, so that workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -434,7 +434,7 @@ def j15(spark, d):
 
 @query("J15_nearest_identity_in_blocks", "SELECT vec_id AS face_id, CASE WHEN s >= 0.3 THEN name END AS matched_name, round(s,6) AS similarity FROM nr", cen=CENT, nr=NEAR)
 def j15_blocks(spark, d):
-    return rounded(_matches(spark, d, local_numbers=1, block_people=4, block_faces=200).select("face_id", "matched_name", "similarity"))
+    return rounded(_matches(spark, d, block_people=4, block_faces=200).select("face_id", "matched_name", "similarity"))
 
 
 @query("A41_face_votes", """SELECT segment_id, name, coalesce(c,0) AS matches, round(coalesce(c,0)/CAST(frames AS DOUBLE),6) AS ratio, coalesce(c,0) >= 2 AND coalesce(c,0)/CAST(frames AS DOUBLE) >= 0.5 AS excluded FROM (SELECT segment_id, count(*) AS frames FROM vt GROUP BY 1) LEFT JOIN (

@@ -563,13 +563,27 @@ def test_face_votes(rows):
     assert [o[1:] for o in out if o[0] == 4] == [(None, 0, 0.0, False)]
 
 
-def test_nearest_identity_paths_agree(rows):
+def test_nearest_identity_whatever_the_blocks(rows):
+    """The nearest of all people, ties to the first name, however people and faces are cut; far blocks are passed over."""
+    import numpy as np
     rng = random.Random(6)
-    people = rows([(f"n{i:02d}", [rng.gauss(0, 1) for _ in range(8)]) for i in range(23)], "name string, emb array<double>")
-    faces = rows([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(57)], "face_id int, emb array<double>")
-    a = idn.nearest_identity(faces, people)
-    b = idn.nearest_identity(faces, people, local_numbers=1, block_people=5, block_faces=10)
-    assert values(a.na.fill("-"), "face_id", "matched_name") == values(b.na.fill("-"), "face_id", "matched_name")
+    groups = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    near = lambda g, s: [x + rng.gauss(0, s) for x in g]
+    names = [(f"n{i:02d}", near(groups[i % 6], 0.1)) for i in range(90)] + [("n90", [1.0] * 8), ("n89b", [2.0] * 8)]
+    seen = [(i, near(groups[i % 6], 0.3)) for i in range(57)] + [(57, [1.0] * 8), (58, [-3.0, 0.0, 1.0, 5.0, 0.0, 0.0, 0.0, 0.1])]
+    people, faces = rows(names, "name string, emb array<double>"), rows(seen, "face_id int, emb array<double>")
+    unit = np.array([v for _, v in names]) / np.linalg.norm([v for _, v in names], axis=1, keepdims=True)
+    want = {}
+    for i, v in seen:
+        scores = unit @ np.array(v)
+        top = scores.max()
+        want[i] = (min(n for (n, _), x in zip(names, scores) if x > top - 1e-12), top)
+    for block_people, block_faces in ((10**6, 10**6), (9, 10), (1, 57)):
+        got = {r.face_id: (r.matched_name, r.similarity) for r in idn.nearest_identity(faces, people, -1e9, block_people, block_faces).collect()}
+        assert got.keys() == want.keys() and all(got[i][0] == n and got[i][1] == pytest.approx(x) for i, (n, x) in want.items())
+    blocks = idn.people_blocks(people, 9)
+    visits = [len(r.centres) for r in idn.visited_blocks(faces, blocks).collect()]
+    assert min(visits) >= 1 and sum(visits) < 0.8 * len(visits) * len(blocks.centres)
     assert idn.nearest_identity(faces, people.where("false")).where("matched_name IS NOT NULL").count() == 0
 
 
