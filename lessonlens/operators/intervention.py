@@ -168,6 +168,10 @@ def phase_of(t: Column, start: Column, end: Column, design: Design, cooldown: Co
         .when((t >= end + c) & (t < end + c + F.lit(design.post_sec)), "post").otherwise("outside"))
 
 
+# Seconds by which the time buckets of the event join are wider than the phases around an event.
+NEAR_EVENT = 600.0
+
+
 def event_course(log: DataFrame, events: DataFrame, design: Design) -> DataFrame:
     """Per cooldown, event, phase, bin after the event's end and situation (``ALL`` included): class figures over tracks.
 
@@ -180,7 +184,10 @@ def event_course(log: DataFrame, events: DataFrame, design: Design) -> DataFrame
     pre_start = start - F.lit(design.pre_gap_sec) - F.lit(design.pre_sec)
     pre_end = start - F.lit(design.pre_gap_sec)
     last = end + F.lit(borders[-1])
-    near = log.join(events, "video_path").where((t >= pre_start) & (t < last))
+    # a row meets the events near it in time, not all of its lesson
+    spans = events.withColumns({"__from": pre_start, "__until": last})
+    reach = design.pre_gap_sec + design.pre_sec + borders[-1] + NEAR_EVENT
+    near = interval_join(log, spans, ["video_path"], "t", "__from", "__until", reach).drop("__from", "__until")
     zone = F.when((t >= pre_start) & (t < pre_end), "pre").when((t >= start) & (t < end), AB).when(t >= end, "after")
     # Number of borders passed, as plain comparisons.
     passed = sum((F.when(t >= end + F.lit(b), 1).otherwise(0) for b in borders), F.lit(0))

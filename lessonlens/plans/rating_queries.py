@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lessonlens.operators import clips as cl, merging as mg, mutations as mu, quality as ql, ratings as rt
 from lessonlens.plans.catalogue import query
 from lessonlens.plans.tools import DS, TWO_STORES, rounded
-from lessonlens.schemas import schema
+from lessonlens.schemas import DDL
 from lessonlens.session import cut_lineage
 from lessonlens.sources import fixtures as fx
 
@@ -475,7 +475,7 @@ def j17(spark, d):
 
 
 REQUIRED = ["videos", "windows", "segments", "labels"]
-WANTED = [(t, f.name) for t in REQUIRED for f in schema(t).fields if f.name != "dataset_id"]
+WANTED = [(t, f.split()[0]) for t in REQUIRED for f in DDL[t].split(", ") if f.split()[0] != "dataset_id"]
 
 
 # Every fifth lesson's store has no labels, and every seventh one lacks the windows' lock.

@@ -117,7 +117,12 @@ def r8(spark, d):
     return live.drain_closed(rows, lambda log: live.exclusions(log, ttl=live.LESSON_TTL), "exclusions").select("video_path", "track_id", "frame_idx", "excluded", "name")
 
 
-@query("R7_rolling_history_stream")
+@query("R7_rolling_history_stream", """SELECT video_path, round(t,6) AS t, CAST(len(p) AS INT) AS n_points, CAST(len(list_filter(p, lambda x: x.v IS NOT NULL)) AS INT) AS n_known,
+  round(list_avg(list_transform(p, lambda x: x.v)),6) AS mean FROM his WHERE i > 0""",
+       ord="SELECT *, row_number() OVER (PARTITION BY video_path ORDER BY t, frame_idx) AS i FROM pred",
+       his="""SELECT DISTINCT video_path, 0::BIGINT AS i, NULL::DOUBLE AS t, []::STRUCT(t DOUBLE, v DOUBLE)[] AS p FROM pred
+         UNION ALL SELECT video_path, i, t, CASE WHEN len(q) = 0 OR t >= q[-1].t + 0.5 - 1e-6 THEN list_append(q, struct_pack(t := t, v := greatest(1.0, least(7.0, score))::DOUBLE)) ELSE q END FROM (
+           SELECT o.video_path, o.i, o.t, o.score, list_filter(h.p, lambda x: x.t >= o.t - 60) AS q FROM his h JOIN ord o ON o.video_path=h.video_path AND o.i=h.i+1)""")
 def r7(spark, d):
     return rounded(live.drain_closed(_log(spark, d), live.history, "history"))
 
