@@ -40,7 +40,7 @@ class Mix:
     share: float = 1.5
     most: int = 2
     block_tokens: int = 2048
-    chunk_rows: int = 16_384
+    chunk_rows: int = 1024
     slot_chunk: int = 8192
     cells: int = 1024
     seed: str = "mix"
