@@ -1,4 +1,4 @@
-"""Removal of repeated word sequences by prefix-partitioned suffix trees.
+"""Removal of repeated word sequences: suffixes in groups by prefixes of variable length, deep nodes found per group.
 
 A window of ``window`` words that also starts in a document with a smaller id is a repeat; its words go. Windows are the
 suffixes of the texts down to that depth, and a repeat is an inner node of their tree with leaves in several documents.
@@ -10,8 +10,8 @@ suffixes of the texts down to that depth, and a repeat is an inner node of their
    document, and settles its other documents by itself: to a frequent window's group goes an entry per batch. The settled
    starts, an entry per occurrence, are dealt by document and place, so that copies of one text spread over all groups.
    Rows that repeat an id and a text are worked on once per task.
-3. A group is put in order; its deep inner nodes are the runs of equal windows, and all leaves but those of the least
-   document are repeats. Runs of repeated windows are the maximal repeats.
+3. A group's windows are put in order by a fingerprint of all their words. No tree of sorted suffixes is built: a run of equal
+   fingerprints stands for an inner node of full depth, and all leaves but those of the least document are repeats.
 4. The starts of repeats go back to their documents, which drop the covered words.
 
 Defined cases: a null text has no words; a row without id neither loses words nor makes others lose them; rows with equal
