@@ -14,6 +14,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lessonlens.session import cut_lineage
+
 BUCKET_ROWS = 200_000
 MOST_BUCKETS = 4096
 
@@ -46,15 +48,13 @@ def value_ranks(
 ) -> DataFrame:
     """One row per key and distinct value: ``value``, ``cnt``, ``below`` (rows with smaller values) and ``n``.
 
-    NULL values are left out. ``extra`` are aggregates over the rows of each distinct value. ``rows`` is how many rows a bucket
-    should have and affects speed only. The borders are sketched when this is called.
+    NULL values are left out. ``extra`` are aggregates over the rows of each distinct value. ``rows`` is how many distinct values a
+    bucket should have and affects speed only. The merged values are a written table, so a job runs when this is called.
     """
-    bucket = _bucket(F.col(value), _borders(df, value, rows))
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, bucket.alias("__bucket"), F.col(value).cast("double").alias("value"))
-        .agg(F.count(F.lit(1)).alias("cnt"), *[c.alias(name) for name, c in extra.items()])
-    )
+    merged = cut_lineage(
+        df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("value"))
+        .agg(F.count(F.lit(1)).alias("cnt"), *[c.alias(name) for name, c in extra.items()]))
+    counts = merged.withColumn("__bucket", _bucket(F.col("value"), _borders(merged, "value", rows)))
     sizes = counts.groupBy(*keys, "__bucket").agg(F.sum("cnt").alias("__size"))
     group = Window.partitionBy(*keys)
     lower = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
