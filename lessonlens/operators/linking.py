@@ -13,6 +13,10 @@ from lessonlens.operators import scans
 from lessonlens.session import cut_lineage
 
 
+# Pairs of a track and a box that are compared at once.
+PAIRS = 1 << 18
+
+
 @dataclass
 class LinkRules:
     # Weights of the four cost terms and the bounds that admit a link.
@@ -46,8 +50,8 @@ def link_frame(tracks: OpenTracks, now: float, boxes: np.ndarray, poses: list, c
     live = np.flatnonzero(now - tracks.seen <= rules.max_age)
     ids = np.zeros(len(boxes), np.int64)
     if len(live) and len(boxes):
-        cost = link_costs(tracks.boxes[live], boxes, [tracks.poses[i] for i in live], poses, [tracks.colours[i] for i in live], colours, rules)
-        wanted, price = cost.argmin(axis=0), cost.min(axis=0)
+        wanted, price = cheapest_tracks(
+            tracks.boxes[live], boxes, [tracks.poses[i] for i in live], poses, [tracks.colours[i] for i in live], colours, rules)
         asking = np.argsort(price, kind="stable")[:int(np.isfinite(price).sum())]
         track, first = np.unique(wanted[asking], return_index=True)
         ids[asking[first]] = tracks.ids[live[track]]
@@ -62,7 +66,33 @@ def link_frame(tracks: OpenTracks, now: float, boxes: np.ndarray, poses: list, c
         np.concatenate([tracks.seen[unseen], np.full(len(boxes), float(now))])[order], tracks.next_id + len(new))
 
 
-def link_costs(a: np.ndarray, b: np.ndarray, poses_a: list, poses_b: list, colours_a: list, colours_b: list, rules: LinkRules) -> np.ndarray:
+def cheapest_tracks(
+    a: np.ndarray, b: np.ndarray, poses_a: list, poses_b: list, colours_a: list, colours_b: list, rules: LinkRules, pairs: int = PAIRS,
+) -> tuple[np.ndarray, np.ndarray]:
+    """For every box (of ``b``) its cheapest track (of ``a``; the first on ties) and that cost, infinite where there is none.
+
+    Where there are more than ``pairs`` pairs, boxes are taken block by block from left to right, and a block meets the tracks
+    that reach it from the left and the right only, as no others overlap with its boxes: memory does not grow with the crowd.
+    """
+    vectors = [Vectors.of(v) for v in (poses_a, poses_b, colours_a, colours_b)]
+    if len(a) * len(b) <= pairs:
+        cost = link_costs(a, b, *vectors, rules)
+        return cost.argmin(axis=0), cost.min(axis=0)
+    wanted, price = np.zeros(len(b), np.int64), np.full(len(b), np.inf)
+    order, size = np.argsort(b[:, 0], kind="stable"), max(1, pairs // len(a))
+    for at in range(0, len(b), size):
+        own = order[at:at + size]
+        near = np.arange(len(a))
+        if rules.iou_min > 0:
+            near = np.flatnonzero((a[:, 2] >= b[own, 0].min()) & (a[:, 0] <= b[own, 2].max()) | np.isnan(b[own][:, [0, 2]]).any())
+        if len(near):
+            sides = [v.take(x) for v, x in zip(vectors, (near, own, near, own))]
+            cost = link_costs(a[near], b[own], *sides, rules)
+            wanted[own], price[own] = near[cost.argmin(axis=0)], cost.min(axis=0)
+    return wanted, price
+
+
+def link_costs(a: np.ndarray, b: np.ndarray, poses_a, poses_b, colours_a, colours_b, rules: LinkRules) -> np.ndarray:
     """Cost of every track (row) for every box (column), infinite where they overlap too little or a corner is missing."""
     low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
     shared = np.maximum(high - low, 0.0).prod(axis=2)
@@ -75,14 +105,40 @@ def link_costs(a: np.ndarray, b: np.ndarray, poses_a: list, poses_b: list, colou
     return np.where((iou >= rules.iou_min) & np.isfinite(cost), cost, np.inf)
 
 
-def vector_gaps(a: list, b: list, gaps) -> np.ndarray:
+@dataclass
+class Vectors:
+    """Vectors of several sizes as one array; ``sizes`` has 0 for those that are missing."""
+
+    sizes: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, vectors) -> "Vectors":
+        if isinstance(vectors, cls):
+            return vectors
+        sizes = np.array([0 if v is None else len(v) for v in vectors], np.int64)
+        values = np.zeros((len(sizes), sizes.max(initial=0)))
+        for size in np.unique(sizes[sizes > 0]):
+            rows = np.flatnonzero(sizes == size)
+            values[rows, :size] = np.array([vectors[i] for i in rows], dtype=float)
+        return cls(sizes, values)
+
+    def take(self, rows: np.ndarray) -> "Vectors":
+        return Vectors(self.sizes[rows], self.values[rows])
+
+    def of_size(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.flatnonzero(self.sizes == size)
+        return rows, np.ascontiguousarray(self.values[rows, :size])
+
+
+def vector_gaps(a, b, gaps) -> np.ndarray:
     """``gaps`` of all vectors of equal size; 1 for vectors that are missing, empty or of different size."""
-    out = np.ones((len(a), len(b)))
-    sizes_a, sizes_b = (np.array([0 if v is None else len(v) for v in x]) for x in (a, b))
-    for size in np.intersect1d(sizes_a, sizes_b):
+    a, b = Vectors.of(a), Vectors.of(b)
+    out = np.ones((len(a.sizes), len(b.sizes)))
+    for size in np.intersect1d(a.sizes, b.sizes):
         if size:
-            rows, columns = np.flatnonzero(sizes_a == size), np.flatnonzero(sizes_b == size)
-            out[np.ix_(rows, columns)] = gaps(*(np.array([x[i] for i in use], dtype=float) for x, use in ((a, rows), (b, columns))))
+            (rows, left), (columns, right) = a.of_size(size), b.of_size(size)
+            out[np.ix_(rows, columns)] = gaps(left, right)
     return out
 
 

@@ -290,3 +290,40 @@ def test_sliding_mean_and_log_sink(spark, replay, tmp_path):
     running.processAllAvailable()
     running.stop()
     assert spark.read.parquet(str(tmp_path / "log")).count() == replay[1].count()
+
+
+def test_waiting_rows_lie_in_pieces(spark, monkeypatch):
+    """However many rows a cell holds, only a run or the pieces that are reached are read; the order is that of the rows."""
+    import pickle
+    import types
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+    from lessonlens.streaming import folds
+    monkeypatch.setattr(folds, "RUN", 64)
+    monkeypatch.setattr(folds, "PIECE", 16)
+    monkeypatch.setattr(folds, "PAGE", 32)
+
+    def step(state, row):
+        return (state or 0) + 1, {"n": (state or 0) + 1, "frame_idx": row["frame_idx"]}
+
+    step.state, step.reads = "bigint", ("frame_idx",)
+    names = {"video": T.StringType(), "frame_idx": T.LongType(), "t": T.DoubleType(), folds.DUE: T.LongType(), folds.AT: T.LongType()}
+    fold = folds.StepFold(step, ["video", "n", "frame_idx"], ["video"], ["t", "frame_idx"], 1e9, [T.StructField(n, k) for n, k in names.items()])
+    store, held = {}, {}
+    fold.handle = types.SimpleNamespace(registerTimer=lambda at: None)
+    fold.held = types.SimpleNamespace(get=lambda: held.get("v"), update=lambda v: held.update(v=v), clear=held.clear)
+    fold.pieces = types.SimpleNamespace(
+        updateValue=lambda k, v: store.update({k: v}), getValue=lambda k: store[k], removeKey=lambda k: store.pop(k))
+    t = np.random.default_rng(5).permutation(1000)
+    rows = pd.DataFrame({"c0": "v", "c1": t * 2, "c2": t.astype(float), "c3": t * 1000, "c4": t * 1_000_000, "gaps": 0})
+    fold.handleInputRows(None, iter([rows[:300], rows[300:]]), None)
+    assert len(store) > 50 and max(len(pickle.loads(v[0])) for v in store.values()) <= 16
+    pages = []
+    for mark in (400_500, 10**9):
+        now = types.SimpleNamespace(getCurrentWatermarkInMs=lambda mark=mark: mark)
+        found = list(fold.handleExpiredTimer(None, now, None))
+        pages += found
+        assert sum(map(len, found)) == (401 if mark < 10**6 else 599)
+    out = pd.concat(pages)
+    assert max(map(len, pages)) <= 32 and out["frame_idx"].tolist() == list(range(0, 2000, 2)) and out["n"].tolist() == list(range(1, 1001)) and not store
