@@ -41,8 +41,10 @@ def remap(source: DataFrame, base: DataFrame) -> DataFrame:
 
 def topology_differences(source: DataFrame, base: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows present on one side only; empty when both stores describe the same windows or segments."""
-    a, b = source.select(*columns).distinct(), base.select(*columns).distinct()
-    return a.exceptAll(b).withColumn("side", F.lit("source")).unionByName(b.exceptAll(a).withColumn("side", F.lit("base")))
+    sides = source.select(*columns, F.lit(1).alias("__side")).unionByName(base.select(*columns, F.lit(2).alias("__side")))
+    # one bit per side, so a side of a group is one number; no row is sorted or repeated
+    found = sides.groupBy(*columns).agg(F.bit_or("__side").alias("__side")).where(F.col("__side") != 3)
+    return found.select(*columns, F.when(F.col("__side") == 1, "source").otherwise("base").alias("side"))
 
 
 def new_sources(sources: DataFrame, imported: DataFrame) -> DataFrame:
