@@ -185,9 +185,10 @@ def _split(spark, d, **kw):
 
 @query("M1_F23_grouped_split_counts", """SELECT CAST(count(DISTINCT window_id) AS BIGINT) AS groups, CAST(round_even(count(DISTINCT window_id)*0.2, 0) AS BIGINT) AS validation_groups, 0 AS straddling FROM seg""")
 def m1_counts(spark, d):
-    s = _split(spark, d).groupBy("split_group").agg(F.min("split").alias("a"), F.max("split").alias("b"))
-    return s.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("b") == "validation").alias("validation_groups"),
-                 F.count_if(F.col("a") != F.col("b")).alias("straddling"))
+    # counts, as the least and the greatest of texts would sort every row
+    s = _split(spark, d).groupBy("split_group").agg(F.count_if(F.col("split") == "validation").alias("v"), F.count("split").alias("n"))
+    return s.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("v") > 0).alias("validation_groups"),
+                 F.count_if((F.col("v") > 0) & (F.col("v") < F.col("n"))).alias("straddling"))
 
 
 DRAW = "CAST('0x' || substr(md5('42:' || {}), 1, 15) AS BIGINT)"
