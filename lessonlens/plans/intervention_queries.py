@@ -214,9 +214,9 @@ def a9_means(spark, d):
 @query("A12_sensitivity_intervals", """SELECT cooldown_sec, effect_type, count(effect) AS n_events, round(avg(effect),6) AS mean_effect, CASE WHEN count(effect) > 1 THEN true END AS inside,
   CASE WHEN count(effect) > 1 THEN true END AS width_ok FROM lng WHERE effect IS NOT NULL GROUP BY 1,2""", **ALLC, lng=LONG)
 def a12(spark, d):
-    effects = iv.long_effects(_sweep(spark, d)[2])
-    spread = effects.groupBy("cooldown_sec", "effect_type").agg(F.stddev_pop("effect").alias("sd"))
-    out = iv.sensitivity(_sweep(spark, d)[2], iterations=2000).join(spread, ["cooldown_sec", "effect_type"])
+    table = cut_lineage(_sweep(spark, d)[2])  # one row per event and cooldown, read twice
+    spread = iv.long_effects(table).groupBy("cooldown_sec", "effect_type").agg(F.stddev_pop("effect").alias("sd"))
+    out = iv.sensitivity(table, iterations=2000).join(spread, ["cooldown_sec", "effect_type"])
     return rounded(out.select("cooldown_sec", "effect_type", "n_events", "mean_effect", *_interval_checks("mean_effect", "n_events", 0.3)))
 
 
