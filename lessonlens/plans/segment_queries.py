@@ -8,6 +8,7 @@ from lessonlens.functions import boxes
 from lessonlens.operators import segments as sg
 from lessonlens.plans.catalogue import query
 from lessonlens.plans.tools import DS, TWO_STORES, rounded
+from lessonlens.session import cut_lineage
 from lessonlens.sources import fixtures as fx
 
 TRACK = ["video_path", "track_id"]
@@ -81,9 +82,9 @@ SUMMARY = """count(*) AS segments, count_if(abs(t_end-t_start-5) > 1e-5) AS off_
 
 @query("A35_sequence_summary", f"SELECT dataset_id, labelled, {SUMMARY} FROM {TWO_STORES}, (SELECT 'all' AS labelled, * FROM sa UNION ALL SELECT 'labelled', * FROM sa WHERE segment_id IN (SELECT segment_id FROM ratings)) GROUP BY 1, 2", **AUDIT)
 def a35_summary(spark, d):
-    audit = _audit(spark, d)
+    audit = cut_lineage(_audit(spark, d))  # read by both counts and by the median's ranks
     labelled = audit.join(fx.rate(spark, d), "segment_id", "left_semi").withColumn("labelled", F.lit("labelled"))
-    both = audit.withColumn("labelled", F.lit("all")).unionByName(labelled)
+    both = cut_lineage(audit.withColumn("labelled", F.lit("all")).unionByName(labelled))
     return rounded(sg.sequence_summary(both, [*DS, "labelled"], expected=5))
 
 
