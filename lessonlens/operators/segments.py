@@ -16,6 +16,9 @@ from lessonlens.operators.joins import nearest_in_time
 
 REFERENCE_FPS = 2.0
 END_SLACK = 1e-6
+# A segment with more frames than this is numbered chunk of time by chunk of time, not in one task.
+MOST_FRAMES = 50_000
+SIZE_BUCKETS = 1 << 16
 
 
 def build_segments(
@@ -94,14 +97,49 @@ def sequence_summary(audit: DataFrame, keys: Sequence[str] = (), expected: int =
     return ranks.with_stats(plain, audit, keys, "span", span_median_sec=ranks.median())
 
 
+def by_size(frames: DataFrame, ds: Sequence[str] = (), most: int = MOST_FRAMES) -> tuple[DataFrame, DataFrame]:
+    """The frames of segments with at most ``most`` frames, and those of the vast ones; frames without a segment are in neither.
+
+    Of ``N`` frames no more than ``N / most`` segments are vast, so their list is sent around whatever the data look like. Frames
+    are counted by the hash of their segment first, and by segment only where a hash has more than ``most``.
+    """
+    key = ["segment_id", *ds]
+    hashed = frames.select(*key, F.pmod(F.xxhash64(*key), F.lit(SIZE_BUCKETS)).alias("__h"))
+    crowded = hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most).select("__h")
+    counts = hashed.join(F.broadcast(crowded), "__h", "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    vast = F.broadcast(counts.where(F.col("__n") > most).select(*key))
+    return frames.na.drop(subset=key).join(vast, key, "left_anti"), frames.join(vast, key, "left_semi")
+
+
+def numbered(
+    few: DataFrame, many: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+) -> tuple[DataFrame, DataFrame]:
+    """Both parts of ``by_size`` with the 0-based position ``i`` in the key, by rising ``order``, and the key's row count ``n``.
+
+    A key of the first part is one window of a sorted task; those of the second are cut into chunks. Rows without a chunk are
+    counted but left out.
+    """
+    window = Window.partitionBy(*keys).orderBy(*order)
+    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    short = few.withColumns({
+        "n": F.count(F.lit(1)).over(whole), "i": F.row_number().over(window).cast("bigint") - 1}).where(chunk.isNotNull())
+    counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    placed = scans.row_index(many, keys, list(order), "__i", chunk)
+    return short, placed.join(counts, list(keys)).withColumn("i", F.col("__i") - 1).drop("__i")
+
+
+def _frame_positions(frames, order=("t", "frame_idx"), chunk_width=1.0, ds=(), most=MOST_FRAMES):
+    # The number goes first: rows are sorted by it, and a store's name is looked at where it does not decide.
+    return numbered(*by_size(frames, ds, most), ["segment_id", *ds], order, scans.time_chunk("t", chunk_width))
+
+
 def frame_positions(
     frames: DataFrame, order: Sequence[str] = ("t", "frame_idx"), chunk_width: float = 1.0, ds: Sequence[str] = (),
+    most: int = MOST_FRAMES,
 ) -> DataFrame:
     """Frames with their 0-based position ``i`` in the segment and the segment's frame count ``n``."""
-    key = [*ds, "segment_id"]
-    counts = frames.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    placed = scans.row_index(frames, key, list(order), "__i", scans.time_chunk("t", chunk_width))
-    return placed.join(counts, key).withColumn("i", F.col("__i") - 1).drop("__i")
+    short, long = _frame_positions(frames, order, chunk_width, ds, most)
+    return short.unionByName(long)
 
 
 def uniform_positions(n: Column, wanted: int) -> Column:
@@ -136,19 +174,24 @@ def assemble(
     return chosen.groupBy(*ds, "segment_id").agg(F.max("n").alias("n_frames"), items.alias("sequence"))
 
 
-def animation_frames(frames: DataFrame, clips: DataFrame, fps: float = 2.0, max_frames: int = 60, ds: Sequence[str] = ()) -> DataFrame:
+def animation_frames(
+    frames: DataFrame, clips: DataFrame, fps: float = 2.0, max_frames: int = 60, ds: Sequence[str] = (),
+    most: int = MOST_FRAMES,
+) -> DataFrame:
     """Evenly spread crops of a clip: each path once at its earliest time, at most ``max_frames`` of them.
 
     ``clips`` has ``segment_id, clip_start, clip_end`` with a few rows per segment.
     """
     key = [*ds, "segment_id", "clip_start", "clip_end"]
     inside = (F.col("t") >= F.col("clip_start")) & (F.col("t") < F.col("clip_end"))
-    unique = (
-        frames.where(F.coalesce(F.col("crop_path"), F.lit("")) != "").join(clips, [*ds, "segment_id"]).where(inside)
-        .groupBy(*key, "crop_path").agg(F.min("t").alias("t")))
-    counts = unique.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    placed = scans.row_index(unique, key, ["t", "crop_path"], "__i", scans.time_chunk("t", 1.0))
-    placed = placed.join(counts, key).withColumn("i", F.col("__i") - 1)
+    by_number = ["segment_id", *ds, "clip_start", "clip_end"]
+
+    def unique(part: DataFrame) -> DataFrame:
+        return part.join(clips, ["segment_id", *ds]).where(inside).groupBy(*by_number, "crop_path").agg(F.min("t").alias("t"))
+
+    few, many = by_size(frames.where(F.coalesce(F.col("crop_path"), F.lit("")) != ""), ds, most)
+    short, long = numbered(unique(few), unique(many), by_number, ["t", "crop_path"], scans.time_chunk("t", 1.0))
+    placed = short.unionByName(long)
     by_length = F.greatest(F.lit(1), F.rint((F.col("clip_end") - F.col("clip_start")) * F.lit(float(fps))).cast("int"))
     placed = placed.withColumn("m", F.least(F.lit(max_frames), by_length, F.col("n").cast("int")))
     hits = F.filter(
