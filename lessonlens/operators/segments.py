@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Sequence
+from functools import reduce
 from itertools import chain
+from operator import or_
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -142,36 +144,52 @@ def frame_positions(
     return short.unionByName(long)
 
 
+def uniform_position(n: Column, wanted: int, k: Column) -> Column:
+    spaced = F.rint(k * ((n - 1) / F.lit(float(max(1, wanted - 1))))).cast("int")
+    return F.when(n >= wanted, spaced).otherwise(F.least(k, n.cast("int") - 1))
+
+
 def uniform_positions(n: Column, wanted: int) -> Column:
     """Positions of ``wanted`` evenly spaced items out of ``n``, halves to even; short sequences repeat the last item."""
-    spaced = F.transform(
-        F.sequence(F.lit(0), F.lit(wanted - 1)),
-        lambda k: F.rint(k * ((n - 1) / F.lit(float(max(1, wanted - 1))))).cast("int"))
-    padded = F.transform(F.sequence(F.lit(0), F.lit(wanted - 1)), lambda k: F.least(k, n.cast("int") - 1))
-    return F.when(n >= wanted, spaced).otherwise(padded)
+    return F.transform(F.sequence(F.lit(0), F.lit(wanted - 1)), lambda k: uniform_position(n, wanted, k))
+
+
+def contiguous_start(n: Column, wanted: int, seed: int, key: Column) -> Column:
+    return (drawn(key, seed) % F.greatest(F.lit(1).cast("bigint"), n - wanted + 1)).cast("int")
 
 
 def contiguous_positions(n: Column, wanted: int, seed: int, key: Column) -> Column:
     """A run of ``wanted`` positions from a start drawn for the key; short sequences repeat the last item."""
-    start = (drawn(key, seed) % F.greatest(F.lit(1).cast("bigint"), n - wanted + 1)).cast("int")
+    start = contiguous_start(n, wanted, seed, key)
     return F.transform(F.sequence(F.lit(0), F.lit(wanted - 1)), lambda k: F.least(start + k, n.cast("int") - 1))
 
 
 def assemble(
     frames: DataFrame, wanted: int, payload: Sequence[str], seed: int | None = None, ds: Sequence[str] = (),
+    most: int = MOST_FRAMES,
 ) -> DataFrame:
     """One row per segment with exactly ``wanted`` frames in order.
 
-    Frames are picked by position before any list is built, so a segment with a vast number of frames costs no more.
+    Frames are picked by position before any list is built, so a segment with a vast number of frames costs no more. The places
+    of the list are an aggregate each, which sorted rows pass through without being kept: lists gathered per group would be sorted again.
     """
-    placed = frame_positions(frames, ds=ds)
-    positions = uniform_positions(F.col("n"), wanted) if seed is None else \
-        contiguous_positions(F.col("n"), wanted, seed, F.col("segment_id"))
-    slots = F.filter(
-        F.transform(positions, lambda p, k: F.when(p == F.col("i"), k)), lambda k: k.isNotNull())
-    chosen = placed.withColumn("k", F.explode(slots))
-    items = F.array_sort(F.collect_list(F.struct("k", *payload)))
-    return chosen.groupBy(*ds, "segment_id").agg(F.max("n").alias("n_frames"), items.alias("sequence"))
+    if seed is None:
+        at = [uniform_position(F.col("n"), wanted, F.lit(k)) for k in range(wanted)]
+    else:
+        at = [F.least(F.col("__start") + k, F.col("n").cast("int") - 1) for k in range(wanted)]
+    picked = [F.col("i") == p for p in at]
+    items = [F.max(F.when(hit, F.struct(F.lit(k).alias("k"), *payload))) for k, hit in enumerate(picked)]
+
+    def gathered(placed: DataFrame) -> DataFrame:
+        if seed is not None:
+            placed = placed.withColumn("__start", contiguous_start(F.col("n"), wanted, seed, F.col("segment_id")))
+        chosen = placed.where(reduce(or_, picked)).groupBy("segment_id", *ds).agg(
+            F.max("n").alias("n_frames"), *[c.alias(f"__{k}") for k, c in enumerate(items)])
+        return chosen.select(*ds, "segment_id", "n_frames", F.array_compact(F.array(*[f"__{k}" for k in range(wanted)])).alias("sequence"))
+
+    # Each part is gathered where its segments were numbered, without another shuffle.
+    short, long = _frame_positions(frames, ds=ds, most=most)
+    return gathered(short).unionByName(gathered(long))
 
 
 def animation_frames(
