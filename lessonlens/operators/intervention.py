@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -170,13 +171,41 @@ def phase_of(t: Column, start: Column, end: Column, design: Design, cooldown: Co
 
 # Seconds by which the time buckets of the event join are wider than the phases around an event.
 NEAR_EVENT = 600.0
+# Seconds by which a time may be off its bin or its piece through rounding.
+BIN_SLACK = 1e-3
+
+
+def _ways(design: Design, borders: list[float]) -> tuple[list[float], list[list[dict]], list[list[float]]]:
+    """The ways in which the cooldowns share out the pieces of each bin after an event.
+
+    A phase takes pieces ``[first, stop)`` of a bin, held to those that may lie in it; cooldowns with the same pieces have the same
+    way, named by the first of them. Returns the cooldowns, the ways of each bin and piece, and the cooldowns of each bin, phase and way.
+    """
+    cooldowns, width = sorted({float(c) for c in design.cooldowns}), float(design.bin_sec)
+    ways, sharers = [], []
+    for k in range(int(borders[-1] / width) + 3):
+        low = sum(k * width - BIN_SLACK >= b for b in borders)
+        high = sum((k + 1) * width + BIN_SLACK >= b for b in borders)
+        spans = {}
+        for phase in ("cooldown", "post"):
+            named = [[] for _ in cooldowns]
+            for i, c in enumerate(cooldowns):
+                begins, ends = borders.index(c) + 1, borders.index(c + design.post_sec) + 1
+                first, stop = (0, begins) if phase == "cooldown" else (begins, ends)
+                way = spans.setdefault((phase, max(first, low), min(stop, high + 1)), i)
+                named[way].append(c)
+            sharers += named
+        ways += [[{"phase": phase, "way": way} for (phase, first, stop), way in spans.items() if first <= piece < stop]
+                 for piece in range(len(borders) + 1)]
+    return cooldowns, ways, sharers
 
 
 def event_course(log: DataFrame, events: DataFrame, design: Design) -> DataFrame:
     """Per cooldown, event, phase, bin after the event's end and situation (``ALL`` included): class figures over tracks.
 
     The log is read once for all cooldown lengths: rows are first summed per track into the pieces of time between
-    all phase borders, and only these sums are assigned to a phase for each cooldown.
+    all phase borders, and only these sums are assigned to a phase for each cooldown. Cooldowns whose phase takes the same
+    pieces of a bin share its figures: they are computed once and handed to each of them at the end.
     """
     borders = sorted({b for c in design.cooldowns for b in (float(c), float(c) + design.post_sec)})
     events = cut_lineage(events.select(*EVENT))
@@ -200,15 +229,13 @@ def event_course(log: DataFrame, events: DataFrame, design: Design) -> DataFrame
         F.sum("score").alias("s"), F.count("score").alias("n"), F.sum("score_clamped").alias("sc"),
         F.count("score_clamped").alias("nc"), F.sum("situation_confidence").alias("sf"), F.count("situation_confidence").alias("nf"))
 
-    def option(c: float) -> Column:
-        begins = borders.index(float(c)) + 1
-        ends = borders.index(float(c) + design.post_sec) + 1
-        p = F.col("piece")
-        phase = F.when(F.col("zone") != "after", F.col("zone")).when(p < begins, "cooldown").when(p < ends, "post")
-        return F.struct(F.lit(float(c)).alias("cooldown_sec"), phase.alias("phase"))
-
-    options = F.filter(F.array(*[option(c) for c in design.cooldowns]), lambda o: o.phase.isNotNull())
-    cell = ["cooldown_sec", "event_id", "phase", "relative_bin"]
+    cooldowns, ways, sharers = _ways(design, borders)
+    # Up to the event's end there is one way for all cooldowns.
+    whole = F.array(F.struct(F.col("zone").alias("phase"), F.lit(-1).alias("way")))
+    place = F.col("relative_bin") * F.lit(len(borders) + 1) + F.col("piece")
+    options = F.when(F.col("zone") != "after", whole).otherwise(
+        F.get(F.from_json(F.lit(json.dumps(ways)), "array<array<struct<phase:string,way:int>>>"), place))
+    cell = ["event_id", "phase", "relative_bin", "way"]
     once = Window.partitionBy(*cell, "track_id").orderBy("base_situation")
     tracks = (
         # One shuffle serves the track means and the mark on one row per track, which counts tracks over all situations.
@@ -216,13 +243,13 @@ def event_course(log: DataFrame, events: DataFrame, design: Design) -> DataFrame
         .groupBy(*cell, "base_situation", "track_id").agg(
             F.try_divide(F.sum("s"), F.sum("n")).alias("score"), F.try_divide(F.sum("sc"), F.sum("nc")).alias("clamped"),
             F.try_divide(F.sum("sf"), F.sum("nf")).alias("situation_confidence"))
-        .withColumn("first", F.when(F.row_number().over(once) == 1, 1).otherwise(0)))
+        .withColumn("one", F.when(F.row_number().over(once) == 1, 1).otherwise(0)))
     # One row per track, bin and situation; the rank table reads it twice.
     tracks = cut_lineage(tracks)
     both = tracks.withColumn("base_situation", F.explode(F.array(F.lit(ALL), F.col("base_situation"))))
     keys = [*cell, "base_situation"]
     values = ranks.value_ranks(
-        both, keys, "score", firsts=F.sum("first"), clamped=F.sum("clamped"), n_clamped=F.count("clamped"),
+        both, keys, "score", firsts=F.sum("one"), clamped=F.sum("clamped"), n_clamped=F.count("clamped"),
         conf=F.sum("situation_confidence"), n_conf=F.count("situation_confidence"))
     out = values.groupBy(*keys).agg(
         F.when(F.col("base_situation") == ALL, F.sum("firsts")).otherwise(F.sum("cnt")).alias("n_tracks"),
@@ -233,6 +260,10 @@ def event_course(log: DataFrame, events: DataFrame, design: Design) -> DataFrame
         F.try_divide(F.sum("clamped"), F.sum("n_clamped")).alias("clamped_mean"))
     width = F.lit(float(design.bin_sec))
     bin_start = F.col("relative_bin") * width
+    mine = (F.col("relative_bin") * F.lit(2) + F.when(F.col("phase") == "post", 1).otherwise(0)) * F.lit(len(cooldowns)) + F.col("way")
+    takers = F.when(F.col("way") < 0, F.array(*[F.lit(c) for c in cooldowns])).otherwise(
+        F.get(F.from_json(F.lit(json.dumps(sharers)), "array<array<double>>"), mine))
+    out = out.withColumn("cooldown_sec", F.explode(takers)).select("cooldown_sec", *[c for c in out.columns if c != "way"])
     return out.join(events, "event_id").withColumns({
         "bin_start_relative_sec": bin_start, "bin_center_relative_sec": bin_start + width / 2.0,
         "quality_ok": F.col("n_tracks") >= design.min_tracks})
