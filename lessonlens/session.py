@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # groups that a task gathers as objects before it sorts its rows: a gathered frame may be large
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4",
 }
 
 
@@ -36,7 +38,8 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 
 @contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
-    """Start streams with per-key state functions inside: they need the RocksDB store. The session's choice is put back."""
+    """Start streams with per-key state functions inside: they need the RocksDB store, and gather few groups at once. The
+    session's choices are put back."""
     before = {name: spark.conf.get(name, None) for name in STREAM_CONF}
     for name, value in STREAM_CONF.items():
         spark.conf.set(name, value)

@@ -38,6 +38,10 @@ CLOCK = ("1678-01-01 00:00:00", "2262-01-01 00:00:00")
 RUN, PIECE, PAGE = 32_768, 2_048, 8_192
 
 
+def _same(value):
+    return value
+
+
 def _plain(value):
     """Values as read, structs as tuples and arrays as lists: the state client writes no rows."""
     if isinstance(value, dict):
@@ -52,18 +56,22 @@ def _plain(value):
 class StepFold(StatefulProcessor):
     """``step(state, row) -> (state, output dict or None)``; ``state`` is None on a new or expired key.
 
-    ``step.state`` is the type of the state in DDL, ``step.reads`` names the columns that the step reads besides ``t``. Kept per cell: when the next waiting row is due, when a timer will look for
+    ``step.state`` is the type of the state in DDL, ``step.reads`` names the columns that the step reads besides ``t``. A step
+    with large states or rows has ``step.inside``: functions that open a state, work on an open one and close it; the columns
+    ``step.arrays`` reach it as NumPy arrays, where a gap is no number. Kept per cell: when the next waiting row is due, when a timer will look for
     silent keys, the latest instant and the step's state of every key, and where the waiting rows lie: per piece its number, the
     first time at which a row of it is due and the place of its first row in the order.
     """
 
     def __init__(self, step: Callable, columns: Sequence[str], keys: Sequence[str], order: Sequence[str], ttl: float,
                  fields: Sequence[T.StructField]):
-        self.step, self.columns, self.ttl = step, list(columns), int(ttl * 1000)
+        self.opened, self.step, self.closed = getattr(step, "inside", (_same, step, _same))
+        self.columns, self.ttl = list(columns), int(ttl * 1000)
         self.fields, self.keys = [f.name for f in fields], list(keys)
         place = self.fields.index
         self.due, self.at, self.order, self.key = place(DUE), place(AT), [place(c) for c in order], [place(c) for c in keys]
         self.nested = [i for i, f in enumerate(fields) if isinstance(f.dataType, T.ArrayType)]
+        self.lists = [i for i in self.nested if fields[i].name not in getattr(step, "arrays", ())]
         inner = T.StructType.fromDDL(f"inner {step.state}")["inner"]
         known = T.StructType([T.StructField("key", T.StructType([fields[i] for i in self.key])), T.StructField("seen", T.LongType()), inner])
         self.schema = T.StructType([
@@ -85,7 +93,7 @@ class StepFold(StatefulProcessor):
         """The rows of pandas frames, whose gaps are marked by a number: pandas has none of its own for whole numbers."""
         for frame in frames:
             columns = [frame[f"c{i}"].tolist() for i in range(len(self.fields))]
-            for i in self.nested:
+            for i in self.lists:
                 columns[i] = [_plain(v) for v in columns[i]]
             for row, gaps in zip(zip(*columns), frame["gaps"].tolist()):
                 if gaps:
@@ -171,18 +179,19 @@ class StepFold(StatefulProcessor):
         due, expires, known, piece, dealt = _plain(stored)
         if due is not None and due > now and (expires is None or expires > now):
             return  # the timer of rows that have been folded since
-        held = {k: (seen, inner) for k, seen, inner in known}
+        held, open_ = {k: (seen, inner) for k, seen, inner in known}, {}
         out, weight, rest = [], 0, []
         for values in self._ready(pickle.loads(dealt) if dealt else [], now, rest):
             own = tuple([values[i] for i in self.key])
             seen, inner = held.get(own, (None, None))
             if seen is not None and values[self.due] - seen > self.ttl:
                 inner = None  # silent for longer than its time to live: the key starts anew
-            inner, result = self.step(inner, dict(zip(self.fields, values)))
-            held[own] = values[self.due], inner
+                open_.pop(own, None)
+            open_[own], result = self.step(open_[own] if own in open_ else self.opened(inner), dict(zip(self.fields, values)))
+            held[own] = values[self.due], None
             if result is not None:
                 out.append({**dict(zip(self.keys, own)), "at": values[self.at], **result})
-                weight += 1 + sum([len(v) for v in result.values() if isinstance(v, list)])
+                weight += 1 + sum([len(v) for v in result.values() if isinstance(v, list) or getattr(v, "ndim", 0)])
                 if weight >= PAGE:
                     yield self._page(out)
                     out, weight = [], 0
@@ -190,7 +199,7 @@ class StepFold(StatefulProcessor):
             yield self._page(out)
         if expires is not None and expires <= now:
             expires = None
-        known = [(k, seen, inner) for k, (seen, inner) in held.items() if seen + self.ttl >= now]
+        known = [(k, seen, self.closed(open_[k]) if k in open_ else inner) for k, (seen, inner) in held.items() if seen + self.ttl >= now]
         due = min((p[1] for p in rest), default=None)
         if due is None and not known:
             self.held.clear()
@@ -237,10 +246,11 @@ def fold_stream(
     d = d.withColumn(AT, F.unix_micros("at"))
     waiting = {*keys, *order, "t", DUE, AT, *step.reads}
     plain = [T.StructField(f.name, f.dataType) for f in d.schema.fields if f.name in waiting]
+    arrays = getattr(step, "arrays", ())
     processor = StepFold(step, names, keys, order, ttl, plain)
     gaps = F.lit(0).cast("bigint")
     for i, f in enumerate(plain):
-        gaps = gaps + F.when(_gap_mark(f), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        gaps = gaps + F.when(F.col(f.name).isNull() if f.name in arrays else _gap_mark(f), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     sent = d.select("at", *[_without_gaps(f).alias(f"c{i}") for i, f in enumerate(plain)], gaps.alias("gaps"),
                     F.pmod(F.xxhash64(*keys), F.lit(CELLS)).alias(CELL))
     return sent.groupBy(CELL).transformWithStateInPandas(

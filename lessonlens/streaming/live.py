@@ -99,13 +99,14 @@ def stable_ids(stream: DataFrame, max_age: float = 3.0, delay: str | None = LATE
     """One row per video frame with its detections ``dets`` (id, box corners and, where there are any, ``pose_vec`` and
     ``colour_vec``); gives each a stable id."""
     found = {f.name for f in stream.schema["dets"].dataType.elementType.fields}
-    none = F.lit(None).cast("array<double>")
-    whole = F.transform("dets", lambda q: F.struct(*[
-        (q[c] if c in found else none).cast("bigint" if c == "det_id" else "array<double>" if c.endswith("_vec") else "double").alias(c)
-        for c in steps.DETECTION]))
-    ddl = "video_path string, t double, links array<struct<det_id:bigint,stable_id:bigint>>"
-    linked = fold_stream(stream.withColumn("dets", whole), ["video_path"], steps.stable_ids(steps.LinkRules(max_age=max_age)), ddl, delay=delay)
-    return linked.select("video_path", "t", F.inline("links"))
+    none = F.array().cast("array<double>")
+    frame = {c: F.col("dets")[c].cast(f"array<{'bigint' if c == 'det_id' else 'double'}>") for c in ("det_id", *steps.CORNERS)}
+    for c in steps.VECTORS:
+        vectors = F.transform(F.col("dets")[c].cast("array<array<double>>"), lambda v: F.coalesce(v, none)) if c in found else F.transform("dets", lambda q: none)
+        frame |= {f"{c}_sizes": F.transform(vectors, F.size), c: F.flatten(vectors)}
+    ddl = "video_path string, t double, det_ids array<bigint>, stable_ids array<bigint>"
+    linked = fold_stream(stream.withColumns(frame).drop("dets"), ["video_path"], steps.stable_ids(steps.LinkRules(max_age=max_age)), ddl, delay=delay)
+    return linked.select("video_path", "t", F.inline(F.arrays_zip(F.col("det_ids").alias("det_id"), F.col("stable_ids").alias("stable_id"))))
 
 
 def frames_of(boxes: DataFrame, span: str, delay: str = LATE_DELAY) -> DataFrame:

@@ -8,10 +8,13 @@ import sys
 import numpy as np
 from pyspark import cloudpickle
 
-from lessonlens.operators.linking import LinkRules, OpenTracks, link_frame
+from lessonlens.operators.linking import LinkRules, OpenTracks, Vectors, link_frame
 
 
-DETECTION = ("det_id", "x1", "y1", "x2", "y2", "pose_vec", "colour_vec")
+CORNERS, VECTORS = ("x1", "y1", "x2", "y2"), ("pose_vec", "colour_vec")
+DETECTION = ("det_id", *CORNERS, *VECTORS)
+# A frame's detections as one array per field, its vectors as the sizes and all values in one row.
+FRAME = (*DETECTION, *[f"{c}_sizes" for c in VECTORS])
 
 
 def _typed(state: str, *reads: str):
@@ -155,27 +158,47 @@ def face_vote(keep: int = 8, min_matches: int = 2, min_ratio: float = 0.5):
 
 
 def stable_ids(rules: LinkRules | None = None):
-    """Stable ids on a stream with one row per video frame holding its detections ``dets``, with the fields DETECTION; the two
-    vectors may be missing."""
+    """Stable ids on a stream with one row per video frame.
+
+    A fold goes ``inside``: it opens the state once, hands over frames as the arrays FRAME and closes the state at the end. The
+    step itself takes a frame as its detections ``dets`` with the fields DETECTION; the two vectors may be missing.
+    """
     rules = rules or LinkRules(max_age=3.0)
 
+    def opened(state):
+        if state is None:
+            return OpenTracks()
+        ids, boxes, poses, colours, seen, next_id = state
+        return OpenTracks(np.array(ids, np.int64), np.array(boxes, float).reshape(-1, 4), Vectors.of(poses), Vectors.of(colours),
+                          np.array(seen, float), next_id)
+
+    def closed(tracks):
+        return (tracks.ids.tolist(), tracks.boxes.tolist(), tracks.poses.lists(), tracks.colours.lists(), tracks.seen.tolist(),
+                int(tracks.next_id))
+
+    def advance(tracks, frame):
+        det_ids = np.asarray(frame["det_id"])
+        if len(det_ids) and det_ids.dtype.kind != "i":
+            raise ValueError("a detection has no id")
+        order = np.argsort(det_ids, kind="stable")
+        boxes = np.stack([np.asarray(frame[c], float) for c in CORNERS], axis=1)[order]
+        poses, colours = (Vectors.laid_out(frame[f"{c}_sizes"], frame[c]).take(order) for c in VECTORS)
+        ids, tracks = link_frame(tracks, frame["t"], boxes, poses, colours, rules)
+        return tracks, {"t": frame["t"], "det_ids": det_ids[order], "stable_ids": ids}
+
     @_typed("struct<ids:array<bigint>,boxes:array<array<double>>,poses:array<array<double>>,colours:array<array<double>>,"
-            "seen:array<double>,next:bigint>", "dets")
+            "seen:array<double>,next:bigint>", *FRAME)
     def step(state, row):
-        tracks = OpenTracks()
-        if state is not None:
-            ids, boxes, poses, colours, seen, next_id = state
-            tracks = OpenTracks(np.array(ids, np.int64), np.array(boxes, float).reshape(-1, 4), [list(p) for p in poses],
-                                [list(c) for c in colours], np.array(seen, float), next_id)
-        dets = sorted((q if isinstance(q, dict) else dict(zip(DETECTION, q)) for q in row["dets"]), key=lambda q: q["det_id"])
-        boxes = np.array([[q[c] for c in ("x1", "y1", "x2", "y2")] for q in dets], float).reshape(-1, 4)
-        poses, colours = ([[float(v) for v in q.get(c) or []] for q in dets] for c in ("pose_vec", "colour_vec"))
-        ids, tracks = link_frame(tracks, row["t"], boxes, poses, colours, rules)
-        kept = (tracks.ids.tolist(), tracks.boxes.tolist(), [[float(v) for v in p] for p in tracks.poses],
-                [[float(v) for v in c] for c in tracks.colours], tracks.seen.tolist(), int(tracks.next_id))
-        found = [{"det_id": int(q["det_id"]), "stable_id": int(i)} for q, i in zip(dets, ids)]
-        return kept, {"t": row["t"], "links": found}
-
+        dets = [q if isinstance(q, dict) else dict(zip(DETECTION, q)) for q in row["dets"]]
+        frame = {"t": row["t"], **{c: [q[c] for q in dets] for c in ("det_id", *CORNERS)}}
+        for c in VECTORS:
+            vectors = [q.get(c) or [] for q in dets]
+            frame |= {f"{c}_sizes": [len(v) for v in vectors], c: [float(x) for v in vectors for x in v]}
+        tracks, out = advance(opened(state), frame)
+        links = [{"det_id": d, "stable_id": i} for d, i in zip(out["det_ids"].tolist(), out["stable_ids"].tolist())]
+        return closed(tracks), {"t": row["t"], "links": links}
+
+    step.inside, step.arrays = (opened, advance, closed), FRAME
     return step
 
 

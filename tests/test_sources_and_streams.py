@@ -327,3 +327,57 @@ def test_waiting_rows_lie_in_pieces(spark, monkeypatch):
         assert sum(map(len, found)) == (401 if mark < 10**6 else 599)
     out = pd.concat(pages)
     assert max(map(len, pages)) <= 32 and out["frame_idx"].tolist() == list(range(0, 2000, 2)) and out["n"].tolist() == list(range(1, 1001)) and not store
+
+
+def test_an_open_state_lasts_for_all_rows_that_are_due(spark):
+    """Large states are opened once and closed once, and rows reach the step as arrays, gaps as no number; results are the step's."""
+    import types
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+    from lessonlens.streaming import folds
+    from lessonlens.streaming import steps
+    rng, step = np.random.default_rng(8), steps.stable_ids()
+    opened, advance, closed = step.inside
+    calls = []
+
+    def inside(state, row):
+        assert all(isinstance(row[c], np.ndarray) for c in steps.FRAME)
+        return advance(state, row)
+
+    step.inside = lambda s: calls.append("open") or opened(s), inside, lambda s: calls.append("close") or closed(s)
+    whole = lambda c: c == "det_id" or c.endswith("_sizes")
+    kinds = {"video_path": T.StringType(), "t": T.DoubleType(), folds.DUE: T.LongType(), folds.AT: T.LongType(),
+             **{c: T.ArrayType(T.LongType() if whole(c) else T.DoubleType()) for c in steps.FRAME}}
+    fold = folds.StepFold(step, ["t", "det_ids", "stable_ids"], ["video_path"], ["t"], 1e9, [T.StructField(n, k) for n, k in kinds.items()])
+    store, held, frames, state, want = {}, {}, [], None, {}
+    fold.handle = types.SimpleNamespace(registerTimer=lambda at: None)
+    fold.held = types.SimpleNamespace(get=lambda: held.get("v"), update=lambda v: held.update(v=v), clear=held.clear)
+    fold.pieces = types.SimpleNamespace(
+        updateValue=lambda k, v: store.update({k: v}), getValue=lambda k: store[k], removeKey=lambda k: store.pop(k))
+    for t in range(20):
+        x = rng.uniform(0, 200, 6)
+        dets = [{"det_id": 10 * t + int(k), "x1": x[k], "y1": 0.0, "x2": x[k] + 50 if k else None, "y2": 99.0, "pose_vec": [None, [1.0, x[k]], []][k % 3],
+                 "colour_vec": [x[k]]} for k in rng.permutation(6)]
+        state, out = step(state, {"t": float(t), "dets": dets})
+        want |= {q["det_id"]: q["stable_id"] for q in out["links"]}
+        frames.append(("v", float(t), t * 1000, t * 1_000_000, *[np.array([q[c] for q in dets], float if c != "det_id" else int) for c in steps.DETECTION[:5]],
+                       *[np.array([v for q in dets for v in q[c] or []], float) for c in steps.VECTORS],
+                       *[np.array([len(q[c] or []) for q in dets]) for c in steps.VECTORS], 0))
+    fold.handleInputRows(None, iter([pd.DataFrame(frames[::-1], columns=[*[f"c{i}" for i in range(len(kinds))], "gaps"])]), None)
+    got = {}
+    for mark in (9_500, 10**9):
+        now = types.SimpleNamespace(getCurrentWatermarkInMs=lambda mark=mark: mark)
+        for page in fold.handleExpiredTimer(None, now, None):
+            got |= {d: s for ids, stable in zip(page["det_ids"], page["stable_ids"]) for d, s in zip(ids.tolist(), stable.tolist())}
+    assert got == want and len(set(want.values())) < len(want) and not store
+    assert calls == ["open", "close", "open", "close"]
+
+
+def test_gathered_frames_are_few_at_once(spark):
+    """A task sorts what it gathers instead of holding many large frames as objects; the session keeps its own choice."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name)
+    with keyed_state(spark):
+        assert int(spark.conf.get(name)) <= 8
+    assert spark.conf.get(name) == before
